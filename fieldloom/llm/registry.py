@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import line_rules
+from fieldloom.llm import line_rules, mixing
 
 QUERIES = {
+    "op5_golden_mix": mixing.op5_golden_mix,
     "op7_line_rules": line_rules.op7_line_rules,
 }
 ORACLES = {
+    "op5_golden_mix": mixing.ORACLE,
     "op7_line_rules": line_rules.ORACLE,
 }
