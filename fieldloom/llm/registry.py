@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import license_rules, line_rules, mixing
+from fieldloom.llm import license_rules, line_rules, mixing, packing
 
 QUERIES = {
+    "op2_best_fit": packing.op2_best_fit,
     "op9_license_rules": license_rules.op9_license_rules,
     "op5_golden_mix": mixing.op5_golden_mix,
     "op7_line_rules": line_rules.op7_line_rules,
