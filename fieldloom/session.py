@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,3 +37,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldloom-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame written as Parquet under the shared checkpoint folder and read back: lost executors cost no more than a read."""
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fieldloom-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    back = spark.read.schema(frame.schema).parquet(path)
+    back._fieldloom_path = path
+    return back
+
+
+def discard(frame: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing will read it again."""
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(frame._fieldloom_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
