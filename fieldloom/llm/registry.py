@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import license_rules, line_rules, mixing, packing
+from fieldloom.llm import jaccard_join, license_rules, line_rules, mixing, packing
 
 QUERIES = {
+    "op1_prefix_join": jaccard_join.op1_prefix_join,
     "op2_best_fit": packing.op2_best_fit,
     "op9_license_rules": license_rules.op9_license_rules,
     "op5_golden_mix": mixing.op5_golden_mix,
     "op7_line_rules": line_rules.op7_line_rules,
 }
 ORACLES = {
+    "op1_prefix_join": jaccard_join.ORACLE,
     "op5_golden_mix": mixing.ORACLE,
     "op7_line_rules": line_rules.ORACLE,
 }
