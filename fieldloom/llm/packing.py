@@ -17,6 +17,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ class PackRules:
     capacity: int = 4096
     end_id: int = 1
     salts: int = 64  # groups of equal lengths
-    cache: int = 300_000  # words whose ids a worker keeps
+    cache: int = 150_000  # words whose ids a worker keeps
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -44,14 +45,26 @@ def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign of each byte in a byte-level vocabulary: itself where it prints, else the next free sign from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class WordTokenizer:
     """Ids of texts under a vocabulary whose pieces never span white space: each distinct word is encoded once.
 
-    A-Z are lowered first, which the vocabulary's normaliser does to all letters, and marks at a word's end are split
-    off where its pre-tokenizer does so in any case; both only let more words share an entry.
+    A-Z are lowered first, which the vocabulary's normaliser does to all letters, and marks at a word's end are encoded
+    by themselves where its pre-tokenizer splits there in any case.
     """
 
-    _ends = re.compile(rb"(?<=[a-z0-9])([,.!?;:]+)(?=[ \t\n\r\x0b\x0c]|$)")
+    #: A word and the marks at its end, which the pre-tokenizer splits off after a letter or digit of ASCII or a letter of Latin-1.
+    _ends = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+    _mark = "<|endoftext|>"  # a special token: what stands between two of them is encoded by itself
     _kept: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str, cache: int) -> None:
@@ -59,6 +72,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache, {}
+        self.mark_id = self.tokenizer.token_to_id(self._mark)
 
     @classmethod
     def of(cls, path: str, cache: int) -> WordTokenizer:
@@ -67,23 +81,41 @@ class WordTokenizer:
         return cls._kept[path]
 
     def words(self, text: str) -> list[bytes]:
-        return self._ends.sub(rb" \1", text.encode("utf-8", "replace").lower()).split()
+        return text.encode("utf-8", "replace").lower().split()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        for text in texts:
-            if "<|" in text:  # a special token's string may stand inside a word
-                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                continue
-            words = self.words(text)
-            new = [w for w in set(words) if w not in known]
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-            yield b"".join([known[w] for w in words])
+        for at in range(0, len(texts), 64):  # together, so that calls are few
+            some = texts[at : at + 64]
+            split = [None if "<|" in x else self.words(x) for x in some]  # a special token's string may stand inside a word
+            self._learn({w for ws in split if ws for w in ws})
+            for text, ws in zip(some, split, strict=True):
+                if ws is None:
+                    yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                else:
+                    yield b"".join([self.known[w] for w in ws])
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, model = self.known, self.tokenizer.model
+        if len(known) + len(words) > self.most:
+            known.clear()
+        new = [w for w in words if w not in known]
+        ended = {w: m.groups() for w in new if not w[-1:].isalpha() and (m := self._ends.fullmatch(w))}
+        others = []
+        for w in {*new, *(x for both in ended.values() for x in both)} - ended.keys():
+            if w not in known:
+                low = w.decode("utf-8").lower()
+                if low.isalpha() and max(low) < "\u0180":  # composed Latin letters: one piece, which the normaliser leaves as it is
+                    known[w] = array("I", [t.id for t in model.tokenize(low.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
+                else:
+                    others.append(w)
+        if others:
+            ids = np.asarray(self.tokenizer.encode(self._mark.join(w.decode("utf-8") for w in others), add_special_tokens=False).ids, dtype="<u4")
+            cut, data = np.flatnonzero(ids == self.mark_id), ids.tobytes()
+            for w, lo, hi in zip(others, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                known[w] = data[4 * lo : 4 * hi]
+        for w, (word, marks) in ended.items():
+            known[w] = known[word] + known[marks]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -95,7 +127,7 @@ def pieces(docs: DataFrame, rules: PackRules, doc_id: str = "doc_id", text: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path, cache)
-        for batch in batches:
+        for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             rows: list[tuple] = []
             for i, ids in zip(batch.column(0).to_pylist(), tokenizer.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
                 ids += end
