@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import backoff, jaccard_join, license_rules, line_rules, mixing, packing
+from fieldloom.llm import backoff, factor_machine, jaccard_join, license_rules, line_rules, mixing, packing
 
 QUERIES = {
+    "op6_factor_machine": factor_machine.op6_factor_machine,
     "op10_backoff": backoff.op10_backoff,
     "op1_prefix_join": jaccard_join.op1_prefix_join,
     "op2_best_fit": packing.op2_best_fit,
