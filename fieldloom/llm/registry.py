@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import backoff, factor_machine, jaccard_join, license_rules, line_rules, mixing, packing
+from fieldloom.llm import backoff, factor_machine, jaccard_join, license_rules, line_rules, mixing, packing, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
     "op6_factor_machine": factor_machine.op6_factor_machine,
     "op10_backoff": backoff.op10_backoff,
     "op1_prefix_join": jaccard_join.op1_prefix_join,
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_line_rules": line_rules.op7_line_rules,
 }
 ORACLES = {
+    "op4_warc": warc.ORACLE,
     "op1_prefix_join": jaccard_join.ORACLE,
     "op5_golden_mix": mixing.ORACLE,
     "op7_line_rules": line_rules.ORACLE,
