@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import backoff, factor_machine, jaccard_join, license_rules, line_rules, mixing, packing, vector_search, warc
+from fieldloom.llm import backoff, factor_machine, jaccard_join, license_rules, line_rules, mixing, packing, url_templates, vector_search, warc
 
 QUERIES = {
+    "op8_path_templates": url_templates.op8_path_templates,
     "op3_posting_lists": vector_search.op3_posting_lists,
     "op4_warc": warc.op4_warc,
     "op6_factor_machine": factor_machine.op6_factor_machine,
