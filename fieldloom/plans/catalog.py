@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "kalman_filter"
+from fieldloom.plans import relational_queries
+
+QUERIES: dict = dict(relational_queries.QUERIES)
+ORACLES: dict = dict(relational_queries.ORACLES)
+FLAGSHIP = "site_year_mode"
