@@ -273,7 +273,7 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = F.greatest(F.ceil(F.col("members") / rules.block_members), F.ceil(F.col("tokens") / rules.block_tokens)).cast("int")
     members = found.join(classes, "owner").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("owner", F.lit(7)), F.col("blocks")).cast("int"))
     members = stored(members.select("cluster", "owner", "rep", "copies", "blocks", "block"))
-    texts = members.join(docs, members["rep"] == docs["doc_id"]).select("cluster", "owner", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    texts = members.join(docs.hint("merge"), members["rep"] == docs["doc_id"]).select("cluster", "owner", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     blocked = texts.select("cluster", "owner", "copies", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
     verified = stored(verify(blocked, rules))
     labels = connected_components(verified.filter("b is not null"), "a", "b")
