@@ -55,7 +55,7 @@ def features(docs: DataFrame, rules: JoinRules) -> DataFrame:
     width = rules.width
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in postings.small(batches):
             sets = hashing.shingle_sets(batch.column(1).to_pylist(), width)
             rows = [(hashing.set_key(s) if len(s) else None, len(s)) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], schema=FEATURES)
@@ -83,7 +83,7 @@ def _pairs(docs: DataFrame, rules: JoinRules, parts: int) -> DataFrame:
         sets: list[np.ndarray] = []
         seen: set[int] = set()  # of this chunk
         held = 0
-        for batch in batches:
+        for batch in postings.small(batches):
             for s in hashing.shingle_sets(batch.column(1).to_pylist(), width):
                 if not len(s) or (key := hashing.set_key(s)) in seen:
                     continue

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pairs that a task gathers before it hands them on.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 LOW = np.uint64((1 << 48) - 1)
 
 
@@ -32,6 +32,13 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a batch's texts are not all Python strings at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def runs(sorted_values: np.ndarray) -> np.ndarray:
     """Where runs of equal neighbours begin, and the length at the end."""
     n = len(sorted_values)
