@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,20 +199,18 @@ def op6_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= rules.threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, rules: ClassifierRules = ClassifierRules(), doc_id: str = "doc_id", text: str = "text", recorded: str = "n_chars") -> DataFrame:
+def keep_good(docs: DataFrame, machine: Machine, rules: ClassifierRules = ClassifierRules(), text: str = "text", recorded: str = "n_chars") -> DataFrame:
     """The rows of docs that score at least the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rules, doc_id, text, recorded))
-    has = recorded in docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
-    def rate(texts, lengths):
+    def rate(texts: pd.Series, lengths: pd.Series) -> pd.Series:
         out = np.zeros(len(texts))
-        for lo, hi, at, index, value in rows_of_features(texts.tolist(), [None if x != x else x for x in lengths.tolist()]):
+        known = [None if x is None or x != x else x for x in lengths.tolist()]
+        for lo, hi, at, index, value in rows_of_features(texts.tolist(), known):
             z = shared.value.logits(at, index, value)
             out[lo:hi] = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
-        import pandas as pd
-
         return pd.Series(out)
 
-    length = docs[recorded].cast("double") if has else F.length(docs[text]).cast("double")
+    length = (docs[recorded] if recorded in docs.columns else F.length(docs[text])).cast("double")
     return docs.withColumn("__score", rate(docs[text], length)).filter(F.col("__score") >= rules.threshold).drop("__score")

@@ -298,9 +298,8 @@ def op1_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: JoinRules = JoinRules()) -> DataFrame:
     """The document with the least id of each component; rows without an id or without words stay."""
-    joined = join_documents(docs, doc_id, text, rules).filter("component_id = doc_id").select(F.col("doc_id").alias("__kept"), F.col("n_shingles").alias("__n")).distinct()
-    kept = docs.join(joined.select("__kept").distinct(), docs[doc_id] == F.col("__kept"), "left_semi")
-    return kept.unionByName(docs.filter(docs[doc_id].isNull()))
+    kept = join_documents(docs, doc_id, text, rules).filter("component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs[doc_id] == F.col("__kept"), "left_semi").unionByName(docs.filter(docs[doc_id].isNull()))
 
 
 ORACLE = r"""

@@ -133,3 +133,15 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE li
 
 
 ORACLE = _sql()
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rules: MixRules = MixRules()) -> DataFrame:
+    """The rows of docs that the mix takes words of, each as often as it takes it (a part of a document counts as the whole); the columns are those of docs.
+
+    Rows that share id, source and size share what is taken of them.
+    """
+    taken = mix(docs, doc_id, text, source, rules).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")).filter("taken > 0")
+    times = F.ceil(F.col("taken") / (F.col("size") * F.col("rows"))).cast("int")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), times.alias("__times"))
+    same = docs[doc_id].eqNullSafe(F.col("__id")) & docs[source].cast("string").eqNullSafe(F.col("__source")) & (count_words(docs[text]) == F.col("__size"))
+    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).drop("__time")
