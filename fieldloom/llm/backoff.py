@@ -43,7 +43,7 @@ BASE = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_words", pa.in
 class BackoffRules:
     alpha: float = 0.4
     least: int = 2
-    chunk: int = 1 << 21  # words that a task gathers before it hands them on
+    chunk: int = 1 << 20  # words that a task gathers before it hands them on
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None], np.ndarray, np.ndarray]]:
     """ids, texts, words and bounds of some rows at a time."""
-    for batch in batches:
+    for batch in postings.small(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, hi in hashing.slices(texts):
             words, bounds = hashing.word_hashes(texts[lo:hi])
@@ -246,13 +246,24 @@ def _hand_on(held: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
         yield _batch(rows)
 
 
-def _gathered(held: list[tuple], kind: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Of one kind: the owner of each occurrence, the keys of each row, and the numbers."""
+def _take(held: list[tuple], kind: int) -> list[tuple]:
+    """Removes the rows of a kind from held and returns them, so that they can be freed."""
     mine = [h for h in held if h[0] == kind]
+    held[:] = [h for h in held if h[0] != kind]
+    return mine
+
+
+def _runs_of(mine: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The owner of each run, and the run of each occurrence."""
     owners = np.frombuffer(b"".join(h[1] for h in mine), dtype="<u8")
-    if kind:  # a row of the word table has its sum there
-        owners = np.repeat(owners, np.frombuffer(b"".join(h[2] for h in mine), dtype="<u4"))
-    return owners, [h[3] for h in mine], np.frombuffer(b"".join(h[4] for h in mine), dtype="<u8" if kind == 0 else "<i4")
+    return owners, np.repeat(np.arange(len(owners), dtype=np.uint32), np.frombuffer(b"".join(h[2] for h in mine), dtype="<u4"))
+
+
+def _word_table(mine: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    words = np.concatenate([postings.unsqueeze(h[3]) for h in mine]) if mine else np.zeros(0, dtype=np.uint64)
+    counts = np.frombuffer(b"".join(h[4] for h in mine), dtype="<u8")
+    order = np.argsort(words)
+    return words[order], counts[order]
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[tuple]]:
@@ -264,12 +275,16 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[tuple]]:
     return part, held
 
 
-def _sums(owner: np.ndarray, value: np.ndarray, parts: int) -> list[tuple]:
+def _by_owner(owners: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    who, back = np.unique(owners, return_inverse=True)
+    return who, np.bincount(back, weights=values, minlength=len(who))
+
+
+def _sums(owners: np.ndarray, values: np.ndarray, parts: int) -> list[tuple]:
     """Packed sums by owner, kind 4, for the owners' parts."""
-    if not len(owner):
+    if not len(owners):
         return []
-    who, back = np.unique(owner, return_inverse=True)
-    total = np.bincount(back, weights=value, minlength=len(who))
+    who, total = _by_owner(owners, values)
     to = (who % np.uint64(parts)).astype(np.int32)
     order = np.argsort(to, kind="stable")
     to, who, total = to[order], who[order], total[order]
@@ -277,83 +292,90 @@ def _sums(owner: np.ndarray, value: np.ndarray, parts: int) -> list[tuple]:
     return [(int(to[lo]), 4, who[lo:hi].tobytes(), b"", b"", total[lo:hi].astype("<f8").tobytes()) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _scoring(batches: Iterator[pa.RecordBatch], parts: int, rules: BackoffRules, common: Common) -> Iterator[pa.RecordBatch]:
-    """Counts the bigrams of a part; gives sums by owner (kind 4) and the words to ask elsewhere (kind 3)."""
-    part, held = _rows_of(batches)
-    if not held:
-        return
-    drop = np.log(rules.alpha) - np.log(max(1, common.total))
-    log_c = np.log(common.counts)
-    who1, keys, _ = _gathered(held, 1)
-    code = np.frombuffer(b"".join(keys), dtype="<u4")
-    _, back, n = np.unique(code, return_inverse=True, return_counts=True)
-    n = n[back] if len(code) else n
-    value1 = np.where(n >= rules.least, np.log(np.maximum(n, 1)) - log_c[code >> 16], drop + log_c[code & 0xFFFF]) if len(code) else np.zeros(0)
-    who2, keys, _ = _gathered(held, 2)
-    a = np.concatenate([postings.unsqueeze(k[: len(k) // 2]) for k in keys]) if keys else np.zeros(0, dtype=np.uint64)
-    b = np.concatenate([postings.unsqueeze(k[len(k) // 2 :]) for k in keys]) if keys else np.zeros(0, dtype=np.uint64)
-    _, word_keys, word_n = _gathered(held, 0)
-    table_w = np.concatenate([postings.unsqueeze(k) for k in word_keys]) if word_keys else np.zeros(0, dtype=np.uint64)
-    order = np.argsort(table_w)
-    table_w, table_n = table_w[order], word_n[order]
+def _score_common(mine: list[tuple], rules: BackoffRules, log_c: np.ndarray, drop: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by owner over bigrams of common words."""
+    owners, run = _runs_of(mine)
+    code = np.frombuffer(b"".join(h[3] for h in mine), dtype="<u4")
+    mine.clear()
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    at = postings.runs(code)
+    n, key = np.diff(at), code[at[:-1]]
+    each = np.where(n >= rules.least, np.log(np.maximum(n, 1)) - log_c[key >> 16], drop + log_c[key & 0xFFFF]) if len(key) else np.zeros(0)
+    value = np.bincount(run[order], weights=np.repeat(each, n), minlength=len(owners))
+    return _by_owner(owners, value)
+
+
+def _score_others(mine: list[tuple], table_of: tuple[np.ndarray, np.ndarray], part: int, parts: int, rules: BackoffRules, common: Common, log_c: np.ndarray, drop: float) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Sums by owner over the other bigrams of a part, and packed rows of the words to ask elsewhere."""
+    owners, run = _runs_of(mine)
+    a = np.concatenate([postings.unsqueeze(h[3][: len(h[3]) // 2]) for h in mine]) if mine else np.zeros(0, dtype=np.uint64)
+    b = np.concatenate([postings.unsqueeze(h[3][len(h[3]) // 2 :]) for h in mine]) if mine else np.zeros(0, dtype=np.uint64)
+    mine.clear()
 
     def log_count(w: np.ndarray) -> np.ndarray:
         """Of words that are common or of this part."""
         at, is_common = common.place(w)
         out = np.zeros(len(w))
         out[is_common] = log_c[at[is_common]]
-        out[~is_common] = np.log(table_n[np.searchsorted(table_w, w[~is_common])])
+        out[~is_common] = np.log(table_of[1][np.searchsorted(table_of[0], w[~is_common])])
         return out
 
-    rows: list[tuple] = []
-    if len(a):
-        order = np.lexsort((b, a))
-        new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
-        at = np.append(np.flatnonzero(new), len(a))
-        n2 = np.empty(len(a), dtype=np.int64)
-        n2[order] = np.repeat(np.diff(at), np.diff(at))
-        first = a == 0
-        hit = (n2 >= rules.least) & ~first
-        value2 = np.zeros(len(a))
-        value2[hit] = np.log(n2[hit]) - log_count(a[hit])
-        miss = ~hit
-        value2[miss & ~first] = drop
-        _, common_b = common.place(b)
-        here = miss & (common_b | (_part(b, parts) == part))
-        value2[here] += log_count(b[here])
-        ask = np.flatnonzero(miss & ~here)
-        to = _part(b[ask], parts)
-        order = np.lexsort((who2[ask], to))
-        to, ask = to[order], ask[order]
-        at = postings.runs(to)
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            mine = ask[lo:hi]
-            run = postings.runs(who2[mine])
-            rows.append((int(to[lo]), 3, who2[mine][run[:-1]].tobytes(), np.diff(run).astype("<u4").tobytes(), postings.squeeze(b[mine]), b""))
-    else:
-        value2 = np.zeros(0)
-    rows += _sums(np.concatenate((who1, who2)), np.concatenate((value1, value2)), parts)
+    if not len(a):
+        return owners, np.zeros(len(owners)), []
+    order = np.lexsort((b, a))
+    a, b, run = a[order], b[order], run[order]
+    del order
+    at = np.append(np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))), len(a))
+    n, first, second = np.diff(at), a[at[:-1]], b[at[:-1]]  # of each distinct bigram
+    hit = (n >= rules.least) & (first != 0)
+    here = ~hit & (common.place(second)[1] | (_part(second, parts) == part))
+    each = np.where(hit | (first == 0), 0.0, drop)
+    each[hit] = np.log(n[hit]) - log_count(first[hit])
+    each[here] += log_count(second[here])
+    total = np.bincount(run, weights=np.repeat(each, n), minlength=len(owners))
+    ask = np.flatnonzero(np.repeat(~hit & ~here, n))
+    who, word = owners[run[ask]], b[ask]
+    to = _part(word, parts)
+    order = np.lexsort((who, to))
+    to, who, word = to[order], who[order], word[order]
+    at = postings.runs(to)
+    rows = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        cut = postings.runs(who[lo:hi])
+        rows.append((int(to[lo]), 3, who[lo:hi][cut[:-1]].tobytes(), np.diff(cut).astype("<u4").tobytes(), postings.squeeze(word[lo:hi]), b""))
+    return *_by_owner(owners, total), rows
+
+
+def _scoring(batches: Iterator[pa.RecordBatch], parts: int, rules: BackoffRules, common: Common) -> Iterator[pa.RecordBatch]:
+    """Counts the bigrams of a part; gives sums by owner (kind 4) and the words to ask elsewhere (kind 3)."""
+    part, held = _rows_of(batches)
+    if not held:
+        return
+    drop, log_c = np.log(rules.alpha) - np.log(max(1, common.total)), np.log(common.counts)
+    who1, sum1 = _score_common(_take(held, 1), rules, log_c, drop)
+    words = _word_table(_take(held, 0))
+    who2, sum2, rows = _score_others(_take(held, 2), words, part, parts, rules, common, log_c, drop)
+    rows += _sums(np.concatenate((who1, who2)), np.concatenate((sum1, sum2)), parts)
     if rows:
         yield _batch(rows)
 
 
 def _asked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     _, held = _rows_of(batches)
-    who, keys, _ = _gathered(held, 3)
-    if len(who):
-        _, word_keys, word_n = _gathered(held, 0)
-        w = np.concatenate([postings.unsqueeze(k) for k in word_keys])
-        order = np.argsort(w)
-        asked = np.concatenate([postings.unsqueeze(k) for k in keys])
-        yield _batch(_sums(who, np.log(word_n[order][np.searchsorted(w[order], asked)]), parts))
+    mine = _take(held, 3)
+    if mine:
+        owners, run = _runs_of(mine)
+        words, counts = _word_table(held)
+        asked = np.concatenate([postings.unsqueeze(h[3]) for h in mine])
+        value = np.bincount(run, weights=np.log(counts[np.searchsorted(words, asked)]), minlength=len(owners))
+        yield _batch(_sums(owners, value, parts))
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, held = _rows_of(batches)
     if held:
-        who = np.frombuffer(b"".join(h[1] for h in held), dtype="<u8")
-        owner, back = np.unique(who, return_inverse=True)
-        total = np.bincount(back, weights=np.frombuffer(b"".join(h[4] for h in held), dtype="<f8"), minlength=len(owner))
+        owner, total = _by_owner(np.frombuffer(b"".join(h[1] for h in held), dtype="<u8"), np.frombuffer(b"".join(h[4] for h in held), dtype="<f8"))
         yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), pa.array(total)], ["owner", "rest"])
 
 
