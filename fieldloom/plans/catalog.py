@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fieldloom.plans import relational_queries
+from fieldloom.plans import relational_queries, statistical_queries
 
-QUERIES: dict = dict(relational_queries.QUERIES)
-ORACLES: dict = dict(relational_queries.ORACLES)
-FLAGSHIP = "site_year_mode"
+QUERIES: dict = relational_queries.QUERIES | statistical_queries.QUERIES
+ORACLES: dict = relational_queries.ORACLES | statistical_queries.ORACLES
+FLAGSHIP = "kalman_filter"
