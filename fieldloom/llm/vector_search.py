@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import postings
-from fieldloom.llm.common import shuffle_partitions, table
+from fieldloom.llm.common import let, shuffle_partitions, table
 from fieldloom.session import stored
 
 
@@ -36,7 +36,7 @@ class SearchRules:
     k: int = 20
     every: int = 20  # ids divisible by it are queries
     sample_rows: int = 32_768
-    list_size: int = 512
+    list_size: int = 1024
     most_lists: int = 2048
     neighbours: int = 24  # of a centroid in the graph
     beam: int = 192
@@ -58,7 +58,7 @@ class Graph:
     def nearest(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of x up to ``beam`` centroids by rising distance: places (-1: none) and distances, found by walking the graph."""
         c, n = self.centroids, len(self.centroids)
-        beam, q = min(beam, n), len(x)
+        beam, q, stride = min(beam, n), len(x), 4
         square = (c * c).sum(axis=1)
         own = (x * x).sum(axis=1)
         seen = np.zeros((q, n), dtype=bool)
@@ -68,23 +68,24 @@ class Graph:
         rows = np.arange(q)
         new = np.broadcast_to(self.entries, (q, len(self.entries)))
         while True:
+            # several open nodes may have a neighbour in common: the first of equal places counts
+            order = np.argsort(new, axis=1, kind="stable")
+            new = np.take_along_axis(new, order, 1)
             fresh = ~seen[rows[:, None], new]
+            fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
             np.put_along_axis(seen, new, True, axis=1)
-            d = square[new] - 2 * np.einsum("qd,qmd->qm", x, c[new])
-            d = np.where(fresh, d, np.inf)
-            allp, alld, allw = np.concatenate((place, new), 1), np.concatenate((far, d), 1), np.concatenate((walked, ~fresh), 1)
-            best = np.argsort(alld, axis=1, kind="stable")[:, :beam]
-            place, far, walked = (np.take_along_axis(a, best, 1) for a in (allp, alld, allw))
+            d = np.where(fresh, square[new] - 2 * np.einsum("qd,qmd->qm", x, c[new]), np.inf)
+            place, far, walked = np.concatenate((place, new), 1), np.concatenate((far, d), 1), np.concatenate((walked, ~fresh), 1)
+            best = np.argsort(far, axis=1, kind="stable")[:, :beam]
+            place, far, walked = (np.take_along_axis(v, best, 1) for v in (place, far, walked))
             walked |= ~np.isfinite(far)
-            open_ = ~walked
-            if not open_.any():
+            if walked.all():
                 break
-            at = np.where(open_.any(axis=1), open_.argmax(axis=1), 0)
-            moving = open_[rows, at]
-            walked[rows, at] = True
-            new = self.links[np.where(moving, place[rows, at], 0)]
-            # a row that has ended walks on from the first centroid, all of whose neighbours it then has seen or drops
-            seen[~moving] = True
+            at = np.argsort(walked, axis=1, kind="stable")[:, :stride]  # the nearest open ones first
+            walking = ~np.take_along_axis(walked, at, 1)
+            np.put_along_axis(walked, at, True, axis=1)
+            new = self.links[np.where(walking, np.take_along_axis(place, at, 1), self.entries[0])].reshape(q, -1)
+            seen[~walking.any(axis=1)] = True  # a row that has ended takes nothing more
         place[~np.isfinite(far)] = -1
         return place, np.sqrt(np.maximum(far + own[:, None], 0))
 
@@ -191,18 +192,30 @@ def _scored(packed: DataFrame, keep: int) -> DataFrame:
             keys = np.frombuffer(keys, dtype="<i8")
             sides[q] = keys, np.frombuffer(least, dtype="<i8"), np.frombuffer(v, dtype="<f8").reshape(len(keys), -1) if len(keys) else None
         (cid, least, v), (qid, _, qv) = sides[False], sides[True]
-        rows: list[list] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        top = min(len(cid), keep + 4)
         for lo in range(0, len(qid) if len(cid) else 0, 256):
-            s = qv[lo : lo + 256] @ v.T
-            top = min(len(cid), keep + 4)
-            edge = np.partition(s, len(cid) - top, axis=1)[:, len(cid) - top]
-            slack = np.abs(edge) * 1e-12 + 1e-300
-            for i in range(len(s)):
-                at = np.flatnonzero(s[i] >= edge[i] - slack[i])
-                exact = (qv[lo + i] * v[at]).sum(axis=1)  # the same sum wherever the pair is met
-                best = np.lexsort((least[at], -exact))[:keep]
-                rows.append([{"s": -float(exact[j]), "least": int(least[at[j]]), "cid": int(cid[at[j]])} for j in best])
-        return pa.Table.from_arrays([pa.array(qid[: len(rows)], pa.int64()), pa.array(rows, shape.field(1).type)], schema=shape)
+            q = qv[lo : lo + 256]
+            s = q @ v.T
+            best = np.argpartition(s, len(cid) - top, axis=1)[:, len(cid) - top :]
+            edge = np.take_along_axis(s, best, 1).min(axis=1)
+            ties = (s >= (edge - np.abs(edge) * 1e-12 - 1e-300)[:, None]).sum(axis=1) > top
+            exact = (q[:, None, :] * v[best]).sum(axis=2)  # the same sum wherever the pair is met
+            order = np.lexsort((least[best], -exact), axis=1)[:, :keep]
+            best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
+            for i in np.flatnonzero(ties).tolist():  # more equal scores than places at the edge
+                at = np.flatnonzero(s[i] >= edge[i] - np.abs(edge[i]) * 1e-12 - 1e-300)
+                score = (q[i] * v[at]).sum(axis=1)
+                at = at[np.lexsort((least[at], -score))[: best.shape[1]]]
+                best[i], exact[i] = at, (q[i] * v[at]).sum(axis=1)
+            parts.append((best, exact))
+        wide = min(keep, top)
+        best = np.concatenate([p[0] for p in parts]).reshape(-1) if parts else np.zeros(0, dtype=np.int64)
+        exact = np.concatenate([p[1] for p in parts]).reshape(-1) if parts else np.zeros(0)
+        found = pa.StructArray.from_arrays([pa.array(-exact), pa.array(least[best]), pa.array(cid[best])], fields=list(shape.field(1).type.value_type))
+        n = len(qid) if parts else 0
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * wide), found)
+        return pa.Table.from_arrays([pa.array(qid[:n], pa.int64()), lists.cast(shape.field(1).type)], schema=shape)
 
     return packed.groupBy("list", "block").applyInArrow(compare, FOUND_DDL)
 
@@ -225,10 +238,12 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     asked = classes.join(asking.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi")
     packed = _dealt(classes, shared, r, blocks, False, norm).unionByName(_dealt(asked, shared, r, blocks, True, norm))
     best = _scored(packed.repartition(shuffle_partitions(spark), "list", "block"), r.k + 1)
-    top = best.groupBy("qid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, r.k + 1).alias("found"))  # k + 1 of each visited block
+    gathered = best.groupBy("qid").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))  # k + 1 of each visited block
+    new = let(F.col("found"), lambda f: F.filter(f, lambda x, i: (i == 0) | (F.get(f, i - 1)["cid"] != x["cid"])))  # copies of a class score alike, so they are neighbours
+    top = gathered.select("qid", F.slice(new, 1, r.k + 1).alias("found"))
     near = top.select("qid", F.explode("found").alias("f")).select("qid", "f.s", "f.cid").join(classes.select("cid", "members"), "cid")
     rows = near.select("qid", F.transform("members", lambda m: F.struct(F.col("s"), m.alias("m"))).alias("found"))
-    rows = rows.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, r.k + 1).alias("found"))  # at most (k + 1)^2
+    rows = rows.groupBy("qid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, r.k + 1).alias("found"))  # at most (k + 1)^2
     mine = asking.join(rows, "qid").select("id", F.slice(F.filter("found", lambda f: f["m"] != F.col("id")), 1, r.k).alias("found"))
     out = mine.select(F.col("id").alias("query_id"), F.posexplode("found").alias("rank", "f"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("f.m").alias("vec_id"), (-F.col("f.s")).alias("score"))
