@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fieldloom.functions.geo import np_ellipsoid_km
 from fieldloom.functions.ordinal import np_moments, np_slope
@@ -100,4 +101,5 @@ def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration, keys: l
         mean, variance, jitter = shared.value.predict(train["lon"].to_numpy(), train["lat"].to_numpy(), train["level"].to_numpy(), test["lon"].to_numpy(), test["lat"].to_numpy())
         return test[[*keys, "site", "level"]].assign(yhat=mean, mspe=variance, jitter=jitter)
 
-    return training.select(*keys, "lon", "lat", "level").groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(one, shape)
+    fresh = lambda f, columns: f.select(*[F.col(c).alias(c) for c in columns])  # noqa: E731  both may come from one frame
+    return fresh(training, [*keys, "lon", "lat", "level"]).groupBy(*keys).cogroup(fresh(held, held.columns).groupBy(*keys)).applyInPandas(one, shape)

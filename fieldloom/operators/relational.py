@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.geo import planar_d2
+from fieldloom.functions.geo import np_polygon_km, planar_d2, point_in_degrees
 from fieldloom.functions.scalar import is_finite
 
 # keyed reductions
@@ -125,11 +127,6 @@ def nearest_value(x: Column, values: list[int]) -> Column:
 
 def within_polygons(points: DataFrame, rings: list, km: float) -> DataFrame:
     """Points (lon, lat, ...) at most km from a union of polygons; rings: lists of (lon, lat), bounded and sent to the tasks."""
-    import numpy as np
-    import pandas as pd
-
-    from fieldloom.functions.geo import np_polygon_km, point_in_degrees
-
     shapes = [np.asarray(r, dtype=float) for r in rings]
     every, pad = np.concatenate(shapes), point_in_degrees(km)
     top = min(89.0, float(np.abs(every[:, 1]).max()) + pad)
