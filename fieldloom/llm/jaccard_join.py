@@ -248,8 +248,9 @@ def verify(blocks: DataFrame, rules: JoinRules) -> DataFrame:
             if len(tokens) and hashing.set_key(tokens) == o:  # else another row with the same id
                 sides[s][o] = (tokens, c)
         one, two = sides[0], sides[1]
+        within = group.column("bi")[0].as_py() == group.column("bj")[0].as_py()  # else a pair of blocks, of which one may be empty
         rows: list[tuple] = []
-        if one and (two or len(one) > 1):
+        if one and (len(one) > 1 if within else two):
             ka, kb = list(one), list(two) if two else list(one)
             linked = _links([x[0] for x in one.values()], [x[0] for x in two.values()] if two else None, percent)
             ca, cb = np.asarray([one[k][1] for k in ka]), np.asarray([(two or one)[k][1] for k in kb])
