@@ -229,9 +229,9 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     n, norm = size[0], float(size[1] or 0) ** 0.5
     lists = min(r.most_lists, max(1, n // r.list_size))
     sample = [x["v"] for x in classes.select("v", F.xxhash64("v", F.lit(5)).alias("h")).orderBy("h", "v").limit(min(r.sample_rows, 64 * lists)).collect()]  # at most sample_rows vectors
-    points = np.asarray(sample, dtype=np.float64).reshape(len(sample), -1)
+    points = np.asarray(sample, dtype=np.float64).reshape(len(sample), -1 if sample else 1)
     points = np.concatenate((points, np.sqrt(np.maximum(norm**2 - (points * points).sum(axis=1), 0))[:, None]), axis=1)
-    graph = build_graph(points, lists, r) if len(points) else Graph(np.zeros((1, 1)), np.zeros((1, 1), dtype=np.int64), np.zeros(1, dtype=np.int64))
+    graph = build_graph(points, lists, r) if sample else Graph(np.zeros((1, 1)), np.zeros((1, 1), dtype=np.int64), np.zeros(1, dtype=np.int64))
     shared = spark.sparkContext.broadcast(graph)  # at most most_lists centroids and their links
     blocks = max(1, -(-n * r.copies // (len(graph.centroids) * r.block_rows)))
     asking = valid.filter(F.col("id") % r.every == 0).select("id", F.xxhash64("v", F.lit(1)).alias("qid")).distinct()
