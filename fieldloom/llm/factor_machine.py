@@ -50,7 +50,7 @@ class ClassifierRules:
     sample_rows: int = 8000
     sample_entries: int = 6_000_000
     factors: int = 8
-    epochs: int = 12
+    steps: int = 750  # mini-batches at least, in whole passes over the sample
     batch: int = 128
     rate: float = 0.08
     decay: float = 1e-5
@@ -114,11 +114,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rules: ClassifierRules =
     """rows: index, value and label (0 or 1). Mini-batches with adaptive steps, in an order that the seed fixes."""
     rng = np.random.default_rng(rules.seed)
     k = rules.factors
-    w, v = np.zeros(SIZE, dtype=np.float32), rng.normal(0, 0.01, (SIZE, k)).astype(np.float32)
+    w, v = np.zeros(SIZE, dtype=np.float32), rng.normal(0, 0.01 if rows else 0.0, (SIZE, k)).astype(np.float32)
     gw, gv, bias, gb = np.full(SIZE, 1e-6, dtype=np.float32), np.full((SIZE, k), 1e-6, dtype=np.float32), 0.0, 1e-6
-    for _ in range(rules.epochs if rows else 0):
+    batches = max(1, len(rows) // rules.batch, min(8, len(rows) // 16))
+    for _ in range(-(-rules.steps // batches) if rows else 0):
         order = rng.permutation(len(rows))
-        for some in np.array_split(order, max(1, len(rows) // rules.batch)):
+        for some in np.array_split(order, batches):
             mine = [rows[i] for i in some]
             lengths = np.asarray([len(r[0]) for r in mine])
             at = np.concatenate(([0], np.cumsum(lengths)))
