@@ -95,10 +95,10 @@ def templates(urls: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
             F.sum(known.cast("int")).alias("known"),
             F.sum("labelled").alias("all"),
             F.sum("bad").alias("all_bad"),
-            F.sum(F.when(known, F.col("bad") * F.col("bad") / F.col("labelled"))).alias("squares"),
+            F.sum(F.when(known, F.col("bad") * F.col("bad") / F.greatest("labelled", F.lit(1)))).alias("squares"),
         )
-        share = F.col("all_bad") / F.col("all")
-        chi = F.when(share * (1 - share) > 0, (F.col("squares") - F.col("all_bad") * share) / (share * (1 - share))).otherwise(0.0)
+        share = F.col("all_bad") / F.greatest("all", F.lit(1))
+        chi = F.coalesce(F.try_divide(F.col("squares") - F.col("all_bad") * share, share * (1 - share)), F.lit(0.0))
         free = F.col("known") - 1
         alike = (F.col("known") == F.col("kids")) & (F.col("kids") > 1) & (chi <= free + r.deviations * F.sqrt(2.0 * free))
         merged = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), ((F.col("kids") > r.most_children) | alike).alias("merge")).filter("merge")
