@@ -173,8 +173,8 @@ def count_tables(docs: DataFrame, rules: BackoffRules, parts: int) -> tuple[Data
     bare = Common(total, key, n, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
     by_code = lambda k, p: (hashing.mix(k) % np.uint64(p)).astype(np.int32)
     counting = partial(_counting, parts=parts, rules=rules, pick=partial(_common_bigrams, common=bare), part=by_code)
-    bigrams = docs.mapInArrow(counting, PACKED_DDL).repartitionById(parts, "part").mapInArrow(partial(_adding, least=least), PACKED_DDL)
-    return words, Common(total, key, n, *_collected(bigrams, least))
+    bigrams = docs.mapInArrow(counting, PACKED_DDL).repartitionById(parts, "part").mapInArrow(partial(_adding, least=max(least, rules.least)), PACKED_DDL)
+    return words, Common(total, key, n, *_collected(bigrams, max(least, rules.least)))
 
 
 def _base(batches: Iterator[pa.RecordBatch], common: Common) -> Iterator[pa.RecordBatch]:
