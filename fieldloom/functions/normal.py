@@ -36,6 +36,23 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x.isNull(), F.lit(None)).when(x <= 0, tail).otherwise(1 - tail)
 
 
+NODES_2, WEIGHTS_2 = (a.tolist() for a in np.polynomial.legendre.leggauss(20))
+
+
+def bivariate_cdf(x: Column, y: Column, rho: Column) -> Column:
+    """P(X <= x, Y <= y) for finite x and y and |rho| < 1."""
+    angle, total = F.asin(rho), F.lit(0.0)
+    for t, w in zip(NODES_2, WEIGHTS_2, strict=True):
+        s, c = F.sin(angle * ((t + 1) / 2)), F.cos(angle * ((t + 1) / 2))
+        total = total + w * F.exp(-(x * x + y * y - 2 * x * y * s) / (2 * c * c))
+    return norm_cdf(x) * norm_cdf(y) + total * angle / (4 * math.pi)
+
+
+def bivariate_cdf_sql(x: str, y: str, rho: str) -> str:
+    parts = [f"{w!r} * exp(-({x} * {x} + {y} * {y} - 2 * {x} * {y} * sin(asin({rho}) * {(t + 1) / 2!r})) / (2 * pow(cos(asin({rho}) * {(t + 1) / 2!r}), 2)))" for t, w in zip(NODES_2, WEIGHTS_2, strict=True)]
+    return f"({norm_cdf_sql(x)} * {norm_cdf_sql(y)} + ({' + '.join(parts)}) * asin({rho}) / {4 * math.pi!r})"
+
+
 def norm_cdf_sql(x: str) -> str:
     z = f"abs({x})"
     horner = lambda cs: "".join("(" for _ in cs[1:]) + repr(cs[0]) + "".join(f" * {z} + {c!r})" for c in cs[1:])

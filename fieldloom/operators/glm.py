@@ -106,7 +106,7 @@ def _sums(data: DataFrame, response: str, terms: list[Term], beta: np.ndarray |
 
     rows = data.select(*columns).mapInPandas(part, "a array<double>, b array<double>, dev double, ones double, n long")
     a, b, dev, ones, n = np.zeros(width * width), np.zeros(width), 0.0, 0.0, 0
-    for r in rows.toLocalIterator():  # one row per partition
+    for r in rows.collect():  # one row per partition, which fit_logistic bounds
         a, b, dev, ones, n = a + np.asarray(r["a"]), b + np.asarray(r["b"]), dev + r["dev"], ones + r["ones"], n + r["n"]
     return a.reshape(width, width), b, dev, ones, n
 
@@ -136,7 +136,8 @@ def fit_logistic(data: DataFrame, response: str, terms: list[Term], lambdas: lis
         return float(c - 2 * beta @ b + beta @ h @ beta - rank + np.linalg.slogdet(h)[1])
 
     beta, before = None, np.inf
-    data = data.persist()
+    parts = min(64, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    data = data.select(*dict.fromkeys([response, *(c for t in terms for c in t.columns)])).coalesce(parts).persist()
     try:
         for _ in range(rounds):
             a, b, dev, ones, n = _sums(data, response, terms, beta, width)

@@ -7,6 +7,7 @@ innovation variances r2 by lambda3 on their differences. Every linear update is
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -19,15 +20,16 @@ FLOOR = 1e-10
 
 def tridiagonal(lower: np.ndarray, diagonal: np.ndarray, upper: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     """Solves a tridiagonal system; lower[i] multiplies x[i-1], upper[i] multiplies x[i+1]."""
-    n = len(diagonal)
-    c, d = np.empty(n), np.empty(n)
-    c[0], d[0] = upper[0] / diagonal[0], rhs[0] / diagonal[0]
+    low, dia, up, out = lower.tolist(), diagonal.tolist(), upper.tolist(), rhs.tolist()  # plain floats are faster one at a time
+    n = len(dia)
+    factor = [0.0] * n
+    factor[0], out[0] = up[0] / dia[0], out[0] / dia[0]
     for i in range(1, n):
-        m = diagonal[i] - lower[i] * c[i - 1]
-        c[i], d[i] = upper[i] / m, (rhs[i] - lower[i] * d[i - 1]) / m
+        m = dia[i] - low[i] * factor[i - 1]
+        factor[i], out[i] = up[i] / m, (out[i] - low[i] * out[i - 1]) / m
     for i in range(n - 2, -1, -1):
-        d[i] -= c[i] * d[i + 1]
-    return d
+        out[i] -= factor[i] * out[i + 1]
+    return np.asarray(out)
 
 
 def _ridge(n: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,28 +87,54 @@ def variance_root(s: float, neighbours: list[float], weight: float, members: int
     d, q = len(neighbours), sum(neighbours)
     if weight == 0 or d == 0:
         return max(s, FLOOR)
-    roots = np.roots([4 * weight * d, -4 * weight * q, members, -members * s])
-    real = roots[(np.abs(roots.imag) < 1e-8 * (1 + np.abs(roots.real))) & (roots.real > FLOOR)].real
-    cost = lambda x: members / 2 * (np.log(x) + s / x) + weight * sum((x - v) ** 2 for v in neighbours)
-    if not len(real):
-        grid = np.geomspace(FLOOR, max(s, q / d, 1e-6) * 10, 400)
-        return float(grid[np.argmin([cost(g) for g in grid])])
-    return float(real[np.argmin([cost(v) for v in real])])
+    real = _positive_roots(-q / d, members / (4 * weight * d), -members * s / (4 * weight * d))
+    if len(real) == 1:
+        return real[0]
+    cost = lambda x: members / 2 * (math.log(x) + s / x) + weight * sum((x - v) ** 2 for v in neighbours)
+    if not real:
+        real = np.geomspace(FLOOR, max(s, q / d, 1e-6) * 10, 400).tolist()
+    return min(real, key=cost)
+
+
+def _positive_roots(a: float, b: float, c: float) -> list[float]:
+    """Roots above the floor of x^3 + a x^2 + b x + c, in closed form and polished by Newton steps."""
+    p, r = b - a * a / 3, 2 * a**3 / 27 - a * b / 3 + c
+    disc = (r / 2) ** 2 + (p / 3) ** 3
+    if disc > 0:
+        root = math.sqrt(disc)
+        found = [math.cbrt(-r / 2 + root) + math.cbrt(-r / 2 - root)]
+    elif p == 0:
+        found = [0.0]
+    else:
+        size = 2 * math.sqrt(-p / 3)
+        angle = math.acos(max(-1.0, min(1.0, 3 * r / (p * size)))) / 3
+        found = [size * math.cos(angle - 2 * math.pi * k / 3) for k in range(3)]
+    out = []
+    for y in found:
+        x = y - a / 3
+        for _ in range(3):
+            slope = (3 * x + 2 * a) * x + b
+            if slope:
+                x -= (((x + a) * x + b) * x + c) / slope
+        if x > FLOOR:
+            out.append(x)
+    return out
 
 
 def update_variance(s, r2, weight, members) -> np.ndarray:
     """One sweep from left to right, each entry between its new left and its old right neighbour."""
-    out, n = r2.copy(), len(r2)
     if weight == 0:
         return np.maximum(s, FLOOR)
+    out, seen = r2.tolist(), s.tolist()
+    n = len(out)
     for t in range(n):
-        around = ([out[t - 1]] if t else []) + ([out[t + 1]] if t + 1 < n else [])
-        out[t] = max(variance_root(float(s[t]), around, weight, members), FLOOR)
-    return out
+        around = out[max(t - 1, 0) : t] + out[t + 1 : t + 2]
+        out[t] = max(variance_root(seen[t], around, weight, members), FLOOR)
+    return np.asarray(out)
 
 
 def objective(x, mu, slope, r2, w1, w2, w3) -> float:
-    fit = sum(member_loss(row, mu, slope, r2) for row in x)
+    fit = x.shape[0] / 2 * float((np.log(r2) + innovations(x, mu, slope) / r2).sum()) if np.all(r2 > 0) else float("inf")
     return fit + w1 * (np.diff(slope) ** 2).sum() + w2 * (np.diff(mu) ** 2).sum() + w3 * (np.diff(r2) ** 2).sum()
 
 

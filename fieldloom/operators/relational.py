@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.geo import np_polygon_km, planar_d2, point_in_degrees
+from fieldloom.functions.geo import np_polygon_km, planar_d2, point_in_degrees, sphere_km
 from fieldloom.functions.scalar import is_finite
 
 # keyed reductions
@@ -106,6 +106,58 @@ def nearest_cell(points: DataFrame, grid: DataFrame, small: int = 20_000) -> Dat
     return points.join(near, ["lon", "lat"], "left")
 
 
+def nearest_on_sphere(points: DataFrame, grid: DataFrame, small: int = 20_000) -> DataFrame:
+    """As nearest_cell, by great-circle distance (km); the grid is a table of parameters, counted before it is sent to the tasks."""
+    if grid.limit(small + 1).count() > small:
+        raise ValueError(f"more than {small} grid cells: cut the grid into regions")
+    pairs = points.select("lon", "lat").distinct().crossJoin(F.broadcast(grid))
+    km = sphere_km(F.col("lon"), F.col("lat"), F.col("glon"), F.col("glat"))
+    best = pairs.groupBy("lon", "lat").agg(F.min(F.struct(km.alias("km"), "cell_id")).alias("best"))
+    return points.join(best.select("lon", "lat", F.col("best.cell_id").alias("cell_id"), F.col("best.km").alias("km")), ["lon", "lat"], "left")
+
+
+def without_positions(frame: DataFrame, keys: list[str], order: str, positions: list[int]) -> DataFrame:
+    """Rows but those at the given places (from 1) of each key's order."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return frame.withColumn("__place", F.row_number().over(w)).filter(~F.col("__place").isin(positions)).drop("__place")
+
+
+def within_windows(frame: DataFrame, windows: list[tuple], key: str, step: str) -> DataFrame:
+    """Rows with start < step <= end of their key's window; windows: (key, start, end), a table of parameters."""
+    table = frame.sparkSession.createDataFrame(windows, f"__key {dict(frame.dtypes)[key]}, __start int, __end int")
+    return frame.join(F.broadcast(table), F.col(key) == F.col("__key")).filter((F.col(step) > F.col("__start")) & (F.col(step) <= F.col("__end"))).drop("__key", "__start", "__end")
+
+
+def first_argmax(*columns: str) -> Column:
+    """Place (from 1) of the greatest of the columns, the first of equals."""
+    a = F.array(*[F.col(c) for c in columns])
+    return F.array_position(a, F.array_max(a)).cast("int")
+
+
+def square_limits(frame: DataFrame, columns: list[str], padding: float = 0.05) -> DataFrame:
+    """lo and hi over all columns, widened by a share of their span."""
+    lo, hi = F.least(*[F.min(c) for c in columns]), F.greatest(*[F.max(c) for c in columns])
+    one = frame.agg(lo.alias("a"), hi.alias("b"))
+    return one.select((F.col("a") - padding * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + padding * (F.col("b") - F.col("a"))).alias("hi"))
+
+
+def joined_one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join that must keep every row of both sides once."""
+    out = left.join(right, on)
+    n = [f.count() for f in (left, right, out)]
+    if len(set(n)) != 1:
+        raise ValueError(f"not one to one: {n[0]} and {n[1]} rows give {n[2]}")
+    return out
+
+
+def report(rows: DataFrame, title: str, most: int = 200) -> str:
+    """A text report of a small table (a summary), one line per row."""
+    lines = [title, "=" * len(title)]
+    for r in rows.limit(most).collect():
+        lines.append("; ".join(f"{k} = {v:.6g}" if isinstance(v, float) else f"{k} = {v}" for k, v in r.asDict().items()))
+    return "\n".join(lines) + "\n"
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     d2 = planar_d2(F.col("lon"), F.col("lat"), F.col("glon"), F.col("glat"))
     best = pairs.groupBy("lon", "lat").agg(F.min(F.struct(d2.alias("d2"), "cell_id")).alias("best"))

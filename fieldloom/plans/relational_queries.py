@@ -348,3 +348,88 @@ def pattern_filter(spark, d):
 def any_present(spark, d):
     o = X.read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 300000, F.col("o_totalprice")).alias("a"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("b"))
     return o.select("o_orderkey", F.coalesce("a", "b").alias("kept")).filter("kept is not null")
+
+
+@query(f"WITH {X.RECORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY source_order) AS k FROM records) SELECT site, source_order FROM r WHERE k NOT IN (2, 3)")
+def position_removal(spark, d):
+    return R.without_positions(X.records(spark, d), ["site"], "source_order", [2, 3]).select("site", "source_order")
+
+
+@query("SELECT event_id FROM events WHERE (event_type = 'view' AND day(ts) > 3 AND day(ts) <= 9) OR (event_type = 'click' AND day(ts) > 10 AND day(ts) <= 11)")
+def configured_windows(spark, d):
+    e = X.read(spark, d, "events").select("event_id", "event_type", F.dayofmonth("ts").alias("day"))
+    return R.within_windows(e, [("view", 3, 9), ("click", 10, 11)], "event_type", "day").select("event_id")
+
+
+@query(f"WITH {X.GRID}, s AS (SELECT DISTINCT user_id AS site, 98.0 + CAST(user_id * 37 % 265 AS DOUBLE) / 10.0 AS lon, 18.0 + CAST(user_id * 53 % 245 AS DOUBLE) / 10.0 AS lat FROM events), p AS (SELECT site, cell_id, 2 * {geo.SPHERE!r} * asin(sqrt(least(1.0, pow(sin((radians(glat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(glat)) * pow(sin(radians(glon - lon) / 2), 2)))) AS km FROM s, grid) SELECT site, arg_min(cell_id, struct_pack(k := km, c := cell_id)) AS cell_id, {fixed_sql('min(km)', 4)} AS km FROM p GROUP BY site")
+def nearest_geodesic(spark, d):
+    sites = X.records(spark, d).select("site", "lon", "lat").distinct()
+    return R.nearest_on_sphere(sites, X.grid(spark, d)).select("site", "cell_id", fixed(F.col("km"), 4).alias("km"))
+
+
+@query(f"WITH {X.GRID} SELECT cell_id, printf('%.8f_%.8f', glon, glat) AS key, printf('%.2f_%.2f', glon, glat) AS short FROM grid")
+def coordinate_keys(spark, d):
+    return X.grid(spark, d).select("cell_id", geo.coordinate_key(F.col("glon"), F.col("glat")).alias("key"), geo.coordinate_key(F.col("glon"), F.col("glat"), 2).alias("short"))
+
+
+@query("SELECT a AS w1, b AS w2, c AS w3 FROM (SELECT unnest([1, 10, 100]) AS a), (SELECT unnest([1, 10, 100]) AS b), (SELECT unnest([1, 10, 100]) AS c)")
+def parameter_grid(spark, d):
+    one = lambda n: spark.createDataFrame([(1,), (10,), (100,)], f"{n} int")
+    return one("w1").crossJoin(one("w2")).crossJoin(one("w3"))
+
+
+@query(f"SELECT event_type, {fixed_sql('median(value)')} AS middle, {fixed_sql('var_pop(value)', 3)} AS spread, {fixed_sql('quantile_cont(value, 0.9)')} AS q90 FROM events GROUP BY event_type")
+def medians(spark, d):
+    return X.read(spark, d, "events").groupBy("event_type").agg(fixed(F.median("value")).alias("middle"), fixed(F.var_pop("value"), 3).alias("spread"), fixed(F.percentile("value", 0.9)).alias("q90"))
+
+
+@query(f"WITH {X.ANNUAL} SELECT location, member, year, {fixed_sql('temp - lag(temp) OVER (PARTITION BY location, member ORDER BY year)')} AS step FROM annual")
+def first_differences(spark, d):
+    w = Window.partitionBy("location", "member").orderBy("year")
+    return X.annual(spark, d).select("location", "member", "year", fixed(F.col("temp") - F.lag("temp").over(w)).alias("step"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END NULLS LAST, c_custkey) AS place FROM customer QUALIFY place <= 2000")
+def nulls_last_order(spark, d):
+    c = X.read(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("x")).orderBy(F.col("x").asc_nulls_last(), "c_custkey").limit(2000)
+    return c.select("c_custkey", F.row_number().over(Window.orderBy(F.col("x").asc_nulls_last(), "c_custkey")).cast("long").alias("place"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= greatest(l_discount, l_tax, 0.05) THEN 1 WHEN l_tax >= greatest(l_discount, l_tax, 0.05) THEN 2 ELSE 3 END AS best FROM lineitem")
+def first_argmax(spark, d):
+    l = X.read(spark, d, "lineitem").withColumn("c", F.lit(0.05))
+    return l.select("l_orderkey", "l_linenumber", R.first_argmax("l_discount", "l_tax", "c").alias("best"))
+
+
+@query(f"SELECT {fixed_sql('a - 0.05 * (b - a)')} AS lo, {fixed_sql('b + 0.05 * (b - a)')} AS hi FROM (SELECT least(min(l_discount), min(l_tax)) AS a, greatest(max(l_discount), max(l_tax)) AS b FROM lineitem)")
+def square_limits(spark, d):
+    return R.square_limits(X.read(spark, d, "lineitem"), ["l_discount", "l_tax"]).select(fixed(F.col("lo")).alias("lo"), fixed(F.col("hi")).alias("hi"))
+
+
+@query(f"WITH {X.GRID} SELECT cell_id, {fixed_sql('ln(1 + coalesce(a, 0))')} AS population FROM grid LEFT JOIN (SELECT c_nationkey, avg(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS a FROM customer GROUP BY 1) ON cell_id = c_nationkey")
+def population_covariate(spark, d):
+    c = X.read(spark, d, "customer").groupBy("c_nationkey").agg(F.avg(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))).alias("a"))
+    return X.grid(spark, d).join(c, F.col("cell_id") == F.col("c_nationkey"), "left").select("cell_id", fixed(F.log1p(F.coalesce("a", F.lit(0.0)))).alias("population"))
+
+
+@query("SELECT i, 98.25 + 0.25 * i AS x FROM (SELECT unnest(range(0, 21))::INTEGER AS i)")
+def table_function_grid(spark, d):
+    from fieldloom.sources.grids import register
+
+    register(spark)
+    return spark.sql("SELECT i, x FROM event_grid(98.25D, 103.25D, 0.25D)")
+
+
+@query("SELECT CAST(substr(c, 2) AS INT) AS year, v FROM (SELECT c_custkey * 1.0 AS x1850, c_custkey * 2.0 AS x1851 FROM customer WHERE c_custkey <= 5) UNPIVOT (v FOR c IN (x1850, x1851))")
+def year_column_discovery(spark, d):
+    from fieldloom.functions.scalar import year_of_column
+
+    w = X.read(spark, d, "customer").filter("c_custkey <= 5").select((F.col("c_custkey") * F.lit(1.0)).alias("x1850"), (F.col("c_custkey") * F.lit(2.0)).alias("x1851"))
+    return w.unpivot([], list(R.year_columns(w.columns)), "c", "v").select(year_of_column(F.col("c")).alias("year"), "v")
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def one_to_one_join(spark, d):
+    n = X.read(spark, d, "nation")
+    r = n.join(X.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    return R.joined_one_to_one(n.select("n_nationkey", "n_name"), r, ["n_nationkey"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo, ordinal
-from fieldloom.functions.normal import norm_cdf, norm_cdf_sql
+from fieldloom.functions.normal import bivariate_cdf, bivariate_cdf_sql, norm_cdf, norm_cdf_sql
 from fieldloom.functions.scalar import fixed, fixed_sql
 from fieldloom.operators import mapping, relational as R, statespace, validation, variogram
 from fieldloom.plans import fixtures as X
@@ -239,3 +239,10 @@ def band_depth(spark, d):
     most = n.agg(F.max("n").alias("m"))
     years = n.join(F.broadcast(most), n["n"] == most["m"]).select("year")
     return modified_band_depth(a.join(years, "year", "left_semi"), "location", "year", "v").withColumn("depth", fixed(F.col("depth")))
+
+
+@query(f"SELECT CAST(i AS BIGINT) AS i, {fixed_sql(bivariate_cdf_sql('x', 'y', 'r'), 10)} AS p FROM (SELECT i, i % 7 / 2.0 - 1.5 AS x, i % 5 / 2.0 - 1 AS y, i % 9 / 10.0 - 0.4 AS r FROM (SELECT CAST(unnest(range(0, 120)) AS DOUBLE) AS i))")
+def bivariate_normal_cdf(spark, d):
+    i = F.col("id").cast("double")
+    t = spark.range(120).select("id", (i % 7 / 2.0 - 1.5).alias("x"), (i % 5 / 2.0 - 1).alias("y"), (i % 9 / 10.0 - 0.4).alias("r"))
+    return t.select(F.col("id").alias("i"), fixed(bivariate_cdf(F.col("x"), F.col("y"), F.col("r")), 10).alias("p"))
