@@ -142,7 +142,9 @@ def judge(text: Column, rules: LineRules = LineRules()) -> Column:
 
 def clean_documents(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The documents that stay, with their text cleaned; the columns are those of ``docs``."""
-    judged = docs.withColumn("__judged", judge(docs[text], rules)).filter("__judged.kept")
+    # through an array, so that the verdict is computed once and not again for the filter
+    good = F.filter(F.array(judge(docs[text], rules)), lambda q: q["kept"])
+    judged = docs.select("*", F.explode(good).alias("__judged"))
     return judged.withColumn(text, F.col("__judged.clean_text")).drop("__judged")
 
 
