@@ -27,9 +27,9 @@ def test_workbook_source(spark, tmp_path):
 
 def test_netcdf_source(spark, tmp_path):
     data = np.arange(2 * 3 * 4, dtype=float).reshape(2, 3, 4)
-    netcdf.write_classic(str(tmp_path / "a.nc"), "TREFHT", data, ["time", "lat", "lon"], "degC")
+    netcdf.write_classic(str(tmp_path / "a.nc"), "temperature", data, ["time", "lat", "lon"], "degC")
     spark.dataSource.register(netcdf.NetcdfSource)
-    got = spark.read.format("fieldloom_netcdf").option("variable", "TREFHT").option("slices", ":,1:3,0:2").option("to_kelvin", "true").load(str(tmp_path / "a.nc")).collect()
+    got = spark.read.format("fieldloom_netcdf").option("variable", "temperature").option("slices", ":,1:3,0:2").option("to_kelvin", "true").load(str(tmp_path / "a.nc")).collect()
     assert len(got) == 8 and {(r.i0, r.i1, r.i2): r.value for r in got}[(1, 2, 1)] == pytest.approx(data[1, 2, 1] + 273.15)
 
 
