@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.scalar import fixed, fixed_sql
 from fieldloom.llm import hashing, postings
 from fieldloom.llm.common import shuffle_partitions, table
+from fieldloom.llm.memory import give_back, released
 from fieldloom.session import stored
 
 COMMON = 1 << 16  # at most so many common words, and common bigrams
@@ -107,6 +109,7 @@ def _count_rows(keys: list[np.ndarray], counts: list[np.ndarray] | None, parts:
         yield _batch(rows)
 
 
+@released
 def _counting(batches: Iterator[pa.RecordBatch], parts: int, rules: BackoffRules, pick: Callable, part: Callable) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
@@ -120,6 +123,7 @@ def _counting(batches: Iterator[pa.RecordBatch], parts: int, rules: BackoffRules
         yield from _count_rows(held, None, parts, part)
 
 
+@released
 def _adding(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """One row of a part: its keys, ascending, and their sums (unsigned 64-bit) from least on."""
     held = [b for b in batches if b.num_rows]
@@ -177,6 +181,7 @@ def count_tables(docs: DataFrame, rules: BackoffRules, parts: int) -> tuple[Data
     return words, Common(total, key, n, *_collected(bigrams, max(least, rules.least)))
 
 
+@released
 def _base(batches: Iterator[pa.RecordBatch], common: Common) -> Iterator[pa.RecordBatch]:
     """Each row's summands that need common counts only: common bigrams, and a first word if it is common."""
     log_n = np.log(max(1, common.total))
@@ -202,6 +207,7 @@ def _known(common: Common, at: np.ndarray, is_common: np.ndarray, two: np.ndarra
     return place, two & is_common[:-1] & is_common[1:] & (common.bigrams[place] == code)
 
 
+@released
 def _occurrences(batches: Iterator[pa.RecordBatch], parts: int, rules: BackoffRules, common: Common) -> Iterator[pa.RecordBatch]:
     """All other bigrams, packed by part; a first word that is not common stands as a bigram without a first word (0)."""
     held: list[tuple] = []
@@ -225,6 +231,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], parts: int, rules: BackoffRu
         if size >= rules.chunk:
             yield from _hand_on(held, parts)
             held, size = [], 0
+            give_back()
     if size:
         yield from _hand_on(held, parts)
 
@@ -347,6 +354,7 @@ def _score_others(mine: list[tuple], table_of: tuple[np.ndarray, np.ndarray], pa
     return *_by_owner(owners, total), rows
 
 
+@released
 def _scoring(batches: Iterator[pa.RecordBatch], parts: int, rules: BackoffRules, common: Common) -> Iterator[pa.RecordBatch]:
     """Counts the bigrams of a part; gives sums by owner (kind 4) and the words to ask elsewhere (kind 3)."""
     part, held = _rows_of(batches)
@@ -361,6 +369,7 @@ def _scoring(batches: Iterator[pa.RecordBatch], parts: int, rules: BackoffRules,
         yield _batch(rows)
 
 
+@released
 def _asked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     _, held = _rows_of(batches)
     mine = _take(held, 3)
@@ -372,6 +381,7 @@ def _asked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         yield _batch(_sums(owners, value, parts))
 
 
+@released
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, held = _rows_of(batches)
     if held:
@@ -399,4 +409,19 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    """Scores to three decimals, means to six, which do not depend on the order of the sums."""
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", fixed(F.col("log_score"), 3).alias("log_score"), fixed(F.col("mean_log_score"), 6).alias("mean_log_score"))
+
+
+def _sql(r: BackoffRules = BackoffRules()) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT uid, unnest(ws) AS b, unnest(list_concat([NULL], ws[1:len(ws) - 1])) AS a FROM d WHERE len(ws) > 0),
+one AS (SELECT b, count(*) AS n FROM w GROUP BY b), two AS (SELECT a, b, count(*) AS n FROM w WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= {r.least}),
+s AS (SELECT uid, sum(CASE WHEN w.a IS NULL THEN ln(ob.n) - ln((SELECT count(*) FROM w)) WHEN two.n IS NOT NULL THEN ln(two.n) - ln(oa.n) ELSE ln({r.alpha}) + ln(ob.n) - ln((SELECT count(*) FROM w)) END) AS score
+  FROM w JOIN one ob ON ob.b = w.b LEFT JOIN one oa ON oa.b = w.a LEFT JOIN two ON two.a = w.a AND two.b = w.b GROUP BY uid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, {fixed_sql("coalesce(score, 0.0)", 3)} AS log_score, {fixed_sql("score / len(ws)", 6)} AS mean_log_score FROM d LEFT JOIN s USING (uid)"""
+
+
+ORACLE = _sql()

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import hashing, postings
 from fieldloom.llm.common import table
+from fieldloom.llm.memory import give_back, released
 
 BUCKETS = 1 << 15
 #: Upper edges of the bins of ratios, and of logarithms and means.
@@ -157,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, rules: ClassifierRules = Classifie
     sample = known.orderBy(F.md5(F.col("id").cast("string")), "id", "label").limit(rules.sample_rows)
     mine = _inputs(docs, doc_id, text, recorded).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))  # at most sample_rows rows
 
+    @released
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, label = postings.column(b, "doc_id").to_pylist(), postings.column(b, "label").to_pylist()
@@ -175,7 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, rules: ClassifierRules = Classifie
         if entries > rules.sample_entries:
             break
         rows.append((index, np.frombuffer(r["value"], dtype=np.float32), r["label"]))
-    return fit(rows, rules)
+    machine = fit(rows, rules)
+    rows.clear()
+    give_back()
+    return machine
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -185,6 +190,7 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
     """doc_id and score of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # SIZE * (factors + 1) numbers
 
+    @released
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, at, index, value in rows_of_features(b.column(1).to_pylist(), b.column(2).to_pylist()):

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import table
+from fieldloom.llm.memory import released
 from fieldloom.session import ensure_checkpoint_dir
 
 
@@ -125,6 +126,7 @@ def pieces(docs: DataFrame, rules: PackRules, doc_id: str = "doc_id", text: str
     """doc_id, piece, start, length, ids_crc32 of each piece of each row of docs."""
     path, size, end, cache = rules.vocabulary, rules.capacity, np.asarray([rules.end_id], dtype="<u4").tobytes(), rules.cache
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path, cache)
         for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):

@@ -17,6 +17,7 @@ QUERIES = {
     "op7_line_rules": line_rules.op7_line_rules,
 }
 ORACLES = {
+    "op10_backoff": backoff.ORACLE,
     "op4_warc": warc.ORACLE,
     "op1_prefix_join": jaccard_join.ORACLE,
     "op5_golden_mix": mixing.ORACLE,
