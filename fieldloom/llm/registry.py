@@ -17,6 +17,7 @@ QUERIES = {
     "op7_line_rules": line_rules.op7_line_rules,
 }
 ORACLES = {
+    "op8_path_templates": url_templates.ORACLE,
     "op10_backoff": backoff.ORACLE,
     "op4_warc": warc.ORACLE,
     "op1_prefix_join": jaccard_join.ORACLE,

@@ -26,15 +26,15 @@ from fieldloom.session import stored
 
 #: Host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Patterns of variable segments, first match wins.
+#: Patterns of variable segments, first match wins, their wildcards, and whether a digit must be in the segment.
 VARIABLES = (
-    (r"^[0-9]+$", "{n}"),
-    (r"^[0-9]+\.[A-Za-z]{1,5}$", "{n}.{x}"),
-    (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{date}"),
-    (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "{id}"),
-    (r"^(?=.*[0-9])[0-9a-fA-F]{12,}$", "{id}"),
-    (r"^(?=.*[0-9])[A-Za-z0-9_-]{24,}$", "{id}"),
-    (r"^[^0-9]*[0-9]{3,}[^0-9]*$", "{name}{n}"),
+    (r"^[0-9]+$", "{n}", False),
+    (r"^[0-9]+\.[A-Za-z]{1,5}$", "{n}.{x}", False),
+    (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{date}", False),
+    (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "{id}", False),
+    (r"^[0-9a-fA-F]{12,}$", "{id}", True),
+    (r"^[A-Za-z0-9_-]{24,}$", "{id}", True),
+    (r"^[^0-9]*[0-9]{3,}[^0-9]*$", "{name}{n}", False),
 )
 
 
@@ -71,8 +71,8 @@ def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 def _segments(path: Column, depth: int) -> Column:
     def shape(s: Column) -> Column:
         out = s
-        for pattern, name in reversed(VARIABLES):
-            out = F.when(s.rlike(pattern), F.lit(name)).otherwise(out)
+        for pattern, name, digit in reversed(VARIABLES):
+            out = F.when(s.rlike(pattern) & s.rlike("[0-9]") if digit else s.rlike(pattern), F.lit(name)).otherwise(out)
         return out
 
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
@@ -125,3 +125,30 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
 
 def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def _sql(r: UrlRules = UrlRules()) -> str:
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    order = sorted(r.rules, key=lambda x: -len(x[0] + x[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in order) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in order) + " END"
+    shape = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}'){" AND regexp_matches(s, '[0-9]')" if d else ""} THEN '{n}'" for p, n, d in VARIABLES) + " ELSE s END"
+    levels = []
+    for k in range(r.depth + 1):
+        levels.append(f"""k{k} AS (SELECT host, template, shape[{k + 1}] AS child, sum(labelled) AS labelled, sum(bad) AS bad FROM n{k} WHERE len(shape) > {k} GROUP BY ALL),
+s{k} AS (SELECT host, template, count(*) AS kids, sum(CASE WHEN labelled > 0 THEN 1 ELSE 0 END) AS known, sum(bad) / greatest(sum(labelled), 1) AS share, sum(bad) AS bad, sum(CASE WHEN labelled > 0 THEN bad * bad / labelled END) AS squares FROM k{k} GROUP BY ALL),
+m{k} AS (SELECT host, template FROM s{k} WHERE kids > {r.most_children} OR (known = kids AND kids > 1 AND CASE WHEN share * (1 - share) > 0 THEN (squares - bad * share) / (share * (1 - share)) ELSE 0 END <= known - 1 + {r.deviations} * sqrt(2.0 * (known - 1)))),
+n{k + 1} AS (SELECT n.host, n.shape, n.labelled, n.bad, CASE WHEN len(n.shape) > {k} THEN n.template || '/' || CASE WHEN m.host IS NOT NULL THEN '*' ELSE n.shape[{k + 1}] END ELSE n.template END AS template FROM n{k} n LEFT JOIN m{k} m ON m.host = n.host AND m.template = n.template)""")
+    return f"""
+WITH a AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, {rule} AS rule, {verdict} AS given, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: {shape}) AS parts FROM b),
+u AS (SELECT page_id, host, path, rule, given, CASE WHEN len(parts) > {r.depth} THEN list_append(parts[1:{r.depth}], '**') ELSE parts END AS shape FROM c),
+n0 AS (SELECT host, shape, count(given) AS labelled, sum(CASE WHEN given = 'block' THEN 1 ELSE 0 END) AS bad, '' AS template FROM u GROUP BY host, shape),
+{", ".join(levels)},
+t AS (SELECT host, template, (CAST(sum(bad) AS DOUBLE) + {r.strength * r.prior!r}) / (CAST(sum(labelled) AS DOUBLE) + {r.strength!r}) AS blocked_share FROM n{r.depth + 1} GROUP BY ALL)
+SELECT page_id, u.host, path, rule, coalesce(given, CASE WHEN blocked_share >= {r.limit!r} THEN 'block' ELSE 'allow' END) AS verdict, n.template, blocked_share
+FROM u LEFT JOIN n{r.depth + 1} n ON n.host = u.host AND n.shape = u.shape LEFT JOIN t ON t.host = n.host AND t.template = n.template"""
+
+
+ORACLE = _sql()
