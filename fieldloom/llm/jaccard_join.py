@@ -1,9 +1,11 @@
 """Jaccard join of documents on word shingles: a grouped prefix join that links every pair at the threshold.
 
 1. Equal sets make one class, known by a 64-bit key (hashing.set_key); copies are never compared.
-2. Every shingle's number of classes is counted exactly (postings). Shingles of one class cannot link anything, so only
-   the others return to their class, rarest first; the prefix of a set of n shingles is the first n - ceil(t n) + 1 of
-   that order, and two sets at the threshold t share a shingle of both prefixes.
+2. Shingles that about 1/heavy_share of all sets hold are found first, by counts of each task's chunks, and come last in
+   the order of all shingles. Every other shingle's number of classes is counted exactly (postings), so that no part of
+   those counts is hot. Shingles of one class cannot link anything, so only the others return to their class, rarest
+   first; the prefix of a set of n shingles is the first n - ceil(t n) + 1 of that order, and two sets at the threshold
+   t share a shingle of both prefixes.
 3. Classes with the same prefix and size make one group. Groups that share a prefix shingle, and whose sizes may fit
    (size classes a factor 1/t apart), form stars around the least group, in two levels by salt, so that a shingle that
    a third of all groups share is never joined in one task. Stars make candidate clusters; no pairs are listed.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm import hashing, postings
 from fieldloom.llm.common import shuffle_partitions, table
 from fieldloom.llm.components import connected_components
+from fieldloom.llm.memory import give_back, released
 from fieldloom.session import stored
 
 
@@ -38,14 +41,16 @@ from fieldloom.session import stored
 class JoinRules:
     width: int = 5  # words of a shingle
     percent: int = 80
-    block_members: int = 1024
+    block_members: int = 512
     block_tokens: int = 4_000_000
     salts: int = 64
+    heavy_share: int = 256
 
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("n", pa.int64())])
-PAIRS = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
-SHARED = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
+HEAVY = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+PAIRS = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("light", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+SHARED = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("light", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
 PREFIXES = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -54,6 +59,7 @@ def features(docs: DataFrame, rules: JoinRules) -> DataFrame:
     """doc_id, owner (the set's key; null without shingles) and n, the set's size."""
     width = rules.width
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in postings.small(batches):
             sets = hashing.shingle_sets(batch.column(1).to_pylist(), width)
@@ -63,54 +69,124 @@ def features(docs: DataFrame, rules: JoinRules) -> DataFrame:
     return docs.mapInArrow(count, "doc_id long, owner long, n long")
 
 
-def _pairs(docs: DataFrame, rules: JoinRules, parts: int) -> DataFrame:
+def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Keys and sets of a task's classes, about postings.CHUNK shingles at a time; copies within a chunk count once."""
+    owners: list[int] = []
+    sets: list[np.ndarray] = []
+    seen: set[int] = set()
+    held = 0
+    for batch in postings.small(batches):
+        for s in hashing.shingle_sets(batch.column(1).to_pylist(), width):
+            if not len(s) or (key := hashing.set_key(s)) in seen:
+                continue
+            seen.add(key)
+            owners.append(key)
+            sets.append(s)
+            held += len(s)
+            if held >= postings.CHUNK:
+                yield owners, sets
+                owners, sets, seen, held = [], [], set(), 0
+                give_back()
+    if sets:
+        yield owners, sets
+
+
+def heavy_shingles(docs: DataFrame, n_rows: int, rules: JoinRules, parts: int) -> np.ndarray:
+    """Shingles, ascending, with at least n_rows / heavy_share occurrences where they are frequent: all that twice that share of the
+    sets hold are among them. There are at most heavy_share times the mean size of a set."""
+    width, share = rules.width, rules.heavy_share
+    least = max(2, -(-n_rows // share))
+
+    @released
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _chunks(batches, width):
+            token, n = np.unique(np.concatenate(sets), return_counts=True)
+            many = n * 2 * share >= len(sets)
+            rows = []
+            for part, t, c in postings.cut_by_part(token[many], n[many], parts):
+                rows.append((part, t.tobytes(), c.astype("<i8").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), HEAVY.types, strict=True)], schema=HEAVY)
+
+    @released
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            token, back = np.unique(postings.joined(held, "tokens", "<u8"), return_inverse=True)
+            n = np.bincount(back, weights=postings.joined(held, "counts", "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([token[n >= least].tobytes()]), pa.array([b""])], schema=HEAVY)
+
+    ddl = "part int, tokens binary, counts binary"
+    found = docs.mapInArrow(local, ddl).repartitionById(parts, "part").mapInArrow(add, ddl).select("tokens").collect()
+    return np.sort(np.frombuffer(b"".join(bytes(r["tokens"]) for r in found), dtype="<u8"))
+
+
+def _is_heavy(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    if not len(heavy):
+        return np.zeros(len(tokens), dtype=bool)
+    return heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
+
+
+def _prefix_length(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _pairs(docs: DataFrame, heavy, rules: JoinRules, parts: int) -> DataFrame:
+    """Packed (shingle, class) pairs by part, without heavy shingles."""
     width = rules.width
 
-    def flush(owners: list[int], sizes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(owners: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate(sets)
-        number = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-        ids, n = np.asarray(owners, dtype="<i8"), np.asarray(sizes, dtype="<u4")
+        sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
+        number = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+        light = ~_is_heavy(tokens, heavy.value)
+        tokens, number = tokens[light], number[light]
+        ids, n, left = np.asarray(owners, dtype="<i8"), sizes.astype("<u4"), np.bincount(number, minlength=len(sets)).astype("<u4")
         rows = []
         for part, t, d in postings.cut_by_part(tokens, number, parts):
             at = postings.runs(d)
             who = d[at[:-1]]
-            rows.append((part, ids[who].tobytes(), n[who].tobytes(), np.diff(at).astype("<u4").tobytes(), postings.squeeze(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PAIRS.types, strict=True)], schema=PAIRS)
+            rows.append((part, ids[who].tobytes(), n[who].tobytes(), left[who].tobytes(), np.diff(at).astype("<u4").tobytes(), postings.squeeze(t)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PAIRS.types, strict=True)], schema=PAIRS)
 
+    @released
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners: list[int] = []
-        sizes: list[int] = []
-        sets: list[np.ndarray] = []
-        seen: set[int] = set()  # of this chunk
-        held = 0
-        for batch in postings.small(batches):
-            for s in hashing.shingle_sets(batch.column(1).to_pylist(), width):
-                if not len(s) or (key := hashing.set_key(s)) in seen:
-                    continue
-                seen.add(key)
-                owners.append(key)
-                sizes.append(len(s))
-                sets.append(s)
-                held += len(s)
-                if held >= postings.CHUNK:
-                    yield from flush(owners, sizes, sets)
-                    owners, sizes, sets, seen, held = [], [], [], set(), 0
-        if sets:
-            yield from flush(owners, sizes, sets)
-
-    return docs.mapInArrow(spread, "part int, owners binary, sizes binary, counts binary, tokens binary")
+        for owners, sets in _chunks(batches, width):
+            yield from flush(owners, sets)
+
+    return docs.mapInArrow(spread, "part int, owners binary, sizes binary, light binary, counts binary, tokens binary")
+
+
+def _heavy_prefixes(docs: DataFrame, heavy, rules: JoinRules) -> DataFrame:
+    """owner, n and prefix: the heavy shingles in the prefix of each class whose prefix reaches that far."""
+    width, percent = rules.width, rules.percent
+
+    @released
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owners, sets in _chunks(batches, width):
+            rows = []
+            for key, s in zip(owners, sets, strict=True):
+                mine = s[_is_heavy(s, heavy.value)]
+                if (take := _prefix_length(len(s), percent) - (len(s) - len(mine))) > 0:
+                    rows.append((key, len(s), mine[:take].view(np.int64)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], schema=PREFIXES)
+
+    return docs.mapInArrow(choose, "owner long, n long, prefix array<long>")
 
 
 def _shared(pairs: DataFrame, parts: int) -> DataFrame:
     """The pairs whose token has two owners or more, with that number, dealt out by owner."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         part = postings.column(held[0], "part")[0].as_py()
         counts = postings.joined(held, "counts", "<u4")
-        owners, sizes = postings.joined(held, "owners", "<i8"), postings.joined(held, "sizes", "<u4")
+        owners, sizes, light = postings.joined(held, "owners", "<i8"), postings.joined(held, "sizes", "<u4"), postings.joined(held, "light", "<u4")
         tokens = postings.unsqueeze(b"".join(x for b in held for x in postings.column(b, "tokens").to_pylist()))
         del held
         order = np.argsort(tokens, kind="stable")
@@ -118,48 +194,53 @@ def _shared(pairs: DataFrame, parts: int) -> DataFrame:
         many = np.diff(at) > 1
         kept = order[np.repeat(many, np.diff(at))]
         number = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[kept]
-        tokens, who, n = tokens[kept], owners[number], sizes[number]
-        order = np.lexsort((who, tokens))
-        tokens, who, n = tokens[order], who[order], n[order]
+        tokens = tokens[kept]
+        order = np.lexsort((owners[number], tokens))
+        tokens, number = tokens[order], number[order]
+        who = owners[number]
         if len(tokens):  # a class may come from several tasks
             new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (who[1:] != who[:-1])))
-            tokens, who, n = tokens[new], who[new], n[new]
+            tokens, who, number = tokens[new], who[new], number[new]
         at = postings.runs(tokens)
         df = np.repeat(np.diff(at), np.diff(at)).astype("<u4")
         kept = df > 1
-        tokens, who, n, df = (tokens[kept] | np.uint64(part % 65536) << np.uint64(48)), who[kept], n[kept], df[kept]
+        tokens, who, number, df = (tokens[kept] | np.uint64(part % 65536) << np.uint64(48)), who[kept], number[kept], df[kept]
         to = (hashing.mix(who.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((who, to))
-        to, tokens, who, n, df = to[order], tokens[order], who[order], n[order], df[order]
+        to, tokens, who, df, n, left = to[order], tokens[order], who[order], df[order], sizes[number[order]], light[number[order]]
         at = postings.runs(to)
-        rows = [(int(to[lo]), who[lo:hi].tobytes(), n[lo:hi].tobytes(), tokens[lo:hi].tobytes(), df[lo:hi].tobytes()) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        rows = [(int(to[lo]), who[lo:hi].tobytes(), n[lo:hi].tobytes(), left[lo:hi].tobytes(), tokens[lo:hi].tobytes(), df[lo:hi].tobytes()) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SHARED.types, strict=True)], schema=SHARED)
 
-    return pairs.repartitionById(parts, "part").mapInArrow(count, "part int, owners binary, sizes binary, tokens binary, df binary")
+    return pairs.repartitionById(parts, "part").mapInArrow(count, "part int, owners binary, sizes binary, light binary, tokens binary, df binary")
 
 
-def prefix_table(docs: DataFrame, rules: JoinRules, parts: int) -> DataFrame:
+def prefix_table(docs: DataFrame, n_rows: int, rules: JoinRules, parts: int) -> DataFrame:
     """owner, n and prefix: the shared shingles among the first of the set, rarest first; none for a set that cannot link."""
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, n_rows, rules, parts))
     percent = rules.percent
 
+    @released
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        owners, sizes = postings.joined(held, "owners", "<i8"), postings.joined(held, "sizes", "<u4").astype(np.int64)
+        owners, sizes, light = postings.joined(held, "owners", "<i8"), postings.joined(held, "sizes", "<u4").astype(np.int64), postings.joined(held, "light", "<u4").astype(np.int64)
         tokens, df = postings.joined(held, "tokens", "<u8"), postings.joined(held, "df", "<u4")
         order = np.lexsort((tokens, df, owners))
-        owners, sizes, tokens = owners[order], sizes[order], tokens[order].view(np.int64)
+        owners, sizes, light, tokens = owners[order], sizes[order], light[order], tokens[order].view(np.int64)
         at = postings.runs(owners)
         n, shared = sizes[at[:-1]], np.diff(at)
-        take = np.clip(n - (percent * n + 99) // 100 + 1 - (n - shared), 0, shared)
+        take = np.clip(_prefix_length(n, percent) - (light[at[:-1]] - shared), 0, shared)
         keep = np.flatnonzero(take)
         for some in np.array_split(keep, max(1, len(keep) // 5000)):
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(owners[at[some]]), pa.array(n[some]), pa.array([tokens[at[i] : at[i] + take[i]] for i in some.tolist()], pa.list_(pa.int64()))], schema=PREFIXES)
 
-    return _shared(_pairs(docs, rules, parts), parts).repartitionById(parts, "part").mapInArrow(choose, "owner long, n long, prefix array<long>")
+    counted = _shared(_pairs(docs, heavy, rules, parts), parts).repartitionById(parts, "part").mapInArrow(choose, "owner long, n long, prefix array<long>")
+    both = counted.unionByName(_heavy_prefixes(docs, heavy, rules)).groupBy("owner").agg(F.first("n").alias("n"), F.collect_list("prefix").alias("p"))
+    return both.select("owner", "n", F.sort_array(F.array_distinct(F.flatten("p"))).alias("prefix"))
 
 
 def clusters(prefixes: DataFrame, rules: JoinRules) -> DataFrame:
@@ -270,7 +351,7 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows = stored(features(docs, rules))
     classes = rows.filter("owner is not null and doc_id is not null").groupBy("owner").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    found = clusters(stored(prefix_table(docs.filter("doc_id is not null"), rules, parts)), rules)
+    found = clusters(stored(prefix_table(docs.filter("doc_id is not null"), rows.filter("owner is not null").count(), rules, parts)), rules)
     blocks = F.greatest(F.ceil(F.col("members") / rules.block_members), F.ceil(F.col("tokens") / rules.block_tokens)).cast("int")
     members = found.join(classes, "owner").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("owner", F.lit(7)), F.col("blocks")).cast("int"))
     members = stored(members.select("cluster", "owner", "rep", "copies", "blocks", "block"))

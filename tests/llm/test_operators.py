@@ -71,7 +71,7 @@ def test_join_blocks_and_table(spark, sf):
     extra = d.filter("doc_id < 30").select((F.col("doc_id") + 100000).alias("doc_id"), F.concat_ws(" ", F.lit("word"), "text").alias("text"))
     both = d.select("doc_id", "text").unionByName(extra)
     want = brute_components([(r.doc_id, r.text) for r in both.collect()])
-    for rules in (jaccard_join.JoinRules(), jaccard_join.JoinRules(block_members=1, salts=1)):
+    for rules in (jaccard_join.JoinRules(), jaccard_join.JoinRules(block_members=1, salts=1), jaccard_join.JoinRules(heavy_share=2), jaccard_join.JoinRules(heavy_share=100000)):
         got = jaccard_join.join_documents(both, rules=rules).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == want
 
