@@ -78,22 +78,21 @@ def _repeat_words(words: Column, window: int) -> Column:
 
 
 def _fails(line: Column, r: LineRules) -> Column:
-    """Whether a line that has a word fails a rule."""
-    low = F.lower(line)
-    bare = F.translate(line, BLANKS, "")
-    n = count_words(line)
-    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    symbols = F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))
-    upper = F.length(F.regexp_replace(line, "[^A-Z]+", ""))
-    letters = F.length(F.regexp_replace(line, "[^A-Za-z]+", ""))
-    furniture = F.lit(False)
-    for phrase in BOILERPLATE:
-        furniture = furniture | F.contains(low, F.lit(phrase))
-    navigation = (bars > r.nav_bars) & (bars * r.nav_words > n)
-    noisy = symbols * 100 > F.length(bare) * r.symbol_percent
-    shouting = (letters >= r.upper_least) & (upper * 100 > letters * r.upper_percent)
-    dangling = (n < r.short_line) & ~F.rtrim(line, F.lit(BLANKS)).rlike(ENDINGS)
-    return furniture | navigation | noisy | shouting | dangling
+    """Whether a line that has a word fails a rule. What several rules read is bound first: a lambda's body is evaluated as it is written."""
+
+    def rules(x: Column) -> Column:
+        bars = F.length(x["bare"]) - F.length(F.replace(x["bare"], F.lit("|"), F.lit("")))
+        furniture = F.lit(False)
+        for phrase in BOILERPLATE:
+            furniture = furniture | F.contains(x["low"], F.lit(phrase))
+        navigation = (bars > r.nav_bars) & (bars * r.nav_words > x["n"])
+        noisy = (F.length(x["bare"]) - F.length(F.translate(x["bare"], SYMBOLS, ""))) * 100 > F.length(x["bare"]) * r.symbol_percent
+        upper = F.length(F.regexp_replace(x["bare"], "[^A-Z]+", ""))
+        shouting = (upper > 0) & let(F.length(F.regexp_replace(x["bare"], "[^A-Za-z]+", "")), lambda letters: (letters >= r.upper_least) & (upper * 100 > letters * r.upper_percent))
+        dangling = (x["n"] < r.short_line) & ~F.rtrim(line, F.lit(BLANKS)).rlike(ENDINGS)
+        return furniture | navigation | noisy | shouting | dangling
+
+    return let(F.struct(F.lower(line).alias("low"), F.translate(line, BLANKS, "").alias("bare"), count_words(line).alias("n")), rules)
 
 
 def judge(text: Column, rules: LineRules = LineRules()) -> Column:
@@ -104,11 +103,11 @@ def judge(text: Column, rules: LineRules = LineRules()) -> Column:
     r = rules
 
     def with_lines(lines: Column) -> Column:
-        full = F.filter(lines, lambda x: F.trim(x, F.lit(BLANKS)) != "")
-        bad = F.filter(full, lambda x: _fails(x, r))
-        words = words_of(text)
+        """lines: line, full (has a word) and bad of each line."""
 
         def counts(w: Column) -> Column:
+            full = F.transform(F.filter(lines, lambda x: x["full"]), lambda x: x["line"])
+            bad = F.filter(lines, lambda x: x["bad"])
             return F.struct(
                 F.size(w).cast("long").alias("n_words"),
                 F.length(F.translate(F.coalesce(text, F.lit("")), BLANKS, "")).cast("long").alias("word_chars"),
@@ -118,13 +117,17 @@ def judge(text: Column, rules: LineRules = LineRules()) -> Column:
                 let(
                     bad,
                     lambda b: F.struct(
-                        F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + count_words(x)).alias("lost"),
-                        F.when(F.size(b) == 0, text).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(b, x)), "\n")).alias("clean"),
+                        F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + count_words(x["line"])).alias("lost"),
+                        F.when(F.size(b) == 0, text).otherwise(F.array_join(F.transform(F.filter(lines, lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).alias("clean"),
                     ),
                 ).alias("lines"),
             )
 
-        return let(words, counts)
+        return let(words_of(text), counts)
+
+    def told(line: Column) -> Column:
+        full = F.trim(line, F.lit(BLANKS)) != ""
+        return F.struct(line.alias("line"), full.alias("full"), (full & _fails(line, r)).alias("bad"))
 
     def verdict(c: Column) -> Column:
         failed = (c["n_words"] < r.min_words) | (c["n_repeat_words"] * 100 > c["n_words"] * r.repeat_percent)
@@ -137,7 +140,7 @@ def judge(text: Column, rules: LineRules = LineRules()) -> Column:
             c["lines"]["clean"].alias("clean_text"),
         )
 
-    return let(let(F.split(F.coalesce(text, F.lit("")), "\n"), with_lines), verdict)
+    return let(let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), told), with_lines), verdict)
 
 
 def clean_documents(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
