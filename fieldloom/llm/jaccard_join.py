@@ -364,6 +364,7 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").join(links, F.col("owner") == links["a"], "left")
     named = named.select(F.col("owner").alias("key"), "rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = stored(named)  # then both sides of the join are dealt by the key, and Spark can split a class that many rows share
     out = rows.join(named, (rows["owner"] == named["key"]) & rows["doc_id"].isNotNull(), "left")
     return out.select(
         "doc_id",
