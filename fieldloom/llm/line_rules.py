@@ -80,19 +80,24 @@ def _repeat_words(words: Column, window: int) -> Column:
 def _fails(line: Column, r: LineRules) -> Column:
     """Whether a line that has a word fails a rule. What several rules read is bound first: a lambda's body is evaluated as it is written."""
 
-    def rules(x: Column) -> Column:
-        bars = F.length(x["bare"]) - F.length(F.replace(x["bare"], F.lit("|"), F.lit("")))
-        furniture = F.lit(False)
+    def furniture(low: Column) -> Column:
+        found = F.lit(False)
         for phrase in BOILERPLATE:
-            furniture = furniture | F.contains(x["low"], F.lit(phrase))
-        navigation = (bars > r.nav_bars) & (bars * r.nav_words > x["n"])
-        noisy = (F.length(x["bare"]) - F.length(F.translate(x["bare"], SYMBOLS, ""))) * 100 > F.length(x["bare"]) * r.symbol_percent
-        upper = F.length(F.regexp_replace(x["bare"], "[^A-Z]+", ""))
-        shouting = (upper > 0) & let(F.length(F.regexp_replace(x["bare"], "[^A-Za-z]+", "")), lambda letters: (letters >= r.upper_least) & (upper * 100 > letters * r.upper_percent))
-        dangling = (x["n"] < r.short_line) & ~F.rtrim(line, F.lit(BLANKS)).rlike(ENDINGS)
-        return furniture | navigation | noisy | shouting | dangling
-
-    return let(F.struct(F.lower(line).alias("low"), F.translate(line, BLANKS, "").alias("bare"), count_words(line).alias("n")), rules)
+            found = found | F.contains(low, F.lit(phrase))
+        return found
+
+    def marked(symbols: Column) -> Column:
+        bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+        navigation = (bars > r.nav_bars) & (bars * r.nav_words > count_words(line))
+        return (symbols > 0) & ((symbols * 100 > F.length(F.translate(line, BLANKS, "")) * r.symbol_percent) | navigation)
+
+    def shouting(upper: Column) -> Column:
+        letters = F.regexp_count(line, F.lit("[A-Za-z]"))
+        return (upper * 100 > r.upper_least * r.upper_percent) & let(letters, lambda n: (n >= r.upper_least) & (upper * 100 > n * r.upper_percent))
+
+    dangling = ~F.rtrim(line, F.lit(BLANKS)).rlike(ENDINGS) & (count_words(line) < r.short_line)
+    # cheap tests that most lines end at come first in each rule
+    return let(F.regexp_count(line, F.lit(f"[{SYMBOLS}]")), marked) | let(F.regexp_count(line, F.lit("[A-Z]")), shouting) | dangling | let(F.lower(line), furniture)
 
 
 def judge(text: Column, rules: LineRules = LineRules()) -> Column:
