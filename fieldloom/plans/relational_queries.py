@@ -412,7 +412,7 @@ def population_covariate(spark, d):
     return X.grid(spark, d).join(c, F.col("cell_id") == F.col("c_nationkey"), "left").select("cell_id", fixed(F.log1p(F.coalesce("a", F.lit(0.0)))).alias("population"))
 
 
-@query("SELECT i, 98.25 + 0.25 * i AS x FROM (SELECT unnest(range(0, 21))::INTEGER AS i)")
+@query("SELECT i, CAST(98.25 + 0.25 * i AS DOUBLE) AS x FROM (SELECT unnest(range(0, 21))::INTEGER AS i)")
 def table_function_grid(spark, d):
     from fieldloom.sources.grids import register
 
@@ -420,7 +420,7 @@ def table_function_grid(spark, d):
     return spark.sql("SELECT i, x FROM event_grid(98.25D, 103.25D, 0.25D)")
 
 
-@query("SELECT CAST(substr(c, 2) AS INT) AS year, v FROM (SELECT c_custkey * 1.0 AS x1850, c_custkey * 2.0 AS x1851 FROM customer WHERE c_custkey <= 5) UNPIVOT (v FOR c IN (x1850, x1851))")
+@query("SELECT CAST(substr(c, 2) AS INT) AS year, v FROM (SELECT CAST(c_custkey AS DOUBLE) AS x1850, c_custkey * 2.0::DOUBLE AS x1851 FROM customer WHERE c_custkey <= 5) UNPIVOT (v FOR c IN (x1850, x1851))")
 def year_column_discovery(spark, d):
     from fieldloom.functions.scalar import year_of_column
 

@@ -230,7 +230,7 @@ _MBD = X.ANNUAL + """, full_loc AS (SELECT location, year, avg(temp) AS v FROM a
 c AS (SELECT f.* FROM full_loc f JOIN yrs USING (year)), r AS (SELECT location, year, v, rank() OVER (PARTITION BY year ORDER BY v) AS lo, rank() OVER (PARTITION BY year ORDER BY v DESC) AS hi, count(*) OVER (PARTITION BY year) AS n FROM c)"""
 
 
-@query(f"WITH {_MBD} SELECT location, {fixed_sql('avg(((lo - 1.0) * (hi - 1.0) + n - 1) / (n * (n - 1) / 2.0))')} AS depth FROM r GROUP BY location")
+@query(f"WITH {_MBD} SELECT location, {fixed_sql('avg(CASE WHEN n > 1 THEN ((lo - 1.0) * (hi - 1.0) + n - 1) / (n * (n - 1) / 2.0) ELSE 1.0 END)')} AS depth FROM r GROUP BY location")
 def band_depth(spark, d):
     from fieldloom.operators.functional import modified_band_depth
 
