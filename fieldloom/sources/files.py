@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from fieldloom.functions.scalar import month_of_column
 from fieldloom.operators.relational import year_columns
@@ -56,7 +56,7 @@ def read_wide_years(spark: SparkSession, path: str, ids: StructType, value: str
     names = header_of(spark, path)
     years = year_columns(names)
     known = {f.name: f for f in ids.fields}
-    wide = read_csv(spark, path, StructType([known.get(c, StructField(c, DoubleType())) for c in names]))
+    wide = read_csv(spark, path, StructType([known.get(c, StructField(c, DoubleType() if c in years else StringType())) for c in names]))
     keep = [c for c in names if c in known]
     return wide.select(*keep, *[F.col(f"`{c}`").alias(str(y)) for c, y in years.items()]).unpivot(keep, [str(y) for y in years.values()], "year", value).withColumn("year", F.col("year").cast("int"))
 

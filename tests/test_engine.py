@@ -45,8 +45,9 @@ def test_wide_months_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
     files.write_archive({"a": wide, "b": long}, str(tmp_path / "arch"))
     assert files.read_archive(spark, str(tmp_path / "arch"), ["a", "b"])["b"].count() == 4
-    back = files.read_wide_years(spark, str(tmp_path / "w.csv"), long.select("lon").schema) if files.exists(spark, str(tmp_path / "w.csv")) else None
-    assert back is None
+    (tmp_path / "w.csv").write_text("city,x1901,X1902,note\na,1.5,NA,dry\n")
+    back = files.read_wide_years(spark, str(tmp_path / "w.csv"), spark.createDataFrame([], "city string").schema)
+    assert sorted((r.city, r.year, r.value) for r in back.collect()) == [("a", 1901, 1.5), ("a", 1902, None)]
     early = spark.createDataFrame([(0, 1.0), (13, 2.0)], "step int, value double")
     assert [(r.year, r.month) for r in files.assemble_members(early, early, 1350, 1850).orderBy("year", "month").collect()] == [(1350, 1), (1351, 2), (1850, 1), (1851, 2)]
     bands = {1776: spark.createDataFrame([(0.0, 0.0, 5.0), (1.0, 0.0, None)], "x double, y double, value double"), 1820: spark.createDataFrame([(0.0, 0.0, 6.0), (1.0, 0.0, None)], "x double, y double, value double")}
@@ -150,5 +151,15 @@ def test_logistic_recovers_slope(spark):
     assert p > 0.001 and glm.model_table(spark, {"s": small}).first().explained > 0.1
 
 
+def test_prior_weights_and_windows(spark):
+    f = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 2)], "k string, t int")
+    assert sorted((r.k, r.t) for r in R.within_windows(f, [("a", 1, 3), ("b", 2, 9)], "k", "t").collect()) == [("a", 2), ("a", 3)]
+    assert sorted((r.k, r.t) for r in R.without_positions(f, ["k"], "t", [2]).collect()) == [("a", 1), ("a", 3), ("b", 2)]
+    assert "k = a" in R.report(f, "Rows") and R.joined_one_to_one(f, f.withColumn("z", F.lit(1)), ["k", "t"]).count() == 4
+    with pytest.raises(ValueError):
+        R.joined_one_to_one(f, f.filter("t = 1"), ["k", "t"])
+    assert R.with_alias(f, "year", "t").columns == ["k", "year"]
+
+
 def test_grid(spark):
     assert grids.half_degree_grid(spark, 98.25, 18.25, 53, 49).select("lon", "lat").distinct().count() == 2597
