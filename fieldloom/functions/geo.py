@@ -49,6 +49,21 @@ def np_ellipsoid_km(lon1, lat1, lon2, lat2) -> np.ndarray:
     return np.where(s == 0, 0.0, d)
 
 
+def np_ellipsoid_matrix(lon1, lat1, lon2, lat2) -> np.ndarray:
+    """All distances between two lists of points. Sines and cosines are taken of the points' half angles only and combined by products."""
+    half = lambda v: np.radians(np.asarray(v, float)) / 2
+    (sa, ca), (sb, cb) = ((np.sin(h), np.cos(h)) for h in (half(lat1)[:, None], half(lat2)[None, :]))
+    (sx, cx), (sy, cy) = ((np.sin(h), np.cos(h)) for h in (half(lon1)[:, None], half(lon2)[None, :]))
+    sf2, sg2, sk2 = (sa * cb + ca * sb) ** 2, (sa * cb - ca * sb) ** 2, (sx * cy - cx * sy) ** 2
+    s = sg2 * (1 - sk2) + (1 - sf2) * sk2
+    c = (1 - sg2) * (1 - sk2) + sf2 * sk2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.arctan(np.sqrt(s / c))
+        r = np.sqrt(s * c) / w
+        d = 2 * w * RADIUS * (1 + FLATTENING * ((3 * r - 1) / (2 * c) * sf2 * (1 - sg2) - (3 * r + 1) / (2 * s) * (1 - sf2) * sg2))
+    return np.where(s == 0, 0.0, d)
+
+
 def ellipsoid_km_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     """The same for an SQL engine, as a scalar subquery over named steps."""
     return f"""(SELECT CASE WHEN s = 0 THEN 0.0 ELSE 2 * w * {RADIUS!r} * (1 + {FLATTENING!r} * ((3 * r - 1) / (2 * c) * sf * sf * cg * cg - (3 * r + 1) / (2 * s) * cf * cf * sg * sg)) END

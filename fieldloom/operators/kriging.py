@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.geo import np_ellipsoid_km
+from fieldloom.functions.geo import np_ellipsoid_matrix
 from fieldloom.functions.ordinal import np_moments, np_slope
 from fieldloom.operators.calibration import Calibration, CovarianceTable
 
@@ -52,7 +52,7 @@ class Predictor:
         self.table = CovarianceTable(c.total, c.process)
 
     def covariance(self, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
-        km = np_ellipsoid_km(lon[:, None], lat[:, None], lon[None, :], lat[None, :])
+        km = np_ellipsoid_matrix(lon, lat, lon, lat)
         s = self.table(self.c.process / self.c.total * np.exp(-km / self.c.range_km))
         np.fill_diagonal(s, self.variance)
         return s
@@ -63,7 +63,7 @@ class Predictor:
         weight = f.solve(np.asarray(level, float) - self.mean)
         means, variances = [], []
         for k in range(0, len(tlon), slice_rows):
-            km = np_ellipsoid_km(np.asarray(lon, float)[:, None], np.asarray(lat, float)[:, None], np.asarray(tlon[k : k + slice_rows], float)[None, :], np.asarray(tlat[k : k + slice_rows], float)[None, :])
+            km = np_ellipsoid_matrix(lon, lat, tlon[k : k + slice_rows], tlat[k : k + slice_rows])
             cross = self.c.process * np.exp(-km / self.c.range_km) * self.slope / self.c.total
             half = np.linalg.solve(f.lower, cross)
             means.append(cross.T @ weight)
@@ -71,6 +71,11 @@ class Predictor:
         return np.concatenate(means), np.concatenate(variances), f.jitter
 
 
+def _spread(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Dealt by key into a stated number of partitions: the groups are few bytes and much work, so they must not be merged into few tasks."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: str = "year") -> DataFrame:
     """period, target_set, target_id, mean, variance, n_obs, jitter. observations: period, lon, lat, level; targets: target_set, target_id, lon, lat."""
     n = targets.limit(MOST_TARGETS + 1).count()
@@ -86,7 +91,7 @@ def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: s
         mean, variance, jitter = p.predict(pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), pdf["level"].to_numpy(), where["lon"].to_numpy(), where["lat"].to_numpy())
         return pd.DataFrame({period: pdf[period].iloc[0], "target_set": where["target_set"], "target_id": where["target_id"], "mean": mean, "variance": variance, "n_obs": len(pdf), "jitter": jitter})
 
-    return observations.select(period, "lon", "lat", "level").groupBy(period).applyInPandas(one, shape)
+    return _spread(observations.select(period, "lon", "lat", "level"), [period]).groupBy(period).applyInPandas(one, shape)
 
 
 def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration, keys: list[str]) -> DataFrame:
@@ -102,4 +107,4 @@ def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration, keys: l
         return test[[*keys, "site", "level"]].assign(yhat=mean, mspe=variance, jitter=jitter)
 
     fresh = lambda f, columns: f.select(*[F.col(c).alias(c) for c in columns])  # noqa: E731  both may come from one frame
-    return fresh(training, [*keys, "lon", "lat", "level"]).groupBy(*keys).cogroup(fresh(held, held.columns).groupBy(*keys)).applyInPandas(one, shape)
+    return _spread(fresh(training, [*keys, "lon", "lat", "level"]), keys).groupBy(*keys).cogroup(_spread(fresh(held, held.columns), keys).groupBy(*keys)).applyInPandas(one, shape)

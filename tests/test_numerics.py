@@ -67,6 +67,14 @@ def test_kriging_bounds_and_limits():
     assert twin.jitter > 0
 
 
+def test_distance_matrix():
+    rng = np.random.default_rng(6)
+    a, b, c, d = rng.uniform(90, 125, 30), rng.uniform(15, 45, 30), rng.uniform(-180, 180, 20), rng.uniform(-80, 80, 20)
+    got = geo.np_ellipsoid_matrix(np.r_[a, c], np.r_[b, d], np.r_[a, c], np.r_[b, d])
+    want = geo.np_ellipsoid_km(np.r_[a, c][:, None], np.r_[b, d][:, None], np.r_[a, c][None], np.r_[b, d][None])
+    assert np.abs(got - want).max() < 1e-6 and np.abs(np.diag(got)).max() < 1e-6
+
+
 def test_prior_updates():
     rng = np.random.default_rng(1)
     x = np.zeros((8, 60))
