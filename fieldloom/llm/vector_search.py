@@ -6,6 +6,8 @@
 * A vector joins its nearest list, and as a boundary vector up to ``copies`` lists that are nearly as near.
 * A query visits the lists whose distance is within a ratio of its nearest list's; every list is cut into blocks of
   bounded size, blocks score exactly in double precision, and each gives a query its best ``k + 1`` classes.
+* The ratio and the beam are least values: before the search ``trials`` queries are compared with every vector, and both
+  grow until the lists visited hold ``recall`` of their true neighbours, as they must when a table has more lists.
 
 Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |x|^2), with M the largest norm; a
 query has 0 there. The sample is a documented bound (sample_rows); every vector is indexed.
@@ -19,7 +21,7 @@ k candidates give fewer rows; an empty table gives an empty table; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ class SearchRules:
     copies: int = 3
     near: float = 1.03  # ratio of distances for boundary copies
     visit: float = 1.12  # ratio of distances for a query's lists
+    trials: int = 128  # queries compared with all vectors
+    recall: float = 0.95  # share of their true neighbours that the lists visited hold at least
     block_rows: int = 16_384
     seed: int = 3
 
@@ -152,6 +156,71 @@ PACKED_DDL = "list int, block int, query boolean, keys binary, least binary, vec
 FOUND_DDL = "qid long, found array<struct<s:double,least:long,cid:long>>"
 
 
+def _lists_of(graph: Graph, x: np.ndarray, rules: SearchRules, query: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the places of lists by rising distance, and which of them it goes to."""
+    place, far = graph.nearest(x, rules.beam if query else max(16, rules.copies))
+    take = (place >= 0) & (far <= far[:, :1] * (rules.visit if query else rules.near))
+    if not query:
+        take[:, rules.copies :] = False
+    return place, take
+
+
+def _lifted(v: np.ndarray, norm: float) -> np.ndarray:
+    return np.concatenate((v, np.sqrt(np.maximum(norm**2 - (v * v).sum(axis=1), 0))[:, None]), axis=1)
+
+
+def _neighbours(classes: DataFrame, trials: list, shared, rules: SearchRules, norm: float) -> DataFrame:
+    """q, lists: for each true neighbour of a trial query (cid, v), by brute force over all classes, the lists that hold it."""
+    own, asked, k = np.array([t["cid"] for t in trials]), np.asarray([t["v"] for t in trials], dtype=np.float64), rules.k
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, held, v = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), dtype=np.int64), np.zeros((0, asked.shape[1]))
+        for whole in batches:
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                cid, new = postings.column(b, "cid").to_numpy(zero_copy_only=False), _matrix(b, "v")
+                found = np.where(own[:, None] == cid[None, :], -np.inf, asked @ new.T)
+                score, held = np.concatenate((score, found), axis=1), np.concatenate((held, np.broadcast_to(len(v) + np.arange(len(new)), found.shape)), axis=1)
+                v = np.concatenate((v, new))
+                if score.shape[1] > k:
+                    at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score, held = np.take_along_axis(score, at, 1), np.take_along_axis(held, at, 1)
+                kept, held = np.unique(held, return_inverse=True)  # at most trials x k vectors stay
+                v, held = v[kept], held.reshape(score.shape)
+        if len(v):
+            place, take = _lists_of(shared.value, _lifted(v, norm), rules, False)
+            lists = [p[t].tolist() for p, t in zip(place, take, strict=True)]
+            q, at = np.nonzero(np.isfinite(score))
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(-score[q, at]), pa.array([lists[i] for i in held[q, at].tolist()], pa.list_(pa.int32()))], ["q", "s", "lists"])
+
+    found = classes.select("cid", "v").mapInArrow(best, "q int, s double, lists array<int>")
+    found = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "lists"))), 1, k).alias("f"))  # k of each partition
+    return found.select("q", F.explode("f.lists").alias("lists"))
+
+
+def calibrated(classes: DataFrame, asked: DataFrame, shared, rules: SearchRules, norm: float) -> SearchRules:
+    """The rules with the beam and the ratio that trial queries need."""
+    graph, n = shared.value, len(shared.value.centroids)
+    trials = asked.select("cid", "v").orderBy(F.xxhash64("cid", F.lit(7)), "cid").limit(rules.trials).collect() if n > 1 else []
+    truth = _neighbours(classes, trials, shared, rules, norm).collect() if trials else []  # trials x k rows
+    if not truth:
+        return rules
+    x = np.asarray([t["v"] for t in trials], dtype=np.float64)
+    x = np.concatenate((x, np.zeros((len(x), 1))), axis=1)
+
+    def share(r: SearchRules) -> float:
+        place, take = _lists_of(graph, x, r, True)
+        visited = [set(p[t].tolist()) for p, t in zip(place, take, strict=True)]
+        return sum(not visited[t["q"]].isdisjoint(t["lists"]) for t in truth) / len(truth)
+
+    while share(rules) < rules.recall:  # ends: at last every list is visited
+        whole = replace(rules, beam=n)
+        if rules.beam >= n or share(whole) < rules.recall:
+            rules = replace(rules, visit=rules.visit * 1.03)
+        else:
+            rules = replace(rules, beam=min(n, 2 * rules.beam))
+    return rules
+
+
 def _dealt(frame: DataFrame, shared, rules: SearchRules, blocks: int, query: bool, norm: float) -> DataFrame:
     """The vectors of a frame (cid, v, least) packed by the lists and blocks they go to."""
 
@@ -160,11 +229,8 @@ def _dealt(frame: DataFrame, shared, rules: SearchRules, blocks: int, query: boo
         for whole in batches:
             for b in (whole.slice(k, 1024) for k in range(0, whole.num_rows, 1024)):
                 cid, least, v = postings.column(b, "cid").to_numpy(zero_copy_only=False), postings.column(b, "least").to_numpy(zero_copy_only=False), _matrix(b, "v")
-                more = np.zeros(len(v)) if query else np.sqrt(np.maximum(norm**2 - (v * v).sum(axis=1), 0))
-                place, far = graph.nearest(np.concatenate((v, more[:, None]), axis=1), rules.beam if query else max(16, rules.copies))
-                take = (place >= 0) & (far <= far[:, :1] * (rules.visit if query else rules.near))
-                if not query:
-                    take[:, rules.copies :] = False
+                x = np.concatenate((v, np.zeros((len(v), 1))), axis=1) if query else _lifted(v, norm)
+                place, take = _lists_of(graph, x, rules, query)
                 row, at = np.nonzero(take)
                 lists = place[row, at]
                 if query:
@@ -230,12 +296,13 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     lists = min(r.most_lists, max(1, n // r.list_size))
     sample = [x["v"] for x in classes.select("v", F.xxhash64("v", F.lit(5)).alias("h")).orderBy("h", "v").limit(min(r.sample_rows, 64 * lists)).collect()]  # at most sample_rows vectors
     points = np.asarray(sample, dtype=np.float64).reshape(len(sample), -1 if sample else 1)
-    points = np.concatenate((points, np.sqrt(np.maximum(norm**2 - (points * points).sum(axis=1), 0))[:, None]), axis=1)
+    points = _lifted(points, norm)
     graph = build_graph(points, lists, r) if sample else Graph(np.zeros((1, 1)), np.zeros((1, 1), dtype=np.int64), np.zeros(1, dtype=np.int64))
     shared = spark.sparkContext.broadcast(graph)  # at most most_lists centroids and their links
     blocks = max(1, -(-n * r.copies // (len(graph.centroids) * r.block_rows)))
     asking = valid.filter(F.col("id") % r.every == 0).select("id", F.xxhash64("v", F.lit(1)).alias("qid")).distinct()
     asked = classes.join(asking.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi")
+    r = calibrated(classes, asked, shared, r, norm)
     packed = _dealt(classes, shared, r, blocks, False, norm).unionByName(_dealt(asked, shared, r, blocks, True, norm))
     best = _scored(packed.repartition(shuffle_partitions(spark), "list", "block"), r.k + 1)
     gathered = best.groupBy("qid").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))  # k + 1 of each visited block

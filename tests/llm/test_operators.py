@@ -215,6 +215,20 @@ def test_search_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_search_recall_with_more_lists_than_beam(spark):
+    x = np.random.default_rng(5).normal(size=(8000, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in vector_search.search(frame, rules=vector_search.SearchRules(list_size=16, beam=16, visit=1.02, every=100)).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 8000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hits / (80 * 20) >= 0.9
+
+
 # op4
 
 
