@@ -1,8 +1,9 @@
 """License scans by ordered signature rules over normalised words, as one column expression per row.
 
 A text is lowered (A-Z), every run of characters outside words becomes one blank, and rules are regular expressions
-over that form; each match starts with the blank before its first word, so blanks counted are words counted. A keyword
-test of the text and one of each rule's own keyword keep most rules from running. Detections are ordered by start,
+over that form; each match starts with the blank before its first word, so blanks counted are words counted. Every match
+of a rule and the blank after it hold the rule's keyword: rules whose keyword a text lacks do not run, and a text without
+any keyword is not scanned. Detections are ordered by start,
 longest first; one that lies inside an accepted detection of the same or a higher priority is suppressed.
 
 Defined results: null, empty and blank texts have no words and no labels (empty strings), null first and last word and
@@ -22,18 +23,18 @@ from fieldloom.llm.common import ascii_lower, let, table
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Families of licenses: label, keyword that any match has, pattern of the name, versions (none: unversioned).
+#: Families of licenses: label, keyword that any match and the blank after it have, pattern of the name, versions (none: unversioned).
 FAMILIES = (
     ("agpl", " affero ", "(?: gnu)? affero general public", ("1 0", "3", "3 0")),
     ("agpl", " agpl", " agpl", ("1 0", "3", "3 0")),
-    ("apache", " apache ", " apache(?: software)?", ("1 0", "1 1", "2", "2 0")),
-    ("artistic", " artistic ", "(?: perl)? artistic", ("1 0", "2 0")),
-    ("bsd-2-clause", " bsd ", " (?:2|two) clause(?: simplified)? bsd| bsd 2 clause| simplified bsd| freebsd", ()),
+    ("apache", " apache", " apache(?: software)?", ("1 0", "1 1", "2", "2 0")),
+    ("artistic", " artistic", "(?: perl)? artistic", ("1 0", "2 0")),
+    ("bsd-2-clause", "bsd ", " (?:2|two) clause(?: simplified)? bsd| bsd 2 clause| simplified bsd| freebsd", ()),
     ("bsd-3-clause", " bsd ", " (?:3|three) clause(?: new| modified)? bsd| bsd 3 clause| new bsd| modified bsd", ()),
     ("bsd-4-clause", " bsd ", " (?:4|four) clause(?: original)? bsd| bsd 4 clause| original bsd", ()),
     ("bsd", " bsd ", " bsd", ()),
-    ("bsl", " boost ", " boost(?: software)?", ("1 0",)),
-    ("busl", " business source ", " business source", ("1 0", "1 1")),
+    ("bsl", " boost", " boost(?: software)?", ("1 0",)),
+    ("busl", " business source", " business source", ("1 0", "1 1")),
     ("cc-by-nc-nd", " cc ", " cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc-sa", " cc ", " cc by nc sa", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc", " cc ", " cc by nc", ("2 0", "2 5", "3 0", "4 0")),
@@ -51,8 +52,8 @@ FAMILIES = (
     ("cddl", " common development ", " common development and distribution", ("1 0", "1 1")),
     ("epl", " eclipse ", " eclipse public", ("1 0", "2 0")),
     ("eupl", " european union ", " european union public", ("1 1", "1 2")),
-    ("gfdl", " free documentation ", "(?: gnu)? free documentation", ("1 1", "1 2", "1 3")),
-    ("gpl", " general public ", "(?: gnu)? general public", ("1", "1 0", "2", "2 0", "3", "3 0")),
+    ("gfdl", " free documentation", "(?: gnu)? free documentation", ("1 1", "1 2", "1 3")),
+    ("gpl", " general public", "(?: gnu)? general public", ("1", "1 0", "2", "2 0", "3", "3 0")),
     ("gpl", " gpl", " gpl", ("1", "1 0", "2", "2 0", "3", "3 0")),
     ("isc", " isc ", " isc", ()),
     ("lgpl", " lesser general ", "(?: gnu)? lesser general public", ("2", "2 1", "3", "3 0")),
@@ -61,16 +62,14 @@ FAMILIES = (
     ("mit", " mit ", " mit", ()),
     ("mpl", " mozilla ", " mozilla public", ("1 0", "1 1", "2", "2 0")),
     ("ms-pl", " microsoft public ", " microsoft public", ()),
-    ("odbl", " open database ", "(?: odc)? open database", ("1 0",)),
-    ("ofl", " open font ", "(?: sil)? open font", ("1 0", "1 1")),
+    ("odbl", " open database", "(?: odc)? open database", ("1 0",)),
+    ("ofl", " open font", "(?: sil)? open font", ("1 0", "1 1")),
     ("postgresql", " postgresql ", " postgresql", ()),
-    ("python", " python ", " python(?: software foundation)?", ("2", "2 0")),
+    ("python", " python", " python(?: software foundation)?", ("2", "2 0")),
     ("unlicense", " unlicense ", " unlicense", ()),
     ("wtfpl", " wtfpl", " wtfpl", ("1 0", "2 0")),
     ("zlib", " zlib ", " zlib(?: libpng)?", ()),
 )
-#: A text without any of these has nothing to detect.
-KEYWORDS = ("licen", " copyright", " spdx ", "gpl", " cc0", " cc by", "creative commons", " public domain ", " all rights reserved ", " wtfpl")
 #: Rules without a family: label, keyword, pattern, priority.
 SINGLE = (
     ("public-domain", " public domain ", " (?:released|dedicated|placed|is)(?: in| into| to) the public domain", 1),
@@ -114,6 +113,12 @@ def rules() -> list[dict]:
     return [{"id": i} | r for i, r in enumerate(out)]
 
 
+def keywords() -> list[str]:
+    """The rules' keywords, without those that hold another one: a text without any of them has nothing to detect."""
+    every = sorted({r["keyword"] for r in rules()} | {f" {p} " for p, _ in BASE})
+    return [k for k in every if not any(x != k and x in k for x in every)]
+
+
 def normalised(text: Column) -> Column:
     """' word word ... word ', or a single blank without words."""
     bare = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
@@ -150,7 +155,7 @@ def scan(text: Column) -> Column:
     def scanned(norm: Column) -> Column:
         n = (_blanks(norm) - 1).cast("long")
         may = F.lit(False)
-        for k in KEYWORDS:
+        for k in keywords():
             may = may | F.contains(norm, F.lit(k))
         none = F.struct(n.alias("n_words"), F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_detections"))
         base = F.flatten(F.transform(bases, lambda b: F.transform(_places(norm, b["pattern"]), lambda p: F.struct(p["s"].alias("s"), b["label"].alias("label")))))

@@ -417,6 +417,28 @@ def test_licenses(docs, empty):
     assert 200 <= len(license_rules.rules()) <= 600
 
 
+def test_keywords_lose_no_license(spark):
+    alone = {
+        "This document is proprietary and confidential.": "proprietary",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "Redistribution and use in source and binary forms, with or without modification": "bsd",
+        "released under the Apache 2.0": "apache-2.0",
+        "runs on FreeBSD license": "bsd-2-clause",
+        "an Apache2 license": "apache-2",
+        "available under GNU General Public v3": "gpl-3",
+        "under the Boost1.0 terms": "bsl-1.0",
+    }
+    texts = [*alone, "nothing to find here", "a simplified bsd licence", "Artistic2.0", "python2", "wtfpl2.0", "open font1.1", "open database1.0", "business source1.1", "free documentation1.2", "general public3"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", license_rules.normalised(F.col("text")).alias("norm"), license_rules.scan(F.col("text")).alias("s")).select("text", "norm", "s.*").collect()
+    for r in got:
+        fits = {x["label"] for x in license_rules.rules() if re.search(x["pattern"], r.norm)}
+        assert bool(fits) == bool(r.labels) == (r.n_detections > 0) == (r.score > 0), r.text
+        assert alone.get(r.text, r.labels) in r.labels.split(",")
+        for x in license_rules.rules():  # a match has its rule's keyword, and a text with one is not passed over
+            if re.search(x["pattern"], r.norm):
+                assert x["keyword"] in r.norm and any(k in r.norm for k in license_rules.keywords())
+
+
 def test_longer_rule_wins(spark):
     texts = ["under CC BY-NC-SA 4.0 now", "MPL: Mozilla Public License 2.0", "the mit license mit license", "GNU Lesser General Public License v2.1"]
     got = [r.labels for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(license_rules.scan(F.col("text")).alias("s")).select("s.labels").collect()]
