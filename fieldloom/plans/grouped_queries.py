@@ -86,7 +86,7 @@ def prior_parameters(spark, d):
 
 
 def _maps(spark, d) -> DataFrame:
-    s = X.series(spark, d).filter("site < 12")
+    s = X.series(spark, d)
     samples = s.select("site", F.col("obs").alias("value"))
     estimates = s.select("site", (F.col("obs") - 1).alias("yhat"), F.lit(0.4).alias("nu"))
     return mapping.quantile_maps(samples, estimates, TOTAL, 201)
@@ -99,14 +99,14 @@ def city_quantile_maps(spark, d):
 
 @query
 def measurement_params(spark, d):
-    s = X.series(spark, d).filter("site < 12").select("site", F.col("day").cast("int").alias("t"), F.round(0.2 + F.col("day") % 5 / F.lit(10.0), 2).alias("explained"))
+    s = X.series(spark, d).select("site", F.col("day").cast("int").alias("t"), F.round(0.2 + F.col("day") % 5 / F.lit(10.0), 2).alias("explained"))
     return statespace.measurement_parameters(s, _maps(spark, d), PROCESS)
 
 
 @query
 def assimilation(spark, d):
     """The whole chain per site: mapping, measurement equations, filter and smoother."""
-    s = X.series(spark, d).filter("site < 12")
+    s = X.series(spark, d)
     steps = s.select("site", F.col("day").cast("int").alias("t"), F.lit(0.5).alias("explained"))
     m = statespace.measurement_parameters(steps, _maps(spark, d), PROCESS)
     days = spark.range(1, 31).select(F.col("id").cast("int").alias("t"))
