@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 from fieldloom.functions.geo import ellipsoid_km
 
 
-def period_pairs(obs: DataFrame, period: str, site: str, lon: str = "lon", lat: str = "lat", value: str = "z") -> DataFrame:
-    """period, km, sq: distance and squared difference of the pairs of sites of each period."""
+def period_pairs(obs: DataFrame, period: str, site: str, lon: str = "lon", lat: str = "lat", value: str = "z", blocks: int = 1) -> DataFrame:
+    """period, km, sq: distance and squared difference of the pairs of sites of each period; each period is dealt in ``blocks``."""
     side = lambda k: obs.select(F.col(period).alias(f"p{k}"), F.col(site).alias(f"s{k}"), F.col(lon).alias(f"x{k}"), F.col(lat).alias(f"y{k}"), F.col(value).alias(f"z{k}"))
-    pairs = side("a").join(side("b"), (F.col("pa") == F.col("pb")) & (F.col("sa") < F.col("sb")))
+    a, b, same = side("a"), side("b"), F.col("pa") == F.col("pb")
+    if blocks > 1:  # a number of partitions that is given stays, however small the input is
+        parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a = a.withColumn("ka", F.pmod(F.xxhash64("sa"), F.lit(blocks)).cast("int")).repartition(4 * parts, "pa", "ka")
+        b = b.withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(4 * parts, "pb", "kb")
+        same = same & (F.col("ka") == F.col("kb"))
+    pairs = a.join(b, same & (F.col("sa") < F.col("sb")))
     d = F.col("za") - F.col("zb")
     return pairs.select(F.col("pa").alias(period), ellipsoid_km(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")).alias("km"), (d * d).alias("sq"))
 

@@ -127,6 +127,15 @@ def variogram_bins(spark, d):
     return b.select("bin", "np", fixed(F.col("dist"), 4).alias("dist"), fixed(F.col("gamma")).alias("gamma"))
 
 
+@query()
+def variogram_all_sites(spark, d):
+    """The bins of variogram_bins, whose SQL names a subset, over the pairs of all sites."""
+    sites = X.records(spark, d).select("site", "lon", "lat").distinct()
+    o = _mode(spark, d).join(sites, "site").withColumnRenamed("level", "z")
+    b = variogram.binned(variogram.period_pairs(o, "day", "site", blocks=16), 100.0)
+    return b.select("bin", "np", fixed(F.col("dist"), 4).alias("dist"), fixed(F.col("gamma")).alias("gamma"))
+
+
 @query(f"WITH {X.SERIES} SELECT site, q, {fixed_sql(f'avg({norm_cdf_sql("((q - obs) / greatest(0.2 + day / 100.0, 1e-8))")})', 9)} AS p FROM series, (SELECT unnest([-1.0, 0.0, 0.5, 1.0, 1.5, 2.0])::DOUBLE AS q) GROUP BY site, q")
 def mixture_cdf(spark, d):
     s = X.series(spark, d).withColumn("nu", F.lit(0.2) + F.col("day") / F.lit(100.0))
