@@ -65,10 +65,10 @@ def isotonic_inverse(spark, d):
 
 
 def _ensemble(spark, d) -> DataFrame:
-    """site, member, year (a month number), value: monthly means of three locations, complete for every member."""
-    m = X.cube(spark, d).filter("location < 3").groupBy("location", "member", "year", "month").agg((F.avg("value") / 10000 - 3).alias("value"))
-    m = m.select(F.col("location").alias("site"), F.when(F.col("member") <= 3, F.col("member")).alias("member"), ((F.col("year") - 1995) * 12 + F.col("month")).alias("year"), "value").filter("member is not null and year between 2 and 60")
-    full = m.groupBy("site", "year").agg(F.count_distinct("member").alias("n")).filter("n = 3").select("site", "year")
+    """site, member, year (a month number), value: monthly means of every location over its months that are complete for all members."""
+    m = X.cube(spark, d).groupBy(F.col("location").alias("site"), "member", ((F.col("year") - 1995) * 12 + F.col("month")).alias("year")).agg((F.avg("value") / 10000 - 3).alias("value"))
+    members = m.select("member").distinct().agg(F.count("*").alias("members"))
+    full = m.groupBy("site", "year").agg(F.count_distinct("member").alias("n")).join(F.broadcast(members), F.col("n") == F.col("members")).select("site", "year")
     m = m.join(full, ["site", "year"], "left_semi")
     steps = full.withColumn("t", F.row_number().over(Window.partitionBy("site").orderBy("year")))
     return m.join(steps, ["site", "year"]).select("site", "member", F.col("t").cast("int").alias("year"), "value")
@@ -143,7 +143,7 @@ def cluster_labels(spark, d):
 
 @query
 def functional_boxplot(spark, d):
-    return functional.functional_boxplot(_curves(spark, d).filter("day <= 20"), "site", "day", "v")[0]
+    return functional.functional_boxplot(_curves(spark, d), "site", "day", "v")[0]
 
 
 @query
