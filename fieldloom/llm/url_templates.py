@@ -1,9 +1,10 @@
 """URL filters: rules on hosts and paths, and a tree of path templates per host for what no rule decides.
 
 Every segment of a path is one level of its host's tree. Numbers, hexadecimal names, dates and identifiers become
-wildcards at once; then, from the root down, the children of a node become one wildcard where they are too many, or where
-their labelled shares do not differ by more than chance (chi-squared against the pooled share). Levels below ``depth``
-are one wildcard. URLs that a rule decides are the labels; a template whose smoothed share of blocked ones reaches the
+wildcards at once; then, from the root down, the children of a node become one wildcard where all have labels and their
+shares do not differ by more than chance (chi-squared against the pooled share). Of other nodes with too many children
+those without any label become one; labelled ones stay by themselves. Levels go on until no two paths share a template,
+however deep. (The SQL below states the same for nodes of up to ``most_children`` children and ``depth`` segments.) URLs that a rule decides are the labels; a template whose smoothed share of blocked ones reaches the
 limit is rejected, and so are its other URLs.
 
 All steps are sums by key over distinct (host, generalised path), which partial aggregation makes small before they are
@@ -41,8 +42,8 @@ VARIABLES = (
 @dataclass(frozen=True)
 class UrlRules:
     rules: tuple[tuple[str, str, str], ...] = RULES
-    depth: int = 4
-    most_children: int = 24
+    depth: int = 4  # levels that the SQL spells out
+    most_children: int = 24  # from which on those without labels are one
     strength: float = 4.0  # of the prior, in labels
     prior: float = 0.1  # share of blocked URLs where nothing is known
     limit: float = 0.5
@@ -68,7 +69,7 @@ def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return rule, verdict
 
 
-def _segments(path: Column, depth: int) -> Column:
+def _segments(path: Column) -> Column:
     def shape(s: Column) -> Column:
         out = s
         for pattern, name, digit in reversed(VARIABLES):
@@ -76,7 +77,7 @@ def _segments(path: Column, depth: int) -> Column:
         return out
 
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    return F.when(F.size(parts) > depth, F.concat(F.transform(F.slice(parts, 1, depth), shape), F.array(F.lit("**")))).otherwise(F.transform(parts, shape))
+    return F.transform(parts, shape)
 
 
 def templates(urls: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
@@ -86,7 +87,8 @@ def templates(urls: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
         F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("bad")
     )
     nodes = stored(nodes.withColumn("template", F.lit("")))
-    for level in range(r.depth + 1):
+    level = 0
+    while nodes.filter(F.size("shape") > level).groupBy("host", "template").count().filter("count > 1").limit(1).count():
         child = F.get("shape", level)
         kids = nodes.filter(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         known = F.col("labelled") > 0
@@ -101,10 +103,15 @@ def templates(urls: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
         chi = F.coalesce(F.try_divide(F.col("squares") - F.col("all_bad") * share, share * (1 - share)), F.lit(0.0))
         free = F.col("known") - 1
         alike = (F.col("known") == F.col("kids")) & (F.col("kids") > 1) & (chi <= free + r.deviations * F.sqrt(2.0 * free))
-        merged = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), ((F.col("kids") > r.most_children) | alike).alias("merge")).filter("merge")
-        before, now = nodes, nodes.join(merged, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left")
+        found = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), alike.alias("alike"), (F.col("kids") > r.most_children).alias("wide")).filter("alike or wide")
+        merged = kids.join(found, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).filter("alike or labelled = 0")
+        merged = merged.select("h", "t", F.col("child").alias("c"), F.lit(True).alias("merge"))
+        before, now = nodes, nodes.join(merged, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (child == F.col("c")), "left")
         step = F.when(child.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("merge"), F.lit("*")).otherwise(child)))
         nodes = stored(now.select(*[c for c in before.columns if c != "template"], step.alias("template")))
+        level += 1
+    rest = F.filter("shape", lambda x, i: i >= level)  # of paths that share their template with no other
+    nodes = nodes.withColumn("template", F.concat("template", F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), x)), "")))
     sums = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"))
     share = (F.col("all_bad") + r.strength * r.prior) / (F.col("all") + r.strength)
     sums = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), share.alias("blocked_share"))
@@ -116,7 +123,7 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     host, path = split_url(pages[url].cast("string"))
     urls = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules.rules)
-    urls = urls.withColumns({"rule": rule, "verdict": verdict, "shape": _segments(F.col("path"), rules.depth)})
+    urls = urls.withColumns({"rule": rule, "verdict": verdict, "shape": _segments(F.col("path"))})
     known = templates(urls, rules).select(F.col("host").alias("h"), F.col("shape").alias("s"), "template", "blocked_share")
     out = urls.join(known, (F.col("host") == F.col("h")) & (F.col("shape") == F.col("s")), "left")
     judged = F.when(F.col("blocked_share") >= rules.limit, F.lit("block")).otherwise(F.lit("allow"))

@@ -403,6 +403,16 @@ def test_templates_reject_bad_branches(spark):
 # op9
 
 
+def test_large_hosts_and_deep_paths(spark):
+    urls = [f"https://a.example.com/de/{k}" for k in range(30)] + [f"https://a.example.com/s{chr(97 + k)}/{k}" for k in range(25)]
+    urls += [f"https://b.example.com/u/v/w/x/{a}/y/{k}" for a in ("in", "out") for k in range(5)] + ["https://b.example.com/u/v"]
+    got = {r.page_id: r for r in url_templates.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == len(urls)
+    assert {got[k].verdict for k in range(30)} == {"block"} and {got[k].template for k in range(30)} == {"/de/{n}"}
+    assert {got[k].verdict for k in range(30, 55)} == {"allow"} and {got[k].template for k in range(30, 55)} == {"/*/{n}"}
+    assert [got[k].template for k in range(55, 66)] == ["/u/v/w/x/in/y/{n}"] * 5 + ["/u/v/w/x/out/y/{n}"] * 5 + ["/u/v"]
+
+
 def test_licenses(docs, empty):
     got = docs.select("doc_id", license_rules.scan(F.col("text")).alias("s")).select("doc_id", "s.*").collect()
     want = []
