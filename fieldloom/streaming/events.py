@@ -29,21 +29,25 @@ def first_seen(events: DataFrame, time: str, keys: list[str], late: str = "1 day
 def causal_filter(observations: DataFrame, key: str, mu: float, slope: float, r2: float, alpha: float, beta: float, vdelta: float) -> DataFrame:
     """key, t, m, p: the forward pass as observations (key, t, obs) come in order of t; steps between are predicted through.
 
-    State per key is (t, m, p). Observations not after the last step are left out, as the pass is causal.
+    State per key is (t, m, p). Every observation of a step is one more update of it; a batch gives a step one row, after its
+    last observation there, and a later batch that holds the same step another one. Observations before the last step are
+    left out, as the pass is causal.
     """
     kind = dict(observations.dtypes)[key]
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, m, p = state.get if state.exists else (None, mu, r2)
         rows = []
-        for row in pd.concat(list(batches)).sort_values("t").itertuples():
-            if last is not None and row.t <= last:
+        for row in pd.concat(list(batches)).sort_values(["t", "obs"]).itertuples():
+            if last is not None and row.t < last:
                 continue
             for _ in range(0 if last is None else int(row.t - last)):
                 m, p = mu + slope * (m - mu), slope * slope * p + r2
             if row.obs == row.obs:
                 gain = p * beta / (beta * beta * p + vdelta)
                 m, p = m + gain * (row.obs - alpha - beta * m), max((1 - gain * beta) * p, 0.0)
+            if rows and rows[-1][1] == row.t:
+                rows.pop()
             last = int(row.t)
             rows.append((group[0], last, m, p))
         if last is not None:
