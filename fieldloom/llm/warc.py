@@ -134,20 +134,23 @@ class _Window:
 
 def _head(window: _Window, at: int) -> bytes | None:
     """The header block of the record whose member starts at ``at``, or None if no record does."""
-    inflate, out, i = zlib.decompressobj(31), b"", at - window.base
+    inflate, out, i, end = zlib.decompressobj(31), bytearray(), at - window.base, -1
     try:
-        while CRLF + CRLF not in out:
+        while end < 0:
             while i >= len(window.data):
                 if not window.more():
                     return None
             part = window.data[i : i + 512]
+            seen = max(0, len(out) - 3)
             out += inflate.decompress(part)
             i += len(part)
-            if not (out.startswith(VERSION) or VERSION.startswith(out)) or inflate.eof and CRLF + CRLF not in out or len(out) > 1 << 20:
+            end = out.find(CRLF + CRLF, seen)
+            # what starts with the version line is a record, however long its header
+            if not out.startswith(VERSION[: len(out)]) or inflate.eof and end < 0:
                 return None
     except zlib.error:
         return None
-    return out[: out.index(CRLF + CRLF)]
+    return bytes(out[:end])
 
 
 def _member(window: _Window, at: int) -> tuple[Iterator[bytes], list[int]]:

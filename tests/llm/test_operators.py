@@ -252,6 +252,15 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(empty, str(tmp_path / "e"), rules).count() == 0
 
 
+def test_archive_keeps_long_urls(spark, tmp_path):
+    url = "https://a.example.com/" + "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(20_000))
+    assert len(url) > 1 << 20
+    pages = spark.createDataFrame([(1, "https://a.example.com/x", "one"), (2, url, "two"), (3, url + "/3", "x" * 3000)], "page_id long, url string, html string")
+    archives = warc.write_archives(pages, str(tmp_path)).localCheckpoint()
+    got = {r.page_id: r.payload_bytes for r in warc.read_archives(archives, str(tmp_path)).collect()}
+    assert got == {1: 3, 2: 3, 3: 3000}
+
+
 def test_reader_survives_false_members(tmp_path):
     """Magic bytes inside members, and junk between them, are no records."""
     one = warc.record([("WARC-Type", "resource")], b"\x1f\x8b\x08" * 50)
