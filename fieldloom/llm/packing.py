@@ -14,6 +14,7 @@ other columns are never read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ class PackRules:
     capacity: int = 4096
     end_id: int = 1
     salts: int = 64  # groups of equal lengths
-    cache: int = 150_000  # words whose ids a worker keeps
+    cache: int = 300_000  # words of a generation whose ids a worker keeps, of two
+    slice_bytes: int = 8 << 20  # of texts whose words are made distinct together
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -56,87 +59,165 @@ def _byte_signs() -> dict[int, str]:
 _BYTE_SIGNS = _byte_signs()
 
 
+#: The normaliser and the pre-tokenizer that make words of white space independent of each other.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _bytes_in(*ranges: tuple[int, int]) -> np.ndarray:
+    """A mark for each byte: whether it lies in one of the ranges (ends included)."""
+    out = np.zeros(256, dtype=bool)
+    for lo, hi in ranges:
+        out[lo : hi + 1] = True
+    return out
+
+
+#: ASCII marks but the apostrophe, which may begin a piece of its own with a letter.
+_MARKS = _bytes_in((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+_LETTERS = _bytes_in((0x30, 0x39), (0x61, 0x7A))  # and digits
+_LATIN = _bytes_in((0xA0, 0xB6), (0xB8, 0xBF))  # the second byte, after 0xC3, of a small letter of Latin-1
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of flat, one after the other, and where each of them ends."""
+    ends = np.cumsum(lengths)
+    place = np.repeat(first - (ends - lengths), lengths)
+    return flat[place + np.arange(len(place))], ends
+
+
 class WordTokenizer:
-    """Ids of texts under a vocabulary whose pieces never span white space: each distinct word is encoded once.
+    """Ids of texts, many at a time: the distinct words of a slice of texts are encoded, and each text gathers its ids.
 
-    A-Z are lowered first, which the vocabulary's normaliser does to all letters, and marks at a word's end are encoded
-    by themselves where its pre-tokenizer splits there in any case.
+    That holds for a vocabulary whose pieces never span white space, which the file's normaliser and pre-tokenizer must
+    state word for word; texts are encoded whole under any other. A-Z are lowered first, as the normaliser does to all
+    letters. Texts that hold the string of a special token or a combining mark (which A-Z take part in before they are
+    lowered) are encoded whole too. One mark at a word's end is taken off where the pre-tokenizer splits there in any case,
+    so that a word is learnt once. Two generations of words are kept: when the newer is full, the older is dropped.
     """
 
-    #: A word and the marks at its end, which the pre-tokenizer splits off after a letter or digit of ASCII or a letter of Latin-1.
-    _ends = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
-    _mark = "<|endoftext|>"  # a special token: what stands between two of them is encoded by itself
-    _kept: dict[str, WordTokenizer] = {}
+    _small = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")  # one piece, which the normaliser leaves as it is
+    _kept: dict[tuple[str, int], WordTokenizer] = {}
 
     def __init__(self, path: str, cache: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache, {}
-        self.mark_id = self.tokenizer.token_to_id(self._mark)
+        self.tokenizer, self.most = Tokenizer.from_file(path), cache
+        stated = json.loads(self.tokenizer.to_str())
+        normaliser, splitter, model = stated["normalizer"] or {}, stated["pre_tokenizer"] or {}, stated["model"]
+        self.by_words = normaliser.get("normalizers") == NORMALISER and splitter.get("pretokenizers") == SPLITTERS and model.get("type") == "BPE" and not model.get("dropout") and all(not t["normalized"] and t["content"].startswith("<|") for t in stated["added_tokens"])
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        if self.by_words:
+            between = self.tokenizer.encode("\0", add_special_tokens=False).ids
+            marks = [self.tokenizer.encode(chr(b), add_special_tokens=False).ids if _MARKS[b] else [0] for b in range(256)]
+            self.by_words = len(between) == 1 and all(len(m) == 1 for m in marks)
+            self.between, self.mark_ids = between[0], np.asarray([m[0] for m in marks], dtype="<u4")
 
     @classmethod
     def of(cls, path: str, cache: int) -> WordTokenizer:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path, cache)
-        return cls._kept[path]
-
-    def words(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "replace").lower().split()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for at in range(0, len(texts), 64):  # together, so that calls are few
-            some = texts[at : at + 64]
-            split = [None if "<|" in x else self.words(x) for x in some]  # a special token's string may stand inside a word
-            self._learn({w for ws in split if ws for w in ws})
-            for text, ws in zip(some, split, strict=True):
-                if ws is None:
-                    yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                else:
-                    yield b"".join([self.known[w] for w in ws])
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, model = self.known, self.tokenizer.model
-        if len(known) + len(words) > self.most:
-            known.clear()
-        new = [w for w in words if w not in known]
-        ended = {w: m.groups() for w in new if not w[-1:].isalpha() and (m := self._ends.fullmatch(w))}
-        others = []
-        for w in {*new, *(x for both in ended.values() for x in both)} - ended.keys():
-            if w not in known:
-                low = w.decode("utf-8").lower()
-                if low.isalpha() and max(low) < "\u0180":  # composed Latin letters: one piece, which the normaliser leaves as it is
-                    known[w] = array("I", [t.id for t in model.tokenize(low.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
+        if (path, cache) not in cls._kept:
+            cls._kept[path, cache] = cls(path, cache)
+        return cls._kept[path, cache]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; none of a null."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.ones(len(texts), dtype=bool)
+        if self.by_words:
+            raw = texts.cast(pa.large_binary())  # 0xCC and 0xCD begin the combining marks; a word may be the sign between words
+            for sign in (b"<|", b"\xcc", b"\xcd", b"\0"):
+                mine = pc.match_substring(raw, sign).to_numpy(zero_copy_only=False)
+                whole = mine if sign == b"<|" else whole | mine
+        ids = self._by_words(pc.if_else(pa.array(whole), "", texts)) if not whole.all() else None
+        for i, alone in enumerate(whole.tolist()):
+            split = next(ids) if ids else b""
+            yield np.asarray(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes() if alone else split
+
+    def _by_words(self, texts: pa.Array) -> Iterator[bytes]:
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        each = coded.dictionary.cast(pa.large_binary())
+        n, ends = pc.binary_length(each).to_numpy(), np.frombuffer(each.buffers()[1], dtype=np.int64)[each.offset + 1 : each.offset + len(each) + 1]
+        data = np.concatenate((np.zeros(3, dtype=np.uint8), np.frombuffer(each.buffers()[2] or b"", dtype=np.uint8)))
+        last, before = data[ends + 2], data[ends + 1]
+        marked = (n > 1) & _MARKS[last] & (_LETTERS[before] | ((n > 2) & (data[ends] == 0xC3) & _LATIN[before]))
+        bare, cut = np.flatnonzero(~marked), np.flatnonzero(marked)
+        stems = pa.concat_arrays([each.take(pa.array(bare)), pc.binary_slice(each.take(pa.array(cut)), 0, -1)]).dictionary_encode()
+        ids = self._learnt(stems.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, first = np.concatenate((np.frombuffer(b"".join(ids), dtype="<u4"), self.mark_ids)), np.cumsum(sizes) - sizes
+        stem = np.empty(len(each), dtype=np.int64)
+        stem[np.concatenate((bare, cut))] = stems.indices.to_numpy(zero_copy_only=False)
+        # a distinct word's ids: those of its stem, then that of its mark
+        flat, ends = _gathered(flat, np.stack((first[stem], len(flat) - 256 + last.astype(np.int64)), axis=1).reshape(-1), np.stack((sizes[stem], marked.astype(np.int64)), axis=1).reshape(-1))
+        sizes = sizes[stem] + marked
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        flat, ends = _gathered(flat, (ends[1::2] - sizes)[place], sizes[place])
+        at = np.concatenate(([0], ends))[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            yield flat[lo:hi].tobytes()
+
+    def _learnt(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, known from now on."""
+        ids = list(map(self.known.get, words))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        if len(self.known) + len(unknown) > self.most:
+            self.older, self.known = self.known, {}
+        known, older, tokenize, others = self.known, self.older, self.tokenizer.model.tokenize, []
+        for i in unknown:
+            w = words[i]
+            if (x := older.get(w)) is None:
+                if w.isalpha():
+                    x = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+                elif self._small.fullmatch(w):
+                    x = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
                 else:
-                    others.append(w)
+                    others.append(i)
+                    continue
+            ids[i] = known[w] = x
         if others:
-            ids = np.asarray(self.tokenizer.encode(self._mark.join(w.decode("utf-8") for w in others), add_special_tokens=False).ids, dtype="<u4")
-            cut, data = np.flatnonzero(ids == self.mark_id), ids.tobytes()
-            for w, lo, hi in zip(others, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                known[w] = data[4 * lo : 4 * hi]
-        for w, (word, marks) in ended.items():
-            known[w] = known[word] + known[marks]
+            together = self.tokenizer.encode_batch_fast([" \0 ".join([words[i].decode() for i in others])], add_special_tokens=False)[0]
+            found = np.asarray(together.ids, dtype="<u4")
+            data, lo = found.tobytes(), 0
+            for i, hi in zip(others, [*(np.flatnonzero(found == self.between) * 4).tolist(), len(data)], strict=True):
+                ids[i] = known[words[i]] = data[lo:hi]
+                lo = hi + 4
+        return ids
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows whose texts (column 1) have about ``most`` bytes."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right"))))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def pieces(docs: DataFrame, rules: PackRules, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each row of docs."""
-    path, size, end, cache = rules.vocabulary, rules.capacity, np.asarray([rules.end_id], dtype="<u4").tobytes(), rules.cache
+    path, size, end, cache, most = rules.vocabulary, rules.capacity, np.asarray([rules.end_id], dtype="<u4").tobytes(), rules.cache, rules.slice_bytes
 
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path, cache)
-        for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+        for batch in _slices(batches, most):
             rows: list[tuple] = []
-            for i, ids in zip(batch.column(0).to_pylist(), tokenizer.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            for i, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1)), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)] if rows else [pa.array([], t) for t in PIECES.types], schema=PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,10 +121,30 @@ def check_sequences(got, capacity):
         assert at <= capacity
 
 
-@pytest.mark.parametrize("odd", ["Á é.,  'S it's, don't!? x'll, İstanbul ΣΣ. a.b,c ,,a1.2! \u0085z", "ﬁx ²³ 中文。好, Å x́, .x", "<|endoftext|>a b<|x", "ÉTÉ, ñandú? ß! ×,÷. ŉ ǅ", "a_b, _ c-"])
-def test_tokenizer_matches(odd):
-    t = packing.WordTokenizer.of(packing.public_vocabulary(), 1000)
-    assert next(t.encode([odd])) == np.asarray(t.tokenizer.encode(odd, add_special_tokens=False).ids, dtype="<u4").tobytes()
+def whole_ids(t, text):
+    return np.asarray(t.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+ODD = ["Á é.,  'S it's, don't!? x'll, İstanbul ΣΣ. a.b,c ,,a1.2! \u0085z", "ﬁx ²³ 中文。好, Å x́, .x", "<|endoftext|>a b<|x", "ÉTÉ, ñandú? ß! ×,÷. ŉ ǅ", "a_b, _ c-", "J\u030c T\u0308. e\u0301, E\u0301", "a\0b \0 c", "", " \n", "\u0301x y", "x\u00a0y,\u2003z", "-" * 300 + "é" * 300]
+
+
+def test_tokenizer_matches():
+    t = packing.WordTokenizer(packing.public_vocabulary(), 1000)
+    assert t.by_words
+    assert list(t.encode(pa.array([*ODD, None]))) == [whole_ids(t, x) for x in [*ODD, ""]]
+    rng = random.Random(3)
+    signs = list("abcxyzABJT  \n\t.,'’!?-()0179éÉßÿ÷×àñŉǅİıΣςσ中文한\u1112\u1161\u0301\u030c\u0323\u00a0\u0085\u200b\u2028\0<|>") + ["'s", "'ll ", ". ", ", ", "the ", "été"]
+    for most in (8, 100_000):  # generations of words that are dropped all the time, and kept
+        t = packing.WordTokenizer(packing.public_vocabulary(), most)
+        for _ in range(60):
+            texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(40)]
+            assert list(t.encode(pa.array(texts).slice(7, 25))) == [whole_ids(t, x) for x in texts[7:32]]
+
+
+def test_other_vocabularies_encode_whole_texts():
+    t = packing.WordTokenizer(packing.public_vocabulary("byte_bpe_50k.json"), 1000)
+    assert not t.by_words
+    assert list(t.encode(pa.array(ODD))) == [whole_ids(t, x) for x in ODD]
 
 
 def brute_bins(lengths, c):
