@@ -38,7 +38,8 @@ class PackRules:
     vocabulary: str  # path of a tokenizers file
     capacity: int = 4096
     end_id: int = 1
-    salts: int = 64  # groups of equal lengths
+    salts: int = 64  # groups of equal lengths at least
+    salt_rows: int = 100_000  # pieces of one length and group, about
     cache: int = 300_000  # words of a generation whose ids a worker keeps, of two
     slice_bytes: int = 8 << 20  # of texts whose words are made distinct together
 
@@ -331,9 +332,10 @@ def pack(cut: DataFrame, rules: PackRules) -> DataFrame:
     """The pieces with sequence_id and offset; cut must be stored, since it is read twice."""
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = Plan(counts, rules.capacity).arrays()
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(rules.salts)).cast("int"))
+    salts = max(rules.salts, -(-max(counts.values(), default=0) // rules.salt_rows))
+    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
-    sums = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))  # at most capacity * salts rows
+    sums = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))  # a row for each length and salt
     sums = sums.select("length", "__salt", (F.sum("n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__before"))
     ranked = salted.withColumn("__row", F.row_number().over(inside)).join(sums, ["length", "__salt"])
     ranked = ranked.select(*PIECES.names, (F.col("__before") + F.col("__row") - 1).alias("rank"))
