@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import table
+from fieldloom.llm.common import shuffle_partitions, table
 from fieldloom.session import ensure_checkpoint_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
@@ -41,6 +41,7 @@ class WarcRules:
     least_bytes: int = 1000
     archive_bytes: int = 64 << 20  # an archive is closed after so many
     split_bytes: int = 16 << 20
+    tasks: int = 16  # of the reader at most, for each shuffle partition; below that a task has one range
     read_bytes: int = 1 << 20
 
 
@@ -222,7 +223,9 @@ def read_archives(archives: DataFrame, folder: str, rules: WarcRules = WarcRules
     """
     step = rules.split_bytes
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(step).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + step, F.col("bytes")).alias("stop")).repartition("path", "start")
+    n = archives.agg(F.sum(F.greatest(F.ceil(F.col("bytes") / step), F.lit(1)))).first()[0] or 1
+    # dealt in turn to a stated number of tasks: rows are tiny, and adaptive execution would merge them into one task
+    ranges = ranges.select("path", "start", F.least(F.col("start") + step, F.col("bytes")).alias("stop")).repartition(min(int(n), rules.tasks * shuffle_partitions(archives.sparkSession)))
     shape = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import backoff, components, factor_machine, hashing, jaccard_join, license_rules, line_rules, mixing, packing, url_templates, vector_search, warc
 
+from fieldloom.session import stored
+
 from .conftest import rows
 
 
@@ -259,8 +261,6 @@ def test_archives(spark, tmp_path):
     items = [(1, "http://a/", big), (5, "http://b/", big), (3, None, big), (7, "u", None), (8, "u", ""), (9, "u", "small"), (10, "u", "small"), (None, "n", big), (11, "http://c/", "y" * 300000)]
     pages = spark.createDataFrame(items, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "payload", "first", "id", "path")})
     rules = warc.WarcRules(archive_bytes=2000, split_bytes=97, read_bytes=64)
-    from fieldloom.session import stored
-
     archives = stored(warc.write_archives(pages.repartition(2), str(tmp_path / "w"), rules))
     got = warc.read_archives(archives, str(tmp_path / "w"), rules).collect()
     want = []
@@ -278,11 +278,21 @@ def test_archive_keeps_long_urls(spark, tmp_path):
     url = "https://a.example.com/" + "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(20_000))
     assert len(url) > 1 << 20
     pages = spark.createDataFrame([(1, "https://a.example.com/x", "one"), (2, url, "two"), (3, url + "/3", "x" * 3000)], "page_id long, url string, html string")
-    archives = warc.write_archives(pages, str(tmp_path)).localCheckpoint()
+    archives = stored(warc.write_archives(pages, str(tmp_path)))
     got = {r.page_id: r.payload_bytes for r in warc.read_archives(archives, str(tmp_path)).collect()}
     assert got == {1: 3, 2: 3, 3: 3000}
 
 
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """Adaptive execution must not merge the ranges, whose rows are tiny, into one task."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    pages = spark.range(64).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.expr("repeat(md5(cast(id as string)), 40)").alias("html")).repartition(2)
+    archives = stored(warc.write_archives(pages, str(tmp_path)))
+    read = warc.read_archives(archives, str(tmp_path), warc.WarcRules(split_bytes=1024)).select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.page_id for r in read) == list(range(64))
+    assert len({r.task for r in read}) >= 6
+
+
 def test_reader_survives_false_members(tmp_path):
     """Magic bytes inside members, and junk between them, are no records."""
     one = warc.record([("WARC-Type", "resource")], b"\x1f\x8b\x08" * 50)
