@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,8 +33,11 @@ def local_session(cpus: int | str | None = None, **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``, or one of our own where that is unset (tests, local runs)."""
+    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``, or one of our own where that is unset and all runs in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+    if not named and not alone and spark.sparkContext.getCheckpointDir() is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldloom-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
