@@ -487,7 +487,63 @@ def test_keywords_lose_no_license(spark):
         assert alone.get(r.text, r.labels) in r.labels.split(",")
         for x in license_rules.rules():  # a match has its rule's keyword, and a text with one is not passed over
             if re.search(x["pattern"], r.norm):
-                assert x["keyword"] in r.norm and any(k in r.norm for k in license_rules.keywords())
+                assert x["keyword"] in r.norm and x["also"] in r.norm and re.search(license_rules.gate(), r.norm)
+
+
+SCANNED = [(re.compile(r["pattern"]), r["priority"], r["id"], r["label"]) for r in license_rules.rules()]
+
+
+def brute_scan(text):
+    """All rules without any keyword; what lies inside a taken detection of the same or a higher priority is left out."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+    norm = " " + " ".join(w) + " " if w else " "
+    base = [(k, label) for p, label in license_rules.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+    found = []
+    for pattern, *told in SCANNED:
+        for m in pattern.finditer(norm):
+            first = norm[: m.start()].count(" ")
+            found.append((first, -(first + m.group().count(" ")), *told))
+    kept = []
+    for s, e, p, _, label in sorted(found):
+        if not any(q <= p and a <= s and -e <= b for a, b, q, _ in kept):
+            kept.append((s, -e, p, label))
+    best = min([p for _, _, p, _ in kept] + [3] * bool(base), default=None)
+    labels = {x for _, x in base} | {x for *_, x in kept}
+    return (len(w), len(base), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), {1: 1.0, 2: 0.8, 3: 0.5, None: 0.0}[best], len(kept))
+
+
+def matching(tree, rng):
+    """A random string that a parsed pattern matches, look-ahead aside."""
+    out = ""
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                kind, one = rng.choice(arg)
+                out += chr(one if str(kind) == "LITERAL" else rng.randint(*one))
+            case "MAX_REPEAT":
+                out += "".join(matching(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+            case "SUBPATTERN":
+                out += matching(arg[3], rng)
+            case "BRANCH":
+                out += matching(rng.choice(arg[1]), rng)
+            case "ASSERT" | "ASSERT_NOT":
+                pass
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_every_rule_against_brute_force(spark, sf):
+    """Texts made of each rule's own matches, in random company, and the smallest table's texts."""
+    rng, rules = random.Random(9), license_rules.rules()
+    made = [matching(re._parser.parse(r["pattern"]), rng) for r in rules for _ in range(2)]
+    texts = [x + rng.choice([".", " now", "", ", and"]) for x in made] + ["the" + a + " of" + b + "\n" + c.upper() + "!" for a, b, c in (rng.choices(made, k=3) for _ in range(300))]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [r[1] for r in rows()]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8).select("i", license_rules.scan(F.col("text")).alias("s")).select("i", "s.*").collect()
+    for r in got:
+        assert (r.n_words, r.n_base, r.base_labels, r.labels, r.score, r.n_detections) == brute_scan(texts[r.i]), texts[r.i][:500]
 
 
 def test_longer_rule_wins(spark):
