@@ -6,12 +6,16 @@
    those counts is hot. Shingles of one class cannot link anything, so only the others return to their class, rarest
    first; the prefix of a set of n shingles is the first n - ceil(t n) + 1 of that order, and two sets at the threshold
    t share a shingle of both prefixes.
-3. Classes with the same prefix and size make one group. Groups that share a prefix shingle, and whose sizes may fit
-   (size classes a factor 1/t apart), form stars around the least group, in two levels by salt, so that a shingle that
-   a third of all groups share is never joined in one task. Stars make candidate clusters; no pairs are listed.
-4. Clusters are cut into blocks of bounded texts; pairs of blocks are expanded to their members and verified exactly on
-   whole texts by integer products of sparse sets. What leaves a block is a spanning forest of its links and each
-   member's number of links: rows grow with members, not with pairs.
+3. Classes with the same prefix and size make one group. Pairs of groups come from the lists of groups that hold a prefix
+   shingle: equal lists of at most ``list_groups`` are one list with a weight, whose pairs are filtered by size, and
+   then by position: how many shingles both prefixes share bounds what the sets can share, since every shingle up to the
+   earlier of the two prefixes' ends is decided. A pair that is left is expanded to its members under one of its groups.
+4. A shingle that more groups hold is never listed in pairs. Its groups, and pairs of groups of many members, make
+   clusters by stars around the least group (by size classes a factor 1/t apart, in two levels by salt, so that a shingle
+   that a third of all groups share is never joined in one task), and clusters are cut into blocks of bounded texts.
+5. Members meet once, in a pair of groups or of blocks, and are verified on whole texts by integer products of sparse
+   sets of 64-bit shingle hashes. What leaves is a spanning forest of the links and each member's number of links: rows
+   grow with members, not with pairs.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of fewer words than the
 shingle has one shingle; a row with a null id links with nothing and its component is null; repeated rows are exact
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import hashing, postings
@@ -41,17 +45,20 @@ from fieldloom.session import stored
 class JoinRules:
     width: int = 5  # words of a shingle
     percent: int = 80
+    list_groups: int = 16  # of a shingle whose pairs are listed
     block_members: int = 512
     block_tokens: int = 4_000_000
     salts: int = 64
     heavy_share: int = 256
+    hot_share: int = 4096  # a class with more than this part of all rows is dealt to many tasks
 
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("n", pa.int64())])
 HEAVY = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 PAIRS = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("light", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
 SHARED = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("light", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
-PREFIXES = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+PREFIXES = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("heavy", pa.list_(pa.int64())), ("end_df", pa.int64()), ("end_token", pa.int64())])
+PREFIXES_DDL = "owner long, n long, prefix array<long>, heavy array<long>, end_df long, end_token long"
 VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
@@ -95,7 +102,7 @@ def heavy_shingles(docs: DataFrame, n_rows: int, rules: JoinRules, parts: int) -
     """Shingles, ascending, with at least n_rows / heavy_share occurrences where they are frequent: all that twice that share of the
     sets hold are among them. There are at most heavy_share times the mean size of a set."""
     width, share = rules.width, rules.heavy_share
-    least = max(2, -(-n_rows // share))
+    least = max(rules.list_groups + 1, -(-n_rows // share))
 
     @released
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +134,15 @@ def _is_heavy(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
 
 
+#: The place of heavy shingles in the order, after all counts.
+HEAVY_DF = 1 << 62
+
+
+def _ordered(tokens: np.ndarray) -> np.ndarray:
+    """Signed numbers in the order of unsigned tokens."""
+    return (tokens ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -159,7 +175,7 @@ def _pairs(docs: DataFrame, heavy, rules: JoinRules, parts: int) -> DataFrame:
 
 
 def _heavy_prefixes(docs: DataFrame, heavy, rules: JoinRules) -> DataFrame:
-    """owner, n and prefix: the heavy shingles in the prefix of each class whose prefix reaches that far."""
+    """As prefix_table: the heavy shingles in the prefix of each class whose prefix reaches that far."""
     width, percent = rules.width, rules.percent
 
     @released
@@ -169,11 +185,11 @@ def _heavy_prefixes(docs: DataFrame, heavy, rules: JoinRules) -> DataFrame:
             for key, s in zip(owners, sets, strict=True):
                 mine = s[_is_heavy(s, heavy.value)]
                 if (take := _prefix_length(len(s), percent) - (len(s) - len(mine))) > 0:
-                    rows.append((key, len(s), mine[:take].view(np.int64)))
+                    rows.append((key, len(s), [], mine[:take].view(np.int64), HEAVY_DF, _ordered(mine[take - 1 : take])[0]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], schema=PREFIXES)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(PREFIXES.types)], schema=PREFIXES)
 
-    return docs.mapInArrow(choose, "owner long, n long, prefix array<long>")
+    return docs.mapInArrow(choose, PREFIXES_DDL)
 
 
 def _shared(pairs: DataFrame, parts: int) -> DataFrame:
@@ -217,7 +233,8 @@ def _shared(pairs: DataFrame, parts: int) -> DataFrame:
 
 
 def prefix_table(docs: DataFrame, n_rows: int, rules: JoinRules, parts: int) -> DataFrame:
-    """owner, n and prefix: the shared shingles among the first of the set, rarest first; none for a set that cannot link."""
+    """owner, n, prefix (the shared shingles among the first of the set), heavy (the very frequent ones among them) and the place in
+    the order of all shingles where the prefix ends (end_df, end_token); no row for a set that cannot link."""
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, n_rows, rules, parts))
     percent = rules.percent
 
@@ -229,37 +246,103 @@ def prefix_table(docs: DataFrame, n_rows: int, rules: JoinRules, parts: int) ->
         owners, sizes, light = postings.joined(held, "owners", "<i8"), postings.joined(held, "sizes", "<u4").astype(np.int64), postings.joined(held, "light", "<u4").astype(np.int64)
         tokens, df = postings.joined(held, "tokens", "<u8"), postings.joined(held, "df", "<u4")
         order = np.lexsort((tokens, df, owners))
-        owners, sizes, light, tokens = owners[order], sizes[order], light[order], tokens[order].view(np.int64)
+        owners, sizes, light, tokens, df = owners[order], sizes[order], light[order], tokens[order], df[order]
         at = postings.runs(owners)
         n, shared = sizes[at[:-1]], np.diff(at)
         take = np.clip(_prefix_length(n, percent) - (light[at[:-1]] - shared), 0, shared)
         keep = np.flatnonzero(take)
+        end, none = at[:-1] + take - 1, pa.array([], pa.int64())
         for some in np.array_split(keep, max(1, len(keep) // 5000)):
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(owners[at[some]]), pa.array(n[some]), pa.array([tokens[at[i] : at[i] + take[i]] for i in some.tolist()], pa.list_(pa.int64()))], schema=PREFIXES)
+                prefix = pa.array([tokens[at[i] : at[i] + take[i]].view(np.int64) for i in some.tolist()], pa.list_(pa.int64()))
+                empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(some) + 1, dtype=np.int32)), none)
+                yield pa.RecordBatch.from_arrays([pa.array(owners[at[some]]), pa.array(n[some]), prefix, empty, pa.array(df[end[some]].astype(np.int64)), pa.array(_ordered(tokens[end[some]]))], schema=PREFIXES)
+
+    counted = _shared(_pairs(docs, heavy, rules, parts), parts).repartitionById(parts, "part").mapInArrow(choose, PREFIXES_DDL)
+    both = counted.unionByName(_heavy_prefixes(docs, heavy, rules)).groupBy("owner").agg(
+        F.first("n").alias("n"), F.collect_list("prefix").alias("p"), F.collect_list("heavy").alias("h"), F.max(F.struct("end_df", "end_token")).alias("end")
+    )
+    whole = lambda c: F.sort_array(F.array_distinct(F.flatten(c)))
+    return both.select("owner", "n", whole("p").alias("prefix"), whole("h").alias("heavy"), "end")
+
+
+def _needed(a: Column, b: Column, percent: int) -> Column:
+    """The least number of shingles that linked sets of a and b shingles share."""
+    return F.ceil(F.lit(percent) * (a + b) / F.lit(float(100 + percent)) - 1e-6)
 
-    counted = _shared(_pairs(docs, heavy, rules, parts), parts).repartitionById(parts, "part").mapInArrow(choose, "owner long, n long, prefix array<long>")
-    both = counted.unionByName(_heavy_prefixes(docs, heavy, rules)).groupBy("owner").agg(F.first("n").alias("n"), F.collect_list("prefix").alias("p"))
-    return both.select("owner", "n", F.sort_array(F.array_distinct(F.flatten("p"))).alias("prefix"))
 
+def group_pairs(groups: DataFrame, rules: JoinRules) -> tuple[DataFrame, DataFrame]:
+    """The seats of shingles that many groups hold (grp, n, token), and a, b, shared: the other pairs of groups that fit by size, with the
+    number of prefix shingles that both hold."""
+    most = rules.list_groups
+    seats = groups.select("grp", "n", F.explode("prefix").alias("token"))
+    counts = seats.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
+    seats = seats.join(counts, "token")
+    wide = seats.filter(F.col("groups") > most).select("grp", "n", "token")
+    lists = seats.filter(F.col("groups") <= most).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("grp", "n"))).alias("list"))  # at most list_groups
+    lists = lists.groupBy(F.xxhash64("list").alias("key"), "list").agg(F.count("*").alias("weight"))
+    later = lambda x, i: F.transform(F.slice("list", i + 2, most), lambda y: F.struct(x["grp"].alias("a"), y["grp"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))
+    pairs = lists.select(F.explode(F.flatten(F.transform("list", later))).alias("p"), "weight").select("p.*", "weight")
+    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rules.percent
+    return wide, pairs.filter(fit).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
 
-def clusters(prefixes: DataFrame, rules: JoinRules) -> DataFrame:
-    """owner, n, cluster: owners that may link are in one cluster; owners without a candidate are left out."""
-    grouped = prefixes.withColumn("grp", F.xxhash64("n", "prefix"))
-    groups = grouped.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+
+def wide_edges(seats: DataFrame, rules: JoinRules) -> DataFrame:
+    """Stars (a, b) of the groups that hold a shingle and whose sizes may fit."""
     step = math.log(100 / rules.percent)
     level = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    seats = groups.select("grp", F.explode("prefix").alias("token"), level.alias("level"))
-    seats = seats.select("grp", F.explode(F.array(F.struct("token", F.col("level").alias("seat")), F.struct("token", (F.col("level") + 1).alias("seat")))).alias("key"))
-    seats = seats.select("grp", F.xxhash64("key.token", "key.seat").alias("key"), F.pmod(F.xxhash64("grp"), F.lit(rules.salts)).alias("salt"))
+    seats = seats.select("grp", "token", F.explode(F.array(level, level + 1)).alias("level"))
+    seats = seats.select("grp", F.xxhash64("token", "level").alias("key"), F.pmod(F.xxhash64("grp"), F.lit(rules.salts)).alias("salt"))
     near = seats.groupBy("key", "salt").agg(F.min("grp").alias("mid"))
     far = near.groupBy("key").agg(F.min("mid").alias("top"))
     edges = seats.join(near, ["key", "salt"]).select(F.col("grp").alias("a"), F.col("mid").alias("b"))
-    edges = edges.unionByName(near.join(far, "key").select(F.col("mid").alias("a"), F.col("top").alias("b")))
-    labels = connected_components(edges, "a", "b")
-    out = grouped.join(labels, grouped["grp"] == labels["node"], "left").select("owner", "n", F.coalesce("label", "grp").alias("cluster"))
-    alone = out.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).filter("members > 1")
-    return out.join(alone, "cluster")
+    return edges.unionByName(near.join(far, "key").select(F.col("mid").alias("a"), F.col("top").alias("b")))
+
+
+def meetings(prefixes: DataFrame, classes: DataFrame, rules: JoinRules) -> DataFrame:
+    """owner, rep, copies, cluster, bi, bj, side: where classes (owner, rep, copies) meet. In (cluster, bi, bj) all of one side meet all
+    of the other; with bi = bj all of the only side meet each other; bi is -1 for a group and its partners."""
+    r = rules
+    members = stored(prefixes.withColumn("grp", F.xxhash64("n", "prefix", "heavy")).join(classes, "owner"))
+    groups = members.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "heavy", "end")], F.count("*").alias("members"))
+    groups = stored(groups)
+    wide, pairs = group_pairs(groups, r)
+    wide = stored(wide)
+    held = wide.groupBy("grp").agg(F.count("*").alias("wide"))
+    known = groups.join(held, "grp", "left").select(
+        "grp", "n", "members", "end",
+        (F.size("prefix") - F.coalesce("wide", F.lit(0))).alias("listed"),  # prefix shingles that are decided by the pairs
+        (F.col("n") - (F.col("n") - F.ceil(F.lit(r.percent) * F.col("n") / 100.0 - 1e-6) + 1 - F.size("prefix") - F.size("heavy"))).alias("most"),  # without those of this set alone
+    )
+    side = lambda k: known.select(*[F.col(c).alias(f"{c}_{k}") for c in known.columns])
+    near = pairs.join(side("a"), F.col("a") == F.col("grp_a")).join(side("b"), F.col("b") == F.col("grp_b"))
+    needed = _needed(F.col("n_a"), F.col("n_b"), r.percent)
+    bound = lambda k: F.col(f"most_{k}") - (F.col(f"listed_{k}") - F.col("shared"))
+    fit = (needed <= F.least("most_a", "most_b")) & ((F.col("end_a") > F.col("end_b")) | (needed <= bound("a"))) & ((F.col("end_b") > F.col("end_a")) | (needed <= bound("b")))
+    near = stored(near.filter(fit).select("a", "b", "members_a", "members_b", "n_b"))
+    many = (F.col("members_a") > r.block_members) | (F.col("members_b") > r.block_members)
+    heavy = groups.select("grp", "n", F.explode("heavy").alias("token"))
+    labels = connected_components(wide_edges(wide.unionByName(heavy), r).unionByName(near.filter(many).select("a", "b")), "a", "b")
+    labels = stored(labels.select(F.col("node").alias("grp"), "label"))
+
+    # clusters: every two blocks meet
+    found = members.join(labels, "grp", "left").select("owner", "rep", "copies", "n", F.coalesce("label", "grp").alias("cluster"))
+    sums = found.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).filter("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / r.block_members), F.ceil(F.col("tokens") / r.block_tokens)).cast("int")
+    cut = found.join(sums, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("owner", F.lit(7)), F.col("blocks")).cast("int"))
+    cut = cut.select("cluster", "owner", "rep", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("owner", "rep", "copies", "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
+
+    # pairs of groups in different clusters: the members of one meet those of its partners, in blocks of these
+    of = lambda k: labels.select(F.col("grp").alias(f"grp_{k}"), F.col("label").alias(f"label_{k}"))
+    apart = near.join(of("a"), F.col("a") == F.col("grp_a"), "left").join(of("b"), F.col("b") == F.col("grp_b"), "left")
+    apart = apart.filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False)))
+    apart = stored(apart.select("a", "b", "members_b", (F.col("members_b") * F.col("n_b")).alias("tokens_b")))
+    anchors = apart.groupBy("a").agg(F.greatest(F.ceil(F.sum("members_b") / r.block_members), F.ceil(F.sum("tokens_b") / r.block_tokens)).cast("int").alias("blocks"))
+    first = members.join(anchors, F.col("grp") == F.col("a")).select("owner", "rep", "copies", F.col("a").alias("cluster"), F.lit(-1).alias("bi"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bj"), F.lit(0).alias("side"))
+    others = apart.select("a", "b").join(anchors, "a").select("b", F.col("a").alias("cluster"), F.pmod(F.xxhash64("b", F.lit(7)), F.col("blocks")).cast("int").alias("bj"))
+    others = members.join(others, F.col("grp") == F.col("b")).select("owner", "rep", "copies", "cluster", F.lit(-1).alias("bi"), "bj", F.lit(1).alias("side"))
+    return cut.unionByName(first).unionByName(others)
 
 
 def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -350,22 +433,24 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = shuffle_partitions(spark)
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows = stored(features(docs, rules))
-    classes = rows.filter("owner is not null and doc_id is not null").groupBy("owner").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    found = clusters(stored(prefix_table(docs.filter("doc_id is not null"), rows.filter("owner is not null").count(), rules, parts)), rules)
-    blocks = F.greatest(F.ceil(F.col("members") / rules.block_members), F.ceil(F.col("tokens") / rules.block_tokens)).cast("int")
-    members = found.join(classes, "owner").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("owner", F.lit(7)), F.col("blocks")).cast("int"))
-    members = stored(members.select("cluster", "owner", "rep", "copies", "blocks", "block"))
-    texts = members.join(docs.hint("merge"), members["rep"] == docs["doc_id"]).select("cluster", "owner", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocked = texts.select("cluster", "owner", "copies", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
-    verified = stored(verify(blocked, rules))
+    classes = stored(rows.filter("owner is not null and doc_id is not null").groupBy("owner").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    n_rows = rows.filter("owner is not null").count()
+    met = stored(meetings(prefix_table(docs.filter("doc_id is not null"), n_rows, rules, parts), classes, rules))
+    texts = met.join(docs.hint("merge"), met["rep"] == docs["doc_id"]).select("cluster", "bi", "bj", "side", "owner", "copies", "text")
+    verified = stored(verify(texts, rules))
     labels = connected_components(verified.filter("b is not null"), "a", "b")
     links = verified.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     named = classes.join(labels, classes["owner"] == labels["node"], "left").withColumn("label", F.coalesce("label", "owner"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").join(links, F.col("owner") == links["a"], "left")
-    named = named.select(F.col("owner").alias("key"), "rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = stored(named)  # then both sides of the join are dealt by the key, and Spark can split a class that many rows share
-    out = rows.join(named, (rows["owner"] == named["key"]) & rows["doc_id"].isNotNull(), "left")
+    named = named.select(F.col("owner").alias("key"), "copies", "rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # rows of a class with many copies are dealt by salts; there are at most hot_share such classes
+    hot = F.col("copies") > max(rules.salts, n_rows // rules.hot_share)
+    big = F.broadcast(classes.filter(hot).select(F.col("owner").alias("big")))
+    salt = F.when(F.col("big").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rules.salts)).cast("int")).otherwise(0)
+    rows = rows.join(big, rows["owner"] == F.col("big"), "left").select("doc_id", "owner", "n", salt.alias("salt"))
+    named = named.select("*", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(rules.salts - 1))).otherwise(F.array(F.lit(0)))).alias("seat")).drop("copies")
+    out = rows.join(named, (rows["owner"] == named["key"]) & (rows["salt"] == named["seat"]) & rows["doc_id"].isNotNull(), "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

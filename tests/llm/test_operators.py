@@ -75,11 +75,54 @@ def test_join_blocks_and_table(spark, sf):
     extra = d.filter("doc_id < 30").select((F.col("doc_id") + 100000).alias("doc_id"), F.concat_ws(" ", F.lit("word"), "text").alias("text"))
     both = d.select("doc_id", "text").unionByName(extra)
     want = brute_components([(r.doc_id, r.text) for r in both.collect()])
-    for rules in (jaccard_join.JoinRules(), jaccard_join.JoinRules(block_members=1, salts=1), jaccard_join.JoinRules(heavy_share=2), jaccard_join.JoinRules(heavy_share=100000)):
+    R = jaccard_join.JoinRules
+    for rules in (R(), R(block_members=1, salts=1, list_groups=2), R(heavy_share=2), R(heavy_share=100000, list_groups=1, block_members=3), R(list_groups=1000, hot_share=1, salts=2)):
         got = jaccard_join.join_documents(both, rules=rules).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == want
 
 
+def family(rng, n, changed):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(changed):
+            t[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_join_families(spark):
+    """Families of near copies below and above the length of listed pairs, some of which link in part only."""
+    rng = random.Random(11)
+    texts = [t for n in (2, 3, 9, 17, 40) for changed in (1, 2) for t in family(rng, n, changed)]
+    texts += [f"{t} tail{k % 3}" for k, t in enumerate(family(rng, 1, 0) * 12)]
+    items = list(enumerate(texts))
+    rng.shuffle(items)
+    frame = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
+    for rules in (jaccard_join.JoinRules(), jaccard_join.JoinRules(block_members=4)):
+        got = jaccard_join.join_documents(frame, rules=rules).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_components(items)
+
+
+def test_chains_without_links_stay_apart(spark):
+    """Each document shares a passage with the next, none links: hardly any of them may meet, and copies of texts grow with the chain."""
+    rng = random.Random(12)
+    passages = [" ".join(f"p{rng.randrange(10**8)}" for _ in range(24)) for _ in range(601)]
+    frame = spark.createDataFrame([(k, f"{passages[k]} {passages[k + 1]}") for k in range(600)], "doc_id long, text string").repartition(4)
+    rules, met = jaccard_join.JoinRules(), {}
+    for n in (150, 600):
+        docs = frame.filter(F.col("doc_id") < n)
+        rows = jaccard_join.features(docs, rules)
+        classes = rows.groupBy("owner").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        found = jaccard_join.meetings(jaccard_join.prefix_table(docs, n, rules, 4), classes, rules)
+        sides = found.groupBy("cluster", "bi", "bj").agg(F.sum(F.expr("int(side = 0)")).alias("x"), F.sum("side").alias("y")).collect()
+        assert all(s.bi == -1 for s in sides)
+        met[n] = sum(s.x * s.y for s in sides)
+        assert met[n] <= n / 2
+    assert met[600] <= 4 * max(met[150], 30) * 1.5
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 6), (3, 10)]
     got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
