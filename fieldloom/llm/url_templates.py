@@ -4,11 +4,16 @@ Every segment of a path is one level of its host's tree. Numbers, hexadecimal na
 wildcards at once; then, from the root down, the children of a node become one wildcard where all have labels and their
 shares do not differ by more than chance (chi-squared against the pooled share). Of other nodes with too many children
 those without any label become one; labelled ones stay by themselves. Levels go on until no two paths share a template,
-however deep. (The SQL below states the same for nodes of up to ``most_children`` children and ``depth`` segments.) URLs that a rule decides are the labels; a template whose smoothed share of blocked ones reaches the
+however deep. (The SQL below states the same for nodes of up to ``most_children`` children and ``depth`` segments.)
+
+URLs that a rule decides are the labels. A template's share of blocked ones is smoothed towards the share that its
+generalised paths have in the host's domain (the last two names), and that one towards the share that they have on all
+hosts, so that a template without labels of its own is judged by its like elsewhere. A template whose share reaches the
 limit is rejected, and so are its other URLs.
 
 All steps are sums by key over distinct (host, generalised path), which partial aggregation makes small before they are
-shuffled; a host with a third of all rows is as small as its number of distinct paths.
+shuffled; a host with a third of all rows is as small as its number of distinct paths, and a generalised path that many
+hosts have is dealt by salts where hosts look it up.
 
 Defined results: a null URL and one without :// have an empty host and path, no rule, and the template of the empty path;
 a host's ties do not arise (the longest rule is unique, and equal rules are one); repeated rows count as labels each
@@ -48,6 +53,8 @@ class UrlRules:
     prior: float = 0.1  # share of blocked URLs where nothing is known
     limit: float = 0.5
     deviations: float = 2.0  # by which chi-squared may exceed its mean for children to be alike
+    salts: int = 64
+    hot_share: int = 4096  # a path that more than this part of all (host, path) have is looked up by salts
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -112,12 +119,33 @@ def templates(urls: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
         level += 1
     rest = F.filter("shape", lambda x, i: i >= level)  # of paths that share their template with no other
     nodes = nodes.withColumn("template", F.concat("template", F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), x)), "")))
-    sums = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"))
-    share = (F.col("all_bad") + r.strength * r.prior) / (F.col("all") + r.strength)
+    nodes = stored(nodes.withColumn("domain", domain_of(F.col("host"))))
+    told = _looked_up(_looked_up(nodes, ["domain", "shape"], "domain", r), ["shape"], "everywhere", r)
+    counts = ["labelled", "bad", "domain_labelled", "domain_bad", "everywhere_labelled", "everywhere_bad"]
+    sums = told.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in counts])
+    share = F.lit(r.prior)
+    for at in ("everywhere_", "domain_", ""):
+        share = (F.col(f"{at}bad") + r.strength * share) / (F.col(f"{at}labelled") + r.strength)
     sums = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), share.alias("blocked_share"))
     return nodes.join(sums, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).select("host", "shape", "template", "blocked_share")
 
 
+def domain_of(host: Column) -> Column:
+    """The last two names of a host, or the whole host."""
+    return F.regexp_replace(host, r"^.*\.([^.]+\.[^.]+)$", "$1")
+
+
+def _looked_up(nodes: DataFrame, keys: list[str], name: str, r: UrlRules) -> DataFrame:
+    """The nodes with the sums of labelled and bad over all nodes with the same keys. Keys of many nodes, of which there are at most
+    hot_share, are sent to every task and looked up by salts."""
+    sums = nodes.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("labelled").alias(f"{name}_labelled"), F.sum("bad").alias(f"{name}_bad"))
+    hot = F.col("rows") > max(r.salts, nodes.count() // r.hot_share)
+    seats = sums.select(*keys, f"{name}_labelled", f"{name}_bad", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(r.salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    marked = nodes.join(F.broadcast(sums.filter(hot).select(*keys, F.lit(True).alias("hot"))), keys, "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("host"), F.lit(r.salts)).cast("int")).otherwise(0)
+    return marked.withColumn("salt", salt).drop("hot").join(seats, [*keys, "salt"]).drop("salt")
+
+
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: UrlRules = UrlRules()) -> DataFrame:
     """Per row of pages: page_id, host, path, rule, verdict, template and blocked_share."""
     host, path = split_url(pages[url].cast("string"))
@@ -153,7 +181,10 @@ c AS (SELECT *, {rule} AS rule, {verdict} AS given, list_transform(string_split(
 u AS (SELECT page_id, host, path, rule, given, CASE WHEN len(parts) > {r.depth} THEN list_append(parts[1:{r.depth}], '**') ELSE parts END AS shape FROM c),
 n0 AS (SELECT host, shape, count(given) AS labelled, sum(CASE WHEN given = 'block' THEN 1 ELSE 0 END) AS bad, '' AS template FROM u GROUP BY host, shape),
 {", ".join(levels)},
-t AS (SELECT host, template, (CAST(sum(bad) AS DOUBLE) + {r.strength * r.prior!r}) / (CAST(sum(labelled) AS DOUBLE) + {r.strength!r}) AS blocked_share FROM n{r.depth + 1} GROUP BY ALL)
+z AS (SELECT *, regexp_replace(host, '^.*\\.([^.]+\\.[^.]+)$', '\\1') AS domain FROM n{r.depth + 1}),
+y AS (SELECT host, template, CAST(labelled AS DOUBLE) AS l, CAST(bad AS DOUBLE) AS b, CAST(sum(labelled) OVER (PARTITION BY domain, shape) AS DOUBLE) AS dl, CAST(sum(bad) OVER (PARTITION BY domain, shape) AS DOUBLE) AS db,
+  CAST(sum(labelled) OVER (PARTITION BY shape) AS DOUBLE) AS el, CAST(sum(bad) OVER (PARTITION BY shape) AS DOUBLE) AS eb FROM z),
+t AS (SELECT host, template, (sum(b) + {r.strength!r} * ((sum(db) + {r.strength!r} * ((sum(eb) + {r.strength * r.prior!r}) / (sum(el) + {r.strength!r}))) / (sum(dl) + {r.strength!r}))) / (sum(l) + {r.strength!r}) AS blocked_share FROM y GROUP BY ALL)
 SELECT page_id, u.host, path, rule, coalesce(given, CASE WHEN blocked_share >= {r.limit!r} THEN 'block' ELSE 'allow' END) AS verdict, n.template, blocked_share
 FROM u LEFT JOIN n{r.depth + 1} n ON n.host = u.host AND n.shape = u.shape LEFT JOIN t ON t.host = n.host AND t.template = n.template"""
 

@@ -484,6 +484,27 @@ def test_templates_reject_bad_branches(spark):
     assert t[("h", ("news", "{n}"))][1] > 0.5 > t[("h", ("blog", "{n}"))][1] and t[("k", ("s1",))][0] == "/*"
 
 
+def test_undecided_urls_are_judged_by_their_like(spark):
+    """No rule decides example.org/de/ nor example.com/en/: their templates' shares come from the domain, then from all hosts."""
+    urls = [f"http://{h}.example.net/{p}/{k}" for h in "ab" for p in ("de", "en") for k in range(6)] + [f"http://c.example.org/{p}/{k}" for p in ("de", "en", "xx") for k in range(3)] + ["http://d.example.com/en/7"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for rules in (url_templates.UrlRules(), url_templates.UrlRules(salts=2, hot_share=1)):
+        got = {r.page_id: r for r in url_templates.filter_urls(frame, rules=rules).collect()}
+        labels = [(got[k].host, re.sub("[0-9]+$", "{n}", got[k].path), got[k].verdict) for k in got if got[k].rule]
+        seen = set()
+        for r in got.values():
+            shape, domain = re.sub("[0-9]+$", "{n}", r.path), ".".join(r.host.split(".")[-2:])
+            share = 0.1
+            for mine in (lambda h: True, lambda h: h.endswith(domain), lambda h: h == r.host):
+                known = [v for h, s, v in labels if s == shape and mine(h)]
+                share = (known.count("block") + 4 * share) / (len(known) + 4)
+            assert abs(r.blocked_share - share) < 1e-12
+            if not r.rule:
+                assert r.verdict == ("block" if share >= 0.5 else "allow")
+                seen.add((r.host, shape, r.verdict))
+        assert seen == {("c.example.org", "/de/{n}", "block"), ("c.example.org", "/en/{n}", "allow"), ("c.example.org", "/xx/{n}", "allow"), ("d.example.com", "/en/{n}", "allow")}
+
+
 # op9
 
 
