@@ -2,8 +2,10 @@
 
 Slot k of the mix takes the golden-ratio point frac((k + 1/2) * phi); cumulative target shares map the point to a
 source; the slots of a source are ranked, and the slot of rank r draws tokens [r*b, (r+1)*b) of that source's
-shuffled stream, which starts anew at its end. A source's last slot is cut at its target, and where the points gave
-it too few slots by discrepancy it gets closing slots after the schedule's end.
+shuffled stream, which starts anew at its end, until the source has been drawn ``most_repeats`` times. How many slots the
+points give a source is what the mix takes of it: the points' low discrepancy keeps that within a few blocks of its target.
+A source of at most ``few`` blocks, for which that is much, gets as many slots as its target needs: surplus ones are left
+out, missing ones follow the schedule's end. A document's slots tell where it stands in the mix.
 
 Skew: a source may hold any share of all rows, so positions in its stream come from two levels: sums of (source,
 bucket of the id's md5), then a running sum inside each such bucket; slots are ranked in the same way by chunks.
@@ -32,6 +34,7 @@ class MixRules:
     most_repeats: int = 3
     slots: int = 1 << 18  # about so many, until blocks reach most_block tokens
     most_block: int = 4096
+    few: int = 16  # blocks, up to which a source's slots are made to fit its target
     seed: str = "mix"
     cells: int = 1024  # of the unit interval, to join points with shares by an equal key
 
@@ -66,8 +69,8 @@ def _block(total: Column, r: MixRules) -> Column:
 def schedule(targets: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """slot, src, rank, low, high: in order of slot, source src gives tokens low to high of its repeated stream."""
     r = rules
-    t = targets.withColumn("block", _block(F.col("total"), r)).withColumn("quota", F.least(F.round("target").cast("long"), F.col("source_size") * r.most_repeats))
-    t = t.withColumn("need", F.ceil(F.col("quota") / F.col("block")).cast("long"))
+    t = targets.withColumn("block", _block(F.col("total"), r)).withColumn("most", F.col("source_size") * r.most_repeats)
+    t = t.withColumn("wanted", F.least(F.round("target").cast("long"), F.col("most"))).withColumn("need", F.ceil(F.col("wanted") / F.col("block")).cast("long"))
     size = t.agg(F.max(F.ceil(F.col("total") / F.col("block")).cast("long")).alias("n"))
     chunks = size.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), (F.coalesce("n", F.lit(0)) - 1) / 4096).cast("long"))).alias("chunk"), F.coalesce("n", F.lit(0)).alias("n"))
     slots = chunks.repartition("chunk").select("chunk", F.explode(F.sequence(F.col("chunk") * 4096, F.col("chunk") * 4096 + 4095)).alias("slot"), "n").filter("slot < n")
@@ -80,40 +83,45 @@ def schedule(targets: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1).join(before, ["src", "chunk"])
     ranked = ranked.select("slot", "src", (F.col("before") + F.col("k")).alias("rank"))
     given = counts.groupBy("src").agg(F.sum("n").alias("given"))
-    quotas = t.select("src", "block", "quota", "need", F.ceil(F.col("total") / F.col("block")).cast("long").alias("end"))
-    closing = quotas.join(given, "src", "left").withColumn("given", F.coalesce("given", F.lit(0)))
-    closing = closing.filter("need > given").select((F.col("end") + F.col("src")).alias("slot"), "src", F.explode(F.sequence("given", F.col("need") - 1)).alias("rank"))
-    every = ranked.unionByName(closing).join(quotas, "src").filter("rank < need")
+    quotas = t.join(given, "src", "left").withColumn("given", F.coalesce("given", F.lit(0))).withColumn("fitted", F.col("need") <= r.few)
+    quota = F.when(F.col("fitted"), F.col("wanted")).otherwise(F.least(F.col("given") * F.col("block"), "most"))
+    quotas = quotas.select("src", "block", "need", "given", "fitted", quota.alias("quota"), F.ceil(F.col("total") / F.col("block")).cast("long").alias("end"))
+    closing = quotas.filter("fitted and need > given").select((F.col("end") + F.col("src")).alias("slot"), "src", F.explode(F.sequence("given", F.col("need") - 1)).alias("rank"))
+    every = ranked.unionByName(closing).join(quotas, "src").filter(F.col("rank") * F.col("block") < F.col("quota"))
     return every.select("slot", "src", "rank", (F.col("rank") * F.col("block")).alias("low"), F.least((F.col("rank") + 1) * F.col("block"), F.col("quota")).alias("high"), "block")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rules: MixRules = MixRules()) -> DataFrame:
-    """Per row of docs: doc_id, size, source, source_size, target (its source's), start (its place in the shuffled source) and taken, the words that the mix takes of it, repeats counted."""
+    """Per row of docs: doc_id, size, source, source_size, target (its source's), start (its place in the shuffled source), taken, the words
+    that the mix takes of it, repeats counted, and slots: the first slot that draws it in each round through its source (null if none)."""
     r = rules
     ensure_checkpoint_dir(docs.sparkSession)
     key = F.md5(F.concat_ws("|", F.lit(r.seed), F.coalesce(docs[doc_id].cast("string"), F.lit(""))))
     sizes = docs.select(docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), count_words(docs[text]).alias("size"), key.alias("key")).checkpoint()
     targets = source_targets(sizes, r).checkpoint()
-    keyed = sizes.join(targets.select("src", F.col("source").alias("name"), "source_size", "target", "total"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, 3))
+    slots = schedule(targets, r).select("src", "rank", "slot", "low", "high").checkpoint()
+    quotas = slots.groupBy("src").agg(F.max("high").alias("quota"))
+    known = targets.join(quotas, "src", "left").select("src", F.col("source").alias("name"), "source_size", "target", "total", F.coalesce("quota", F.lit(0)).alias("quota"))
+    keyed = sizes.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", F.substring("key", 1, 3))
     sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("src", "bucket", (F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumns({"upto": F.sum("size").over(inside), "row": F.row_number().over(Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size"))}).join(sums, ["src", "bucket"])
+    inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size")
+    placed = keyed.withColumns({"upto": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "row": F.row_number().over(inside)}).join(sums, ["src", "bucket"])
     placed = placed.withColumn("start", F.col("before") + F.col("upto") - F.col("size")).withColumn("block", _block(F.col("total"), r))
-    quota = F.least(F.round("target").cast("long"), F.col("source_size") * r.most_repeats)
-    epochs = F.when((F.col("size") > 0) & (F.col("start") < quota), F.sequence(F.lit(0).cast("long"), F.least(F.lit(r.most_repeats - 1).cast("long"), F.floor((quota - 1 - F.col("start")) / F.col("source_size")).cast("long"))))
-    parts = placed.withColumn("at", F.explode_outer(epochs)).withColumn("at", F.col("start") + F.col("at") * F.col("source_size"))
+    last = F.least(F.lit(r.most_repeats - 1).cast("long"), F.floor((F.col("quota") - 1 - F.col("start")) / F.col("source_size")).cast("long"))
+    rounds = F.when((F.col("size") > 0) & (F.col("start") < F.col("quota")), F.sequence(F.lit(0).cast("long"), last))
+    parts = placed.withColumn("round", F.explode_outer(rounds)).withColumn("at", F.col("start") + F.col("round") * F.col("source_size"))
     parts = parts.withColumn("rank", F.explode_outer(F.sequence(F.floor(F.col("at") / F.col("block")).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")).cast("long"))))
-    drawn = parts.join(schedule(targets, r).select("src", "rank", "low", "high"), ["src", "rank"], "left")
+    drawn = parts.join(slots, ["src", "rank"], "left")
     got = F.greatest(F.lit(0), F.least("high", F.col("at") + F.col("size")) - F.greatest("low", "at"))
     facts = ["doc_id", "source", "size", "source_size", "target", "start"]
-    out = drawn.groupBy("src", "bucket", "row").agg(*[F.first(c).alias(c) for c in facts], F.sum(F.when(F.col("low").isNotNull(), got).otherwise(0)).cast("long").alias("taken"))
-    return out.select(*facts, "taken")
+    firsts = [F.min(F.when(F.col("round") == k, F.col("slot"))) for k in range(r.most_repeats)]
+    out = drawn.groupBy("src", "bucket", "row").agg(*[F.first(c).alias(c) for c in facts], F.sum(F.when(F.col("low").isNotNull(), got).otherwise(0)).cast("long").alias("taken"), F.array(*firsts).alias("slots"))
+    return out.select(*facts, "taken", "slots")
 
 
 def op5_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("slots", 0).alias("first_slot"))
 
 
 def _sql(r: MixRules = MixRules()) -> str:
@@ -127,21 +135,42 @@ s3 AS (SELECT *, CAST((SELECT sum(source_size) FROM s2) - coalesce(sum(most) OVE
   WINDOW q AS (ORDER BY most / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, level * w >= most AS full_up FROM s3),
 s5 AS (SELECT src, source, source_size, CASE WHEN full_up THEN CAST(most AS DOUBLE) ELSE w * (SELECT arg_min(level, struct_pack(a := most / w, b := src)) FROM s4 WHERE NOT full_up) END AS target FROM s4),
-q AS (SELECT *, least(CAST(round(target) AS BIGINT), source_size * {r.most_repeats}) AS quota FROM s5),
-p AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.quota, CAST(sum(d.size) OVER (PARTITION BY q.src ORDER BY k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(quota, start + e * source_size + size) - (start + e * source_size)))) END AS BIGINT) AS taken FROM p"""
+h AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo FROM (SELECT *, CASE WHEN (SELECT sum(target) FROM s5) > 0 THEN sum(target) OVER (ORDER BY src) / (SELECT max(u) FROM (SELECT sum(target) OVER (ORDER BY src) AS u FROM s5)) ELSE 0 END AS hi FROM s5)),
+b0 AS (SELECT CAST(sum(source_size) AS BIGINT) AS total FROM s5),
+b AS (SELECT block, CAST(ceil(total / block) AS BIGINT) AS n FROM (SELECT total, CAST(least({r.most_block}, greatest(1, ceil(total / {r.slots}))) AS BIGINT) AS block FROM b0)),
+pts AS (SELECT k AS slot, (k + 0.5::DOUBLE) * {GOLDEN!r}::DOUBLE - floor((k + 0.5::DOUBLE) * {GOLDEN!r}::DOUBLE) AS u FROM (SELECT unnest(range((SELECT n FROM b))) AS k)),
+ranked AS (SELECT src, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM pts JOIN h ON u >= lo AND u < hi),
+q0 AS (SELECT s5.*, least(CAST(round(target) AS BIGINT), source_size * {r.most_repeats}) AS wanted, coalesce(g.given, 0) AS given, block, n FROM s5 CROSS JOIN b LEFT JOIN (SELECT src, count(*) AS given FROM ranked GROUP BY src) g USING (src)),
+q AS (SELECT *, CASE WHEN ceil(wanted / block) <= {r.few} THEN wanted ELSE least(given * block, source_size * {r.most_repeats}) END AS quota FROM q0),
+p AS (SELECT d.doc_id, d.size, q.*, CAST(sum(d.size) OVER (PARTITION BY q.src ORDER BY k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(quota, start + e * source_size + size) - (start + e * source_size)))) END AS BIGINT) AS taken,
+  CASE WHEN size > 0 AND start < quota THEN coalesce(ranked.slot, n + p.src) END AS first_slot
+FROM p LEFT JOIN ranked ON ranked.src = p.src AND ranked.rank = p.start // p.block"""
 
 
 ORACLE = _sql()
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rules: MixRules = MixRules()) -> DataFrame:
-    """The rows of docs that the mix takes words of, each as often as it takes it (a part of a document counts as the whole); the columns are those of docs.
+    """The rows of docs that the mix takes words of, each as often as it takes it (a part of a document counts as the whole), in the order
+    of the slots that draw them; the columns are those of docs.
 
     Rows that share id, source and size share what is taken of them.
     """
-    taken = mix(docs, doc_id, text, source, rules).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")).filter("taken > 0")
-    times = F.ceil(F.col("taken") / (F.col("size") * F.col("rows"))).cast("int")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), times.alias("__times"))
-    same = docs[doc_id].eqNullSafe(F.col("__id")) & docs[source].cast("string").eqNullSafe(F.col("__source")) & (count_words(docs[text]) == F.col("__size"))
-    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).drop("__time")
+    r = rules
+    firsts = F.array(*[F.min(F.get("slots", k)) for k in range(r.most_repeats)])
+    taken = mix(docs, doc_id, text, source, r).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"), firsts.alias("slots")).filter("taken > 0")
+    times = F.least(F.ceil(F.col("taken") / (F.col("size") * F.col("rows"))), F.lit(r.most_repeats)).cast("int")
+    taken = taken.select(F.struct(F.col("doc_id").alias("id"), "source", "size", F.slice("slots", 1, times).alias("slots")).alias(_free("mixed", docs)))
+    told = taken.columns[0]
+    same = docs[doc_id].eqNullSafe(F.col(f"{told}.id")) & docs[source].cast("string").eqNullSafe(F.col(f"{told}.source")) & (count_words(docs[text]) == F.col(f"{told}.size"))
+    slot = _free("slot", docs)
+    copies = docs.join(taken, same).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(f"{told}.slots").alias(slot))
+    return copies.orderBy(slot).drop(slot)
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or a longer one that no column of docs has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
