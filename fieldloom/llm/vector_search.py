@@ -9,8 +9,11 @@
 * The ratio and the beam are least values: before the search ``trials`` queries are compared with every vector, and both
   grow until the lists visited hold ``recall`` of their true neighbours, as they must when a table has more lists.
 
-Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |x|^2), with M the largest norm; a
-query has 0 there. The sample is a documented bound (sample_rows); every vector is indexed.
+Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |x|^2); a query has 0 there. M is the
+largest norm, or a little over the norm that one in ``far_share`` vectors exceeds, if that is less: the few longer vectors
+are a list of their own that every query visits, so that no outlier flattens the distances of all others. The sample and
+the number of lists have documented bounds (sample_rows, most_lists: what the driver holds and every task gets); every
+vector is indexed. Beyond most_lists * list_size vectors lists grow, and are searched in more blocks.
 
 Defined results: vectors that are null, zero, of another length than most (ties: the longer), or that hold null or
 non-finite components take no part, nor do rows with a null id; repeated rows (id and vector) count once, and one id with
@@ -37,9 +40,10 @@ from fieldloom.session import stored
 class SearchRules:
     k: int = 20
     every: int = 20  # ids divisible by it are queries
-    sample_rows: int = 32_768
+    sample_rows: int = 262_144
     list_size: int = 1024
-    most_lists: int = 2048
+    most_lists: int = 16_384
+    far_share: int = 2048
     neighbours: int = 24  # of a centroid in the graph
     beam: int = 192
     copies: int = 3
@@ -110,9 +114,12 @@ def build_graph(sample: np.ndarray, lists: int, rules: SearchRules) -> Graph:
             cut += [p[order[:half]], p[order[half:]]]
         leaves = cut
     c = np.stack([p.mean(axis=0) for p in leaves])
-    d = (c * c).sum(axis=1)[None, :] - 2 * c @ c.T
-    m = min(rules.neighbours, len(c))
-    links = np.argsort(d, axis=1, kind="stable")[:, :m]
+    m, square, near = min(rules.neighbours, len(c)), (c * c).sum(axis=1), []
+    for lo in range(0, len(c), 512):
+        d = square[None, :] - 2 * c[lo : lo + 512] @ c.T
+        some = np.argpartition(d, m - 1, axis=1)[:, :m]
+        near.append(np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1))
+    links = np.concatenate(near)
     # the next leaf is a neighbour of each, so that the walk reaches every centroid
     links = np.concatenate((links, (np.arange(len(c))[:, None] + [1, len(c) // 2 + 1]) % len(c)), axis=1)
     return Graph(c, links, np.unique(np.linspace(0, len(c) - 1, min(16, len(c))).astype(np.int64)))
@@ -156,20 +163,34 @@ PACKED_DDL = "list int, block int, query boolean, keys binary, least binary, vec
 FOUND_DDL = "qid long, found array<struct<s:double,least:long,cid:long>>"
 
 
-def _lists_of(graph: Graph, x: np.ndarray, rules: SearchRules, query: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of x the places of lists by rising distance, and which of them it goes to."""
-    place, far = graph.nearest(x, rules.beam if query else max(16, rules.copies))
-    take = (place >= 0) & (far <= far[:, :1] * (rules.visit if query else rules.near))
-    if not query:
+@dataclass(frozen=True)
+class Index:
+    """The graph, the norm that longer vectors are set apart by, and whether there are any."""
+
+    graph: Graph
+    norm: float
+    far: bool
+
+    def lists_of(self, v: np.ndarray, rules: SearchRules, query: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each vector the places of lists by rising distance, and which of them it goes to; the list after the last holds those set apart."""
+        square = (v * v).sum(axis=1)
+        lift = np.zeros(len(v)) if query else np.sqrt(np.maximum(self.norm**2 - square, 0))
+        place, far = self.graph.nearest(np.concatenate((v, lift[:, None]), axis=1), rules.beam if query else max(16, rules.copies))
+        take = (place >= 0) & (far <= far[:, :1] * (rules.visit if query else rules.near))
+        if query:
+            place = np.concatenate((place, np.full((len(v), 1), len(self.graph.centroids))), axis=1)
+            return place, np.concatenate((take, np.full((len(v), 1), self.far)), axis=1)
         take[:, rules.copies :] = False
-    return place, take
+        apart = square > self.norm**2
+        place[apart, 0], take[apart] = len(self.graph.centroids), np.arange(take.shape[1]) == 0
+        return place, take
 
 
 def _lifted(v: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate((v, np.sqrt(np.maximum(norm**2 - (v * v).sum(axis=1), 0))[:, None]), axis=1)
 
 
-def _neighbours(classes: DataFrame, trials: list, shared, rules: SearchRules, norm: float) -> DataFrame:
+def _neighbours(classes: DataFrame, trials: list, shared, rules: SearchRules) -> DataFrame:
     """q, lists: for each true neighbour of a trial query (cid, v), by brute force over all classes, the lists that hold it."""
     own, asked, k = np.array([t["cid"] for t in trials]), np.asarray([t["v"] for t in trials], dtype=np.float64), rules.k
 
@@ -187,7 +208,7 @@ def _neighbours(classes: DataFrame, trials: list, shared, rules: SearchRules, no
                 kept, held = np.unique(held, return_inverse=True)  # at most trials x k vectors stay
                 v, held = v[kept], held.reshape(score.shape)
         if len(v):
-            place, take = _lists_of(shared.value, _lifted(v, norm), rules, False)
+            place, take = shared.value.lists_of(v, rules, False)
             lists = [p[t].tolist() for p, t in zip(place, take, strict=True)]
             q, at = np.nonzero(np.isfinite(score))
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(-score[q, at]), pa.array([lists[i] for i in held[q, at].tolist()], pa.list_(pa.int32()))], ["q", "s", "lists"])
@@ -197,18 +218,17 @@ def _neighbours(classes: DataFrame, trials: list, shared, rules: SearchRules, no
     return found.select("q", F.explode("f.lists").alias("lists"))
 
 
-def calibrated(classes: DataFrame, asked: DataFrame, shared, rules: SearchRules, norm: float) -> SearchRules:
+def calibrated(classes: DataFrame, asked: DataFrame, shared, rules: SearchRules) -> SearchRules:
     """The rules with the beam and the ratio that trial queries need."""
-    graph, n = shared.value, len(shared.value.centroids)
+    index, n = shared.value, len(shared.value.graph.centroids)
     trials = asked.select("cid", "v").orderBy(F.xxhash64("cid", F.lit(7)), "cid").limit(rules.trials).collect() if n > 1 else []
-    truth = _neighbours(classes, trials, shared, rules, norm).collect() if trials else []  # trials x k rows
+    truth = _neighbours(classes, trials, shared, rules).collect() if trials else []  # trials x k rows
     if not truth:
         return rules
     x = np.asarray([t["v"] for t in trials], dtype=np.float64)
-    x = np.concatenate((x, np.zeros((len(x), 1))), axis=1)
 
     def share(r: SearchRules) -> float:
-        place, take = _lists_of(graph, x, r, True)
+        place, take = index.lists_of(x, r, True)
         visited = [set(p[t].tolist()) for p, t in zip(place, take, strict=True)]
         return sum(not visited[t["q"]].isdisjoint(t["lists"]) for t in truth) / len(truth)
 
@@ -221,16 +241,15 @@ def calibrated(classes: DataFrame, asked: DataFrame, shared, rules: SearchRules,
     return rules
 
 
-def _dealt(frame: DataFrame, shared, rules: SearchRules, blocks: int, query: bool, norm: float) -> DataFrame:
+def _dealt(frame: DataFrame, shared, rules: SearchRules, blocks: int, query: bool) -> DataFrame:
     """The vectors of a frame (cid, v, least) packed by the lists and blocks they go to."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = shared.value
+        index = shared.value
         for whole in batches:
             for b in (whole.slice(k, 1024) for k in range(0, whole.num_rows, 1024)):
                 cid, least, v = postings.column(b, "cid").to_numpy(zero_copy_only=False), postings.column(b, "least").to_numpy(zero_copy_only=False), _matrix(b, "v")
-                x = np.concatenate((v, np.zeros((len(v), 1))), axis=1) if query else _lifted(v, norm)
-                place, take = _lists_of(graph, x, rules, query)
+                place, take = index.lists_of(v, rules, query)
                 row, at = np.nonzero(take)
                 lists = place[row, at]
                 if query:
@@ -291,19 +310,21 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     r, spark = rules, vectors.sparkSession
     valid = _valid(vectors, vec_id, embedding)
     classes = stored(_classes(valid, r.k + 1))
-    size = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    n, norm = size[0], float(size[1] or 0) ** 0.5
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    size = classes.select(square.alias("s")).agg(F.count("*"), F.max("s"), F.percentile_approx("s", 1 - 1 / r.far_share, 100_000)).first()
+    n, most, usual = size[0], float(size[1] or 0) ** 0.5, 1.05 * float(size[2] or 0) ** 0.5
+    norm = min(most * (1 + 1e-9), usual)  # above all norms, however they are summed, or else some vectors are set apart
     lists = min(r.most_lists, max(1, n // r.list_size))
-    sample = [x["v"] for x in classes.select("v", F.xxhash64("v", F.lit(5)).alias("h")).orderBy("h", "v").limit(min(r.sample_rows, 64 * lists)).collect()]  # at most sample_rows vectors
-    points = np.asarray(sample, dtype=np.float64).reshape(len(sample), -1 if sample else 1)
-    points = _lifted(points, norm)
-    graph = build_graph(points, lists, r) if sample else Graph(np.zeros((1, 1)), np.zeros((1, 1), dtype=np.int64), np.zeros(1, dtype=np.int64))
-    shared = spark.sparkContext.broadcast(graph)  # at most most_lists centroids and their links
+    sampled = classes.filter(square <= norm**2).select("v", F.xxhash64("v", F.lit(5)).alias("h")).orderBy("h", "v").limit(min(r.sample_rows, 64 * lists)).select("v").toArrow()  # at most sample_rows vectors
+    points = sampled.column("v").combine_chunks()
+    points = points.flatten().to_numpy(zero_copy_only=False).reshape(len(points), -1) if len(points) else np.zeros((0, 1))
+    graph = build_graph(_lifted(points, norm), lists, r) if len(points) else Graph(np.zeros((1, 1)), np.zeros((1, 1), dtype=np.int64), np.zeros(1, dtype=np.int64))
+    shared = spark.sparkContext.broadcast(Index(graph, norm, most > norm))  # at most most_lists centroids and their links
     blocks = max(1, -(-n * r.copies // (len(graph.centroids) * r.block_rows)))
     asking = valid.filter(F.col("id") % r.every == 0).select("id", F.xxhash64("v", F.lit(1)).alias("qid")).distinct()
     asked = classes.join(asking.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi")
-    r = calibrated(classes, asked, shared, r, norm)
-    packed = _dealt(classes, shared, r, blocks, False, norm).unionByName(_dealt(asked, shared, r, blocks, True, norm))
+    r = calibrated(classes, asked, shared, r)
+    packed = _dealt(classes, shared, r, blocks, False).unionByName(_dealt(asked, shared, r, blocks, True))
     best = _scored(packed.repartition(shuffle_partitions(spark), "list", "block"), r.k + 1)
     gathered = best.groupBy("qid").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))  # k + 1 of each visited block
     new = let(F.col("found"), lambda f: F.filter(f, lambda x, i: (i == 0) | (F.get(f, i - 1)["cid"] != x["cid"])))  # copies of a class score alike, so they are neighbours

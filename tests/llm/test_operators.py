@@ -296,6 +296,30 @@ def test_search_recall_with_more_lists_than_beam(spark):
     assert hits / (80 * 20) >= 0.9
 
 
+def test_one_long_vector_does_not_flatten_the_rest(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(200, 16)), 30, axis=0) + rng.normal(size=(6000, 16)) * 0.3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[17] *= 40
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index, kept = {}, vector_search.calibrated
+    try:
+        vector_search.calibrated = lambda classes, asked, shared, r: index.update(it=shared.value, rules=kept(classes, asked, shared, r)) or index["rules"]
+        got = defaultdict(set)
+        for r in vector_search.search(frame, rules=vector_search.SearchRules(list_size=32, every=60)).collect():
+            got[r.query_id].add(r.vec_id)
+    finally:
+        vector_search.calibrated = kept
+    hits = 0
+    for q in range(0, 6000, 60):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hits / (100 * 20) >= 0.9 and index["it"].far and index["it"].norm < 2
+    _, take = index["it"].lists_of(x[::60], index["rules"], True)
+    assert take.sum(axis=1).mean() < len(index["it"].graph.centroids) / 3
+
+
 # op4
 
 
