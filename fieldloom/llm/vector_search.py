@@ -315,9 +315,12 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     n, most, usual = size[0], float(size[1] or 0) ** 0.5, 1.05 * float(size[2] or 0) ** 0.5
     norm = min(most * (1 + 1e-9), usual)  # above all norms, however they are summed, or else some vectors are set apart
     lists = min(r.most_lists, max(1, n // r.list_size))
-    sampled = classes.filter(square <= norm**2).select("v", F.xxhash64("v", F.lit(5)).alias("h")).orderBy("h", "v").limit(min(r.sample_rows, 64 * lists)).select("v").toArrow()  # at most sample_rows vectors
+    want = min(r.sample_rows, 64 * lists)
+    h, grain = F.xxhash64("v", F.lit(5)), 1 << 24
+    sampled = classes.filter((square <= norm**2) & (F.pmod(h, F.lit(grain)) < -(-grain * want // max(n, 1)))).select(h.alias("h"), "v").toArrow()  # about sample_rows vectors at most, by hash
+    order = np.argsort(sampled.column("h").to_numpy(), kind="stable")
     points = sampled.column("v").combine_chunks()
-    points = points.flatten().to_numpy(zero_copy_only=False).reshape(len(points), -1) if len(points) else np.zeros((0, 1))
+    points = points.flatten().to_numpy(zero_copy_only=False).reshape(len(points), -1)[order] if len(points) else np.zeros((0, 1))
     graph = build_graph(_lifted(points, norm), lists, r) if len(points) else Graph(np.zeros((1, 1)), np.zeros((1, 1), dtype=np.int64), np.zeros(1, dtype=np.int64))
     shared = spark.sparkContext.broadcast(Index(graph, norm, most > norm))  # at most most_lists centroids and their links
     blocks = max(1, -(-n * r.copies // (len(graph.centroids) * r.block_rows)))
