@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import hashing, postings
-from fieldloom.llm.common import table
+from fieldloom.llm.common import free_name, table
 from fieldloom.llm.memory import give_back, released
+from fieldloom.session import stored
 
 BUCKETS = 1 << 15
 #: Upper edges of the bins of ratios, and of logarithms and means.
@@ -169,14 +170,14 @@ def train(docs: DataFrame, labels: DataFrame, rules: ClassifierRules = Classifie
                 )
 
     features = mine.mapInArrow(extract, "id long, label int, index binary, value binary")
-    keyed = features.select("*", F.md5(F.col("id").cast("string")).alias("key")).orderBy("key", "id", "label", "index").limit(rules.sample_rows)
-    rows, entries = [], 0
-    for r in keyed.toLocalIterator():
-        index = np.frombuffer(r["index"], dtype=np.int32)
-        entries += len(index)
-        if entries > rules.sample_entries:
-            break
-        rows.append((index, np.frombuffer(r["value"], dtype=np.float32), r["label"]))
+    keyed = features.select("*", F.md5(F.col("id").cast("string")).alias("key"), (F.octet_length("index") / 4).cast("long").alias("entries"))
+    order = ["key", "id", "label", "entries", "digest"]
+    keyed = stored(keyed.withColumn("digest", F.md5("index")))
+    sizes = keyed.select(*order).orderBy(*order).limit(rules.sample_rows).collect()  # a few numbers a row
+    fits = int(np.searchsorted(np.cumsum([r["entries"] for r in sizes]), rules.sample_entries, side="right"))
+    taken = keyed.filter(F.struct(*order) <= F.struct(*[F.lit(sizes[fits - 1][c]).cast(keyed.schema[c].dataType) for c in order])) if fits else keyed.filter("false")
+    found = taken.orderBy(*order).limit(fits).select("index", "value", "label").toLocalIterator()  # at most sample_entries features
+    rows = [(np.frombuffer(r["index"], dtype=np.int32), np.frombuffer(r["value"], dtype=np.float32), r["label"]) for r in found]
     machine = fit(rows, rules)
     rows.clear()
     give_back()
@@ -220,4 +221,5 @@ def keep_good(docs: DataFrame, machine: Machine, rules: ClassifierRules = Classi
         return pd.Series(out)
 
     length = (docs[recorded] if recorded in docs.columns else F.length(docs[text])).cast("double")
-    return docs.withColumn("__score", rate(docs[text], length)).filter(F.col("__score") >= rules.threshold).drop("__score")
+    scored = free_name("score", docs)
+    return docs.withColumn(scored, rate(docs[text], length)).filter(F.col(scored) >= rules.threshold).drop(scored)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import hashing, postings
-from fieldloom.llm.common import shuffle_partitions, table
+from fieldloom.llm.common import free_name, shuffle_partitions, table
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.memory import give_back, released
 from fieldloom.session import stored
@@ -466,8 +466,9 @@ def op1_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: JoinRules = JoinRules()) -> DataFrame:
     """The document with the least id of each component; rows without an id or without words stay."""
-    kept = join_documents(docs, doc_id, text, rules).filter("component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[doc_id] == F.col("__kept"), "left_semi").unionByName(docs.filter(docs[doc_id].isNull()))
+    kept = free_name("kept", docs)
+    found = join_documents(docs, doc_id, text, rules).filter("component_id = doc_id").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(found, docs[doc_id] == F.col(kept), "left_semi").unionByName(docs.filter(docs[doc_id].isNull()))
 
 
 ORACLE = r"""

@@ -13,24 +13,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import BLANKS, count_words, let, table, words_of
+from fieldloom.llm.common import BLANKS, count_words, free_name, let, table, words_of
 
-#: Phrases of page furniture, lower case.
+#: Phrases of page furniture in English, French, German and Spanish, lower case.
 BOILERPLATE = (
-    "accept all cookies",
-    "all rights reserved",
-    "back to top",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "read more",
-    "share this",
-    "sign up",
-    "subscribe to our newsletter",
-    "terms of service",
-)
+    "accept all cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "leave a comment",
+    "log in to continue", "lorem ipsum", "privacy policy", "read more", "related articles", "share on facebook", "share this",
+    "sign in to continue", "sign up", "skip to content", "skip to main content", "subscribe to our newsletter", "terms of service",
+    "terms of use", "this site uses cookies", "view all posts", "we use cookies", "your browser does not support",
+    "accepter les cookies", "aller au contenu", "articles similaires", "cliquez ici", "conditions d'utilisation", "conditions générales de vente",
+    "en savoir plus", "haut de page", "laisser un commentaire", "lire la suite", "mentions légales", "nous utilisons des cookies",
+    "partager sur facebook", "politique de confidentialité", "s'inscrire à la newsletter", "tous droits réservés",
+    "alle cookies akzeptieren", "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "auf facebook teilen", "ähnliche beiträge", "datenschutzerklärung",
+    "hier klicken", "jetzt registrieren", "kommentar hinterlassen", "mehr erfahren", "nach oben scrollen", "newsletter abonnieren",
+    "nutzungsbedingungen", "weiterlesen", "wir verwenden cookies", "zum inhalt springen",
+    "aceptar todas las cookies", "artículos relacionados", "aviso legal", "compartir en facebook", "deja un comentario", "haz clic aquí",
+    "leer más", "política de cookies", "política de privacidad", "saltar al contenido", "suscríbete a nuestro boletín", "todos los derechos reservados",
+    "términos de uso", "términos y condiciones", "utilizamos cookies", "volver arriba",
+)
+#: Marks that part the entries of a navigation line.
+BARS = "|›·•→"
 SYMBOLS = "#*$%&|<>"
 #: Marks that may end a sentence.
 ENDINGS = r"""[.!?…。！？:;"'”’)\]]$"""
@@ -41,7 +43,7 @@ class LineRules:
     """Limits, all in whole numbers so that every engine decides alike."""
 
     short_line: int = 8  # a line with fewer words must end as a sentence does
-    nav_bars: int = 2  # a line with more bars, and a bar for each nav_words words, is navigation
+    nav_bars: int = 2  # a line with more of BARS, and one for each nav_words words, is navigation
     nav_words: int = 6
     symbol_percent: int = 15  # of a line's non-blank characters
     upper_percent: int = 60  # of a line's Latin letters, from upper_least on
@@ -77,19 +79,22 @@ def _repeat_words(words: Column, window: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), counted).cast("long")
 
 
+def _any_of(phrases: tuple[str, ...]) -> str:
+    """A pattern that finds any of the phrases, which are letters, blanks and apostrophes; alternatives are dealt by their first letter."""
+    by: dict[str, list[str]] = {}
+    for p in sorted(phrases):
+        by.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
+
+
 def _fails(line: Column, r: LineRules) -> Column:
     """Whether a line that has a word fails a rule. What several rules read is bound first: a lambda's body is evaluated as it is written."""
 
-    def furniture(low: Column) -> Column:
-        found = F.lit(False)
-        for phrase in BOILERPLATE:
-            found = found | F.contains(low, F.lit(phrase))
-        return found
-
-    def marked(symbols: Column) -> Column:
-        bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+    def marked(marks: Column) -> Column:
+        bars = F.length(line) - F.length(F.translate(line, BARS, ""))
+        symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
         navigation = (bars > r.nav_bars) & (bars * r.nav_words > count_words(line))
-        return (symbols > 0) & ((symbols * 100 > F.length(F.translate(line, BLANKS, "")) * r.symbol_percent) | navigation)
+        return (marks > 0) & ((symbols * 100 > F.length(F.translate(line, BLANKS, "")) * r.symbol_percent) | navigation)
 
     def shouting(upper: Column) -> Column:
         letters = F.regexp_count(line, F.lit("[A-Za-z]"))
@@ -97,7 +102,8 @@ def _fails(line: Column, r: LineRules) -> Column:
 
     dangling = ~F.rtrim(line, F.lit(BLANKS)).rlike(ENDINGS) & (count_words(line) < r.short_line)
     # cheap tests that most lines end at come first in each rule
-    return let(F.regexp_count(line, F.lit(f"[{SYMBOLS}]")), marked) | let(F.regexp_count(line, F.lit("[A-Z]")), shouting) | dangling | let(F.lower(line), furniture)
+    every = f"[{SYMBOLS}{BARS.replace('|', '')}]"
+    return let(F.regexp_count(line, F.lit(every)), marked) | let(F.regexp_count(line, F.lit("[A-Z]")), shouting) | dangling | F.lower(line).rlike(_any_of(BOILERPLATE))
 
 
 def judge(text: Column, rules: LineRules = LineRules()) -> Column:
@@ -152,8 +158,8 @@ def clean_documents(docs: DataFrame, text: str = "text", rules: LineRules = Line
     """The documents that stay, with their text cleaned; the columns are those of ``docs``."""
     # through an array, so that the verdict is computed once and not again for the filter
     good = F.filter(F.array(judge(docs[text], rules)), lambda q: q["kept"])
-    judged = docs.select("*", F.explode(good).alias("__judged"))
-    return judged.withColumn(text, F.col("__judged.clean_text")).drop("__judged")
+    judged = free_name("judged", docs)
+    return docs.select("*", F.explode(good).alias(judged)).withColumn(text, F.col(f"{judged}.clean_text")).drop(judged)
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +169,7 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(r: LineRules = LineRules()) -> str:
-    likes = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+    likes = " OR ".join("contains(lower(line), '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
     ends = ENDINGS.replace("'", "''")
     blank = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return rf"""
@@ -174,7 +180,7 @@ dup AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) A
 rep AS (SELECT uid, CAST(sum(least({r.window}, coalesce(nx - i, {r.window}))) AS BIGINT) AS n FROM (SELECT uid, i, lead(i) OVER (PARTITION BY uid ORDER BY i) AS nx FROM dup) GROUP BY uid),
 lines AS (SELECT uid, line FROM (SELECT uid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE trim(line, {blank}) <> ''),
 lm AS (SELECT uid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') AS bare,
-  length(regexp_replace(line, '[^A-Z]+', '', 'g')) AS up, length(regexp_replace(line, '[^A-Za-z]+', '', 'g')) AS al, length(line) - length(replace(line, '|', '')) AS bars FROM lines),
+  length(regexp_replace(line, '[^A-Z]+', '', 'g')) AS up, length(regexp_replace(line, '[^A-Za-z]+', '', 'g')) AS al, length(regexp_replace(line, '[^{BARS}]+', '', 'g')) AS bars FROM lines),
 lf AS (SELECT uid, line, n, ({likes}) OR (bars > {r.nav_bars} AND bars * {r.nav_words} > n) OR (length(regexp_replace(bare, '[^#*$%&|<>]+', '', 'g')) * 100 > length(bare) * {r.symbol_percent})
   OR (al >= {r.upper_least} AND up * 100 > al * {r.upper_percent}) OR (n < {r.short_line} AND NOT regexp_matches(rtrim(line, {blank}), '{ends}')) AS bad FROM lm),
 la AS (SELECT uid, count(*) - count(DISTINCT line) AS dups, coalesce(sum(CASE WHEN bad THEN n END), 0) AS lost FROM lf GROUP BY uid),

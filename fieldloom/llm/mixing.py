@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import count_words, table
+from fieldloom.llm.common import count_words, free_name, table
 from fieldloom.session import ensure_checkpoint_dir
 
 GOLDEN = 0.6180339887498949
@@ -161,16 +161,10 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = F.array(*[F.min(F.get("slots", k)) for k in range(r.most_repeats)])
     taken = mix(docs, doc_id, text, source, r).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"), firsts.alias("slots")).filter("taken > 0")
     times = F.least(F.ceil(F.col("taken") / (F.col("size") * F.col("rows"))), F.lit(r.most_repeats)).cast("int")
-    taken = taken.select(F.struct(F.col("doc_id").alias("id"), "source", "size", F.slice("slots", 1, times).alias("slots")).alias(_free("mixed", docs)))
+    taken = taken.select(F.struct(F.col("doc_id").alias("id"), "source", "size", F.slice("slots", 1, times).alias("slots")).alias(free_name("mixed", docs)))
     told = taken.columns[0]
     same = docs[doc_id].eqNullSafe(F.col(f"{told}.id")) & docs[source].cast("string").eqNullSafe(F.col(f"{told}.source")) & (count_words(docs[text]) == F.col(f"{told}.size"))
-    slot = _free("slot", docs)
+    slot = free_name("slot", docs)
     copies = docs.join(taken, same).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(f"{told}.slots").alias(slot))
     return copies.orderBy(slot).drop(slot)
 
-
-def _free(name: str, docs: DataFrame) -> str:
-    """The name, or a longer one that no column of docs has."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name

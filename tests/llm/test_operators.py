@@ -478,6 +478,14 @@ def test_classifier_edges_and_held_out(spark, docs, empty):
     assert {r.score for r in factor_machine.score(docs, none).collect()} == {0.5}
     again = factor_machine.train(table, odd)
     assert np.array_equal(again.weights, machine.weights)
+    # fewer entries than the sample has: the first rows that fit, as if the labels ended there
+    order = sorted({r.doc_id for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    texts = {r.doc_id: r for r in table.collect()}
+    order = [i for i in order if i in texts]
+    entries = [len(index) for i in order[:60] for _, _, _, index, _ in factor_machine.rows_of_features([texts[i].text], [texts[i].n_chars])]
+    rules = factor_machine.ClassifierRules(sample_entries=sum(entries[:50]), steps=20)
+    few = factor_machine.train(table, labels.filter(F.col("doc_id").isin(order[:50])), factor_machine.ClassifierRules(steps=20))
+    assert np.array_equal(factor_machine.train(table, labels, rules).weights, few.weights)
     # the identity against a sum over pairs
     at, index, value = np.array([0, 3]), np.array([1, 5, 9]), np.array([0.5, -1.0, 2.0])
     v = machine.factors[index] * value[:, None]
