@@ -80,11 +80,12 @@ def _repeat_words(words: Column, window: int) -> Column:
 
 
 def _any_of(phrases: tuple[str, ...]) -> str:
-    """A pattern that finds any of the phrases, which are letters, blanks and apostrophes; alternatives are dealt by their first letter."""
+    """A pattern that finds any of the phrases, which are letters, blanks and apostrophes, after a sign that is no letter a-z; only there
+    are the alternatives tried, which are dealt by their first letter."""
     by: dict[str, list[str]] = {}
     for p in sorted(phrases):
         by.setdefault(p[0], []).append(p[1:])
-    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
+    return "[^a-z](?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
 
 
 def _fails(line: Column, r: LineRules) -> Column:
@@ -103,7 +104,7 @@ def _fails(line: Column, r: LineRules) -> Column:
     dangling = ~F.rtrim(line, F.lit(BLANKS)).rlike(ENDINGS) & (count_words(line) < r.short_line)
     # cheap tests that most lines end at come first in each rule
     every = f"[{SYMBOLS}{BARS.replace('|', '')}]"
-    return let(F.regexp_count(line, F.lit(every)), marked) | let(F.regexp_count(line, F.lit("[A-Z]")), shouting) | dangling | F.lower(line).rlike(_any_of(BOILERPLATE))
+    return let(F.regexp_count(line, F.lit(every)), marked) | let(F.regexp_count(line, F.lit("[A-Z]")), shouting) | dangling | F.concat(F.lit(" "), F.lower(line)).rlike(_any_of(BOILERPLATE))
 
 
 def judge(text: Column, rules: LineRules = LineRules()) -> Column:
@@ -169,7 +170,7 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(r: LineRules = LineRules()) -> str:
-    likes = " OR ".join("contains(lower(line), '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
+    likes = "regexp_matches(' ' || lower(line), '[^a-z]({})')".format("|".join(BOILERPLATE).replace("'", "''"))
     ends = ENDINGS.replace("'", "''")
     blank = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return rf"""
