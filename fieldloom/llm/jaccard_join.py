@@ -441,11 +441,16 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = connected_components(verified.filter("b is not null"), "a", "b")
     links = verified.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     named = classes.join(labels, classes["owner"] == labels["node"], "left").withColumn("label", F.coalesce("label", "owner"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "label").join(links, F.col("owner") == links["a"], "left")
+    # components of many classes, of which there are at most hot_share, are sent to every task; the others meet their classes by label
+    many = max(rules.salts, n_rows // rules.hot_share)
+    least = stored(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("rows")))
+    wide = F.broadcast(least.filter(F.col("rows") > many).select(F.col("label").alias("wide"), F.col("component_id").alias("wide_id")))
+    named = named.join(wide, F.col("label") == F.col("wide"), "left").withColumn("at", F.when(F.col("wide").isNull(), F.col("label")).otherwise(F.xxhash64("owner", F.lit(5))))
+    named = named.join(least.filter(F.col("rows") <= many).select(F.col("label").alias("at"), "component_id"), "at", "left").withColumn("component_id", F.coalesce("wide_id", "component_id"))
+    named = named.join(links, F.col("owner") == links["a"], "left")
     named = named.select(F.col("owner").alias("key"), "copies", "rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # rows of a class with many copies are dealt by salts; there are at most hot_share such classes
-    hot = F.col("copies") > max(rules.salts, n_rows // rules.hot_share)
+    hot = F.col("copies") > many
     big = F.broadcast(classes.filter(hot).select(F.col("owner").alias("big")))
     salt = F.when(F.col("big").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rules.salts)).cast("int")).otherwise(0)
     rows = rows.join(big, rows["owner"] == F.col("big"), "left").select("doc_id", "owner", "n", salt.alias("salt"))
