@@ -25,18 +25,17 @@ MOST_TARGETS = 200_000
 
 @dataclass(frozen=True)
 class Factor:
-    lower: np.ndarray
+    inverse: np.ndarray  # of the lower triangular factor, computed once
     jitter: float
 
     def solve(self, b: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(self.lower.T, np.linalg.solve(self.lower, b))
+        return self.inverse.T @ (self.inverse @ b)
 
 
 def factorise(matrix: np.ndarray) -> Factor:
-    scale = float(np.diag(matrix).mean())
-    for jitter in JITTERS:
+    for jitter in JITTERS:  # added to the diagonal as it is
         try:
-            return Factor(np.linalg.cholesky(matrix + jitter * scale * np.eye(len(matrix))), jitter)
+            return Factor(np.linalg.inv(np.linalg.cholesky(matrix + jitter * np.eye(len(matrix)))), jitter)
         except np.linalg.LinAlgError:
             continue
     raise np.linalg.LinAlgError("the covariance is not positive definite, even with jitter")
@@ -65,7 +64,7 @@ class Predictor:
         for k in range(0, len(tlon), slice_rows):
             km = np_ellipsoid_matrix(lon, lat, tlon[k : k + slice_rows], tlat[k : k + slice_rows])
             cross = self.c.process * np.exp(-km / self.c.range_km) * self.slope / self.c.total
-            half = np.linalg.solve(f.lower, cross)
+            half = f.inverse @ cross
             means.append(cross.T @ weight)
             variances.append(np.maximum(self.c.process - (half * half).sum(axis=0), 0))
         return np.concatenate(means), np.concatenate(variances), f.jitter

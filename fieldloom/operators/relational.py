@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.geo import np_polygon_km, planar_d2, point_in_degrees, sphere_km
 from fieldloom.functions.scalar import is_finite
+from fieldloom.session import stored
 
 # keyed reductions
 
@@ -80,26 +81,23 @@ def zero_filled_counts(frame: DataFrame, column: str, levels: list) -> DataFrame
 
 def nearest_cell(points: DataFrame, grid: DataFrame, small: int = 20_000) -> DataFrame:
     """points (lon, lat, ...) with cell_id and d2 of the planar nearest of grid (cell_id, glon, glat); ties go to the smaller cell_id.
+    Points without finite coordinates get null.
 
     Distinct coordinates are searched once. A grid of at most ``small`` rows, which is counted, is sent to every task;
-    a larger one is met by equal lattice squares, whose side doubles until every point's nearest cell is certain.
+    a larger one is met by equal lattice squares, whose side doubles until every point's nearest cell is certain, however far.
     """
-    sites = points.select("lon", "lat").distinct()
+    sites = points.select("lon", "lat").filter(is_finite(F.col("lon")) & is_finite(F.col("lat"))).distinct()
     n = grid.limit(small + 1).count()
     if n <= small:
         near = _nearest(sites.crossJoin(F.broadcast(grid)))
     else:
         box = grid.agg((F.max("glon") - F.min("glon")).alias("w"), (F.max("glat") - F.min("glat")).alias("h"), F.count("*").alias("n")).first()
-        side, near, open_, span = max(box["w"], box["h"], 1e-9) / max(1.0, box["n"] ** 0.5) * 2, None, sites, max(box["w"], box["h"], 1e-9)
+        side, near, open_ = max(box["w"], box["h"], 1e-9) / max(1.0, box["n"] ** 0.5) * 2, None, stored(sites)
         while True:
             found = _lattice(open_, grid, side)
-            sure = found.filter(F.col("d2") <= side * side)
+            sure = stored(found.filter(F.col("d2") <= side * side))
             near = sure if near is None else near.unionByName(sure)
-            if side > 4 * span:
-                left = open_.join(sure.select("lon", "lat"), ["lon", "lat"], "left_anti")
-                near = near.unionByName(_nearest(left.crossJoin(grid.limit(1))).limit(0))
-                break
-            open_ = open_.join(sure.select("lon", "lat"), ["lon", "lat"], "left_anti").checkpoint()
+            open_ = stored(open_.join(sure.select("lon", "lat"), ["lon", "lat"], "left_anti"))
             if open_.isEmpty():
                 break
             side *= 2
@@ -151,9 +149,11 @@ def joined_one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
 
 
 def report(rows: DataFrame, title: str, most: int = 200) -> str:
-    """A text report of a small table (a summary), one line per row."""
-    lines = [title, "=" * len(title)]
-    for r in rows.limit(most).collect():
+    """A text report of a small table (a summary), one line per row; a table of more than ``most`` rows is no summary."""
+    lines, found = [title, "=" * len(title)], rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report takes at most {most} rows")
+    for r in found:
         lines.append("; ".join(f"{k} = {v:.6g}" if isinstance(v, float) else f"{k} = {v}" for k, v in r.asDict().items()))
     return "\n".join(lines) + "\n"
 
@@ -264,7 +264,7 @@ def histogram(frame: DataFrame, value: str, lo: float, width: float, bins: int,
     inside = frame.filter((F.col(value) >= lo) & (F.col(value) <= lo + bins * width))
     counts = inside.groupBy(*keys, k.alias("bin")).agg(F.count("*").alias("n"))
     total = counts.groupBy(*keys).agg(F.sum("n").alias("__all")) if keys else counts.agg(F.sum("n").alias("__all"))
-    joined = counts.join(F.broadcast(total), keys) if keys else counts.crossJoin(F.broadcast(total))
+    joined = counts.join(total, keys) if keys else counts.crossJoin(F.broadcast(total))
     return joined.select(*keys, "bin", "n", (F.col("n") / (F.col("__all") * F.lit(width))).alias("density"))
 
 

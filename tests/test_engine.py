@@ -93,6 +93,10 @@ def test_mode_nearest_and_lattice(spark):
     ensure_checkpoint_dir(spark)
     small = {(r.lon, r.lat): r.cell_id for r in R.nearest_cell(pts, grid).collect()}
     assert small == {(r.lon, r.lat): r.cell_id for r in R.nearest_cell(pts, grid, small=10).collect()}
+    far = spark.createDataFrame([(200.0, 5.0), (-1e6, 3.0), (5.0, 9e4), (4.0, None), (float("nan"), 1.0)], "lon double, lat double")
+    near = {(str(r.lon), r.lat): (r.cell_id, r.d2) for r in R.nearest_cell(far, grid).collect()}
+    assert near == {(str(r.lon), r.lat): (r.cell_id, r.d2) for r in R.nearest_cell(far, grid, small=10).collect()}
+    assert near[("200.0", 5.0)][0] is not None and near[("4.0", None)] == near[("nan", 1.0)] == (None, None)
 
 
 def test_expectations(spark):
@@ -155,6 +159,8 @@ def test_prior_weights_and_windows(spark):
     f = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 2)], "k string, t int")
     assert sorted((r.k, r.t) for r in R.within_windows(f, [("a", 1, 3), ("b", 2, 9)], "k", "t").collect()) == [("a", 2), ("a", 3)]
     assert sorted((r.k, r.t) for r in R.without_positions(f, ["k"], "t", [2]).collect()) == [("a", 1), ("a", 3), ("b", 2)]
+    with pytest.raises(ValueError):
+        R.report(f, "Rows", most=1)
     assert "k = a" in R.report(f, "Rows") and R.joined_one_to_one(f, f.withColumn("z", F.lit(1)), ["k", "t"]).count() == 4
     with pytest.raises(ValueError):
         R.joined_one_to_one(f, f.filter("t = 1"), ["k", "t"])
