@@ -57,6 +57,17 @@ def apart(frame: DataFrame, a: str, b: str, tolerance: float = 1e-8) -> DataFram
     return frame.filter(~(F.abs(F.col(a) - F.col(b)) <= tolerance))
 
 
+def index_problems(frame: DataFrame, indices: list[str], products: list[tuple[str, str, str]], most: float = 5.0, tolerance: float = 1e-8) -> DataFrame:
+    """problem (scale, product), n: rows with an index further than ``most`` from 0, and rows whose first two columns do not multiply to the third."""
+    large, wrong = F.lit(False), F.lit(False)
+    for c in indices:
+        large = large | (F.abs(F.col(c)) > most)
+    for a, b, ab in products:
+        wrong = wrong | ~(F.abs(F.col(a) * F.col(b) - F.col(ab)) <= tolerance)
+    counts = frame.agg(F.count(F.when(large, 1)).alias("scale"), F.count(F.when(wrong, 1)).alias("product"))
+    return counts.unpivot([], ["scale", "product"], "problem", "n").filter("n > 0")
+
+
 def unsorted(frame: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Rows whose value is below that of the row before."""
     from pyspark.sql import Window

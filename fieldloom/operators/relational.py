@@ -42,6 +42,16 @@ def first_appearance_ids(records: DataFrame, keys: list[str], order: str, name:
     return firsts.withColumn(name, F.row_number().over(Window.orderBy("__first", *keys))).drop("__first")
 
 
+def with_row_ids(frame: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+    """Rows numbered from 1 in a total order. The numbers come from sorted ranges: each task counts its own rows, and starts after the
+    sum of the counts of the ranges before it (a row per task)."""
+    parts = stored(frame.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__part", "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__first", "__before", "__n")
+
+
 def duplicate_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
