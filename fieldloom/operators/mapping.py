@@ -81,6 +81,16 @@ def np_map(sample: np.ndarray, yhat: np.ndarray, nu: np.ndarray, total: float, p
     return y, np.interp(fy, fx[first], q[first])
 
 
+def at_index(maps: DataFrame, y: float = 0.0, site: str = "site") -> DataFrame:
+    """site, x: each site's map at one index, between its two nearest points; beyond the ends, the end."""
+    below = F.max(F.when(F.col("y") <= y, F.struct("y", "x")))
+    above = F.min(F.when(F.col("y") >= y, F.struct("y", "x")))
+    ends = maps.groupBy(site).agg(below.alias("a"), above.alias("b"))
+    span = F.col("b.y") - F.col("a.y")
+    inside = F.when(span > 0, F.col("a.x") + (y - F.col("a.y")) * (F.col("b.x") - F.col("a.x")) / span).otherwise(F.col("a.x"))
+    return ends.select(site, F.when(F.col("a").isNull(), F.col("b.x")).when(F.col("b").isNull(), F.col("a.x")).otherwise(inside).alias("x"))
+
+
 def quantile_maps(samples: DataFrame, estimates: DataFrame, total: float, points: int = 401) -> DataFrame:
     """site, y, x: the uncertainty-aware mapping of each site; samples (site, value), estimates (site, yhat, nu)."""
 

@@ -38,7 +38,7 @@ def kriging_year(spark, d):
 
 def _pilot(spark, d) -> dict:
     o = _observations(spark, d).withColumnRenamed("level", "z")
-    return variogram.binned(variogram.period_pairs(o, "year", "site"), 50.0, 1500.0).orderBy("bin").collect()  # a row per bin, at most 30
+    return variogram.period_bins(o, "year", "site", 50.0, 1500.0).orderBy("bin").collect()  # a row per bin, at most 30
 
 
 @query
@@ -76,7 +76,7 @@ def _ensemble(spark, d) -> DataFrame:
 
 @query
 def prior_fit_cv(spark, d):
-    scores = prior.cross_validate(prior.matrices(_ensemble(spark, d)), weights=(1.0, 1000.0), parts=8)
+    scores = prior.cross_validate(prior.matrices(_ensemble(spark, d)), weights=(1.0, 1000.0))
     return prior.best_weights(scores).join(scores, ["site", "w1", "w2", "w3"]).select("site", "w1", "w2", "w3", "score")
 
 
@@ -85,22 +85,21 @@ def prior_parameters(spark, d):
     return prior.fit_sites(prior.matrices(_ensemble(spark, d)), (1000.0, 10**1.5, 1000.0))
 
 
-def _maps(spark, d) -> DataFrame:
-    s = X.series(spark, d)
+def _maps(s: DataFrame) -> DataFrame:
     samples = s.select("site", F.col("obs").alias("value"))
-    estimates = s.select("site", (F.col("obs") - 1).alias("yhat"), F.lit(0.4).alias("nu"))
+    estimates = s.select(F.col("site").alias("site"), (F.col("obs") - 1).alias("yhat"), F.lit(0.4).alias("nu"))
     return mapping.quantile_maps(samples, estimates, TOTAL, 201)
 
 
 @query
 def city_quantile_maps(spark, d):
-    return _maps(spark, d)
+    return _maps(X.series(spark, d))
 
 
 @query
 def measurement_params(spark, d):
     s = X.series(spark, d).select("site", F.col("day").cast("int").alias("t"), F.round(0.2 + F.col("day") % 5 / F.lit(10.0), 2).alias("explained"))
-    return statespace.measurement_parameters(s, _maps(spark, d), PROCESS)
+    return statespace.measurement_parameters(s, _maps(X.series(spark, d)), PROCESS)
 
 
 @query
@@ -108,7 +107,7 @@ def assimilation(spark, d):
     """The whole chain per site: mapping, measurement equations, filter and smoother."""
     s = X.series(spark, d)
     steps = s.select("site", F.col("day").cast("int").alias("t"), F.lit(0.5).alias("explained"))
-    m = statespace.measurement_parameters(steps, _maps(spark, d), PROCESS)
+    m = statespace.measurement_parameters(steps, _maps(s), PROCESS)
     days = spark.range(1, 31).select(F.col("id").cast("int").alias("t"))
     dense = s.select("site").distinct().crossJoin(F.broadcast(days)).join(m, ["site", "t"], "left").join(s.select("site", F.col("day").alias("t"), "obs"), ["site", "t"], "left")
     filled = {"alpha": 0.0, "beta": 1.0, "vdelta": 1.0}
@@ -116,6 +115,30 @@ def assimilation(spark, d):
     return statespace.filter_series(rows, ["site"])
 
 
+def _location_series(spark, d) -> DataFrame:
+    """site (a location of the ensemble), day, obs: daily means over the users nearest to it."""
+    near = R.nearest_cell(X.records(spark, d).select("site", "lon", "lat").distinct(), X.grid(spark, d)).select("site", "cell_id")
+    return X.series(spark, d).join(near, "site").groupBy(F.col("cell_id").cast("long").alias("site"), "day").agg(F.avg("obs").alias("obs"))
+
+
+@query
+def location_maps_at_zero(spark, d):
+    """Each location's mapping at index 0."""
+    return mapping.at_index(_maps(_location_series(spark, d)))
+
+
+@query
+def location_assimilation(spark, d):
+    """The whole chain per location, from the prior that is fitted to the ensemble at fixed penalties to the filter and the smoother."""
+    s = _location_series(spark, d)
+    steps = s.select("site", F.col("day").cast("int").alias("t"), F.lit(0.5).alias("explained"))
+    m = statespace.measurement_parameters(steps, _maps(s), PROCESS).join(s.select("site", F.col("day").alias("t"), "obs"), ["site", "t"])
+    fitted = prior_parameters(spark, d).filter("coefficient = 'Penalized ML'").groupBy(F.col("site").cast("long").alias("site"), F.col("year").alias("t"))
+    p = fitted.pivot("parameter", ["mu", "slope", "r2"]).agg(F.first("value")).join(m, ["site", "t"], "left")
+    filled = {"slope": 0.0, "alpha": 0.0, "beta": 1.0, "vdelta": 1.0}
+    return statespace.filter_series(p.select("site", "t", "mu", "r2", "obs", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in filled.items()]), ["site"])
+
+
 def _curves(spark, d) -> DataFrame:
     return X.records(spark, d).groupBy("site", "day").agg((F.avg("value") / 100).alias("v")).withColumn("x", F.col("day").cast("double"))
 
@@ -127,12 +150,12 @@ def spline_smooth(spark, d):
 
 @query
 def fpca(spark, d):
-    return functional.functional_pca(spline_smooth(spark, d), "site", 1.0, 31.0, 8, 3)[0]
+    return functional.functional_pca(spline_smooth(spark, d), "site", 1.0, 31.0, 8, 5)[0]
 
 
 @query
 def gmm_bic(spark, d):
-    return functional.mixture_by_bic(fpca(spark, d), "site", 3, ("diagonal", "spherical", "equal_diagonal"))[1]
+    return functional.mixture_by_bic(fpca(spark, d), "site")[1]
 
 
 @query
@@ -163,9 +186,9 @@ def _panel(spark, d) -> DataFrame:
 
 def _models(spark, d) -> dict:
     p = _panel(spark, d)
-    knots = np.asarray([(r["glon"], r["glat"]) for r in X.grid(spark, d).orderBy("cell_id").limit(12).collect()])
-    base = [glm.surface("lon", "lat", knots), glm.smooth("year", 1.0, 30.0, 6)]
-    return {name: glm.fit_logistic(p, "r", base + more, lambdas=[10.0, 1.0], rounds=8) for name, more in (("space_time", []), ("population", [glm.linear("population")]), ("both", [glm.linear("population"), glm.linear("climate")]))}
+    knots = np.asarray([(r["glon"], r["glat"]) for r in X.grid(spark, d).orderBy("cell_id").collect()])  # the grid is a parameter
+    base, population, climate = [glm.surface("lon", "lat", knots), glm.smooth("year", 1.0, 30.0, 10)], glm.linear("population"), glm.linear("climate")
+    return {name: glm.fit_logistic(p, "r", base + more) for name, more in (("space_time", []), ("population", [population]), ("climate", [climate]), ("both", [population, climate]))}
 
 
 @query
@@ -175,7 +198,7 @@ def model_table(spark, d):
 
 @query
 def nested_tests(spark, d):
-    return glm.nested_tests(spark, _models(spark, d), [("space_time", "population"), ("population", "both")])
+    return glm.nested_tests(spark, _models(spark, d), [("space_time", "population"), ("space_time", "climate"), ("population", "both"), ("climate", "both")])
 
 
 @query

@@ -132,7 +132,7 @@ def variogram_all_sites(spark, d):
     """The bins of variogram_bins, whose SQL names a subset, over the pairs of all sites."""
     sites = X.records(spark, d).select("site", "lon", "lat").distinct()
     o = _mode(spark, d).join(sites, "site").withColumnRenamed("level", "z")
-    b = variogram.binned(variogram.period_pairs(o, "day", "site", blocks=16), 100.0)
+    b = variogram.period_bins(o, "day", "site", 100.0)
     return b.select("bin", "np", fixed(F.col("dist"), 4).alias("dist"), fixed(F.col("gamma")).alias("gamma"))
 
 

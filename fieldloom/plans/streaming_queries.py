@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalar import fixed, fixed_sql
+from fieldloom.session import ensure_checkpoint_dir
 from fieldloom.streaming import events as S
 
 QUERIES: dict = {}
@@ -20,6 +21,11 @@ def _stream(spark, d) -> DataFrame:
 
 
 def _finished(frame: DataFrame, mode: str) -> DataFrame:
+    """What the stream gives by its end: rows that are added go to files in the shared folder, a table of sums (complete) to memory."""
+    if mode == "append":
+        path = f"{ensure_checkpoint_dir(frame.sparkSession).rstrip('/')}/fieldloom-stream-{uuid.uuid4().hex}"
+        frame.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        return frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/rows")
     name = f"stream_{uuid.uuid4().hex}"
     q = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()

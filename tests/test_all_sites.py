@@ -37,3 +37,28 @@ def test_chain_covers_every_site(spark):
         alpha, beta, vdelta = np.array([at if t in by_day else none for t in range(1, 31)]).T
         want = statespace.np_filter_smooth(np.full(30, 0.9), np.full(30, 0.6), np.full(30, 0.2), np.array([by_day.get(t, np.nan) for t in range(1, 31)]), alpha, beta, vdelta)
         assert np.allclose([filtered[site][t] for t in range(1, 31)], np.stack([want[c] for c in ("m", "p", "m_smooth", "p_smooth")], axis=1), atol=1e-6)
+
+
+def test_location_chain_uses_the_fitted_prior(spark):
+    DIR = "/root/testdata/sf0.01"
+    series, prior = defaultdict(dict), defaultdict(lambda: defaultdict(dict))
+    for r in G._location_series(spark, DIR).collect():
+        series[r.site][r.day] = r.obs
+    for r in G.prior_parameters(spark, DIR).filter("coefficient = 'Penalized ML'").collect():
+        prior[r.site][r.year][r.parameter] = r.value
+    got, zero = defaultdict(dict), {r.site: r.x for r in G.location_maps_at_zero(spark, DIR).collect()}
+    for r in G.location_assimilation(spark, DIR).collect():
+        got[r.site][r.t] = (r.m, r.p, r.m_smooth, r.p_smooth)
+    assert got.keys() == prior.keys() and len(got) > 10
+    for site, steps in prior.items():
+        obs = np.array(list(series[site].values()))
+        at, none = (0.0, 1.0, 1.0), (0.0, 1.0, 1.0)
+        if len(obs) > 1:
+            y, x = mapping.np_map(obs, obs - 1, np.full(len(obs), 0.4), TOTAL, 201, 2001)
+            at = statespace.np_measurement(PROCESS, 0.5, lambda q: np.interp(q, y, x))  # noqa: B023
+            assert zero[site] == pytest.approx(np.interp(0.0, y, x), abs=1e-9)
+        ts, seen = sorted(steps), lambda t: len(obs) > 1 and t in series[site]  # noqa: B023
+        alpha, beta, vdelta = np.array([at if seen(t) else none for t in ts]).T
+        of = lambda c: np.array([steps[t].get(c, 0.0) for t in ts])  # noqa: B023, E731
+        want = statespace.np_filter_smooth(of("mu"), of("slope"), of("r2"), np.array([series[site][t] if seen(t) else np.nan for t in ts]), alpha, beta, vdelta)
+        assert np.allclose([got[site][t] for t in ts], np.stack([want[c] for c in ("m", "p", "m_smooth", "p_smooth")], axis=1), atol=1e-6)
