@@ -154,10 +154,10 @@ def modified_band_depth(curves: DataFrame, curve: str, x: str, y: str) -> DataFr
 
 
 def functional_boxplot(curves: DataFrame, curve: str, x: str, y: str, factor: float = 1.5) -> tuple[DataFrame, DataFrame]:
-    """Per x the central half's envelope and fences, and per curve depth, central, median and outlier."""
+    """Per x the central half's envelope and fences, and per curve depth, central, median and outlier; depths equal to nine decimals go by curve."""
     depth = modified_band_depth(curves, curve, x, y)
     n = depth.count()
-    ranked = depth.withColumn("place", F.row_number().over(Window.orderBy(F.desc("depth"), curve)))
+    ranked = depth.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("depth", 9)), curve)))
     ranked = ranked.withColumns({"central": F.col("place") <= (n + 1) // 2, "median": F.col("place") == 1})
     joined = curves.join(ranked, curve)
     box = joined.groupBy(x).agg(F.min(F.when(F.col("central"), F.col(y))).alias("lower"), F.max(F.when(F.col("central"), F.col(y))).alias("upper"), F.max(F.when(F.col("median"), F.col(y))).alias("median"))

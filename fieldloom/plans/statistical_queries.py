@@ -243,11 +243,28 @@ c AS (SELECT f.* FROM full_loc f JOIN yrs USING (year)), r AS (SELECT location,
 def band_depth(spark, d):
     from fieldloom.operators.functional import modified_band_depth
 
+    return modified_band_depth(_location_curves(spark, d), "location", "year", "v").withColumn("depth", fixed(F.col("depth")))
+
+
+def _location_curves(spark, d) -> DataFrame:
+    """location, year, v: the members' mean in the years that the most locations have."""
     a = X.annual(spark, d).groupBy("location", "year").agg(F.avg("temp").alias("v"))
     n = a.groupBy("year").agg(F.count("*").alias("n"))
     most = n.agg(F.max("n").alias("m"))
-    years = n.join(F.broadcast(most), n["n"] == most["m"]).select("year")
-    return modified_band_depth(a.join(years, "year", "left_semi"), "location", "year", "v").withColumn("depth", fixed(F.col("depth")))
+    return a.join(n.join(F.broadcast(most), n["n"] == most["m"]).select("year"), "year", "left_semi")
+
+
+@query(
+    f"""WITH {_MBD}, dep AS (SELECT location, avg(CASE WHEN n > 1 THEN ((lo - 1.0) * (hi - 1.0) + n - 1) / (n * (n - 1) / 2.0) ELSE 1.0 END) AS depth FROM r GROUP BY location),
+rk AS (SELECT location, row_number() OVER (ORDER BY round(depth, 9) DESC, location) AS place, count(*) OVER () AS n FROM dep), j AS (SELECT year, v, place, place <= (n + 1) // 2 AS central FROM c JOIN rk USING (location)),
+b AS (SELECT year, min(v) FILTER (central) AS lower, max(v) FILTER (central) AS upper, max(v) FILTER (place = 1) AS median FROM j GROUP BY year)
+SELECT year, {fixed_sql('lower')} AS lower, {fixed_sql('upper')} AS upper, {fixed_sql('median')} AS median, {fixed_sql('lower - 1.5 * (upper - lower)')} AS low_fence, {fixed_sql('upper + 1.5 * (upper - lower)')} AS high_fence FROM b"""
+)
+def location_boxplot(spark, d):
+    from fieldloom.operators.functional import functional_boxplot
+
+    box = functional_boxplot(_location_curves(spark, d), "location", "year", "v")[0]
+    return box.select("year", *[fixed(F.col(c)).alias(c) for c in ("lower", "upper", "median", "low_fence", "high_fence")])
 
 
 @query(f"SELECT CAST(i AS BIGINT) AS i, {fixed_sql(bivariate_cdf_sql('x', 'y', 'r'), 10)} AS p FROM (SELECT i, i % 7 / 2.0 - 1.5 AS x, i % 5 / 2.0 - 1 AS y, i % 9 / 10.0 - 0.4 AS r FROM (SELECT CAST(unnest(range(0, 120)) AS DOUBLE) AS i))")
