@@ -167,11 +167,11 @@ def matrices(ensemble: DataFrame, site: str = "site", member: str = "member", ye
 
 def cross_validate(sites: DataFrame, site: str = "site", weights: tuple[float, ...] = WEIGHTS, parts: int | None = None, rounds: int = 100) -> DataFrame:
     """site, w1, w2, w3, score: mean held-out loss over members for every triple; each (site, triple) is one row of work, dealt to ``parts``
-    tasks (by default eight for each shuffle partition). Sites of fewer than three steps have no fit."""
+    tasks (by default eight for each shuffle partition). Sites of one step have no fit."""
     parts = parts or 8 * int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     triples = list(enumerate(product(weights, repeat=3)))
     grid = sites.sparkSession.createDataFrame([(i, *t) for i, t in triples], "grid int, w1 double, w2 double, w3 double")
-    work = sites.filter(F.size("years") > 2).crossJoin(F.broadcast(grid)).repartition(parts, site, "grid")  # the grid is a parameter
+    work = sites.filter(F.size("years") > 1).crossJoin(F.broadcast(grid)).repartition(parts, site, "grid")  # the grid is a parameter
     kind = dict(sites.dtypes)[site]
 
     def score(batches):
@@ -194,8 +194,8 @@ def best_weights(scores: DataFrame, site: str = "site") -> DataFrame:
 
 
 def fit_sites(sites: DataFrame, weights: DataFrame | tuple[float, float, float], site: str = "site") -> DataFrame:
-    """site, year, parameter (mu, slope, r2), coefficient (Penalized ML or ML), value. Slopes stand at the later year. Sites of fewer than three steps have no fit."""
-    sites = sites.filter(F.size("years") > 2)
+    """site, year, parameter (mu, slope, r2), coefficient (Penalized ML or ML), value. Slopes stand at the later year. Sites of one step have no fit."""
+    sites = sites.filter(F.size("years") > 1)
     if isinstance(weights, tuple):
         work = sites.withColumns({f"w{i + 1}": F.lit(float(w)) for i, w in enumerate(weights)})
     else:
