@@ -177,10 +177,10 @@ def wide_to_long(spark, d):
     return R.wide_to_long(wide, ["c_custkey"], r"x[0-9]{4}")
 
 
-@query("SELECT user_id, count(*) FILTER (day(ts) = 1) AS x1, count(*) FILTER (day(ts) = 2) AS x2, count(*) FILTER (day(ts) = 3) AS x3 FROM events WHERE day(ts) <= 3 GROUP BY user_id")
+@query(f"SELECT user_id, {', '.join(f'count(*) FILTER (day(ts) = {k}) AS x{k}' for k in range(1, 32))} FROM events GROUP BY user_id")
 def long_to_wide(spark, d):
-    counts = X.records(spark, d).filter("day <= 3").groupBy("site", "day").agg(F.count("*").alias("n"))
-    return R.long_to_wide(counts, ["site"], "day", [1, 2, 3], "n", "x").fillna(0).withColumnRenamed("site", "user_id")
+    counts = X.records(spark, d).groupBy("site", "day").agg(F.count("*").alias("n"))
+    return R.long_to_wide(counts, ["site"], "day", list(range(1, 32)), "n", "x").fillna(0).withColumnRenamed("site", "user_id")
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")

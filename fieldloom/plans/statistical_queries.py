@@ -117,19 +117,11 @@ def validation_summary(spark, d):
     return s.select("repetitions", *[fixed(F.col(c)).alias(c) for c in s.columns[1:]])
 
 
-@query(f"""WITH {MODE}, o AS (SELECT m.day, m.site, m.level AS z, r.lon, r.lat FROM mode m JOIN (SELECT DISTINCT site, lon, lat FROM records) r USING (site) WHERE m.site < 60),
+@query(f"""WITH {MODE}, o AS (SELECT m.day, m.site, m.level AS z, r.lon, r.lat FROM mode m JOIN (SELECT DISTINCT site, lon, lat FROM records) r USING (site)),
 p AS (SELECT {geo.ellipsoid_km_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km, (a.z - b.z) * (a.z - b.z) AS sq FROM o a JOIN o b ON a.day = b.day AND a.site < b.site)
 SELECT CAST(floor(km / 100) AS INT) AS bin, count(*) AS np, {fixed_sql('avg(km)', 4)} AS dist, {fixed_sql('avg(sq) / 2')} AS gamma FROM p WHERE km > 1 GROUP BY 1""")
 def variogram_bins(spark, d):
-    sites = X.records(spark, d).select("site", "lon", "lat").distinct()
-    o = _mode(spark, d).filter("site < 60").join(sites, "site").withColumnRenamed("level", "z")
-    b = variogram.binned(variogram.period_pairs(o, "day", "site"), 100.0)
-    return b.select("bin", "np", fixed(F.col("dist"), 4).alias("dist"), fixed(F.col("gamma")).alias("gamma"))
-
-
-@query()
-def variogram_all_sites(spark, d):
-    """The bins of variogram_bins, whose SQL names a subset, over the pairs of all sites."""
+    """Over the pairs of all sites of each day."""
     sites = X.records(spark, d).select("site", "lon", "lat").distinct()
     o = _mode(spark, d).join(sites, "site").withColumnRenamed("level", "z")
     b = variogram.period_bins(o, "day", "site", 100.0)
