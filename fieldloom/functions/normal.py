@@ -36,6 +36,36 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x.isNull(), F.lit(None)).when(x <= 0, tail).otherwise(1 - tail)
 
 
+#: A published rational start for the quantile, in the middle and in the tails, highest power first.
+QUANTILE_MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+QUANTILE_TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+TAIL = 0.02425
+
+
+def norm_quantile(p: Column) -> Column:
+    """The x with Phi(x) = p, for p between 0 and 1 (else null): a rational start and one step of Halley's method, at the smaller tail."""
+    low = F.least(p, 1 - p)
+    q, t = low - 0.5, F.sqrt(-2 * F.log(low))
+    middle = _horner(q * q, QUANTILE_MIDDLE[0]) * q / _horner(q * q, QUANTILE_MIDDLE[1])
+    start = F.when(low < TAIL, _horner(t, QUANTILE_TAIL[0]) / _horner(t, QUANTILE_TAIL[1])).otherwise(middle)
+
+    def better(x: Column) -> Column:
+        u = (norm_cdf(x) - low) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
+        return F.when(x > 1 - FAR, x - u / (1 + x * u / 2)).otherwise(x)  # beyond, norm_cdf ends
+
+    x = F.element_at(F.transform(F.array(start), better), 1)  # the start is computed once
+    return F.when((p > 0) & (p < 1), F.when(p <= 0.5, x).otherwise(-x))
+
+
+def norm_quantile_sql(p: str) -> str:
+    horner = lambda z, cs: "".join("(" for _ in cs[1:]) + repr(cs[0]) + "".join(f" * {z} + {c!r})" for c in cs[1:])
+    low = f"least({p}, 1 - {p})"
+    q, t = f"({low} - 0.5)", f"sqrt(-2 * ln({low}))"
+    start = f"(CASE WHEN {low} < {TAIL!r} THEN {horner(t, QUANTILE_TAIL[0])} / {horner(t, QUANTILE_TAIL[1])} ELSE {horner(f'({q} * {q})', QUANTILE_MIDDLE[0])} * {q} / {horner(f'({q} * {q})', QUANTILE_MIDDLE[1])} END)"
+    step = f"list_transform([{start}], lambda x: CASE WHEN x > {1 - FAR!r} THEN x - {{u}} / (1 + x * {{u}} / 2) ELSE x END)[1]".format(u=f"(({norm_cdf_sql('x')} - {low}) * {math.sqrt(2 * math.pi)!r} * exp(x * x / 2))")
+    return f"(CASE WHEN {p} <= 0.5 THEN {step} ELSE -{step} END)"
+
+
 NODES_2, WEIGHTS_2 = (a.tolist() for a in np.polynomial.legendre.leggauss(20))
 
 

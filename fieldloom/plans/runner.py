@@ -99,18 +99,22 @@ class Runner:
                     raise StepError(f"missing inputs: {', '.join(lost)}")
                 s.run(self.spark, {n: self.path(n) for n in (*s.inputs, *s.outputs)})
             except Exception:  # recorded, then told below
-                message = traceback.format_exc()[-4000:]
+                message = traceback.format_exc()
             lost = self.missing(s.outputs) if message is None else []
             ok = message is None and not lost
             self.records.append((len(self.records) + 1, s.id, began, dt.datetime.now(), time.monotonic() - clock, ok, ", ".join(lost) or None, message))
             self.write_manifest()
             if not ok:
-                raise StepError(f"{s.id} failed: " + (message or f"missing outputs: {', '.join(lost)}"))
+                raise StepError(f"{s.id} failed: " + (self.log_tail() or f"missing outputs: {', '.join(lost)}"))
         return self.manifest()
 
     def manifest(self) -> DataFrame:
         return self.spark.createDataFrame(self.records, MANIFEST)
 
+    def log_tail(self, lines: int = 50) -> str:
+        """The last lines of the last step's message, as a failed run shows them."""
+        return "\n".join((self.records[-1][-1] or "").splitlines()[-lines:]) if self.records else ""
+
     def write_manifest(self) -> None:
         self.manifest().coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").csv(f"{self.root.rstrip('/')}/run_manifest")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo, ordinal
-from fieldloom.functions.normal import bivariate_cdf, bivariate_cdf_sql, norm_cdf, norm_cdf_sql
+from fieldloom.functions.normal import bivariate_cdf, bivariate_cdf_sql, norm_cdf, norm_cdf_sql, norm_quantile, norm_quantile_sql
 from fieldloom.functions.scalar import fixed, fixed_sql
 from fieldloom.operators import mapping, relational as R, statespace, validation, variogram
 from fieldloom.plans import fixtures as X
@@ -227,6 +227,14 @@ def normal_cdf(spark, d):
     return spark.range(181).select(F.col("id").alias("i"), fixed(norm_cdf(F.col("id") / 10.0 - 9), 12).alias("p"))
 
 
+@query(f"SELECT i, {fixed_sql(norm_quantile_sql('p'), 9)} AS x FROM (SELECT i, CASE WHEN i < 1000 THEN i / 1000.0::DOUBLE ELSE pow(10.0::DOUBLE, 998 - i) END AS p FROM (SELECT unnest(range(1, 1012)) AS i))")
+def normal_quantile(spark, d):
+    """At thousandths, and far into the tail."""
+    i = F.col("id")
+    p = F.when(i < 1000, i / 1000.0).otherwise(F.pow(F.lit(10.0), 998 - i))
+    return spark.range(1, 1012).select(i.alias("i"), fixed(norm_quantile(p), 9).alias("x"))
+
+
 _MBD = X.ANNUAL + """, full_loc AS (SELECT location, year, avg(temp) AS v FROM annual GROUP BY ALL), yrs AS (SELECT year FROM full_loc GROUP BY year HAVING count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM full_loc GROUP BY year))),
 c AS (SELECT f.* FROM full_loc f JOIN yrs USING (year)), r AS (SELECT location, year, v, rank() OVER (PARTITION BY year ORDER BY v) AS lo, rank() OVER (PARTITION BY year ORDER BY v DESC) AS hi, count(*) OVER (PARTITION BY year) AS n FROM c)"""
 

@@ -88,6 +88,16 @@ def resolve_set(spark: SparkSession, candidates: dict[str, list[str]], mode: str
     raise FileNotFoundError("; ".join(f"{n} lacks {', '.join(p)}" for n, p in missing.items()))
 
 
+def quoted(path: str) -> str:
+    """A path as a string literal of SQL text."""
+    return "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_glob(path: str) -> str:
+    """A path whose signs of patterns stand for themselves, for readers that take globs."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def first_folder_with(spark: SparkSession, folders: list[str], files: list[str]) -> str:
     for f in folders:
         if all(exists(spark, f"{f}/{x}") for x in files):

@@ -169,3 +169,18 @@ def test_prior_weights_and_windows(spark):
 
 def test_grid(spark):
     assert grids.half_degree_grid(spark, 98.25, 18.25, 53, 49).select("lon", "lat").distinct().count() == 2597
+
+
+def test_quoted_paths_and_quantiles(spark, tmp_path):
+    from statistics import NormalDist
+
+    from fieldloom.functions.normal import norm_quantile
+    from fieldloom.sources import files
+
+    odd = str(tmp_path / "it's [a] {b}*")
+    spark.range(3).write.parquet(odd)
+    assert spark.read.parquet(files.literal_glob(odd)).count() == 3
+    assert spark.sql(f"SELECT {files.quoted(odd)} AS p").first().p == odd
+    ps = [1e-300, 1e-20, 1e-6, 0.02, 0.02425, 0.3, 0.5, 0.7, 0.98, 1 - 1e-9]
+    got = [r.x for r in spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None]], "p double").coalesce(1).select(norm_quantile(F.col("p")).alias("x")).collect()]
+    assert got[len(ps) :] == [None] * 3 and all(x == pytest.approx(NormalDist().inv_cdf(p), rel=1e-7, abs=1e-12) for x, p in zip(got, ps))
