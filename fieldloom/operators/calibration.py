@@ -88,6 +88,38 @@ class CovarianceTable:
         return np.interp(rho, self.rho, self.value)
 
 
+def monotone_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes at the knots of a cubic Hermite curve that is monotone where the data are (Fritsch and Carlson, 1980)."""
+    secant = np.diff(y) / np.diff(x)
+    slope = np.concatenate((secant[:1], (secant[1:] + secant[:-1]) / 2, secant[-1:]))
+    for k, s in enumerate(secant):
+        if s == 0:
+            slope[k : k + 2] = 0.0
+            continue
+        a, b = slope[k : k + 2] / s
+        u, v = 2 * a + b - 3, a + 2 * b - 3
+        if u > 0 and v > 0 and a * (u + v) < u * u:  # outside the region of monotone pieces
+            slope[k : k + 2] *= 3 / np.hypot(a, b)
+    return slope
+
+
+class SplineCovarianceTable(CovarianceTable):
+    """The same on 1501 points, made monotone by pooling, with a monotone cubic between them."""
+
+    def __init__(self, total: float, process: float, points: int = 1501) -> None:
+        self.rho = np.linspace(0, process / total, points)
+        self.value = isotonic(np_covariance(self.rho, total))
+        self.slope = monotone_slopes(self.rho, self.value)
+
+    def __call__(self, rho):
+        r = np.clip(rho, self.rho[0], self.rho[-1])
+        k = np.clip(np.searchsorted(self.rho, r, side="right") - 1, 0, len(self.rho) - 2)
+        h = self.rho[k + 1] - self.rho[k]
+        t = (r - self.rho[k]) / h
+        ends = self.value[k] * (1 + 2 * t) * (1 - t) ** 2 + self.value[k + 1] * t * t * (3 - 2 * t)
+        return ends + h * t * (1 - t) * (self.slope[k] * (1 - t) - self.slope[k + 1] * t)
+
+
 def _golden(f, lo: float, hi: float, rounds: int = 70) -> float:
     g = (5**0.5 - 1) / 2
     a, b = hi - g * (hi - lo), lo + g * (hi - lo)
@@ -115,7 +147,7 @@ def range_curve(spark: SparkSession, observed: list[float], sill: float, total:
     """f3: observed, latent; each row is a task's work of its own."""
 
     def fit(batches):
-        table = CovarianceTable(total, process, 1501)
+        table = SplineCovarianceTable(total, process)
         for b in batches:
             yield pd.DataFrame({"observed": b["observed"], "latent": [latent_range(a, sill, total, process, table) for a in b["observed"]]})
 
@@ -140,7 +172,7 @@ def calibrate(nugget: float, sill: float, range_km: float, engine: str = "analyt
     process = total - latent_nugget
     if process <= 0:
         raise CalibrationError("the nugget takes all of the variance")
-    table = CovarianceTable(total, process, 1501)
+    table = SplineCovarianceTable(total, process)
     if forward:
         return Calibration(total, process, latent_nugget, latent_range(range_km, sill, total, process, table))
     lo, hi, step = grid

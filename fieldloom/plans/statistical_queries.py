@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geo, ordinal
 from fieldloom.functions.normal import bivariate_cdf, bivariate_cdf_sql, norm_cdf, norm_cdf_sql, norm_quantile, norm_quantile_sql
 from fieldloom.functions.scalar import fixed, fixed_sql
-from fieldloom.operators import mapping, relational as R, statespace, validation, variogram
+from fieldloom.operators import calibration, mapping, relational as R, statespace, validation, variogram
 from fieldloom.plans import fixtures as X
 from fieldloom.plans.relational_queries import MODE, _mode
 
@@ -55,6 +55,14 @@ def ordinal_covariance_lookup(spark, d):
     return t.select("i", fixed(ordinal.covariance(F.col("rho"), F.lit(TOTAL)), 9).alias("covariance"))
 
 
+@query(f"SELECT i, {fixed_sql(ordinal.covariance_sql('rho', repr(TOTAL)), 7)} AS covariance FROM (SELECT i, 0.0007 * i + 0.00013 AS rho FROM (SELECT unnest(range(0, 1100)) AS i))")
+def covariance_spline(spark, d):
+    """The tabulated covariance between its knots; the SQL has the integral itself."""
+    table, i = calibration.SplineCovarianceTable(TOTAL, PROCESS), range(1100)
+    rows = [(k, float(table(0.0007 * k + 0.00013))) for k in i]
+    return spark.createDataFrame(rows, "i bigint, v double").select("i", fixed(F.col("v"), 7).alias("covariance"))
+
+
 @query(f"SELECT CAST(i AS BIGINT) AS i, {fixed_sql('v', 9)} AS latent, {fixed_sql(f'({_S}) - ({_M}) * ({_M})', 9)} AS observed FROM {VARIANCES}")
 def f1_curve(spark, d):
     v = spark.range(60).select(F.col("id").alias("i"), (0.05 * F.col("id") + 0.1).alias("v"))

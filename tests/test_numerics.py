@@ -103,6 +103,18 @@ def test_state_space_arrays_and_measurement():
     assert b == pytest.approx(0.6, abs=1e-6) and a == pytest.approx(0.4, abs=1e-6) and v == pytest.approx(4 * 0.6 * 0.4, abs=1e-6)
 
 
+def test_spline_covariance():
+    table = C.SplineCovarianceTable(TOTAL, PROCESS)
+    between = (table.rho[1:] + table.rho[:-1]) / 2
+    assert np.allclose(table(between), ordinal.np_covariance(between, TOTAL), atol=1e-8) and np.allclose(table(table.rho), table.value)
+    assert table(-1.0) == table.value[0] and table(2.0) == pytest.approx(table.value[-1])
+    table.value = np.repeat(table.value[::100], 100)[: len(table.rho)]  # steps: flat pieces and jumps
+    table.slope = C.monotone_slopes(table.rho, table.value)
+    assert (np.diff(table(np.linspace(0, PROCESS / TOTAL, 20_001))) >= -1e-12).all()
+    cube = np.linspace(0, 2, 9)
+    assert C.monotone_slopes(cube, cube) == pytest.approx(np.ones(9))
+
+
 def test_mapping_is_monotone():
     rng = np.random.default_rng(3)
     y, x = mapping.np_map(rng.normal(15, 2, 500), rng.normal(0, 0.6, 300), np.full(300, 0.3), 1.0, 201, 801)
