@@ -93,16 +93,23 @@ def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: s
     return _spread(observations.select(period, "lon", "lat", "level"), [period]).groupBy(period).applyInPandas(one, shape)
 
 
-def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration, keys: list[str]) -> DataFrame:
-    """Predictions at held-out sites from the training records of the same keys (repetition and period): keys, site, level, yhat, mspe."""
-    shared = training.sparkSession.sparkContext.broadcast(Predictor(c))
+def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration | dict[int, Calibration], keys: list[str]) -> DataFrame:
+    """Predictions at held-out sites from the training records of the same keys (repetition and period): keys, site, level, yhat, mspe.
+
+    With a calibration for each value of the first key, that key's one predicts; values without one give no rows.
+    """
+    several = isinstance(c, dict)
+    shared = training.sparkSession.sparkContext.broadcast({k: Predictor(v) for k, v in c.items()} if several else Predictor(c))  # 4001 numbers each
+    if several:
+        training, held = (f.filter(F.col(keys[0]).isin(list(c))) for f in (training, held))
     kinds = dict(held.dtypes)
     shape = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"site {kinds['site']}", f"level {kinds['level']}", "yhat double", "mspe double", "jitter double"])
 
     def one(key: tuple, train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
         if train.empty or test.empty:
             return pd.DataFrame({k: [] for k in [*keys, "site", "level", "yhat", "mspe", "jitter"]})
-        mean, variance, jitter = shared.value.predict(train["lon"].to_numpy(), train["lat"].to_numpy(), train["level"].to_numpy(), test["lon"].to_numpy(), test["lat"].to_numpy())
+        p = shared.value[key[0]] if several else shared.value
+        mean, variance, jitter = p.predict(train["lon"].to_numpy(), train["lat"].to_numpy(), train["level"].to_numpy(), test["lon"].to_numpy(), test["lat"].to_numpy())
         return test[[*keys, "site", "level"]].assign(yhat=mean, mspe=variance, jitter=jitter)
 
     fresh = lambda f, columns: f.select(*[F.col(c).alias(c) for c in columns])  # noqa: E731  both may come from one frame

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.ordinal import CUTS, LEVELS, category_probabilities
+from fieldloom.operators import calibration, variogram
 
 #: The least positive normal double.
 LEAST = 2.2250738585072014e-308
@@ -68,3 +71,34 @@ def split(records: DataFrame, site: list[str], group: str, repetitions: int, lea
     held = first_by(reps.withColumn("__draw", draw), [group, "repetition"], ["__draw", *site]).drop("__draw")
     every = records.select("*", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
     return held, every.join(held, [*site, group, "repetition"], "left_anti")
+
+
+FIELDS = "pilot_nugget double, pilot_sill double, pilot_range_km double, total double, process double, nugget double, range_km double, problem string"
+
+
+def recalibrated(training: DataFrame, period: str, width: float = 10.0, cutoff: float = 1200.0, by: str = "repetition", value: str = "level") -> DataFrame:
+    """Each repetition's own variogram of its training records, and the calibration that follows from it; a row per repetition.
+
+    What can't be fitted or calibrated is null, with the reason in ``problem``. Repetitions are fitted apart from each other.
+    """
+    bins = variogram.period_bins(training, period, "site", width, cutoff, value=value, by=by)
+    names = [by, *(f.split()[0] for f in FIELDS.split(", "))]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pilot, latent, problem = [None] * 3, [None] * 4, None
+        try:
+            f = variogram.fit_exponential(pdf.sort_values("bin").to_dict("records"))
+            pilot = [f["nugget"], f["sill"], f["range"]]
+            c = calibration.calibrate(*pilot)
+            latent = [c.total, c.process, c.nugget, c.range_km]
+        except (ValueError, np.linalg.LinAlgError) as error:  # an invalid fit is a result: the reason
+            problem = str(error)
+        return pd.DataFrame([[pdf[by].iloc[0], *pilot, *latent, problem]], columns=names)
+
+    parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bins.repartition(parts, by).groupBy(by).applyInPandas(fit, f"{by} {dict(training.dtypes)[by]}, {FIELDS}")
+
+
+def calibrations(fields: DataFrame, by: str = "repetition") -> dict[int, calibration.Calibration]:
+    """The calibrations of the repetitions that have one; as many rows as repetitions."""
+    return {r[by]: calibration.Calibration(r["total"], r["process"], r["nugget"], r["range_km"]) for r in fields.filter("problem IS NULL").collect()}

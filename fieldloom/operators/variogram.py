@@ -32,14 +32,15 @@ def binned(pairs: DataFrame, width: float = 10.0, cutoff: float | None = None, l
     return near.groupBy(F.floor(F.col("km") / width).cast("int").alias("bin")).agg(F.count("*").alias("np"), F.avg("km").alias("dist"), (F.avg("sq") / 2).alias("gamma"))
 
 
-def period_bins(obs: DataFrame, period: str, site: str, width: float = 10.0, cutoff: float | None = None, least_km: float = 1.0, lon: str = "lon", lat: str = "lat", value: str = "z", block_rows: int = 2048) -> DataFrame:
-    """The bins of the pairs of sites of each period, as ``binned(period_pairs(...))`` gives them: sums of whole matrices of distances.
+def period_bins(obs: DataFrame, period: str, site: str, width: float = 10.0, cutoff: float | None = None, least_km: float = 1.0, lon: str = "lon", lat: str = "lat", value: str = "z", block_rows: int = 2048, by: str | None = None) -> DataFrame:
+    """The bins of the pairs of sites of each period, for each value of ``by`` if that is given, as ``binned(period_pairs(...))`` gives them: sums of whole matrices of distances.
 
     A period is cut into blocks of about ``block_rows`` sites, each of which meets all of the period's sites, in slices that hold only the
     sites whose latitude is within the cutoff; what leaves a block is a row per bin.
     """
-    o = obs.select(F.col(period).alias("period"), F.col(site).alias("site"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"), F.col(value).cast("double").alias("z"))
-    most = o.groupBy("period").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    apart = F.lit(0) if by is None else F.col(by)
+    o = obs.select(apart.alias("by"), F.col(period).alias("period"), F.col(site).alias("site"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"), F.col(value).cast("double").alias("z"))
+    most = o.groupBy("by", "period").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     blocks, parts = -(-most // block_rows), int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = o.withColumn("own", F.pmod(F.xxhash64("site"), F.lit(blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -61,10 +62,12 @@ def period_bins(obs: DataFrame, period: str, site: str, width: float = 10.0, cut
             sq = (z[some][a] - z[lo:hi][b]) ** 2
             for k, n, d, s in zip(bins.tolist(), np.bincount(first, minlength=len(bins)), np.bincount(first, km[a, b], len(bins)), np.bincount(first, sq, len(bins)), strict=True):
                 found[k] = found.get(k, np.zeros(3)) + (n, d, s)
-        return pd.DataFrame([(k, int(v[0]), v[1], v[2]) for k, v in found.items()], columns=["bin", "np", "km", "sq"])
+        return pd.DataFrame([(pdf["by"].iloc[0], k, int(v[0]), v[1], v[2]) for k, v in found.items()], columns=["by", "bin", "np", "km", "sq"])
 
-    found = dealt.repartition(4 * parts, "period", "block").groupBy("period", "block").applyInPandas(sums, "bin int, np long, km double, sq double")
-    return found.groupBy("bin").agg(F.sum("np").alias("np"), (F.sum("km") / F.sum("np")).alias("dist"), (F.sum("sq") / F.sum("np") / 2).alias("gamma"))
+    keys = ["by", "period", "block"]
+    found = dealt.repartition(4 * parts, *keys).groupBy(*keys).applyInPandas(sums, f"by {dict(o.dtypes)['by']}, bin int, np long, km double, sq double")
+    kept = [] if by is None else [F.col("by").alias(by)]
+    return found.groupBy(*kept, "bin").agg(F.sum("np").alias("np"), (F.sum("km") / F.sum("np")).alias("dist"), (F.sum("sq") / F.sum("np") / 2).alias("gamma"))
 
 
 def exponential(h, nugget, sill, scale):

@@ -227,3 +227,9 @@ def repeated_validation(spark, d):
     p = kriging.krige_held_out(training, held, FIELD, ["repetition", "year"])
     scores = validation.scored(p.withColumn("sd", F.sqrt(F.col("mspe") + FIELD.nugget)))
     return validation.summary(scores, ["rps", "hit", "log_score"])
+
+
+@query
+def recalibrated_fields(spark, d):
+    """The variogram and calibration of each of 30 repetitions, from its own training records."""
+    return validation.recalibrated(validation.split(_observations(spark, d), ["site"], "year", 30)[1], "year", 50.0, 1500.0)
