@@ -176,12 +176,15 @@ def calibrate(nugget: float, sill: float, range_km: float, engine: str = "analyt
     if forward:
         return Calibration(total, process, latent_nugget, latent_range(range_km, sill, total, process, table))
     lo, hi, step = grid
+    y = np.empty(0)
     while True:
         x = np.arange(lo, hi + step / 2, step)
+        more = x[len(y) :]  # a grid that has grown keeps what it had
         if spark is None:
-            y = np.array([latent_range(a, sill, total, process, table) for a in x])
+            found = [latent_range(a, sill, total, process, table) for a in more]
         else:
-            y = np.asarray([r["latent"] for r in range_curve(spark, x.tolist(), sill, total, process).orderBy("observed").collect()])  # a row per grid value
+            found = [r["latent"] for r in range_curve(spark, more.tolist(), sill, total, process).orderBy("observed").collect()]  # a row per grid value
+        y = np.concatenate((y, found))
         if y.max() >= range_km:
             return Calibration(total, process, latent_nugget, monotone_inverse(x, y, range_km, "range"))
         if (hi := hi * 1.5) > most:
