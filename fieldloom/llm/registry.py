@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import backoff, factor_machine, jaccard_join, license_rules, line_rules, mixing, packing, simhash, url_templates, vector_search, warc
+from fieldloom.llm import backoff, collocations, factor_machine, jaccard_join, license_rules, line_rules, mixing, packing, simhash, url_templates, vector_search, warc
 
 QUERIES = {
     "op8_path_templates": url_templates.op8_path_templates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_license_rules": license_rules.op9_license_rules,
     "op5_golden_mix": mixing.op5_golden_mix,
     "op7_line_rules": line_rules.op7_line_rules,
+    "op11_prefix_growth": collocations.op11_prefix_growth,
     "op12_byte_index": simhash.op12_byte_index,
 }
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op1_prefix_join": jaccard_join.ORACLE,
     "op5_golden_mix": mixing.ORACLE,
     "op7_line_rules": line_rules.ORACLE,
+    "op11_prefix_growth": collocations.ORACLE,
 }
