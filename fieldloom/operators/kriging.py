@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from fieldloom.functions.geo import np_ellipsoid_matrix
 from fieldloom.functions.ordinal import np_moments, np_slope
 from fieldloom.operators.calibration import Calibration, CovarianceTable
+from fieldloom.session import dealt
 
-#: What is added to the diagonal, times its mean, until the factorisation holds.
+#: What is added to the diagonal until the factorisation holds.
 JITTERS = (0.0, 1e-12, 1e-10, 1e-8, 1e-6)
 MOST_TARGETS = 200_000
 
@@ -70,11 +71,6 @@ class Predictor:
         return np.concatenate(means), np.concatenate(variances), f.jitter
 
 
-def _spread(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """Dealt by key into a stated number of partitions: the groups are few bytes and much work, so they must not be merged into few tasks."""
-    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: str = "year") -> DataFrame:
     """period, target_set, target_id, mean, variance, n_obs, jitter. observations: period, lon, lat, level; targets: target_set, target_id, lon, lat."""
     n = targets.limit(MOST_TARGETS + 1).count()
@@ -90,7 +86,7 @@ def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: s
         mean, variance, jitter = p.predict(pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), pdf["level"].to_numpy(), where["lon"].to_numpy(), where["lat"].to_numpy())
         return pd.DataFrame({period: pdf[period].iloc[0], "target_set": where["target_set"], "target_id": where["target_id"], "mean": mean, "variance": variance, "n_obs": len(pdf), "jitter": jitter})
 
-    return _spread(observations.select(period, "lon", "lat", "level"), [period]).groupBy(period).applyInPandas(one, shape)
+    return dealt(observations.select(period, "lon", "lat", "level"), period).groupBy(period).applyInPandas(one, shape)
 
 
 def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration | dict[int, Calibration], keys: list[str]) -> DataFrame:
@@ -113,4 +109,4 @@ def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration | dict[i
         return test[[*keys, "site", "level"]].assign(yhat=mean, mspe=variance, jitter=jitter)
 
     fresh = lambda f, columns: f.select(*[F.col(c).alias(c) for c in columns])  # noqa: E731  both may come from one frame
-    return _spread(fresh(training, [*keys, "lon", "lat", "level"]), keys).groupBy(*keys).cogroup(_spread(fresh(held, held.columns), keys).groupBy(*keys)).applyInPandas(one, shape)
+    return dealt(fresh(training, [*keys, "lon", "lat", "level"]), *keys).groupBy(*keys).cogroup(dealt(fresh(held, held.columns), *keys).groupBy(*keys)).applyInPandas(one, shape)

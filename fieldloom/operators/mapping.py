@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.normal import norm_cdf, np_cdf
+from fieldloom.session import dealt
 
 
 def kernel_cdf(sample: DataFrame, keys: list[str], value: str, at: list[float], bandwidth: Column | float) -> DataFrame:
@@ -101,4 +102,4 @@ def quantile_maps(samples: DataFrame, estimates: DataFrame, total: float, points
         return pd.DataFrame({"site": key[0], "y": y, "x": x})
 
     kind = dict(samples.dtypes)["site"]
-    return samples.groupBy("site").cogroup(estimates.groupBy("site")).applyInPandas(one, f"site {kind}, y double, x double")
+    return dealt(samples, "site").groupBy("site").cogroup(dealt(estimates, "site").groupBy("site")).applyInPandas(one, f"site {kind}, y double, x double")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.session import dealt
+
 FLOOR = 1e-10
 
 
@@ -165,28 +167,26 @@ def matrices(ensemble: DataFrame, site: str = "site", member: str = "member", ye
     return rows.groupBy(site).agg(F.min("years").alias("years"), F.min("years").eqNullSafe(F.max("years")).alias("dense"), F.sort_array(F.collect_list(F.struct(member, "x"))).alias("m")).select(site, "years", "dense", F.transform("m", lambda v: v["x"]).alias("x"))
 
 
-def cross_validate(sites: DataFrame, site: str = "site", weights: tuple[float, ...] = WEIGHTS, parts: int | None = None, rounds: int = 100) -> DataFrame:
-    """site, w1, w2, w3, score: mean held-out loss over members for every triple; each (site, triple) is one row of work, dealt to ``parts``
-    tasks (by default eight for each shuffle partition). Sites of one step have no fit."""
+def cross_validate(sites: DataFrame, site: str = "site", weights: tuple[float, ...] = WEIGHTS, parts: int | None = None, rounds: int = 100, batch: int = 172) -> DataFrame:
+    """site, w1, w2, w3, score: mean held-out loss over members for every triple. A row of work is a site and ``batch`` triples, which
+    are fitted for all held-out members at once; rows are dealt to ``parts`` tasks (by default eight for each shuffle partition). Sites of
+    one step have no fit."""
+    from fieldloom.operators.prior_batch import held_out_scores
+
     parts = parts or 8 * int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    triples = list(enumerate(product(weights, repeat=3)))
-    grid = sites.sparkSession.createDataFrame([(i, *t) for i, t in triples], "grid int, w1 double, w2 double, w3 double")
-    work = sites.filter(F.size("years") > 1).crossJoin(F.broadcast(grid)).repartition(parts, site, "grid")  # the grid is a parameter
+    triples = list(product(weights, repeat=3))
+    grid = F.explode(F.sequence(F.lit(0), F.lit(len(triples) - 1), F.lit(batch))).alias("grid")  # the first triple of each batch
+    work = dealt(sites.filter(F.size("years") > 1).select(site, "x", grid), site, "grid", parts=parts)
     kind = dict(sites.dtypes)[site]
 
     def score(batches):
         for b in batches:
-            out = []
-            for key, g, w1, w2, w3, rows in zip(b[site], b["grid"], b["w1"], b["w2"], b["w3"], b["x"], strict=True):
-                x = np.stack([np.asarray(r, float) for r in rows])
-                losses = []
-                for j in range(len(x)):
-                    f = fit(np.delete(x, j, axis=0), w1, w2, w3, rounds)
-                    losses.append(member_loss(x[j], f["mu"], f["slope"], f["r2"]))
-                out.append((key, g, w1, w2, w3, float(np.mean(losses))))
-            yield pd.DataFrame(out, columns=[site, "grid", "w1", "w2", "w3", "score"])
+            for key, first, rows in zip(b[site], b["grid"], b["x"], strict=True):
+                mine = triples[first : first + batch]
+                found = held_out_scores(np.stack([np.asarray(r, float) for r in rows]), np.asarray(mine), rounds)
+                yield pd.DataFrame([(key, first + k, *w, v) for k, (w, v) in enumerate(zip(mine, found.tolist(), strict=True))], columns=[site, "grid", "w1", "w2", "w3", "score"])
 
-    return work.select(site, "grid", "w1", "w2", "w3", "x").mapInPandas(score, f"{site} {kind}, grid int, w1 double, w2 double, w3 double, score double")
+    return work.mapInPandas(score, f"{site} {kind}, grid int, w1 double, w2 double, w3 double, score double")
 
 
 def best_weights(scores: DataFrame, site: str = "site") -> DataFrame:
@@ -213,4 +213,4 @@ def fit_sites(sites: DataFrame, weights: DataFrame | tuple[float, float, float],
                         out += [(key, int(y), parameter, name, float(v)) for y, v in zip(at, f[parameter], strict=True)]
             yield pd.DataFrame(out, columns=[site, "year", "parameter", "coefficient", "value"])
 
-    return work.select(site, "years", "x", "w1", "w2", "w3").repartition(site).mapInPandas(run, f"{site} {kind}, year int, parameter string, coefficient string, value double")
+    return work.select(site, "years", "x", "w1", "w2", "w3").transform(dealt, site).mapInPandas(run, f"{site} {kind}, year int, parameter string, coefficient string, value double")

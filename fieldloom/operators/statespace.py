@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.session import dealt
+
 STEP = "struct<t:int,mu:double,slope:double,r2:double,obs:double,alpha:double,beta:double,vdelta:double>"
 STATE = "struct<t:int,mu:double,slope:double,r2:double,obs:double,m_pred:double,p_pred:double,gain:double,innovation:double,proxy:double,weight:double,m:double,p:double>"
 
@@ -134,4 +136,4 @@ def measurement_parameters(sites: DataFrame, maps: DataFrame, total: float) -> D
         return pd.DataFrame(rows, columns=["site", "t", "alpha", "beta", "vdelta"])
 
     kind = dict(sites.dtypes)["site"]
-    return sites.groupBy("site").cogroup(maps.groupBy("site")).applyInPandas(one, f"site {kind}, t int, alpha double, beta double, vdelta double")
+    return dealt(sites, "site").groupBy("site").cogroup(dealt(maps, "site").groupBy("site")).applyInPandas(one, f"site {kind}, t int, alpha double, beta double, vdelta double")

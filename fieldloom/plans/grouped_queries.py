@@ -10,6 +10,7 @@ from fieldloom.operators import calibration, functional, glm, interpolation, kri
 from fieldloom.plans import fixtures as X
 from fieldloom.plans.relational_queries import _mode
 from fieldloom.plans.statistical_queries import PROCESS, TOTAL
+from fieldloom.session import stored
 
 QUERIES: dict = {}
 FIELD = calibration.Calibration(TOTAL, PROCESS, TOTAL - PROCESS, 442.1301679)
@@ -76,7 +77,8 @@ def _ensemble(spark, d) -> DataFrame:
 
 @query
 def prior_fit_cv(spark, d):
-    scores = prior.cross_validate(prior.matrices(_ensemble(spark, d)), weights=(1.0, 1000.0))
+    scores = prior.cross_validate(stored(prior.matrices(_ensemble(spark, d))))
+    scores = stored(scores)
     return prior.best_weights(scores).join(scores, ["site", "w1", "w2", "w3"]).select("site", "w1", "w2", "w3", "score")
 
 

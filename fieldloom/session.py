@@ -58,3 +58,10 @@ def discard(frame: DataFrame) -> None:
     spark = frame.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(frame._fieldloom_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(frame: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """The frame dealt by keys into a stated number of partitions (by default twice the shuffle partitions): for groups of few bytes and
+    much work, which adaptive execution must not merge into few tasks. A number that differs from the shuffle partitions keeps
+    Catalyst from taking an aggregate's own exchange by the same keys instead, which may be merged."""
+    return frame.repartition(parts or 2 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
