@@ -198,6 +198,31 @@ def rts_smoother(spark, d):
     return f.select("site", "t", fixed(F.col("m_smooth")).alias("m_smooth"), fixed(F.col("p_smooth")).alias("p_smooth"))
 
 
+_HOURS = """hourly AS (SELECT event_type, CAST((day(ts) - 1) * 24 + hour(ts) AS INT) AS t, avg(value) / 100 AS obs FROM events GROUP BY ALL),
+h AS (SELECT e.event_type, g.t, 1.0::DOUBLE + g.t % 24 / 24.0::DOUBLE AS mu, 0.6::DOUBLE AS slope, 0.3::DOUBLE AS r2, obs, 0.1::DOUBLE AS alpha, 0.9::DOUBLE AS beta, 0.2::DOUBLE AS v
+FROM (SELECT DISTINCT event_type FROM events) e CROSS JOIN (SELECT CAST(unnest(range(0, 720)) AS INT) AS t) g LEFT JOIN hourly o ON o.event_type = e.event_type AND o.t = g.t),
+f AS (SELECT event_type, t, mu, slope, r2, mu AS mp, r2 AS pp, CASE WHEN obs IS NULL THEN mu ELSE mu + r2 * beta / (beta * beta * r2 + v) * (obs - alpha - beta * mu) END AS m,
+CASE WHEN obs IS NULL THEN r2 ELSE greatest((1 - r2 * beta / (beta * beta * r2 + v) * beta) * r2, 0.0) END AS p FROM h WHERE t = 0
+UNION ALL SELECT event_type, t, mu, slope, r2, mp, pp, CASE WHEN obs IS NULL THEN mp ELSE mp + pp * beta / (beta * beta * pp + v) * (obs - alpha - beta * mp) END, CASE WHEN obs IS NULL THEN pp ELSE greatest((1 - pp * beta / (beta * beta * pp + v) * beta) * pp, 0.0) END
+FROM (SELECT n.*, n.mu + n.slope * (f.m - f.mu) AS mp, n.slope * n.slope * f.p + n.r2 AS pp FROM f JOIN h n ON n.event_type = f.event_type AND n.t = f.t + 1)),
+s AS (SELECT event_type, t, m AS ms, p AS ps FROM f WHERE t = 719 UNION ALL SELECT c.event_type, c.t, c.m + g * (s.ms - c.nmp), greatest(c.p + g * g * (s.ps - c.npp), 0.0)
+FROM s JOIN (SELECT a.event_type, a.t, a.m, a.p, b.mp AS nmp, b.pp AS npp, CASE WHEN b.pp > 0 THEN a.p * b.slope / b.pp ELSE 0.0 END AS g FROM f a JOIN f b ON b.event_type = a.event_type AND b.t = a.t + 1) c ON c.event_type = s.event_type AND c.t = s.t - 1)"""
+
+
+@query(f"WITH RECURSIVE {_HOURS} SELECT event_type, t, {fixed_sql('m')} AS m, {fixed_sql('p')} AS p, {fixed_sql('ms')} AS m_smooth, {fixed_sql('ps')} AS p_smooth FROM f JOIN s USING (event_type, t)")
+def long_series_filter(spark, d):
+    """The filter and smoother of each event type's hours, in blocks of 64."""
+    from fieldloom.operators.longseries import filter_long_series
+
+    e = X.read(spark, d, "events")
+    hourly = e.groupBy("event_type", ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).alias("t")).agg((F.avg("value") / 100).alias("obs"))
+    hours = e.select("event_type").distinct().crossJoin(F.broadcast(spark.range(720).select(F.col("id").cast("int").alias("t"))))
+    fixed_values = {"slope": 0.6, "r2": 0.3, "alpha": 0.1, "beta": 0.9, "vdelta": 0.2}
+    rows = hours.join(hourly, ["event_type", "t"], "left").select("event_type", "t", (1 + F.col("t") % 24 / F.lit(24.0)).alias("mu"), "obs", *[F.lit(v).alias(k) for k, v in fixed_values.items()])
+    f = filter_long_series(rows, ["event_type"], 64)
+    return f.select("event_type", "t", *[fixed(F.col(c)).alias(c) for c in ("m", "p", "m_smooth", "p_smooth")])
+
+
 @query("SELECT 0::BIGINT AS violations")
 def filter_identity(spark, d):
     return statespace.identity_violations(statespace.filter_series(_dense(spark, d), ["site"])).agg(F.count("*").alias("violations"))
