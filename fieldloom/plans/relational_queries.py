@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geo
 from fieldloom.functions.scalar import clamp, fixed, fixed_sql, is_finite, normal_name, p_value_text, round_to_level
 from fieldloom.operators import expect, relational as R
+from fieldloom.operators.selection import exact_quantiles
 from fieldloom.plans import fixtures as X
+from fieldloom.session import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -111,11 +113,10 @@ ANOMALY = X.ANNUAL + ", an AS (SELECT *, temp - avg(temp) OVER (PARTITION BY loc
 
 @query(f"WITH {ANOMALY} SELECT location, {fixed_sql('avg(temp)')} AS mean, {fixed_sql('stddev_samp(temp)')} AS sd, {fixed_sql('avg(CASE WHEN a <= lo THEN 1.0 ELSE 0.0 END)')} AS p_cold, {fixed_sql('avg(CASE WHEN a >= hi THEN 1.0 ELSE 0.0 END)')} AS p_warm FROM an, q GROUP BY location")
 def climate_summary(spark, d):
-    a = R.centred(X.annual(spark, d), ["location", "member"], "temp")
-    q = a.agg(F.percentile("anomaly", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    x = a.crossJoin(F.broadcast(q))  # one row
-    return x.groupBy("location").agg(
-        fixed(F.avg("temp")).alias("mean"), fixed(F.stddev_samp("temp")).alias("sd"), fixed(R.share(F.col("anomaly") <= F.col("q")[0])).alias("p_cold"), fixed(R.share(F.col("anomaly") >= F.col("q")[1])).alias("p_warm")
+    a = stored(R.centred(X.annual(spark, d), ["location", "member"], "temp"))
+    lo, hi = exact_quantiles(a, "anomaly", [0.1, 0.9])
+    return a.groupBy("location").agg(
+        fixed(F.avg("temp")).alias("mean"), fixed(F.stddev_samp("temp")).alias("sd"), fixed(R.share(F.col("anomaly") <= lo)).alias("p_cold"), fixed(R.share(F.col("anomaly") >= hi)).alias("p_warm")
     )
 
 
