@@ -24,19 +24,38 @@ JITTERS = (0.0, 1e-12, 1e-10, 1e-8, 1e-6)
 MOST_TARGETS = 200_000
 
 
+BLOCK = 128
+
+
 @dataclass(frozen=True)
 class Factor:
-    inverse: np.ndarray  # of the lower triangular factor, computed once
+    """The lower triangular factor; systems are solved by substitution, a block of rows at a time, so no inverse is formed."""
+
+    lower: np.ndarray
     jitter: float
 
+    def forward(self, b: np.ndarray) -> np.ndarray:
+        out = np.array(b, float)
+        for lo in range(0, len(out), BLOCK):
+            hi = min(lo + BLOCK, len(out))
+            out[lo:hi] = np.linalg.solve(self.lower[lo:hi, lo:hi], out[lo:hi] - self.lower[lo:hi, :lo] @ out[:lo])
+        return out
+
+    def backward(self, b: np.ndarray) -> np.ndarray:
+        out = np.array(b, float)
+        for lo in reversed(range(0, len(out), BLOCK)):
+            hi = min(lo + BLOCK, len(out))
+            out[lo:hi] = np.linalg.solve(self.lower[lo:hi, lo:hi].T, out[lo:hi] - self.lower[hi:, lo:hi].T @ out[hi:])
+        return out
+
     def solve(self, b: np.ndarray) -> np.ndarray:
-        return self.inverse.T @ (self.inverse @ b)
+        return self.backward(self.forward(b))
 
 
 def factorise(matrix: np.ndarray) -> Factor:
     for jitter in JITTERS:  # added to the diagonal as it is
         try:
-            return Factor(np.linalg.inv(np.linalg.cholesky(matrix + jitter * np.eye(len(matrix)))), jitter)
+            return Factor(np.linalg.cholesky(matrix + jitter * np.eye(len(matrix)) if jitter else matrix), jitter)
         except np.linalg.LinAlgError:
             continue
     raise np.linalg.LinAlgError("the covariance is not positive definite, even with jitter")
@@ -52,7 +71,10 @@ class Predictor:
         self.table = CovarianceTable(c.total, c.process)
 
     def covariance(self, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
-        km = np_ellipsoid_matrix(lon, lat, lon, lat)
+        return self.covariance_at(np_ellipsoid_matrix(lon, lat, lon, lat))
+
+    def covariance_at(self, km: np.ndarray) -> np.ndarray:
+        """Between observations at these distances."""
         s = self.table(self.c.process / self.c.total * np.exp(-km / self.c.range_km))
         np.fill_diagonal(s, self.variance)
         return s
@@ -64,12 +86,29 @@ class Predictor:
         means, variances = [], []
         for k in range(0, len(tlon), slice_rows):
             km = np_ellipsoid_matrix(lon, lat, tlon[k : k + slice_rows], tlat[k : k + slice_rows])
-            cross = self.c.process * np.exp(-km / self.c.range_km) * self.slope / self.c.total
-            half = f.inverse @ cross
+            cross = self.cross(km)
+            half = f.forward(cross)
             means.append(cross.T @ weight)
             variances.append(np.maximum(self.c.process - (half * half).sum(axis=0), 0))
         return np.concatenate(means), np.concatenate(variances), f.jitter
 
+    def cross(self, km: np.ndarray) -> np.ndarray:
+        """Between observations and the latent field at these distances."""
+        return self.c.process * np.exp(-km / self.c.range_km) * self.slope / self.c.total
+
+    def left_out(self, km: np.ndarray, level: np.ndarray, sites: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+        """For each of ``sites`` (places in km) the prediction from all others, from one factor of all: without site i the solution of a
+        system is u - v u_i / v_i, where u solves the whole system with 0 at i, and v solves it for the i-th unit vector."""
+        f = factorise(self.covariance_at(km))
+        unit = np.eye(len(km))[:, sites]
+        cross = self.cross(km[:, sites])
+        own = np.arange(len(sites))
+        cross[sites, own] = 0.0
+        u, v = np.split(f.solve(np.concatenate((cross, unit), axis=1)), 2, axis=1)
+        weight = u - v * (u[sites, own] / v[sites, own])
+        weight[sites, own] = 0.0
+        return weight.T @ (level - self.mean), np.maximum(self.c.process - (weight * cross).sum(axis=0), 0), f.jitter
+
 
 def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: str = "year") -> DataFrame:
     """period, target_set, target_id, mean, variance, n_obs, jitter. observations: period, lon, lat, level; targets: target_set, target_id, lon, lat."""
@@ -110,3 +149,37 @@ def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration | dict[i
 
     fresh = lambda f, columns: f.select(*[F.col(c).alias(c) for c in columns])  # noqa: E731  both may come from one frame
     return dealt(fresh(training, [*keys, "lon", "lat", "level"]), *keys).groupBy(*keys).cogroup(dealt(fresh(held, held.columns), *keys).groupBy(*keys)).applyInPandas(one, shape)
+
+
+def krige_left_out(records: DataFrame, held: DataFrame, c: Calibration | dict[int, Calibration], period: str = "year", repetition: str = "repetition", chunk: int = 10) -> DataFrame:
+    """repetition, period, site, level, yhat, mspe, jitter: predictions at held-out sites from all other records of their period.
+
+    records: period, site, lon, lat, level, one row a site and period; held: repetition, period, site. A group is a period and up to
+    ``chunk`` repetitions: its distances are computed once, repetitions with one calibration share a factor, and no training table is
+    copied for each repetition. With a calibration for each repetition that one predicts; repetitions without one give no rows.
+    """
+    shared = records.sparkSession.sparkContext.broadcast({k: Predictor(v) for k, v in c.items()} if isinstance(c, dict) else Predictor(c))  # 4001 numbers each
+    if isinstance(c, dict):
+        held = held.filter(F.col(repetition).isin(list(c)))
+    kinds = dict(records.dtypes) | {repetition: dict(held.dtypes)[repetition]}
+    shape = f"{repetition} {kinds[repetition]}, {period} {kinds[period]}, site {kinds['site']}, level {kinds['level']}, yhat double, mspe double, jitter double"
+    names = [x.split()[0] for x in shape.split(", ")]
+    numbered = held.select(F.col(period).alias(period), F.col("site").alias("site"), F.col(repetition).alias(repetition), F.floor(F.col(repetition) / chunk).alias("chunk"))
+    groups = numbered.select(period, "chunk").distinct().withColumnRenamed(period, "of")
+    mine = records.join(groups, records[period] == groups["of"]).select(*[F.col(k).alias(k) for k in (period, "site", "lon", "lat", "level")], F.col("chunk").alias("chunk"))
+
+    def one(key: tuple, rows: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) < 2 or out.empty:
+            return pd.DataFrame({k: [] for k in names})
+        place = {site: k for k, site in enumerate(rows["site"])}
+        lon, lat, level = (rows[k].to_numpy(float) for k in ("lon", "lat", "level"))
+        km = np_ellipsoid_matrix(lon, lat, lon, lat)
+        several = isinstance(shared.value, dict)
+        found = []
+        for which, part in out.groupby(repetition) if several else [(None, out)]:
+            mean, variance, jitter = (shared.value[which] if several else shared.value).left_out(km, level, [place[s] for s in part["site"]])
+            found.append(part.assign(level=[rows["level"].iloc[place[s]] for s in part["site"]], yhat=mean, mspe=variance, jitter=jitter))
+        return pd.concat(found)[names]
+
+    parts = 8 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # groups are few and heavy
+    return dealt(mine, period, "chunk", parts=parts).groupBy(period, "chunk").cogroup(dealt(numbered, period, "chunk", parts=parts).groupBy(period, "chunk")).applyInPandas(one, shape)

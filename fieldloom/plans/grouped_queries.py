@@ -221,14 +221,28 @@ def within_polygon(spark, d):
     return R.within_polygons(sites, [[(100.0, 20.0), (112.0, 20.0), (112.0, 32.0), (100.0, 32.0)]], 150.0)
 
 
+def _validated(spark, d, field) -> DataFrame:
+    """Scores of 30 repetitions, each with one site held out of every day; ``field`` gives calibrations for held and training records."""
+    obs = stored(_observations(spark, d))
+    held, training = validation.split(obs, ["site"], "year", 30)
+    held = stored(held)
+    c = field(training)
+    p = kriging.krige_left_out(obs, held, c)
+    nugget = F.lit(c.nugget) if not isinstance(c, dict) else F.create_map(*[F.lit(v) for k, x in c.items() for v in (k, x.nugget)])[F.col("repetition")] if c else F.lit(0.0)
+    scores = validation.scored(p.withColumn("sd", F.sqrt(F.col("mspe") + nugget)))
+    return validation.summary(stored(scores), ["rps", "hit", "log_score"])
+
+
 @query
 def repeated_validation(spark, d):
-    obs = _observations(spark, d)
-    held, training = validation.split(obs, ["site"], "year", 2)
-    held = held.join(obs, ["site", "year"])
-    p = kriging.krige_held_out(training, held, FIELD, ["repetition", "year"])
-    scores = validation.scored(p.withColumn("sd", F.sqrt(F.col("mspe") + FIELD.nugget)))
-    return validation.summary(scores, ["rps", "hit", "log_score"])
+    """Under one given field."""
+    return _validated(spark, d, lambda training: FIELD)
+
+
+@query
+def recalibrated_validation(spark, d):
+    """Each repetition under the field of its own training records; repetitions without a valid one are not scored."""
+    return _validated(spark, d, lambda training: validation.calibrations(stored(validation.recalibrated(training, "year", 50.0, 1500.0))))
 
 
 @query

@@ -43,3 +43,27 @@ def test_an_invalid_fit_gives_its_reason(spark, records):
     flat = records.filter("year < 2 AND site < 4").selectExpr("*", "1 AS repetition")
     (row,) = validation.recalibrated(flat, "year", 5000.0, 6000.0).collect()
     assert row["total"] is None and "three bins" in row["problem"]
+
+
+def test_left_out_sites_agree_with_training_without_them(spark, records):
+    """One factor of all records and a rank-one correction, against a factor for each repetition's own training records."""
+    held, training = validation.split(records, ["site"], "year", 3)
+    fields = {k: calibration.Calibration(1.0, 0.8 - k / 20, 0.2 + k / 20, 300.0 + 50 * k) for k in (1, 3)}
+    levels = held.join(records, ["site", "year"])
+    order = ["repetition", "year"]
+    for c in (fields, fields[1]):
+        want = kriging.krige_held_out(training, levels, c, order).toPandas().sort_values(order)
+        for chunk in (1, 10):
+            got = kriging.krige_left_out(records, held, c, chunk=chunk).toPandas().sort_values(order)
+            assert len(got) == len(want) == (80 if c is fields else 120)
+            for k in ("site", "level", "yhat", "mspe"):
+                assert np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9), k
+
+
+def test_factor_solves_by_substitution():
+    rng = np.random.default_rng(2)
+    for n in (1, 127, 128, 300):
+        root = rng.standard_normal((n, n))
+        m = root @ root.T + n * np.eye(n)
+        f, b = kriging.factorise(m), rng.standard_normal((n, 3))
+        assert np.allclose(m @ f.solve(b), b) and np.allclose(f.lower @ f.forward(b[:, 0]), b[:, 0])
