@@ -42,6 +42,7 @@ ENDINGS = r"""[.!?…。！？:;"'”’)\]]$"""
 class LineRules:
     """Limits, all in whole numbers so that every engine decides alike."""
 
+    furniture_chars: int = 100  # a longer line is prose, whatever phrase it holds
     short_line: int = 8  # a line with fewer words must end as a sentence does
     nav_bars: int = 2  # a line with more of BARS, and one for each nav_words words, is navigation
     nav_words: int = 6
@@ -80,12 +81,12 @@ def _repeat_words(words: Column, window: int) -> Column:
 
 
 def _any_of(phrases: tuple[str, ...]) -> str:
-    """A pattern that finds any of the phrases, which are letters, blanks and apostrophes, after a sign that is no letter a-z; only there
+    """A pattern that finds any of the phrases, which are letters, blanks and apostrophes, between signs that are no letters a-z; only there
     are the alternatives tried, which are dealt by their first letter."""
     by: dict[str, list[str]] = {}
     for p in sorted(phrases):
         by.setdefault(p[0], []).append(p[1:])
-    return "[^a-z](?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
+    return "[^a-z](?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")[^a-z]"
 
 
 def _fails(line: Column, r: LineRules) -> Column:
@@ -102,9 +103,10 @@ def _fails(line: Column, r: LineRules) -> Column:
         return (upper * 100 > r.upper_least * r.upper_percent) & let(letters, lambda n: (n >= r.upper_least) & (upper * 100 > n * r.upper_percent))
 
     dangling = ~F.rtrim(line, F.lit(BLANKS)).rlike(ENDINGS) & (count_words(line) < r.short_line)
+    furniture = (F.length(line) <= r.furniture_chars) & F.concat(F.lit(" "), F.lower(line), F.lit(" ")).rlike(_any_of(BOILERPLATE))
     # cheap tests that most lines end at come first in each rule
     every = f"[{SYMBOLS}{BARS.replace('|', '')}]"
-    return let(F.regexp_count(line, F.lit(every)), marked) | let(F.regexp_count(line, F.lit("[A-Z]")), shouting) | dangling | F.concat(F.lit(" "), F.lower(line)).rlike(_any_of(BOILERPLATE))
+    return let(F.regexp_count(line, F.lit(every)), marked) | let(F.regexp_count(line, F.lit("[A-Z]")), shouting) | dangling | furniture
 
 
 def judge(text: Column, rules: LineRules = LineRules()) -> Column:
@@ -170,7 +172,7 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(r: LineRules = LineRules()) -> str:
-    likes = "regexp_matches(' ' || lower(line), '[^a-z]({})')".format("|".join(BOILERPLATE).replace("'", "''"))
+    likes = "length(line) <= {} AND regexp_matches(' ' || lower(line) || ' ', '[^a-z]({})[^a-z]')".format(r.furniture_chars, "|".join(BOILERPLATE).replace("'", "''"))
     ends = ENDINGS.replace("'", "''")
     blank = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return rf"""
