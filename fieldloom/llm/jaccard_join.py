@@ -45,7 +45,7 @@ from fieldloom.session import stored
 class JoinRules:
     width: int = 5  # words of a shingle
     percent: int = 80
-    list_groups: int = 16  # of a shingle whose pairs are listed
+    list_groups: int = 256  # of a shingle whose pairs are listed
     block_members: int = 512
     block_tokens: int = 4_000_000
     salts: int = 64

@@ -493,6 +493,31 @@ def test_classifier_edges_and_held_out(spark, docs, empty):
     assert machine.logits(at, index, value)[0] == pytest.approx(machine.bias + machine.weights[index] @ value + pairs, rel=1e-4)
 
 
+def passages(spark, each, n):
+    """n texts of two passages of 24 words, each passage in ``each`` texts."""
+    rng = random.Random(1)
+    every = [" ".join(f"w{rng.randrange(40000)}" for _ in range(24)) for _ in range(2 * n // each)]
+    slots = [p for p in every for _ in range(each)]
+    rng.shuffle(slots)
+    return spark.createDataFrame([(i, slots[2 * i] + " " + slots[2 * i + 1]) for i in range(n)], "doc_id long, text string").repartition(8)
+
+
+@pytest.mark.parametrize("each", [20, 100])
+def test_shared_passages_are_compared_in_proportion_to_the_texts(spark, monkeypatch, each):
+    """Texts that share a passage with many others, without links, are not drawn into one cluster of all."""
+    met, whole = [], jaccard_join.verify
+
+    def counted(texts, rules):
+        sides = texts.groupBy("cluster", "bi", "bj").agg(F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b"))
+        met.append(sides.agg(F.sum(F.when(F.col("bi") == F.col("bj"), F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b")))).first()[0] or 0)
+        return whole(texts, rules)
+
+    monkeypatch.setattr(jaccard_join, "verify", counted)
+    for n in (1000, 2000):
+        jaccard_join.join_documents(passages(spark, each, n)).count()
+    assert all(pairs <= n * each / 2 for pairs, n in zip(met, (1000, 2000), strict=True))
+
+
 # op7
 
 
@@ -505,6 +530,17 @@ def brute_lines(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
+def test_phrases_of_page_furniture_fail_short_lines_only(spark):
+    prose = "In the evening he told his sister that he wanted to read more about the sea, and she gave him the three old books that their father had kept in the attic for all those years, because nobody else in the village ever asked for them."
+    short = "Read more about cookies here."
+    part = "The thread moreover held the two sails together until the storm had passed."
+    frame = spark.createDataFrame([(0, prose), (1, prose + "\n" + short), (2, part)], "doc_id long, text string")
+    got = {r.doc_id: r.j for r in frame.select("doc_id", line_rules.judge(F.col("text")).alias("j")).collect()}
+    assert got[0].kept and got[0].n_lost_words == 0
+    assert got[1].kept and got[1].n_lost_words == 5 and got[1].clean_text == prose
+    assert got[2].kept and got[2].n_lost_words == 0
+
+
 def test_lines(docs, empty):
     got = docs.select("doc_id", line_rules.judge(F.col("text")).alias("j")).select("doc_id", "j.*").collect()
     want = sorted((str(i), *brute_lines(t)) for i, t, *_ in rows())
