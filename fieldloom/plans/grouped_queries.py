@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import calibration, functional, glm, interpolation, kriging, mapping, prior, relational as R, statespace, validation, variogram
 from fieldloom.plans import fixtures as X
 from fieldloom.plans.relational_queries import _mode
-from fieldloom.plans.statistical_queries import PROCESS, TOTAL
+from fieldloom.plans.statistical_queries import PROCESS, TOTAL, _site_variances
 from fieldloom.session import stored
 
 QUERIES: dict = {}
@@ -55,14 +55,27 @@ def pilot_variogram(spark, d):
 
 @query
 def calibrated_field(spark, d):
-    c = calibration.calibrate(0.2274, 0.5801, 500.0, grid=(100.0, 900.0, 100.0), spark=spark)
-    return spark.createDataFrame([(c.total, c.process, c.nugget, c.range_km)], "total double, process double, nugget double, range_km double")
+    """The latent field behind the records' own pilot variogram; an invalid fit is a result: the reason."""
+    return validation.recalibrated(_observations(spark, d).withColumn("repetition", F.lit(1)), "year", 50.0, 1500.0).drop("repetition")
 
 
 @query
 def isotonic_inverse(spark, d):
+    """The latent variance at each site's observed variance of levels, by the inverse of the monotone total curve; null outside of it."""
     x, y = calibration.total_curve(0.8, 200)
-    return spark.createDataFrame([(float(t), calibration.monotone_inverse(x, y, float(t))) for t in np.linspace(0.3, 0.8, 11)], "observed double, latent double")
+    curve = spark.sparkContext.broadcast((x, y))  # 200 points
+
+    def inverse(v: float) -> float | None:
+        try:
+            return calibration.monotone_inverse(*curve.value, v)
+        except calibration.CalibrationError:
+            return None
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(latent=[inverse(v) for v in b["observed"]])
+
+    return _site_variances(spark, d).select("site", "observed").mapInPandas(run, "site long, observed double, latent double")
 
 
 def _ensemble(spark, d) -> DataFrame:
@@ -104,17 +117,24 @@ def measurement_params(spark, d):
     return statespace.measurement_parameters(s, _maps(X.series(spark, d)), PROCESS)
 
 
+def _fitted_prior(spark, d) -> DataFrame:
+    """cell_id, t, mu, slope, r2 of every location of the ensemble, fitted at fixed penalties; the first step has no slope."""
+    fitted = prior_parameters(spark, d).filter("coefficient = 'Penalized ML'").groupBy(F.col("site").alias("cell_id"), F.col("year").alias("t"))
+    return fitted.pivot("parameter", ["mu", "slope", "r2"]).agg(F.first("value")).withColumn("slope", F.coalesce("slope", F.lit(0.0)))
+
+
 @query
 def assimilation(spark, d):
-    """The whole chain per site: mapping, measurement equations, filter and smoother."""
+    """The whole chain per site: mapping, measurement equations, and from the fitted prior of the nearest location filter and smoother."""
     s = X.series(spark, d)
     steps = s.select("site", F.col("day").cast("int").alias("t"), F.lit(0.5).alias("explained"))
     m = statespace.measurement_parameters(steps, _maps(s), PROCESS)
-    days = spark.range(1, 31).select(F.col("id").cast("int").alias("t"))
-    dense = s.select("site").distinct().crossJoin(F.broadcast(days)).join(m, ["site", "t"], "left").join(s.select("site", F.col("day").alias("t"), "obs"), ["site", "t"], "left")
+    fitted = stored(_fitted_prior(spark, d))
+    cells = X.grid(spark, d).join(fitted.select("cell_id").distinct(), "cell_id", "left_semi")
+    near = R.nearest_cell(X.records(spark, d).select("site", "lon", "lat").distinct(), cells).select("site", "cell_id")
+    dense = near.join(fitted.filter("t <= 30"), "cell_id").drop("cell_id").join(m, ["site", "t"], "left").join(s.select("site", F.col("day").alias("t"), "obs"), ["site", "t"], "left")
     filled = {"alpha": 0.0, "beta": 1.0, "vdelta": 1.0}
-    rows = dense.select("site", "t", F.lit(0.9).alias("mu"), F.lit(0.6).alias("slope"), F.lit(0.2).alias("r2"), "obs", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in filled.items()])
-    return statespace.filter_series(rows, ["site"])
+    return statespace.filter_series(dense.select("site", "t", "mu", "slope", "r2", "obs", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in filled.items()]), ["site"])
 
 
 def _location_series(spark, d) -> DataFrame:
@@ -135,10 +155,9 @@ def location_assimilation(spark, d):
     s = _location_series(spark, d)
     steps = s.select("site", F.col("day").cast("int").alias("t"), F.lit(0.5).alias("explained"))
     m = statespace.measurement_parameters(steps, _maps(s), PROCESS).join(s.select("site", F.col("day").alias("t"), "obs"), ["site", "t"])
-    fitted = prior_parameters(spark, d).filter("coefficient = 'Penalized ML'").groupBy(F.col("site").cast("long").alias("site"), F.col("year").alias("t"))
-    p = fitted.pivot("parameter", ["mu", "slope", "r2"]).agg(F.first("value")).join(m, ["site", "t"], "left")
-    filled = {"slope": 0.0, "alpha": 0.0, "beta": 1.0, "vdelta": 1.0}
-    return statespace.filter_series(p.select("site", "t", "mu", "r2", "obs", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in filled.items()]), ["site"])
+    p = _fitted_prior(spark, d).withColumnRenamed("cell_id", "site").withColumn("site", F.col("site").cast("long")).join(m, ["site", "t"], "left")
+    filled = {"alpha": 0.0, "beta": 1.0, "vdelta": 1.0}
+    return statespace.filter_series(p.select("site", "t", "mu", "slope", "r2", "obs", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in filled.items()]), ["site"])
 
 
 def _curves(spark, d) -> DataFrame:

@@ -323,16 +323,25 @@ def rounded_levels(spark, d):
     return X.read(spark, d, "events").select("event_id", round_to_level(F.col("value") / 50 - 3).alias("level"), clamp(F.col("value"), 10.0, 200.0).alias("clamped"))
 
 
-@query("SELECT l AS p, t AS text FROM (VALUES (0.5::DOUBLE, '0.5000'), (0.0001234::DOUBLE, '0.0001'), (0.000012::DOUBLE, '1.20 × 10^-5'), (1e-20::DOUBLE, '< 2 × 10^-16')) v(l, t)")
+_P_VALUES = "SELECT event_id, (103 + 10 * (event_id % 89)) / 100.0::DOUBLE * pow(10.0::DOUBLE, -1 - event_id % 19) AS p, (103 + 10 * (event_id % 89)) / 100.0::DOUBLE AS m, -1 - event_id % 19 AS e FROM events"
+
+
+@query(f"SELECT event_id, CASE WHEN p < 2e-16 THEN '< 2 × 10^-16' WHEN p < 1e-4 THEN printf('%.2f', m) || ' × 10^' || e ELSE printf('%.4f', p) END AS text FROM ({_P_VALUES})")
 def p_value_labels(spark, d):
-    return spark.createDataFrame([(0.5,), (0.0001234,), (0.000012,), (1e-20,)], "p double").withColumn("text", p_value_text(F.col("p")))
+    """Labels of probabilities from 1 down to 1e-19, three digits and a power for each event."""
+    p = (103 + 10 * (F.col("event_id") % 89)) / F.lit(100.0) * F.pow(F.lit(10.0), (-1 - F.col("event_id") % 19).cast("double"))
+    return X.read(spark, d, "events").select("event_id", p_value_text(p).alias("text"))
 
 
-@query("SELECT CAST(98.25 + 0.5 * i AS DOUBLE) AS lon, CAST(18.25 + 0.5 * j AS DOUBLE) AS lat FROM (SELECT unnest(range(0, 53)) AS i), (SELECT unnest(range(0, 49)) AS j)")
+@query(f"""WITH {X.GRID}, b AS (SELECT floor(min(glon) * 2) / 2 - 0.25 AS x0, floor(min(glat) * 2) / 2 - 0.25 AS y0, CAST(ceil(max(glon) * 2) - floor(min(glon) * 2) AS INT) + 1 AS nx, CAST(ceil(max(glat) * 2) - floor(min(glat) * 2) AS INT) + 1 AS ny FROM grid)
+SELECT x0 + 0.5 * i AS lon, y0 + 0.5 * j AS lat FROM (SELECT x0, y0, ny, unnest(range(0, nx)) AS i FROM b), unnest(range(0, ny)) AS t(j)""")
 def grid_generator(spark, d):
+    """Half-degree cells over the extent of the given cells."""
     from fieldloom.sources.grids import half_degree_grid
 
-    return half_degree_grid(spark, 98.25, 18.25, 53, 49).select("lon", "lat")
+    lo, hi = (lambda c: F.floor(F.min(c) * 2)), (lambda c: F.ceil(F.max(c) * 2))
+    b = X.grid(spark, d).agg(lo("glon").alias("x"), lo("glat").alias("y"), (hi("glon") - lo("glon") + 1).alias("nx"), (hi("glat") - lo("glat") + 1).alias("ny")).first()
+    return half_degree_grid(spark, b["x"] / 2 - 0.25, b["y"] / 2 - 0.25, b["nx"], b["ny"]).select("lon", "lat")
 
 
 @query(f"SELECT {fixed_sql('min(s)')} AS step FROM (SELECT c - lag(c) OVER (ORDER BY c) AS s FROM (SELECT DISTINCT 98.0 + CAST(n_nationkey * 37 % 265 AS DOUBLE) / 10.0 AS c FROM nation)) WHERE s > 0")
@@ -373,10 +382,11 @@ def coordinate_keys(spark, d):
     return X.grid(spark, d).select("cell_id", geo.coordinate_key(F.col("glon"), F.col("glat")).alias("key"), geo.coordinate_key(F.col("glon"), F.col("glat"), 2).alias("short"))
 
 
-@query("SELECT a AS w1, b AS w2, c AS w3 FROM (SELECT unnest([1, 10, 100]) AS a), (SELECT unnest([1, 10, 100]) AS b), (SELECT unnest([1, 10, 100]) AS c)")
+@query("SELECT f AS l_returnflag, s AS l_linestatus, r_name FROM (SELECT DISTINCT l_returnflag AS f FROM lineitem), (SELECT DISTINCT l_linestatus AS s FROM lineitem), region")
 def parameter_grid(spark, d):
-    one = lambda n: spark.createDataFrame([(1,), (10,), (100,)], f"{n} int")
-    return one("w1").crossJoin(one("w2")).crossJoin(one("w3"))
+    """Every combination of the distinct values of three columns, each of a few values."""
+    l = X.read(spark, d, "lineitem")
+    return l.select("l_returnflag").distinct().crossJoin(l.select("l_linestatus").distinct()).crossJoin(X.read(spark, d, "region").select("r_name"))
 
 
 @query(f"SELECT event_type, {fixed_sql('median(value)')} AS middle, {fixed_sql('var_pop(value)', 3)} AS spread, {fixed_sql('quantile_cont(value, 0.9)')} AS q90 FROM events GROUP BY event_type")
@@ -413,12 +423,14 @@ def population_covariate(spark, d):
     return X.grid(spark, d).join(c, F.col("cell_id") == F.col("c_nationkey"), "left").select("cell_id", fixed(F.log1p(F.coalesce("a", F.lit(0.0)))).alias("population"))
 
 
-@query("SELECT i, CAST(98.25 + 0.25 * i AS DOUBLE) AS x FROM (SELECT unnest(range(0, 21))::INTEGER AS i)")
+@query("SELECT n_nationkey, i, CAST(n_nationkey + 0.25 * i AS DOUBLE) AS x FROM nation, (SELECT unnest(range(0, 9))::INTEGER AS i)")
 def table_function_grid(spark, d):
+    """A row of steps for every nation, by the table function."""
     from fieldloom.sources.grids import register
 
     register(spark)
-    return spark.sql("SELECT i, x FROM event_grid(98.25D, 103.25D, 0.25D)")
+    nations = X.read(spark, d, "nation").select("n_nationkey")
+    return spark.sql("SELECT n_nationkey, i, x FROM {nations}, LATERAL event_grid(CAST(n_nationkey AS DOUBLE), n_nationkey + 2.0D, 0.25D)", nations=nations)
 
 
 @query("SELECT CAST(substr(c, 2) AS INT) AS year, v FROM (SELECT CAST(c_custkey AS DOUBLE) AS x1850, c_custkey * 2.0::DOUBLE AS x1851 FROM customer) UNPIVOT (v FOR c IN (x1850, x1851))")

@@ -31,7 +31,23 @@ def query(sql: str | None = None):
     return add
 
 
-VARIANCES = "(SELECT i, 0.05 * i + 0.1 AS v FROM (SELECT CAST(unnest(range(0, 60)) AS DOUBLE) AS i))"
+VARIANCES = X.RECORDS + ", sites AS (SELECT site, min(lon) AS lon, min(lat) AS lat, var_pop(level) AS observed, 0.1 + var_pop(level) AS v, 0.05 + 0.35 * var_pop(level) AS nugget FROM records GROUP BY site)"
+
+
+def _site_variances(spark, d) -> DataFrame:
+    """site, lon, lat, observed (variance of the site's levels), and a latent variance v and nugget that grow with it."""
+    spread = F.var_pop("level")
+    return X.records(spark, d).groupBy("site").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), spread.alias("observed"), (0.1 + spread).alias("v"), (0.05 + 0.35 * spread).alias("nugget"))
+
+
+#: The correlation of each site with a field's value at one city.
+_CITY, _RANGE = (116.4, 39.9), 442.1301679
+_RHO = f"{PROCESS / TOTAL!r} * exp(-({geo.ellipsoid_km_sql('lon', 'lat', str(_CITY[0]) + '::DOUBLE', str(_CITY[1]) + '::DOUBLE')}) / {_RANGE})"
+
+
+def _site_correlations(spark, d) -> DataFrame:
+    km = geo.ellipsoid_km(F.col("lon"), F.col("lat"), F.lit(_CITY[0]), F.lit(_CITY[1]))
+    return _site_variances(spark, d).select("site", (PROCESS / TOTAL * F.exp(-km / _RANGE)).alias("rho"))
 
 
 def _moments_sql(v: str) -> tuple[str, str]:
@@ -42,41 +58,41 @@ def _moments_sql(v: str) -> tuple[str, str]:
 _M, _S = _moments_sql("v")
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, {fixed_sql('m', 9)} AS mean, {fixed_sql('s - m * m', 9)} AS variance FROM (SELECT i, {_M} AS m, {_S} AS s FROM {VARIANCES})")
+@query(f"WITH {VARIANCES} SELECT site, {fixed_sql('m', 9)} AS mean, {fixed_sql('s - m * m', 9)} AS variance FROM (SELECT site, {_M} AS m, {_S} AS s FROM sites)")
 def ordinal_moments(spark, d):
-    v = spark.range(60).select(F.col("id").alias("i"), (0.05 * F.col("id") + 0.1).alias("v"))
     m, var = ordinal.moments(F.col("v"))
-    return v.select("i", fixed(m, 9).alias("mean"), fixed(var, 9).alias("variance"))
+    return _site_variances(spark, d).select("site", fixed(m, 9).alias("mean"), fixed(var, 9).alias("variance"))
 
 
-@query(f"SELECT i, {fixed_sql(ordinal.covariance_sql('rho', repr(TOTAL)), 9)} AS covariance FROM (SELECT i, 0.0002 * i AS rho FROM (SELECT unnest(range(0, 4001)) AS i))")
+@query(f"WITH {VARIANCES}, c AS (SELECT site, {_RHO} AS rho FROM sites) SELECT site, {fixed_sql(ordinal.covariance_sql('rho', repr(TOTAL)), 9)} AS covariance FROM c")
 def ordinal_covariance_lookup(spark, d):
-    t = spark.range(4001).select(F.col("id").alias("i"), (F.lit(0.0002) * F.col("id")).alias("rho"))
-    return t.select("i", fixed(ordinal.covariance(F.col("rho"), F.lit(TOTAL)), 9).alias("covariance"))
+    return _site_correlations(spark, d).select("site", fixed(ordinal.covariance(F.col("rho"), F.lit(TOTAL)), 9).alias("covariance"))
 
 
-@query(f"SELECT i, {fixed_sql(ordinal.covariance_sql('rho', repr(TOTAL)), 7)} AS covariance FROM (SELECT i, 0.0007 * i + 0.00013 AS rho FROM (SELECT unnest(range(0, 1100)) AS i))")
+@query(f"WITH {VARIANCES}, c AS (SELECT site, {_RHO} AS rho FROM sites) SELECT site, {fixed_sql(ordinal.covariance_sql('rho', repr(TOTAL)), 7)} AS covariance FROM c")
 def covariance_spline(spark, d):
-    """The tabulated covariance between its knots; the SQL has the integral itself."""
-    table, i = calibration.SplineCovarianceTable(TOTAL, PROCESS), range(1100)
-    rows = [(k, float(table(0.0007 * k + 0.00013))) for k in i]
-    return spark.createDataFrame(rows, "i bigint, v double").select("i", fixed(F.col("v"), 7).alias("covariance"))
+    """The tabulated covariance at each site's correlation; the SQL has the integral itself."""
+    table = spark.sparkContext.broadcast(calibration.SplineCovarianceTable(TOTAL, PROCESS))  # 1501 knots
+
+    def look_up(batches):
+        for b in batches:
+            yield b[["site"]].assign(v=table.value(b["rho"].to_numpy()))
+
+    return _site_correlations(spark, d).mapInPandas(look_up, "site long, v double").select("site", fixed(F.col("v"), 7).alias("covariance"))
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, {fixed_sql('v', 9)} AS latent, {fixed_sql(f'({_S}) - ({_M}) * ({_M})', 9)} AS observed FROM {VARIANCES}")
+@query(f"WITH {VARIANCES} SELECT site, {fixed_sql('v', 9)} AS latent, {fixed_sql(f'({_S}) - ({_M}) * ({_M})', 9)} AS observed FROM sites")
 def f1_curve(spark, d):
-    v = spark.range(60).select(F.col("id").alias("i"), (0.05 * F.col("id") + 0.1).alias("v"))
-    return v.select("i", fixed(F.col("v"), 9).alias("latent"), fixed(ordinal.moments(F.col("v"))[1], 9).alias("observed"))
+    return _site_variances(spark, d).select("site", fixed(F.col("v"), 9).alias("latent"), fixed(ordinal.moments(F.col("v"))[1], 9).alias("observed"))
 
 
 _TM, _TS = _moments_sql(repr(TOTAL))
 
 
-@query(f"SELECT i, {fixed_sql('nugget', 9)} AS nugget, {fixed_sql(f'({_TS}) - ({_TM}) * ({_TM}) - {ordinal.covariance_sql(f"(1 - nugget / {TOTAL!r})", repr(TOTAL))}', 9)} AS observed FROM (SELECT i, 0.01 * i + 0.05 AS nugget FROM (SELECT unnest(range(0, 80)) AS i))")
+@query(f"WITH {VARIANCES} SELECT site, {fixed_sql('nugget', 9)} AS nugget, {fixed_sql(f'({_TS}) - ({_TM}) * ({_TM}) - {ordinal.covariance_sql(f"(1 - nugget / {TOTAL!r})", repr(TOTAL))}', 9)} AS observed FROM sites")
 def f2_curve(spark, d):
-    t = spark.range(80).select(F.col("id").alias("i"), (F.lit(0.01) * F.col("id") + 0.05).alias("nugget"))
     cov = ordinal.covariance(1 - F.col("nugget") / TOTAL, F.lit(TOTAL))
-    return t.select("i", fixed(F.col("nugget"), 9).alias("nugget"), fixed(ordinal.moments(F.lit(TOTAL))[1] - cov, 9).alias("observed"))
+    return _site_variances(spark, d).select("site", fixed(F.col("nugget"), 9).alias("nugget"), fixed(ordinal.moments(F.lit(TOTAL))[1] - cov, 9).alias("observed"))
 
 
 PRED = MODE + ", pred AS (SELECT 1 + day % 3 AS repetition, site, day, level, (site * 7 % 13) / 6.0 - 1.2 AS yhat, 0.3 + (day % 5) / 10.0 AS sd FROM mode)"
@@ -255,17 +271,17 @@ def confidence_ribbon(spark, d):
     return X.series(spark, d).select("site", "day", fixed(F.col("obs") - half).alias("lower"), fixed(F.col("obs") + half).alias("upper"), statespace.clip_variance(PROCESS, F.col("day") / F.lit(20.0))[0].alias("explained"))
 
 
-@query(f"SELECT i, {fixed_sql(norm_cdf_sql('x'), 12)} AS p FROM (SELECT i, i / 10.0 - 9 AS x FROM (SELECT unnest(range(0, 181)) AS i))")
+@query(f"SELECT event_id, {fixed_sql(norm_cdf_sql('x'), 12)} AS p FROM (SELECT event_id, value / 50.0 - 3 AS x FROM events)")
 def normal_cdf(spark, d):
-    return spark.range(181).select(F.col("id").alias("i"), fixed(norm_cdf(F.col("id") / 10.0 - 9), 12).alias("p"))
+    return X.read(spark, d, "events").select("event_id", fixed(norm_cdf(F.col("value") / 50.0 - 3), 12).alias("p"))
 
 
-@query(f"SELECT i, {fixed_sql(norm_quantile_sql('p'), 9)} AS x FROM (SELECT i, CASE WHEN i < 1000 THEN i / 1000.0::DOUBLE ELSE pow(10.0::DOUBLE, 998 - i) END AS p FROM (SELECT unnest(range(1, 1012)) AS i))")
+@query(f"SELECT event_id, {fixed_sql(norm_quantile_sql('p'), 9)} AS x FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN pow(10.0::DOUBLE, -1 - event_id % 13) ELSE value / (value + 100.0) END AS p FROM events)")
 def normal_quantile(spark, d):
-    """At thousandths, and far into the tail."""
-    i = F.col("id")
-    p = F.when(i < 1000, i / 1000.0).otherwise(F.pow(F.lit(10.0), 998 - i))
-    return spark.range(1, 1012).select(i.alias("i"), fixed(norm_quantile(p), 9).alias("x"))
+    """At probabilities that follow the values, and for every tenth event far into the tail."""
+    far = F.pow(F.lit(10.0), (-1 - F.col("event_id") % 13).cast("double"))
+    p = F.when(F.col("event_id") % 10 == 0, far).otherwise(F.col("value") / (F.col("value") + 100.0))
+    return X.read(spark, d, "events").select("event_id", fixed(norm_quantile(p), 9).alias("x"))
 
 
 _MBD = X.ANNUAL + """, full_loc AS (SELECT location, year, avg(temp) AS v FROM annual GROUP BY ALL), yrs AS (SELECT year FROM full_loc GROUP BY year HAVING count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM full_loc GROUP BY year))),
@@ -300,8 +316,9 @@ def location_boxplot(spark, d):
     return box.select("year", *[fixed(F.col(c)).alias(c) for c in ("lower", "upper", "median", "low_fence", "high_fence")])
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, {fixed_sql(bivariate_cdf_sql('x', 'y', 'r'), 10)} AS p FROM (SELECT i, i % 7 / 2.0 - 1.5 AS x, i % 5 / 2.0 - 1 AS y, i % 9 / 10.0 - 0.4 AS r FROM (SELECT CAST(unnest(range(0, 120)) AS DOUBLE) AS i))")
+@query(f"WITH {VARIANCES}, l AS (SELECT site, avg(level) AS m, avg(value) / 60 - 2 AS x FROM records GROUP BY site) SELECT site, {fixed_sql(bivariate_cdf_sql('x', 'y', 'r'), 10)} AS p FROM (SELECT site, x, 0.5 * m AS y, 0.45 * m AS r FROM l)")
 def bivariate_normal_cdf(spark, d):
-    i = F.col("id").cast("double")
-    t = spark.range(120).select("id", (i % 7 / 2.0 - 1.5).alias("x"), (i % 5 / 2.0 - 1).alias("y"), (i % 9 / 10.0 - 0.4).alias("r"))
-    return t.select(F.col("id").alias("i"), fixed(bivariate_cdf(F.col("x"), F.col("y"), F.col("r")), 10).alias("p"))
+    """At two means of each site, with a correlation that follows its level."""
+    m = F.avg("level")
+    t = X.records(spark, d).groupBy("site").agg((F.avg("value") / 60 - 2).alias("x"), (0.5 * m).alias("y"), (0.45 * m).alias("r"))
+    return t.select("site", fixed(bivariate_cdf(F.col("x"), F.col("y"), F.col("r")), 10).alias("p"))

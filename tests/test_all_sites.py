@@ -26,6 +26,10 @@ def test_chain_covers_every_site(spark):
     for r in G.assimilation(spark, DIR).collect():
         filtered[r.site][r.t] = (r.m, r.p, r.m_smooth, r.p_smooth)
     assert maps.keys() == params.keys() == filtered.keys() == series.keys()
+    prior, cells = defaultdict(dict), {r.cell_id: (r.glon, r.glat) for r in X.grid(spark, DIR).collect()}
+    for r in G._fitted_prior(spark, DIR).filter("t <= 30").collect():
+        prior[r.cell_id][r.t] = (r.mu, r.slope, r.r2)
+    near = {r.site: min(prior, key=lambda c: ((cells[c][0] - r.lon) ** 2 + (cells[c][1] - r.lat) ** 2, c)) for r in X.records(spark, DIR).select("site", "lon", "lat").distinct().collect()}  # noqa: B023
     for site, by_day in series.items():
         obs = np.array(list(by_day.values()))
         y, x = mapping.np_map(obs, obs - 1, np.full(len(obs), 0.4), TOTAL, 201, 2001)
@@ -34,9 +38,12 @@ def test_chain_covers_every_site(spark):
         for day in by_day:
             assert params[site][day] == pytest.approx(statespace.np_measurement(PROCESS, round(0.2 + day % 5 / 10.0, 2), g), rel=1e-6, abs=1e-9)
         at, none = statespace.np_measurement(PROCESS, 0.5, g), (0.0, 1.0, 1.0)
-        alpha, beta, vdelta = np.array([at if t in by_day else none for t in range(1, 31)]).T
-        want = statespace.np_filter_smooth(np.full(30, 0.9), np.full(30, 0.6), np.full(30, 0.2), np.array([by_day.get(t, np.nan) for t in range(1, 31)]), alpha, beta, vdelta)
-        assert np.allclose([filtered[site][t] for t in range(1, 31)], np.stack([want[c] for c in ("m", "p", "m_smooth", "p_smooth")], axis=1), atol=1e-6)
+        days = sorted(prior[near[site]])
+        alpha, beta, vdelta = np.array([at if t in by_day else none for t in days]).T
+        mu, slope, r2 = np.array([prior[near[site]][t] for t in days]).T
+        want = statespace.np_filter_smooth(mu, slope, r2, np.array([by_day.get(t, np.nan) for t in days]), alpha, beta, vdelta)
+        assert sorted(filtered[site]) == days and len(days) > 1
+        assert np.allclose([filtered[site][t] for t in days], np.stack([want[c] for c in ("m", "p", "m_smooth", "p_smooth")], axis=1), atol=1e-6)
 
 
 def test_location_chain_uses_the_fitted_prior(spark):
