@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.geo import np_polygon_km, planar_d2, point_in_degrees, sphere_km
+from fieldloom.functions.geo import SPHERE, np_polygon_km, planar_d2, point_in_degrees, sphere_km
 from fieldloom.functions.scalar import is_finite
 from fieldloom.session import stored
 
@@ -115,13 +117,43 @@ def nearest_cell(points: DataFrame, grid: DataFrame, small: int = 20_000) -> Dat
 
 
 def nearest_on_sphere(points: DataFrame, grid: DataFrame, small: int = 20_000) -> DataFrame:
-    """As nearest_cell, by great-circle distance (km); the grid is a table of parameters, counted before it is sent to the tasks."""
-    if grid.limit(small + 1).count() > small:
-        raise ValueError(f"more than {small} grid cells: cut the grid into regions")
-    pairs = points.select("lon", "lat").distinct().crossJoin(F.broadcast(grid))
+    """As nearest_cell, by great-circle distance (km), also across the date line and the poles. A larger grid is met by equal cubes of
+    unit vectors: a cell no farther than a cube's side lies in the cubes around the point's own, and the side doubles until all are certain."""
+    sites = points.select("lon", "lat").filter(is_finite(F.col("lon")) & is_finite(F.col("lat"))).distinct()
+    n = grid.limit(small + 1).count()
+    if n <= small:
+        near = _nearest_km(sites.crossJoin(F.broadcast(grid)))
+    else:
+        side, near, open_ = 2 * math.sqrt(4 * math.pi / grid.count()), None, stored(sites)
+        while True:
+            found = _cubes(open_, grid, side)
+            sure = stored(found if side >= 2 else found.filter(2 * F.sin(F.col("km") / (2 * SPHERE)) <= side))  # chords are at most 2
+            near = sure if near is None else near.unionByName(sure)
+            open_ = stored(open_.join(sure.select("lon", "lat"), ["lon", "lat"], "left_anti"))
+            if open_.isEmpty():
+                break
+            side *= 2
+    return points.join(near, ["lon", "lat"], "left")
+
+
+def _nearest_km(pairs: DataFrame) -> DataFrame:
     km = sphere_km(F.col("lon"), F.col("lat"), F.col("glon"), F.col("glat"))
     best = pairs.groupBy("lon", "lat").agg(F.min(F.struct(km.alias("km"), "cell_id")).alias("best"))
-    return points.join(best.select("lon", "lat", F.col("best.cell_id").alias("cell_id"), F.col("best.km").alias("km")), ["lon", "lat"], "left")
+    return best.select("lon", "lat", F.col("best.cell_id").alias("cell_id"), F.col("best.km").alias("km"))
+
+
+def _cubes(sites: DataFrame, grid: DataFrame, side: float) -> DataFrame:
+    """The nearest cell among those in the cubes around each site's unit vector."""
+
+    def cube(lon: str, lat: str) -> list[Column]:
+        a, b = F.radians(lat), F.radians(lon)
+        vector = (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))
+        return [F.floor(v / side).alias(k) for v, k in zip(vector, ("cx", "cy", "cz"), strict=True)]
+
+    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for v, k in zip(o, ("ox", "oy", "oz"), strict=True)]) for o in product((-1, 0, 1), repeat=3)])
+    spread = sites.select("lon", "lat", *cube("lon", "lat"), F.explode(steps).alias("o"))
+    spread = spread.select("lon", "lat", *[(F.col(f"c{k}") + F.col(f"o.o{k}")).alias(f"c{k}") for k in "xyz"])
+    return _nearest_km(spread.join(grid.select("cell_id", "glon", "glat", *cube("glon", "glat")), ["cx", "cy", "cz"]))
 
 
 def without_positions(frame: DataFrame, keys: list[str], order: str, positions: list[int]) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.draws import normal
 from fieldloom.session import dealt
 
 STEP = "struct<t:int,mu:double,slope:double,r2:double,obs:double,alpha:double,beta:double,vdelta:double>"
@@ -137,3 +138,31 @@ def measurement_parameters(sites: DataFrame, maps: DataFrame, total: float) -> D
 
     kind = dict(sites.dtypes)["site"]
     return dealt(sites, "site").groupBy("site").cogroup(dealt(maps, "site").groupBy("site")).applyInPandas(one, f"site {kind}, t int, alpha double, beta double, vdelta double")
+
+
+def measurement_by_draws(sites: DataFrame, maps: DataFrame, total: float, draws: int = 1_000_000, chunks: int = 64) -> DataFrame:
+    """As measurement_parameters, by random draws in place of quadrature: the co-moments of the mapped fitted and the mapped latent value.
+
+    maps: site, y, x with y in equal steps. Sites with one explained variance share its draws; a (site, variance) case is cut into
+    chunks of draws, which are dealt over the tasks, and Spark merges their moments. A draw depends on its number alone.
+    """
+    table = maps.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("m"))  # the points of one map
+    table = table.select("site", F.col("m.x").alias("xs"), F.col("m")[0]["y"].alias("y0"), ((F.element_at("m", -1)["y"] - F.col("m")[0]["y"]) / (F.size("m") - 1)).alias("dy"))
+    cases = sites.select("site", "explained").distinct().join(table, "site").select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    first = lambda c: F.floor(c * draws / chunks).cast("long")
+    number = F.explode(F.sequence(first(F.col("chunk")), first(F.col("chunk") + 1) - 1)).alias("number")
+    drawn = dealt(cases, "site", "explained", "chunk", parts=2 * chunks).select("site", "explained", "xs", "y0", "dy", number)
+    fitted = F.sqrt(F.greatest("explained", F.lit(0.0))) * normal(F.col("number"), 1)
+    drawn = drawn.select("*", fitted.alias("fitted"), (fitted + F.sqrt(F.greatest(total - F.col("explained"), F.lit(0.0))) * normal(F.col("number"), 2)).alias("latent"))
+
+    def mapped(q: str) -> Column:
+        last = F.size("xs") - 1
+        at = F.least(F.greatest((F.col(q) - F.col("y0")) / F.col("dy"), F.lit(0.0)), last.cast("double"))
+        k = F.least(F.floor(at).cast("int"), last - 1)
+        return F.get("xs", k) + (at - k) * (F.get("xs", k + 1) - F.get("xs", k))
+
+    pairs = drawn.select("site", "explained", mapped("fitted").alias("a"), mapped("latent").alias("b"))
+    c = pairs.groupBy("site", "explained").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"), F.covar_pop("a", "b").alias("cab"))
+    beta = F.when(F.col("vb") > 0, F.col("cab") / F.col("vb")).otherwise(0.0)
+    c = c.withColumn("beta", beta).select("site", "explained", (F.col("ma") - F.col("beta") * F.col("mb")).alias("alpha"), "beta", F.greatest(F.col("va") - 2 * F.col("beta") * F.col("cab") + F.col("beta") ** 2 * F.col("vb"), F.lit(1e-10)).alias("vdelta"))
+    return sites.join(c, ["site", "explained"]).select("site", "t", "alpha", "beta", "vdelta")

@@ -62,8 +62,8 @@ def calibrated_field(spark, d):
 @query
 def isotonic_inverse(spark, d):
     """The latent variance at each site's observed variance of levels, by the inverse of the monotone total curve; null outside of it."""
-    x, y = calibration.total_curve(0.8, 200)
-    curve = spark.sparkContext.broadcast((x, y))  # 200 points
+    x, y = calibration.total_curve(1.5, 400)
+    curve = spark.sparkContext.broadcast((x, y))  # 400 points
 
     def inverse(v: float) -> float | None:
         try:
@@ -123,6 +123,14 @@ def _fitted_prior(spark, d) -> DataFrame:
     return fitted.pivot("parameter", ["mu", "slope", "r2"]).agg(F.first("value")).withColumn("slope", F.coalesce("slope", F.lit(0.0)))
 
 
+@query
+def measurement_draws(spark, d):
+    """Each location's measurement equation at five explained variances, by 20,000 draws."""
+    s = _location_series(spark, d)
+    steps = s.select("site", F.col("day").cast("int").alias("t"), F.round(0.2 + F.col("day") % 5 / F.lit(10.0), 2).alias("explained"))
+    return statespace.measurement_by_draws(steps, _maps(s), PROCESS, 20_000, 8)
+
+
 @query
 def assimilation(spark, d):
     """The whole chain per site: mapping, measurement equations, and from the fitted prior of the nearest location filter and smoother."""
