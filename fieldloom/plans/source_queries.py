@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from fieldloom.functions.geo import SPHERE
 from fieldloom.functions.scalar import fixed, fixed_sql, is_finite
-from fieldloom.operators import expect, relational as R, statespace
+from fieldloom.operators import areas, expect, relational as R, statespace
 from fieldloom.plans import fixtures as X
 from fieldloom.session import ensure_checkpoint_dir, stored
-from fieldloom.sources import files
+from fieldloom.sources import files, polygons
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -286,3 +287,27 @@ def finite_in_all(spark, d):
     s = X.series(spark, d)
     both = s.filter("site % 2 = 0").join(s.filter("site % 2 = 1").select((F.col("site") + 1).alias("site"), "day", F.col("obs").alias("other")), ["site", "day"])
     return both.filter(is_finite(F.col("obs")) & is_finite(F.col("other"))).select("site", "day")
+
+
+# areas
+
+
+@query(
+    f"""WITH {X.RECORDS}, {X.GRID}, a AS (SELECT glon, glat FROM grid JOIN nation ON n_nationkey = cell_id WHERE n_regionkey = 2),
+s AS (SELECT DISTINCT site, lon, lat FROM records)
+SELECT DISTINCT site FROM s, a WHERE radians(sqrt(pow(greatest(abs(lon - glon) - 1.5, 0.0) * cos(radians(lat)), 2) + pow(greatest(abs(lat - glat) - 1.0, 0.0), 2))) * {SPHERE!r} <= 150.0"""
+)
+def sites_near_areas(spark, d):
+    """Sites in the named areas of one region, or at most 150 km from one. The areas are boxes around the nations' cells, written as a
+    feature collection and read again by name."""
+    n = X.read(spark, d, "nation").join(X.grid(spark, d), F.col("n_nationkey") == F.col("cell_id"))
+    corner = lambda sx, sy: F.array(F.col("glon") + sx * 1.5, F.col("glat") + sy * 1.0)
+    ring = F.array(*[corner(*c) for c in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("n_name").alias("name")).alias("properties"), shape.alias("geometry"))
+    path = _folder(spark)
+    whole = F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))  # a nation each
+    n.agg(F.to_json(whole).alias("value")).write.text(path)
+    names = [r["n_name"] for r in X.read(spark, d, "nation").filter("n_regionkey = 2").select("n_name").collect()]
+    sites = X.records(spark, d).select("site", "lon", "lat").distinct()
+    return areas.within(sites, polygons.edges(polygons.read_areas(spark, path, names)), 150.0).select("site")
