@@ -10,7 +10,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from fieldloom.functions.geo import SPHERE
 from fieldloom.functions.scalar import fixed, fixed_sql, is_finite
-from fieldloom.operators import areas, expect, relational as R, statespace
+from fieldloom.operators import areas, contours, expect, relational as R, statespace
 from fieldloom.plans import fixtures as X
 from fieldloom.session import ensure_checkpoint_dir, stored
 from fieldloom.sources import files, polygons
@@ -311,3 +311,24 @@ def sites_near_areas(spark, d):
     names = [r["n_name"] for r in X.read(spark, d, "nation").filter("n_regionkey = 2").select("n_name").collect()]
     sites = X.records(spark, d).select("site", "lon", "lat").distinct()
     return areas.within(sites, polygons.edges(polygons.read_areas(spark, path, names)), 150.0).select("site")
+
+
+_LEVELS = (90.0, 100.0, 110.0)
+
+
+@query(
+    f"""WITH g AS (SELECT CAST(day(ts) AS INT) AS i, CAST(hour(ts) AS INT) AS j, avg(value) AS z FROM events GROUP BY ALL),
+q AS (SELECT a.i, a.j, a.z AS za, b.z AS zb, c.z AS zc, d.z AS zd FROM g a JOIN g b ON b.i = a.i + 1 AND b.j = a.j JOIN g c ON c.i = a.i AND c.j = a.j + 1 JOIN g d ON d.i = a.i + 1 AND d.j = a.j + 1),
+s AS (SELECT i, j, 1 AS t, i AS ux, j AS uy, za AS uz, i + 1 AS vx, j AS vy, zb AS vz FROM q UNION ALL SELECT i, j, 1, i + 1, j, zb, i + 1, j + 1, zd FROM q UNION ALL SELECT i, j, 1, i, j, za, i + 1, j + 1, zd FROM q
+  UNION ALL SELECT i, j, 2, i, j, za, i, j + 1, zc FROM q UNION ALL SELECT i, j, 2, i, j + 1, zc, i + 1, j + 1, zd FROM q UNION ALL SELECT i, j, 2, i, j, za, i + 1, j + 1, zd FROM q),
+p AS (SELECT i, j, t, level, ux + (level - uz) / (vz - uz) * (vx - ux) AS x, uy + (level - uz) / (vz - uz) * (vy - uy) AS y FROM s, (SELECT unnest({list(_LEVELS)})::DOUBLE AS level) WHERE (uz > level) <> (vz > level)),
+e AS (SELECT level, list(struct_pack(x := x, y := y) ORDER BY x, y) AS e FROM p GROUP BY i, j, t, level)
+SELECT level, {', '.join(f"{fixed_sql(f'e[{k}].{c}')} AS {c}{k}" for k in (1, 2) for c in 'xy')} FROM e"""
+)
+def contour_segments(spark, d):
+    """Contours of the mean value over days and hours."""
+    e = X.read(spark, d, "events")
+    day, hour = F.dayofmonth("ts"), F.hour("ts")
+    grid = e.groupBy(day.alias("i"), hour.alias("j")).agg(F.avg("value").alias("z")).withColumns({"x": F.col("i").cast("double"), "y": F.col("j").cast("double")})
+    found = contours.contour_segments(grid, list(_LEVELS))
+    return found.select("level", *[fixed(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")])

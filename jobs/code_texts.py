@@ -91,6 +91,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--config", default=str(CONFIG))
     told = parser.parse_args(arguments)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = SparkSession.builder.appName("code_texts").getOrCreate()
     try:
         run(spark, told.source, told.target, settings(told.config))
