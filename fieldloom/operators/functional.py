@@ -66,73 +66,8 @@ def functional_pca(coefs: DataFrame, curve: str, lo: float, hi: float, n: int, h
     return coefs.select(curve, F.array(*score).alias("scores")), {"mean": mean, "functions": functions, "variances": values[order]}
 
 
-def np_mixture(x: np.ndarray, k: int, model: str = "full", rounds: int = 300, tol: float = 1e-7) -> dict:
-    """Gaussian mixture by EM from a deterministic farthest-point start; model: full, diagonal, spherical, or each with equal_ in front."""
-    n, d = x.shape
-    equal, shape = model.startswith("equal_"), model.removeprefix("equal_")
-    at = [int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())]
-    while len(at) < k:
-        at.append(int(np.min([((x - x[i]) ** 2).sum(axis=1) for i in at], axis=0).argmax()))
-    means = x[at].copy()
-    for _ in range(20):
-        own = ((x[:, None, :] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
-        means = np.stack([x[own == j].mean(axis=0) if (own == j).any() else means[j] for j in range(k)])
-    r = np.eye(k)[own]
-    floor, last = 1e-6 * max(float(x.var(axis=0).mean()), 1e-12), -np.inf
-    for _ in range(rounds):
-        w = r.sum(axis=0) + 1e-10
-        means = (r.T @ x) / w[:, None]
-        covs = np.stack([((r[:, j, None] * (x - means[j])).T @ (x - means[j])) / w[j] for j in range(k)])
-        if equal:
-            covs = np.repeat((covs * (w / w.sum())[:, None, None]).sum(axis=0)[None], k, axis=0)
-        if shape == "diagonal":
-            covs = np.stack([np.diag(np.diag(c)) for c in covs])
-        elif shape == "spherical":
-            covs = np.stack([np.eye(d) * np.trace(c) / d for c in covs])
-        covs = covs + floor * np.eye(d)
-        logs = np.empty((n, k))
-        for j in range(k):
-            l = np.linalg.cholesky(covs[j])
-            z = np.linalg.solve(l, (x - means[j]).T)
-            logs[:, j] = np.log(w[j] / w.sum()) - 0.5 * (z**2).sum(axis=0) - np.log(np.diag(l)).sum() - d / 2 * np.log(2 * np.pi)
-        top = logs.max(axis=1)
-        total = top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
-        r = np.exp(logs - total[:, None])
-        if abs(total.sum() - last) < tol * (1 + abs(last)):
-            break
-        last = total.sum()
-    per = {"full": d * (d + 1) // 2, "diagonal": d, "spherical": 1}[shape]
-    free = k - 1 + k * d + per * (1 if equal else k)
-    return {"k": k, "model": model, "loglik": float(total.sum()), "bic": float(2 * total.sum() - free * np.log(n)), "label": r.argmax(axis=1), "means": means, "membership": r.max(axis=1)}
-
-
-MODELS = ("full", "diagonal", "spherical", "equal_full", "equal_diagonal", "equal_spherical")
-
-
-def mixture_by_bic(scores: DataFrame, curve: str, most: int = 8, models: tuple[str, ...] = MODELS, fixed_k: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(curve, component, membership) of the model with the largest BIC, and the table (k, model, loglik, bic). One row per curve is
-    fitted, candidates side by side as tasks; a set of curves is a few thousand cells, not the records behind them."""
-    spark = scores.sparkSession
-    rows = scores.orderBy(curve).collect()
-    x = np.asarray([r["scores"] for r in rows], float)
-    shared = spark.sparkContext.broadcast(x)
-    ks = [fixed_k] if fixed_k else range(1, min(most, max(1, len(x) - 1)) + 1)
-    candidates = spark.createDataFrame([(i, k, m) for i, (k, m) in enumerate((k, m) for k in ks for m in models)], "i int, k int, model string")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = np_mixture(shared.value, int(pdf["k"].iloc[0]), pdf["model"].iloc[0])
-        return pd.DataFrame({"i": pdf["i"], "k": [f["k"]], "model": [f["model"]], "loglik": [f["loglik"]], "bic": [f["bic"]]})
-
-    table = candidates.groupBy("i").applyInPandas(fit, "i int, k int, model string, loglik double, bic double")
-    best = table.orderBy(F.desc("bic"), "i").first()
-    f = np_mixture(x, best["k"], best["model"])
-    kind = dict(scores.dtypes)[curve]
-    labels = spark.createDataFrame([(r[curve], int(c) + 1, float(m)) for r, c, m in zip(rows, f["label"], f["membership"], strict=True)], f"{curve} {kind}, component int, membership double")
-    return labels, table.drop("i")
-
-
 def relabel(labels: DataFrame, values: DataFrame, curve: str, value: str, swap: dict[int, int] | None = None) -> DataFrame:
-    """Components numbered by ascending mean value, then by an optional map."""
+    """Components numbered by ascending mean value, then by an optional map between numbers that exist."""
     means = labels.join(values, curve).groupBy("component").agg(F.avg(value).alias("m"))
     order = means.select("component", F.row_number().over(Window.orderBy("m", "component")).alias("cluster"))
     out = labels.join(F.broadcast(order), "component")  # as many rows as components

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators import calibration, functional, glm, interpolation, kriging, mapping, prior, relational as R, statespace, validation, variogram
+from fieldloom.operators import calibration, functional, glm, interpolation, kriging, mapping, mixtures, prior, relational as R, statespace, validation, variogram
 from fieldloom.plans import fixtures as X
 from fieldloom.plans.relational_queries import _mode
 from fieldloom.plans.statistical_queries import PROCESS, TOTAL, _site_variances
@@ -184,12 +184,13 @@ def fpca(spark, d):
 
 @query
 def gmm_bic(spark, d):
-    return functional.mixture_by_bic(fpca(spark, d), "site")[1]
+    return mixtures.mixture_by_bic(fpca(spark, d), "site")[1]
 
 
 @query
 def cluster_labels(spark, d):
-    labels, _ = functional.mixture_by_bic(fpca(spark, d), "site", models=("diagonal",), fixed_k=3)
+    """Clusters of the model and number that BIC chooses among all."""
+    labels, _ = mixtures.mixture_by_bic(fpca(spark, d), "site")
     return functional.relabel(labels, _curves(spark, d), "site", "v", {1: 3, 3: 1})
 
 

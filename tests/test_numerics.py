@@ -134,10 +134,6 @@ def test_interpolation_operator():
 def test_curves():
     b = functional.bspline_basis(np.linspace(0, 1, 50), 0, 1, 8)
     assert np.allclose(b.sum(axis=1), 1)
-    rng = np.random.default_rng(5)
-    x = np.concatenate((rng.normal(0, 0.3, (40, 2)), rng.normal(4, 0.3, (40, 2))))
-    best = max((functional.np_mixture(x, k, m) for k in (1, 2, 3) for m in functional.MODELS), key=lambda f: f["bic"])
-    assert best["k"] == 2 and len(set(best["label"][:40])) == 1
 
 
 def test_chi2_and_variogram_fit():
