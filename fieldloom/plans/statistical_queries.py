@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geo, ordinal
 from fieldloom.functions.normal import bivariate_cdf, bivariate_cdf_sql, norm_cdf, norm_cdf_sql, norm_quantile, norm_quantile_sql
 from fieldloom.functions.scalar import fixed, fixed_sql
-from fieldloom.operators import calibration, mapping, relational as R, statespace, validation, variogram
+from fieldloom.operators import calibration, mapping, relational as R, roots, statespace, validation, variogram
 from fieldloom.plans import fixtures as X
 from fieldloom.plans.relational_queries import MODE, _mode
 
@@ -180,6 +180,55 @@ def quantile_map(spark, d):
     return mapping.quantile_map(target, table, ["site"]).withColumn("x", fixed(F.col("x"), 7))
 
 
+def _bisected_sql(targets: str, h: float) -> str:
+    """roots (location, u, x) of targets (location, u) by 60 bisections over the annual means of each location that has more than one value."""
+    return f"""r AS (SELECT DISTINCT t.location, greatest(least(t.u, 1 - 1e-8), 1e-8) AS u, e.lo, e.hi, 0 AS i FROM {targets} t JOIN (SELECT location, min(temp) - 200 AS lo, max(temp) + 200 AS hi FROM annual GROUP BY location HAVING max(temp) > min(temp)) e USING (location)
+UNION ALL SELECT location, u, CASE WHEN p < u THEN mid ELSE lo END, CASE WHEN p < u THEN hi ELSE mid END, i + 1 FROM
+(SELECT r.location, r.u, r.lo, r.hi, r.i, (r.lo + r.hi) / 2 AS mid, avg({norm_cdf_sql(f"(((r.lo + r.hi) / 2 - temp) / {h!r})")}) AS p FROM r JOIN annual ON annual.location = r.location WHERE r.i < 60 GROUP BY ALL)),
+roots AS (SELECT location, u, (lo + hi) / 2 AS x FROM r WHERE i = 60)"""
+
+
+_U = [0.0, 0.001, 0.1, 0.5, 0.9, 0.999]
+
+
+@query(f"WITH RECURSIVE {X.ANNUAL}, t AS (SELECT location, u FROM (SELECT DISTINCT location FROM annual), (SELECT unnest({_U})::DOUBLE AS u)), {_bisected_sql('t', 2.5)} SELECT location, round(u, 4) AS u, {fixed_sql('x', 5)} AS x FROM roots")
+def kernel_inverse(spark, d):
+    """By bracketed root finding; the SQL bisects."""
+    a = X.annual(spark, d)
+    t = a.select("location").distinct().select("location", F.explode(F.array(*[F.lit(u) for u in _U])).alias("u"))
+    found = roots.kernel_inverse(t, a, ["location"], "temp", 2.5, tol=1e-9)
+    return found.select("location", F.round("u", 4).alias("u"), fixed(F.col("x"), 5).alias("x"))
+
+
+_INDEX = X.ANNUAL + ", est AS (SELECT location, year, avg(temp) / 20 - 2 AS yhat, 0.2 + year % 5 / 20.0 AS sd FROM annual GROUP BY ALL)"
+_INDEX_U = f"avg({norm_cdf_sql('((w.y - est.yhat) / est.sd)')})"
+
+
+def _index_map(spark, d) -> tuple[DataFrame, DataFrame]:
+    a = X.annual(spark, d)
+    est = a.groupBy("location", "year").agg((F.avg("temp") / 20 - 2).alias("yhat")).withColumn("sd", F.lit(0.2) + F.col("year") % 5 / F.lit(20.0))
+    return roots.map_index(est, a, ["location"], "year", "temp", 2.5, tol=1e-9)
+
+
+@query(f"""WITH RECURSIVE {_INDEX}, w AS (SELECT location, i, -2 + 3 * i / 149.0::DOUBLE AS y FROM (SELECT DISTINCT location FROM est), (SELECT unnest(range(0, 150)) AS i)),
+t AS (SELECT location, i, any_value(w.y) AS y, greatest(least({_INDEX_U}, 1 - 1e-8), 1e-8) AS u FROM w JOIN est USING (location) GROUP BY location, i), {_bisected_sql('t', 2.5)}
+SELECT location, CAST(i AS BIGINT) AS place, {fixed_sql('x', 5)} AS x FROM t LEFT JOIN roots USING (location, u)""")
+def index_map_curve(spark, d):
+    """The map of each location's index to the scale of its ensemble, at 150 places from -2 to 1."""
+    curve = _index_map(spark, d)[0]
+    return curve.select("location", F.round((F.col("y") + 2) * 149 / 3).cast("long").alias("place"), fixed(F.col("x"), 5).alias("x"))
+
+
+@query(f"""WITH RECURSIVE {_INDEX}, w AS (SELECT location, year, k, yhat + k * sd AS y FROM est, (SELECT unnest([-1, 0, 1]) AS k)),
+t AS (SELECT w.location, w.year, w.k, greatest(least({_INDEX_U}, 1 - 1e-8), 1e-8) AS u FROM w JOIN est ON est.location = w.location GROUP BY ALL), {_bisected_sql('t', 2.5)},
+m AS (SELECT location, year, max(x) FILTER (k = 0) AS x, max(x) FILTER (k = -1) AS a, max(x) FILTER (k = 1) AS b FROM t LEFT JOIN roots USING (location, u) GROUP BY ALL)
+SELECT location, year, {fixed_sql('x', 5)} AS x, {fixed_sql('least(a, b)', 5)} AS lower, {fixed_sql('greatest(a, b)', 5)} AS upper FROM m""")
+def index_map_band(spark, d):
+    """Each year's index on the scale of the ensemble, with the band of one standard deviation."""
+    band = _index_map(spark, d)[1]
+    return band.select("location", "year", *[fixed(F.col(c), 5).alias(c) for c in ("x", "lower", "upper")])
+
+
 DENSE = X.SERIES + """, days AS (SELECT unnest(range(1, 31))::INTEGER AS day), dense AS (SELECT s.site, days.day AS t, CAST(s.site % 7 AS DOUBLE) / 10 + 0.8 AS mu, 0.5 + (days.day % 4) / 10.0 AS slope, 0.2 + (s.site % 3) / 10.0 AS r2, series.obs,
 0.1::DOUBLE AS alpha, 0.9::DOUBLE AS beta, 0.3::DOUBLE AS v FROM (SELECT DISTINCT site FROM records) s CROSS JOIN days LEFT JOIN series ON series.site = s.site AND series.day = days.day)"""
 
