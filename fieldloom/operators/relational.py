@@ -116,6 +116,19 @@ def nearest_cell(points: DataFrame, grid: DataFrame, small: int = 20_000) -> Dat
     return points.join(near, ["lon", "lat"], "left")
 
 
+def zonal_means(cells: DataFrame, grid: DataFrame, values: list[str], small: int = 20_000) -> DataFrame:
+    """cell_id and the mean of each value over the rows of cells (lon, lat, values) that are nearest to that cell; null where none has the value."""
+    near = nearest_cell(cells, grid, small).filter("cell_id is not null")
+    return near.groupBy("cell_id").agg(*[F.avg(v).alias(v) for v in values])
+
+
+def nearest_year_value(frame: DataFrame, year: str, columns: dict[int, str]) -> DataFrame:
+    """The frame with reference (the year of columns nearest to its own, the earlier of two) and value (that column's)."""
+    f = frame.withColumn("reference", nearest_value(F.col(year), sorted(columns)))
+    value = F.coalesce(*[F.when(F.col("reference") == y, F.col(c)) for y, c in columns.items()])
+    return f.withColumn("value", value)
+
+
 def nearest_on_sphere(points: DataFrame, grid: DataFrame, small: int = 20_000) -> DataFrame:
     """As nearest_cell, by great-circle distance (km), also across the date line and the poles. A larger grid is met by equal cubes of
     unit vectors: a cell no farther than a cube's side lies in the cubes around the point's own, and the side doubles until all are certain."""

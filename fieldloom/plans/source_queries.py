@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from fieldloom.functions.geo import SPHERE
+from fieldloom.functions.geo import RADIUS, SPHERE
+from fieldloom.functions.projection import to_lonlat
 from fieldloom.functions.scalar import fixed, fixed_sql, is_finite
 from fieldloom.operators import areas, contours, expect, relational as R, statespace
 from fieldloom.plans import fixtures as X
 from fieldloom.session import ensure_checkpoint_dir, stored
-from fieldloom.sources import files, polygons
+from fieldloom.sources import files, polygons, raster
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -116,6 +117,33 @@ def raster_cells(spark, d):
     return files.cells_of_rasters({1850: band(0), 1900: band(5000).filter("x > 3")})
 
 
+BANDS = (1776, 1820, 1851, 1880, 1910)
+#: Rows, columns, left and top edge and size of a raster's cells, in metres of Mercator.
+RASTER = (49, 53, 10909310.0, 5311970.0, 55000.0, 64000.0)
+_PANEL = [1700, 1798, 1840, 1866, 1905]
+
+
+@query(f"""WITH {X.GRID}, c AS (SELECT list_extract({list(BANDS)}, CAST(c_nationkey % 5 + 1 AS INT)) AS band, c_custkey * 53 % 245 // 5 AS y, c_custkey * 37 % 265 // 5 AS x, avg(c_acctbal) AS v FROM customer WHERE c_acctbal > 0 GROUP BY ALL),
+s AS (SELECT x, y, {', '.join(f'max(v) FILTER (band = {b}) AS pop_{b}' for b in BANDS)} FROM c GROUP BY ALL),
+p AS (SELECT *, degrees(({RASTER[2]} + (x + 0.5) * {RASTER[4]}) / {RADIUS * 1000!r}) AS lon, degrees(2 * atan(exp(({RASTER[3]} - (y + 0.5) * {RASTER[5]}) / {RADIUS * 1000!r})) - pi() / 2) AS lat FROM s),
+near AS (SELECT p.x, p.y, arg_min(cell_id, (lon - glon) * (lon - glon) + (lat - glat) * (lat - glat)) AS cell_id FROM p CROSS JOIN grid GROUP BY ALL),
+z AS (SELECT cell_id, {', '.join(f'avg(pop_{b}) AS pop_{b}' for b in BANDS)} FROM p JOIN near USING (x, y) GROUP BY cell_id),
+t AS (SELECT grid.cell_id, y.year, (SELECT arg_min(r, (abs(r - y.year), r)) FROM (SELECT unnest({list(BANDS)}) AS r)) AS reference FROM grid CROSS JOIN (SELECT unnest({_PANEL}) AS year) y)
+SELECT t.cell_id, CAST(year AS INT) AS year, CAST(reference AS INT) AS reference, {fixed_sql("ln(1 + CASE reference " + ' '.join(f'WHEN {b} THEN pop_{b}' for b in BANDS) + " END)")} AS population FROM t LEFT JOIN z USING (cell_id)""")
+def raster_population(spark, d):
+    """Balances written as five rasters and read again as a stack, projected, averaged by grid cell, and taken at the nearest year."""
+    rows, columns, *place = RASTER
+    band = F.element_at(F.array(*[F.lit(b) for b in BANDS]), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    c = X.read(spark, d, "customer").filter("c_acctbal > 0").select(band.alias("band"), F.expr("c_custkey * 53 % 245 div 5").alias("row"), F.expr("c_custkey * 37 % 265 div 5").alias("col"), "c_acctbal")
+    paths = raster.write_rasters(c.groupBy("band", "row", "col").agg(F.avg("c_acctbal").alias("value")), _folder(spark), (rows, columns), *place, crs=3857)
+    lon, lat = to_lonlat(F.col("x"), F.col("y"), raster.Raster(next(iter(paths.values()))).geometry.crs)
+    stack = raster.read_stack(spark, paths).select(lon.alias("lon"), lat.alias("lat"), *[f"pop_{b}" for b in paths])
+    cells = R.zonal_means(stack, X.grid(spark, d), [f"pop_{b}" for b in paths])
+    panel = X.grid(spark, d).select("cell_id", F.explode(F.array(*[F.lit(y) for y in _PANEL])).alias("year")).join(cells, "cell_id", "left")
+    found = R.nearest_year_value(panel, "year", {b: f"pop_{b}" for b in paths})
+    return found.select("cell_id", "year", "reference", fixed(F.log1p("value")).alias("population"))
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS unit, CAST(n_nationkey * 2 + CASE WHEN n_nationkey < 10 THEN 0 ELSE 1000 END AS BIGINT) AS result FROM nation")
 def resumed_work(spark, d):
     """Units under 10 are done by a first run; a second one, which would add 1000, does the others alone."""
