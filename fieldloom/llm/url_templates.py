@@ -1,10 +1,13 @@
 """URL filters: rules on hosts and paths, and a tree of path templates per host for what no rule decides.
 
-Every segment of a path is one level of its host's tree. Numbers, hexadecimal names, dates and identifiers become
-wildcards at once; then, from the root down, the children of a node become one wildcard where all have labels and their
-shares do not differ by more than chance (chi-squared against the pooled share). Of other nodes with too many children
-those without any label become one; labelled ones stay by themselves. Levels go on until no two paths share a template,
-however deep. (The SQL below states the same for nodes of up to ``most_children`` children and ``depth`` segments.)
+Each segment of a path is one level of its host's tree. Numbers, hexadecimal names, dates and identifiers become
+wildcards at once; then, from the root down, the children of a node are compared by the labels that speak for them: their
+own, or else those that their generalised paths have in the host's domain, or else those on all hosts. Children whose
+shares do not differ by more than chance (chi-squared against the pooled share) become one wildcard, and children for which
+no label speaks become one with them, be they two or thousands: nothing tells them apart. Where shares do differ, labelled
+children stay by themselves and only the others become one. A round settles one branching of every path: what all paths
+below a node have in common is taken in one step, so that long chains take no rounds of their own. (The SQL below states
+the same for ``depth`` segments.)
 
 URLs that a rule decides are the labels. A template's share of blocked ones is smoothed towards the share that its
 generalised paths have in the host's domain (the last two names), and that one towards the share that they have on all
@@ -48,7 +51,6 @@ VARIABLES = (
 class UrlRules:
     rules: tuple[tuple[str, str, str], ...] = RULES
     depth: int = 4  # levels that the SQL spells out
-    most_children: int = 24  # from which on those without labels are one
     strength: float = 4.0  # of the prior, in labels
     prior: float = 0.1  # share of blocked URLs where nothing is known
     limit: float = 0.5
@@ -93,41 +95,56 @@ def templates(urls: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
     nodes = urls.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("bad")
     )
-    nodes = stored(nodes.withColumn("template", F.lit("")))
-    level = 0
-    while nodes.filter(F.size("shape") > level).groupBy("host", "template").count().filter("count > 1").limit(1).count():
-        child = F.get("shape", level)
-        kids = nodes.filter(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        known = F.col("labelled") > 0
+    nodes = nodes.withColumn("domain", domain_of(F.col("host")))
+    nodes = _looked_up(_looked_up(stored(nodes), ["domain", "shape"], "domain", r), ["shape"], "everywhere", r)
+    nodes = stored(nodes.withColumns({"template": F.lit(""), "rest": F.col("shape")}))
+    counts = [f"{at}{c}" for at in ("", "domain_", "everywhere_") for c in ("labelled", "bad")]
+    here = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))
+    while True:
+        # the least and the greatest of a node's paths share what all of them share
+        ends = nodes.groupBy("host", "template").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).filter("a <> b")
+        both = F.least(F.size("a"), F.size("b"))
+        same = F.zip_with(F.slice("a", F.lit(1), both), F.slice("b", F.lit(1), both), lambda x, y: x == y)
+        first = F.array_position(same, F.lit(False)).cast("int")
+        ends = stored(ends.select(F.col("host").alias("h"), F.col("template").alias("t"), F.when(first > 0, first - 1).otherwise(both).alias("common")))
+        if ends.isEmpty():
+            break
+        at = nodes.join(ends, here, "left").drop("h", "t")
+        head = F.coalesce("common", F.size("rest"))
+        at = at.withColumns({"template": F.concat("template", _joined(F.slice("rest", F.lit(1), head))), "rest": F.slice("rest", head + 1, F.size("rest"))})
+        at = stored(at.drop("common"))
+        child = F.get("rest", 0)
+        kids = at.filter(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(*[F.sum(c).alias(c) for c in counts])
+        told = {f"told_{c}": F.when(F.col("labelled") > 0, F.col(c)).when(F.col("domain_labelled") > 0, F.col(f"domain_{c}")).otherwise(F.col(f"everywhere_{c}")) for c in ("labelled", "bad")}
+        kids = kids.select("host", "template", "child", *[v.alias(k) for k, v in told.items()])
+        known = F.col("told_labelled") > 0
         sums = kids.groupBy("host", "template").agg(
             F.count("*").alias("kids"),
             F.sum(known.cast("int")).alias("known"),
-            F.sum("labelled").alias("all"),
-            F.sum("bad").alias("all_bad"),
-            F.sum(F.when(known, F.col("bad") * F.col("bad") / F.greatest("labelled", F.lit(1)))).alias("squares"),
+            F.sum("told_labelled").alias("all"),
+            F.sum("told_bad").alias("all_bad"),
+            F.sum(F.when(known, F.col("told_bad") * F.col("told_bad") / F.greatest("told_labelled", F.lit(1)))).alias("squares"),
         )
         share = F.col("all_bad") / F.greatest("all", F.lit(1))
         chi = F.coalesce(F.try_divide(F.col("squares") - F.col("all_bad") * share, share * (1 - share)), F.lit(0.0))
         free = F.col("known") - 1
-        alike = (F.col("known") == F.col("kids")) & (F.col("kids") > 1) & (chi <= free + r.deviations * F.sqrt(2.0 * free))
-        found = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), alike.alias("alike"), (F.col("kids") > r.most_children).alias("wide")).filter("alike or wide")
-        merged = kids.join(found, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).filter("alike or labelled = 0")
-        merged = merged.select("h", "t", F.col("child").alias("c"), F.lit(True).alias("merge"))
-        before, now = nodes, nodes.join(merged, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (child == F.col("c")), "left")
+        alike = (F.col("known") > 1) & (chi <= free + r.deviations * F.sqrt(2.0 * free))
+        found = sums.filter("kids > 1").select(F.col("host").alias("h"), F.col("template").alias("t"), alike.alias("alike"))
+        merged = kids.join(found, here).filter("alike or told_labelled = 0").select("h", "t", F.col("child").alias("c"), F.lit(True).alias("merge"))
+        now = at.join(merged, here & (child == F.col("c")), "left")
         step = F.when(child.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("merge"), F.lit("*")).otherwise(child)))
-        nodes = stored(now.select(*[c for c in before.columns if c != "template"], step.alias("template")))
-        level += 1
-    rest = F.filter("shape", lambda x, i: i >= level)  # of paths that share their template with no other
-    nodes = nodes.withColumn("template", F.concat("template", F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), x)), "")))
-    nodes = stored(nodes.withColumn("domain", domain_of(F.col("host"))))
-    told = _looked_up(_looked_up(nodes, ["domain", "shape"], "domain", r), ["shape"], "everywhere", r)
-    counts = ["labelled", "bad", "domain_labelled", "domain_bad", "everywhere_labelled", "everywhere_bad"]
+        nodes = stored(now.select(*[c for c in at.columns if c not in ("template", "rest")], step.alias("template"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")))
+    told = nodes.withColumn("template", F.concat("template", _joined(F.col("rest"))))
     sums = told.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in counts])
     share = F.lit(r.prior)
     for at in ("everywhere_", "domain_", ""):
         share = (F.col(f"{at}bad") + r.strength * share) / (F.col(f"{at}labelled") + r.strength)
     sums = sums.select(F.col("host").alias("h"), F.col("template").alias("t"), share.alias("blocked_share"))
-    return nodes.join(sums, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).select("host", "shape", "template", "blocked_share")
+    return told.join(sums, here).select("host", "shape", "template", "blocked_share")
+
+
+def _joined(segments: Column) -> Column:
+    return F.array_join(F.transform(segments, lambda x: F.concat(F.lit("/"), x)), "")
 
 
 def domain_of(host: Column) -> Column:
@@ -169,22 +186,23 @@ def _sql(r: UrlRules = UrlRules()) -> str:
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in order) + " END"
     shape = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}'){" AND regexp_matches(s, '[0-9]')" if d else ""} THEN '{n}'" for p, n, d in VARIABLES) + " ELSE s END"
     levels = []
+    told = lambda c: f"CASE WHEN sum(labelled) > 0 THEN sum({c}) WHEN sum(dl) > 0 THEN sum(d{c[0]}) ELSE sum(e{c[0]}) END"
     for k in range(r.depth + 1):
-        levels.append(f"""k{k} AS (SELECT host, template, shape[{k + 1}] AS child, sum(labelled) AS labelled, sum(bad) AS bad FROM n{k} WHERE len(shape) > {k} GROUP BY ALL),
+        levels.append(f"""k{k} AS (SELECT host, template, shape[{k + 1}] AS child, {told("labelled")} AS labelled, {told("bad")} AS bad FROM n{k} WHERE len(shape) > {k} GROUP BY host, template, shape[{k + 1}]),
 s{k} AS (SELECT host, template, count(*) AS kids, sum(CASE WHEN labelled > 0 THEN 1 ELSE 0 END) AS known, sum(bad) / greatest(sum(labelled), 1) AS share, sum(bad) AS bad, sum(CASE WHEN labelled > 0 THEN bad * bad / labelled END) AS squares FROM k{k} GROUP BY ALL),
-m{k} AS (SELECT host, template FROM s{k} WHERE kids > {r.most_children} OR (known = kids AND kids > 1 AND CASE WHEN share * (1 - share) > 0 THEN (squares - bad * share) / (share * (1 - share)) ELSE 0 END <= known - 1 + {r.deviations} * sqrt(2.0 * (known - 1)))),
-n{k + 1} AS (SELECT n.host, n.shape, n.labelled, n.bad, CASE WHEN len(n.shape) > {k} THEN n.template || '/' || CASE WHEN m.host IS NOT NULL THEN '*' ELSE n.shape[{k + 1}] END ELSE n.template END AS template FROM n{k} n LEFT JOIN m{k} m ON m.host = n.host AND m.template = n.template)""")
+m{k} AS (SELECT host, template, known > 1 AND CASE WHEN share * (1 - share) > 0 THEN (squares - bad * share) / (share * (1 - share)) ELSE 0 END <= known - 1 + {r.deviations} * sqrt(2.0 * greatest(known - 1, 0)) AS alike FROM s{k} WHERE kids > 1),
+w{k} AS (SELECT host, template, child FROM k{k} JOIN m{k} USING (host, template) WHERE alike OR labelled = 0),
+n{k + 1} AS (SELECT n.* EXCLUDE (template), CASE WHEN len(n.shape) > {k} THEN n.template || '/' || CASE WHEN w.host IS NOT NULL THEN '*' ELSE n.shape[{k + 1}] END ELSE n.template END AS template FROM n{k} n LEFT JOIN w{k} w ON w.host = n.host AND w.template = n.template AND w.child = n.shape[{k + 1}])""")
     return f"""
 WITH a AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 c AS (SELECT *, {rule} AS rule, {verdict} AS given, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: {shape}) AS parts FROM b),
 u AS (SELECT page_id, host, path, rule, given, CASE WHEN len(parts) > {r.depth} THEN list_append(parts[1:{r.depth}], '**') ELSE parts END AS shape FROM c),
-n0 AS (SELECT host, shape, count(given) AS labelled, sum(CASE WHEN given = 'block' THEN 1 ELSE 0 END) AS bad, '' AS template FROM u GROUP BY host, shape),
+z AS (SELECT host, shape, CAST(count(given) AS DOUBLE) AS labelled, CAST(sum(CASE WHEN given = 'block' THEN 1 ELSE 0 END) AS DOUBLE) AS bad, regexp_replace(host, '^.*\\.([^.]+\\.[^.]+)$', '\\1') AS domain FROM u GROUP BY host, shape),
+n0 AS (SELECT host, shape, labelled, bad, sum(labelled) OVER (PARTITION BY domain, shape) AS dl, sum(bad) OVER (PARTITION BY domain, shape) AS db,
+  sum(labelled) OVER (PARTITION BY shape) AS el, sum(bad) OVER (PARTITION BY shape) AS eb, '' AS template FROM z),
 {", ".join(levels)},
-z AS (SELECT *, regexp_replace(host, '^.*\\.([^.]+\\.[^.]+)$', '\\1') AS domain FROM n{r.depth + 1}),
-y AS (SELECT host, template, CAST(labelled AS DOUBLE) AS l, CAST(bad AS DOUBLE) AS b, CAST(sum(labelled) OVER (PARTITION BY domain, shape) AS DOUBLE) AS dl, CAST(sum(bad) OVER (PARTITION BY domain, shape) AS DOUBLE) AS db,
-  CAST(sum(labelled) OVER (PARTITION BY shape) AS DOUBLE) AS el, CAST(sum(bad) OVER (PARTITION BY shape) AS DOUBLE) AS eb FROM z),
-t AS (SELECT host, template, (sum(b) + {r.strength!r} * ((sum(db) + {r.strength!r} * ((sum(eb) + {r.strength * r.prior!r}) / (sum(el) + {r.strength!r}))) / (sum(dl) + {r.strength!r}))) / (sum(l) + {r.strength!r}) AS blocked_share FROM y GROUP BY ALL)
+t AS (SELECT host, template, (sum(bad) + {r.strength!r} * ((sum(db) + {r.strength!r} * ((sum(eb) + {r.strength * r.prior!r}) / (sum(el) + {r.strength!r}))) / (sum(dl) + {r.strength!r}))) / (sum(labelled) + {r.strength!r}) AS blocked_share FROM n{r.depth + 1} GROUP BY ALL)
 SELECT page_id, u.host, path, rule, coalesce(given, CASE WHEN blocked_share >= {r.limit!r} THEN 'block' ELSE 'allow' END) AS verdict, n.template, blocked_share
 FROM u LEFT JOIN n{r.depth + 1} n ON n.host = u.host AND n.shape = u.shape LEFT JOIN t ON t.host = n.host AND t.template = n.template"""
 

@@ -613,7 +613,32 @@ def test_large_hosts_and_deep_paths(spark):
     assert len(got) == len(urls)
     assert {got[k].verdict for k in range(30)} == {"block"} and {got[k].template for k in range(30)} == {"/de/{n}"}
     assert {got[k].verdict for k in range(30, 55)} == {"allow"} and {got[k].template for k in range(30, 55)} == {"/*/{n}"}
-    assert [got[k].template for k in range(55, 66)] == ["/u/v/w/x/in/y/{n}"] * 5 + ["/u/v/w/x/out/y/{n}"] * 5 + ["/u/v"]
+    assert [got[k].template for k in range(55, 66)] == ["/u/v/w/x/*/y/{n}"] * 10 + ["/u/v"]
+
+
+@pytest.mark.parametrize("sections", [2, 24, 25, 60])
+def test_templates_do_not_depend_on_the_number_of_sections(spark, sections):
+    """Sections without labels are one, whatever their number; alike ones are one with them; unlike ones stay."""
+    names = [f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(sections)]
+    urls = [("a", ["x", s, "{n}"], None) for s in names]
+    urls += [("b", [s, "p"], None) for s in names] + [("b", [s, "p"], "block") for s in ("one", "two") for _ in range(9)]
+    urls += [("c", [s, "q"], None) for s in names] + [("c", ["bad", "q"], "block")] * 9 + [("c", ["good", "q"], "allow")] * 9
+    urls += [("d", [s, "q"], None) for s in ("bad", "good")]
+    t = {(r.host, tuple(r.shape)): r.template for r in url_templates.templates(spark.createDataFrame(urls, "host string, shape array<string>, verdict string")).collect()}
+    assert {t["a", ("x", s, "{n}")] for s in names} == {"/x/*/{n}"}
+    assert {t["b", (s, "p")] for s in [*names, "one", "two"]} == {"/*/p"}
+    assert {t["c", (s, "q")] for s in names} == {"/*/q"} and t["c", ("bad", "q")] == "/bad/q" and t["c", ("good", "q")] == "/good/q"
+    assert t["d", ("bad", "q")] == "/bad/q" and t["d", ("good", "q")] == "/good/q"  # told apart by other hosts
+
+
+def test_long_chains_take_no_rounds_of_their_own(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(url_templates, "stored", lambda f, keep=url_templates.stored: written.append(1) or keep(f))
+    chain = [f"c{k}" for k in range(60)]
+    urls = [("h", [*chain, "in"], None), ("h", [*chain, "out"], None), ("h", chain[:30], None), ("g", chain, None)]
+    t = {(r.host, len(r.shape)): r.template for r in url_templates.templates(spark.createDataFrame(urls, "host string, shape array<string>, verdict string")).collect()}
+    path = "".join(f"/{c}" for c in chain)
+    assert t == {("h", 61): path + "/*", ("h", 30): "".join(f"/{c}" for c in chain[:30]), ("g", 60): path} and len(written) < 12
 
 
 def test_licenses(docs, empty):
