@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -14,7 +16,7 @@ from fieldloom.functions.scalar import fixed, fixed_sql, is_finite
 from fieldloom.operators import areas, contours, expect, relational as R, statespace
 from fieldloom.plans import fixtures as X
 from fieldloom.session import ensure_checkpoint_dir, stored
-from fieldloom.sources import files, polygons, raster
+from fieldloom.sources import files, polygons, raster, xlsx
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,6 +54,34 @@ def csv_scan(spark, d):
     return files.read_csv(spark, path, CUSTOMER)
 
 
+@query(f"SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_acctbal, c_mktsegment FROM ({CUSTOMER_SQL})")
+def csv_inferred_scan(spark, d):
+    path = _folder(spark)
+    files.write_csv(_customer(spark, d), path)
+    return files.read_csv_inferred(spark, path)
+
+
+@query(f"""WITH {X.CUBE}, v AS (SELECT member, year, month, avg(value) AS value FROM cube GROUP BY ALL)
+SELECT CAST(k.member AS INTEGER) AS member, k.year, CAST(m AS INTEGER) AS month, {fixed_sql('value', 4)} AS value FROM (SELECT DISTINCT member, year FROM v) k CROSS JOIN (SELECT unnest(range(1, 13)) AS m) LEFT JOIN v ON v.member = k.member AND v.year = k.year AND v.month = m""")
+def workbook_triples(spark, d):
+    """A workbook for each member, written by tasks, with a value and two flags for each month of a year; the values alone are read."""
+    folder = _folder(spark).removeprefix("file:")
+    months = X.cube(spark, d).groupBy("member", "year", "month").agg(F.avg("value").alias("value"))
+    wide = months.groupBy("member", "year").pivot("month", list(range(1, 13))).agg(F.first("value"))
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, f"{key[0]}.xlsx")
+        lines = [[int(r[0]), int(r[1]), "id", *[x for v in r[2:] for x in (float(v), "a", "b")]] for r in rows.itertuples(index=False)]
+        part = f"{path}.{uuid.uuid4().hex}"  # the file takes its name when it is whole
+        xlsx.write_rows(part, lines, ["member", "year", "kind", *[x for m in range(1, 13) for x in (f"month{m}", "flag", "source")]])
+        os.replace(part, path)
+        return pd.DataFrame({"member": [key[0]]})
+
+    wide.groupBy("member").applyInPandas(one, "member int").count()
+    return xlsx.read_triples(spark, folder, {"member": 1, "year": 2}).select("member", "year", "month", fixed(F.col("value"), 4).alias("value"))
+
+
 @query(CUSTOMER_SQL)
 def csv_gzip_scan(spark, d):
     path = _folder(spark)

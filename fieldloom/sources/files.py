@@ -61,6 +61,11 @@ def read_wide_years(spark: SparkSession, path: str, ids: StructType, value: str
     return wide.select(*keep, *[F.col(f"`{c}`").alias(str(y)) for c, y in years.items()]).unpivot(keep, [str(y) for y in years.values()], "year", value).withColumn("year", F.col("year").cast("int"))
 
 
+def read_csv_inferred(spark: SparkSession, path: str, na: str = "NA") -> DataFrame:
+    """A CSV whose columns' types follow from all of its values: one more pass over the file than with a schema."""
+    return spark.read.option("header", True).option("inferSchema", True).option("nullValue", na).csv(path)
+
+
 def cells_of_rasters(bands: dict[int, DataFrame], x: str = "x", y: str = "y", value: str = "value") -> DataFrame:
     """x, y and a column pop_YEAR per band; bands must have the same cells; cells that are null in all bands go."""
     out = None

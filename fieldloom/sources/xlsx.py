@@ -13,7 +13,10 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -55,6 +58,34 @@ def read_rows(file, sheet: int = 1) -> Iterator[dict[int, str | None]]:
                 e.clear()
 
 
+def write_rows(path: str, rows: list[list], header: list[str]) -> None:
+    """A small writer of one sheet: numbers, texts and empty cells."""
+    name = lambda k: (chr(64 + (k - 1) // 26) if k > 26 else "") + chr(65 + (k - 1) % 26)
+
+    def cell(n: int, k: int, v) -> str:
+        if v is None or v != v:
+            return ""
+        if isinstance(v, str):
+            return f'<c r="{name(k)}{n}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        return f'<c r="{name(k)}{n}"><v>{v!r}</v></c>'
+
+    lines = [f'<row r="{n}">{"".join(cell(n, k, v) for k, v in enumerate(row, 1))}</row>' for n, row in enumerate([header, *rows], 1)]
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+
+
+def read_triples(spark: SparkSession, path: str, ids: dict[str, int], first: int = 4, groups: int = 12, width: int = 3) -> DataFrame:
+    """ids (as whole numbers), month and value of sheets that hold a value and its flags for each month: of each group of ``width``
+    columns, the first of which stands at ``first``, the value is kept. Cells that are no number are null."""
+    spark.dataSource.register(WorkbookSource)
+    months = [str(m + 1) for m in range(groups)]
+    keep = [*ids.values(), *[first + width * m for m in range(groups)]]
+    wide = spark.read.format("fieldloom_xlsx").option("keep", ",".join(map(str, keep))).option("names", ",".join([*ids, *months])).load(path)
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    wide = wide.select(*[number(c).cast("int").alias(c) for c in ids], *[number(m).alias(m) for m in months])
+    return wide.unpivot(list(ids), months, "month", "value").withColumn("month", F.col("month").cast("int"))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, width: int) -> None:
         self.sheet, self.header = int(options.get("sheet", "1")), options.get("header", "true").lower() == "true"
