@@ -53,6 +53,25 @@ def weight_table(spark, points: list[tuple], targets: list[tuple], penalty: floa
     return spark.createDataFrame([(t[0], p[0], float(w[i, j])) for i, t in enumerate(targets) for j, p in enumerate(points)], "target long, location long, weight double")
 
 
+def display_grid(points: list[tuple], columns: int, rows: int) -> list[tuple]:
+    """Evenly spaced (id, lon, lat) over the extent of points (id, lon, lat), row after row from the south-west."""
+    lon, lat = ([p[k] for p in points] for k in (1, 2))
+    return [(j * columns + i, float(x), float(y)) for j, y in enumerate(np.linspace(min(lat), max(lat), rows)) for i, x in enumerate(np.linspace(min(lon), max(lon), columns))]
+
+
+def smoothed_fields(fields: DataFrame, points: list[tuple], targets: list[tuple], keys: list[str], df: float, point: str = "location", value: str = "value") -> DataFrame:
+    """keys, target, value: each field (keys, point, value) smoothed by a thin plate of df degrees of freedom and taken at targets.
+
+    Points and targets are lists of parameters (id, lon, lat); one matrix of weights serves all fields. A field that lacks the value of a
+    point has another plate, so it is left out, as is one with a point twice; rows of other points take no part.
+    """
+    ids = [p[0] for p in points]
+    whole = fields.filter(F.col(point).isin(ids) & F.col(value).isNotNull() & ~F.isnan(value))
+    known = whole.groupBy(*keys).agg(F.count_distinct(point).alias("__n"), F.count("*").alias("__all")).filter((F.col("__n") == len(ids)) & (F.col("__all") == len(ids)))
+    matrix = weight_table(fields.sparkSession, points, targets, penalty_for_df(np.asarray([p[1:] for p in points], float), df))
+    return apply_weights(whole.join(known.select(*keys), keys, "left_semi"), matrix, keys, point, value)
+
+
 def self_check(points: np.ndarray, targets: np.ndarray, values: np.ndarray, penalty: float = 1e-8) -> float:
     """Largest difference between the operator's values and a direct solve for one field."""
     p = np.asarray(points, float)
