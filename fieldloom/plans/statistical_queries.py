@@ -191,7 +191,7 @@ roots AS (SELECT location, u, (lo + hi) / 2 AS x FROM r WHERE i = 60)"""
 _U = [0.0, 0.001, 0.1, 0.5, 0.9, 0.999]
 
 
-@query(f"WITH RECURSIVE {X.ANNUAL}, t AS (SELECT location, u FROM (SELECT DISTINCT location FROM annual), (SELECT unnest({_U})::DOUBLE AS u)), {_bisected_sql('t', 2.5)} SELECT location, round(u, 4) AS u, {fixed_sql('x', 5)} AS x FROM roots")
+@query(f"WITH RECURSIVE {X.ANNUAL}, t AS (SELECT location, u FROM (SELECT DISTINCT location FROM annual), (SELECT unnest({_U})::DOUBLE AS u)), {_bisected_sql('t', 2.5)} SELECT t.location, round(t.u, 4) AS u, {fixed_sql('x', 5)} AS x FROM t LEFT JOIN roots ON roots.location = t.location AND roots.u = greatest(least(t.u, 1 - 1e-8), 1e-8)")
 def kernel_inverse(spark, d):
     """By bracketed root finding; the SQL bisects."""
     a = X.annual(spark, d)
