@@ -1,6 +1,6 @@
 """Interval-censored kriging: predicts a latent field from ordered categories, one period at a time.
 
-A period is one group: its observations, which are the sites of one year, are gathered, their covariance is factorised
+A period is one group: its places, with the mean of the observations at each, are gathered, their covariance is factorised in tiles
 once, and all targets of all sets are predicted from it in slices. Targets are a table of parameters (a grid), whose
 size is checked before it is sent to every task.
 """
@@ -61,8 +61,53 @@ def factorise(matrix: np.ndarray) -> Factor:
     raise np.linalg.LinAlgError("the covariance is not positive definite, even with jitter")
 
 
+class Tiles:
+    """The lower factor of a matrix that ``tile(rows, columns)`` gives in pieces: only its lower half is ever held, a slab of ``size`` rows at a time."""
+
+    def __init__(self, n: int, tile, size: int = 512) -> None:
+        self.cuts = [slice(lo, min(lo + size, n)) for lo in range(0, n, size)]
+        for self.jitter in JITTERS:
+            try:
+                self._factorise(tile)
+                return
+            except np.linalg.LinAlgError:
+                continue
+        raise np.linalg.LinAlgError("the covariance is not positive definite, even with jitter")
+
+    def _factorise(self, tile) -> None:
+        self.slabs, self.inverses = [], []
+        for rows in self.cuts:
+            slab = np.empty((rows.stop - rows.start, rows.stop))
+            for k, columns in enumerate(self.cuts[: len(self.slabs)]):
+                left = slab[:, : columns.start] @ self.slabs[k][:, : columns.start].T
+                slab[:, columns] = (tile(rows, columns) - left) @ self.inverses[k].T
+            own = tile(rows, rows) - slab[:, : rows.start] @ slab[:, : rows.start].T
+            own[np.diag_indices(len(own))] += self.jitter
+            slab[:, rows] = np.linalg.cholesky(own)
+            self.inverses.append(np.linalg.inv(slab[:, rows]))
+            self.slabs.append(slab)
+
+    def forward(self, b: np.ndarray) -> np.ndarray:
+        out = np.array(b, float)
+        for rows, slab, inverse in zip(self.cuts, self.slabs, self.inverses, strict=True):
+            out[rows] = inverse @ (out[rows] - slab[:, : rows.start] @ out[: rows.start])
+        return out
+
+
+def by_place(lon, lat, level) -> tuple[np.ndarray, ...]:
+    """lon, lat, mean level and number of the observations of each place, and each observation's place."""
+    where, first = np.unique(np.column_stack((np.asarray(lon, float), np.asarray(lat, float))), axis=0, return_inverse=True)
+    first = first.ravel()
+    n = np.bincount(first)
+    return where[:, 0], where[:, 1], np.bincount(first, np.asarray(level, float)) / n, n, first
+
+
 class Predictor:
-    """Fixed quantities of a calibrated field, and prediction of one period."""
+    """Fixed quantities of a calibrated field, and prediction of one period.
+
+    Observations at one place have one covariance with all others, so that they weigh the same: their mean stands for them, with the
+    part of its variance that they don't share divided by their number. A period's matrix has a row per place.
+    """
 
     def __init__(self, c: Calibration) -> None:
         self.c = c
@@ -79,16 +124,29 @@ class Predictor:
         np.fill_diagonal(s, self.variance)
         return s
 
-    def predict(self, lon, lat, level, tlon, tlat, slice_rows: int = 4096) -> tuple[np.ndarray, np.ndarray, float]:
-        """Mean, error variance at the targets, and the jitter used."""
-        f = factorise(self.covariance(np.asarray(lon, float), np.asarray(lat, float)))
-        weight = f.solve(np.asarray(level, float) - self.mean)
+    def factor(self, lon: np.ndarray, lat: np.ndarray, n: np.ndarray) -> Tiles:
+        """Of the covariance of the means of n observations at distinct places."""
+        ratio, shared = self.c.process / self.c.total, float(self.table(self.c.process / self.c.total))
+
+        def tile(rows: slice, columns: slice) -> np.ndarray:
+            s = self.table(ratio * np.exp(-np_ellipsoid_matrix(lon[rows], lat[rows], lon[columns], lat[columns]) / self.c.range_km))
+            if rows == columns:
+                np.fill_diagonal(s, self.variance / n[rows] + shared * (1 - 1 / n[rows]))
+            return s
+
+        return Tiles(len(lon), tile)
+
+    def predict(self, lon, lat, level, tlon, tlat, n=None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Mean, error variance at the targets, and the jitter used. With n, a row is a place with the mean level of n observations."""
+        if n is None:
+            lon, lat, level, n, _ = by_place(lon, lat, level)
+        f = self.factor(lon, lat, n)
+        weight = f.forward(np.asarray(level, float) - self.mean)
         means, variances = [], []
-        for k in range(0, len(tlon), slice_rows):
-            km = np_ellipsoid_matrix(lon, lat, tlon[k : k + slice_rows], tlat[k : k + slice_rows])
-            cross = self.cross(km)
-            half = f.forward(cross)
-            means.append(cross.T @ weight)
+        some = max(16, 2**22 // len(lon))
+        for k in range(0, len(tlon), some):
+            half = f.forward(self.cross(np_ellipsoid_matrix(lon, lat, tlon[k : k + some], tlat[k : k + some])))
+            means.append(half.T @ weight)
             variances.append(np.maximum(self.c.process - (half * half).sum(axis=0), 0))
         return np.concatenate(means), np.concatenate(variances), f.jitter
 
@@ -96,18 +154,24 @@ class Predictor:
         """Between observations and the latent field at these distances."""
         return self.c.process * np.exp(-km / self.c.range_km) * self.slope / self.c.total
 
-    def left_out(self, km: np.ndarray, level: np.ndarray, sites: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-        """For each of ``sites`` (places in km) the prediction from all others, from one factor of all: without site i the solution of a
-        system is u - v u_i / v_i, where u solves the whole system with 0 at i, and v solves it for the i-th unit vector."""
-        f = factorise(self.covariance_at(km))
-        unit = np.eye(len(km))[:, sites]
-        cross = self.cross(km[:, sites])
-        own = np.arange(len(sites))
-        cross[sites, own] = 0.0
-        u, v = np.split(f.solve(np.concatenate((cross, unit), axis=1)), 2, axis=1)
-        weight = u - v * (u[sites, own] / v[sites, own])
-        weight[sites, own] = 0.0
-        return weight.T @ (level - self.mean), np.maximum(self.c.process - (weight * cross).sum(axis=0), 0), f.jitter
+    def left_out(self, lon, lat, level, n, f: Tiles, places: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and error variance at each of ``places`` without one of its observations, of level ``own``, from one factor of all.
+
+        Without an observation the place's mean has a larger variance, or the place is gone: a change of one diagonal element, so that
+        the solution of a system becomes u - v u_i / (v_i + 1 / change), where u solves the whole system and v solves it for the i-th unit vector.
+        """
+        unit = np.zeros((len(lon), len(places)))
+        unit[places, np.arange(len(places))] = 1.0
+        cross = f.forward(self.cross(np_ellipsoid_matrix(lon, lat, lon[places], lat[places])))
+        unit, rest = f.forward(unit), f.forward(level - self.mean)
+        u, v, m = (unit * cross).sum(axis=0), (unit * unit).sum(axis=0), n[places]
+        alone = self.variance - float(self.table(self.c.process / self.c.total))
+        with np.errstate(divide="ignore"):
+            part = u / (v + m * (m - 1) / max(alone, 1e-300))
+        at = np.where(m > 1, u - part * v, 0.0)  # the place's weight
+        moved = np.where(m > 1, (level[places] - own) / np.maximum(m - 1, 1), 0.0)
+        mean = cross.T @ rest - part * (unit.T @ rest) + at * moved
+        return mean, np.maximum(self.c.process - ((cross * cross).sum(axis=0) - part * u), 0)
 
 
 def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: str = "year") -> DataFrame:
@@ -122,10 +186,11 @@ def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: s
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         where, p = shared.value
-        mean, variance, jitter = p.predict(pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), pdf["level"].to_numpy(), where["lon"].to_numpy(), where["lat"].to_numpy())
-        return pd.DataFrame({period: pdf[period].iloc[0], "target_set": where["target_set"], "target_id": where["target_id"], "mean": mean, "variance": variance, "n_obs": len(pdf), "jitter": jitter})
+        mean, variance, jitter = p.predict(*(pdf[c].to_numpy(float) for c in ("lon", "lat", "level")), where["lon"].to_numpy(), where["lat"].to_numpy(), pdf["n"].to_numpy())
+        return pd.DataFrame({period: pdf[period].iloc[0], "target_set": where["target_set"], "target_id": where["target_id"], "mean": mean, "variance": variance, "n_obs": pdf["n"].sum(), "jitter": jitter})
 
-    return dealt(observations.select(period, "lon", "lat", "level"), period).groupBy(period).applyInPandas(one, shape)
+    places = observations.groupBy(period, "lon", "lat").agg(F.avg("level").alias("level"), F.count("*").alias("n"))
+    return dealt(places, period).groupBy(period).applyInPandas(one, shape)
 
 
 def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration | dict[int, Calibration], keys: list[str]) -> DataFrame:
@@ -154,32 +219,39 @@ def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration | dict[i
 def krige_left_out(records: DataFrame, held: DataFrame, c: Calibration | dict[int, Calibration], period: str = "year", repetition: str = "repetition", chunk: int = 10) -> DataFrame:
     """repetition, period, site, level, yhat, mspe, jitter: predictions at held-out sites from all other records of their period.
 
-    records: period, site, lon, lat, level, one row a site and period; held: repetition, period, site. A group is a period and up to
-    ``chunk`` repetitions: its distances are computed once, repetitions with one calibration share a factor, and no training table is
-    copied for each repetition. With a calibration for each repetition that one predicts; repetitions without one give no rows.
+    records: period, site, lon, lat, level, one row a site and period; held: repetition, period, site. A group is a period, whose places
+    are factorised once for all repetitions; with a calibration for each repetition that one predicts, a group is a period and up to
+    ``chunk`` repetitions, each with its factor, and repetitions without a calibration give no rows. No training table is copied for each repetition.
     """
-    shared = records.sparkSession.sparkContext.broadcast({k: Predictor(v) for k, v in c.items()} if isinstance(c, dict) else Predictor(c))  # 4001 numbers each
-    if isinstance(c, dict):
+    several = isinstance(c, dict)
+    shared = records.sparkSession.sparkContext.broadcast({k: Predictor(v) for k, v in c.items()} if several else Predictor(c))  # 4001 numbers each
+    if several:
         held = held.filter(F.col(repetition).isin(list(c)))
     kinds = dict(records.dtypes) | {repetition: dict(held.dtypes)[repetition]}
     shape = f"{repetition} {kinds[repetition]}, {period} {kinds[period]}, site {kinds['site']}, level {kinds['level']}, yhat double, mspe double, jitter double"
     names = [x.split()[0] for x in shape.split(", ")]
-    numbered = held.select(F.col(period).alias(period), F.col("site").alias("site"), F.col(repetition).alias(repetition), F.floor(F.col(repetition) / chunk).alias("chunk"))
-    groups = numbered.select(period, "chunk").distinct().withColumnRenamed(period, "of")
-    mine = records.join(groups, records[period] == groups["of"]).select(*[F.col(k).alias(k) for k in (period, "site", "lon", "lat", "level")], F.col("chunk").alias("chunk"))
+    fresh = lambda f, *columns: f.select(*[F.col(k).alias(k) for k in columns])  # noqa: E731  both come from one frame
+    numbered = fresh(held, period, "site", repetition).withColumn("chunk", F.floor(F.col(repetition) / chunk) if several else F.lit(0))
+    out = numbered.join(fresh(records, period, "site", "lon", "lat", "level"), [period, "site"])
+    groups = numbered.select(period, "chunk").distinct()
+    places = records.groupBy(period, "lon", "lat").agg(F.avg("level").alias("mean_level"), F.count("*").alias("n"))
+    mine = fresh(places, period, "lon", "lat", "mean_level", "n").join(fresh(groups, period, "chunk"), period)
 
     def one(key: tuple, rows: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 2 or out.empty:
+        if out.empty or rows["n"].sum() < 2:
             return pd.DataFrame({k: [] for k in names})
-        place = {site: k for k, site in enumerate(rows["site"])}
-        lon, lat, level = (rows[k].to_numpy(float) for k in ("lon", "lat", "level"))
-        km = np_ellipsoid_matrix(lon, lat, lon, lat)
-        several = isinstance(shared.value, dict)
+        lon, lat, level, n = (rows[k].to_numpy(float) for k in ("lon", "lat", "mean_level", "n"))
+        number = {where: k for k, where in enumerate(zip(lon, lat, strict=True))}
         found = []
         for which, part in out.groupby(repetition) if several else [(None, out)]:
-            mean, variance, jitter = (shared.value[which] if several else shared.value).left_out(km, level, [place[s] for s in part["site"]])
-            found.append(part.assign(level=[rows["level"].iloc[place[s]] for s in part["site"]], yhat=mean, mspe=variance, jitter=jitter))
+            p = shared.value[which] if several else shared.value
+            f, at = p.factor(lon, lat, n), np.asarray([number[where] for where in zip(part["lon"], part["lat"], strict=True)])
+            for k in range(0, len(part), 256):
+                some = part.iloc[k : k + 256]
+                mean, variance = p.left_out(lon, lat, level, n, f, at[k : k + 256], some["level"].to_numpy(float))
+                found.append(some.assign(yhat=mean, mspe=variance, jitter=f.jitter))
         return pd.concat(found)[names]
 
     parts = 8 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # groups are few and heavy
-    return dealt(mine, period, "chunk", parts=parts).groupBy(period, "chunk").cogroup(dealt(numbered, period, "chunk", parts=parts).groupBy(period, "chunk")).applyInPandas(one, shape)
+    keys = [period, "chunk"]
+    return dealt(fresh(mine, *keys, "lon", "lat", "mean_level", "n"), *keys, parts=parts).groupBy(*keys).cogroup(dealt(fresh(out, *keys, repetition, "site", "lon", "lat", "level"), *keys, parts=parts).groupBy(*keys)).applyInPandas(one, shape)
