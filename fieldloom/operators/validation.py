@@ -76,12 +76,16 @@ def split(records: DataFrame, site: list[str], group: str, repetitions: int, lea
 FIELDS = "pilot_nugget double, pilot_sill double, pilot_range_km double, total double, process double, nugget double, range_km double, problem string"
 
 
-def recalibrated(training: DataFrame, period: str, width: float = 10.0, cutoff: float = 1200.0, by: str = "repetition", value: str = "level") -> DataFrame:
+def recalibrated(training: DataFrame, period: str, width: float = 10.0, cutoff: float = 1200.0, by: str = "repetition", value: str = "level", held: DataFrame | None = None, repetitions: int = 0) -> DataFrame:
     """Each repetition's own variogram of its training records, and the calibration that follows from it; a row per repetition.
 
-    What can't be fitted or calibrated is null, with the reason in ``problem``. Repetitions are fitted apart from each other.
+    What can't be fitted or calibrated is null, with the reason in ``problem``. Repetitions are fitted apart from each other. With ``held``
+    (repetition, period, site) training holds the records of all repetitions once, and each of the ``repetitions`` leaves its held-out sites out.
     """
-    bins = variogram.period_bins(training, period, "site", width, cutoff, value=value, by=by)
+    if held is None:
+        bins = variogram.period_bins(training, period, "site", width, cutoff, value=value, by=by)
+    else:
+        bins = variogram.period_bins_left_out(training, held, repetitions, period, "site", width, cutoff, value=value, repetition=by)
     names = [by, *(f.split()[0] for f in FIELDS.split(", "))]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +100,7 @@ def recalibrated(training: DataFrame, period: str, width: float = 10.0, cutoff:
         return pd.DataFrame([[pdf[by].iloc[0], *pilot, *latent, problem]], columns=names)
 
     parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bins.repartition(parts, by).groupBy(by).applyInPandas(fit, f"{by} {dict(training.dtypes)[by]}, {FIELDS}")
+    return bins.repartition(parts, by).groupBy(by).applyInPandas(fit, f"{by} {dict(bins.dtypes)[by]}, {FIELDS}")
 
 
 def calibrations(fields: DataFrame, by: str = "repetition") -> dict[int, calibration.Calibration]:

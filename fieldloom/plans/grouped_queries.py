@@ -250,11 +250,10 @@ def within_polygon(spark, d):
 
 
 def _validated(spark, d, field) -> DataFrame:
-    """Scores of 30 repetitions, each with one site held out of every day; ``field`` gives calibrations for held and training records."""
+    """Scores of 30 repetitions, each with one site held out of every day; ``field`` gives calibrations from all records and what is held out."""
     obs = stored(_observations(spark, d))
-    held, training = validation.split(obs, ["site"], "year", 30)
-    held = stored(held)
-    c = field(training)
+    held = stored(validation.split(obs, ["site"], "year", 30)[0])
+    c = field(obs, held)
     p = kriging.krige_left_out(obs, held, c)
     nugget = F.lit(c.nugget) if not isinstance(c, dict) else F.create_map(*[F.lit(v) for k, x in c.items() for v in (k, x.nugget)])[F.col("repetition")] if c else F.lit(0.0)
     scores = validation.scored(p.withColumn("sd", F.sqrt(F.col("mspe") + nugget)))
@@ -264,16 +263,18 @@ def _validated(spark, d, field) -> DataFrame:
 @query
 def repeated_validation(spark, d):
     """Under one given field."""
-    return _validated(spark, d, lambda training: FIELD)
+    return _validated(spark, d, lambda obs, held: FIELD)
 
 
 @query
 def recalibrated_validation(spark, d):
     """Each repetition under the field of its own training records; repetitions without a valid one are not scored."""
-    return _validated(spark, d, lambda training: validation.calibrations(stored(validation.recalibrated(training, "year", 50.0, 1500.0))))
+    return _validated(spark, d, lambda obs, held: validation.calibrations(stored(validation.recalibrated(obs, "year", 50.0, 1500.0, held=held, repetitions=30))))
 
 
 @query
 def recalibrated_fields(spark, d):
     """The variogram and calibration of each of 30 repetitions, from its own training records."""
-    return validation.recalibrated(validation.split(_observations(spark, d), ["site"], "year", 30)[1], "year", 50.0, 1500.0)
+    obs = stored(_observations(spark, d))
+    held = validation.split(obs, ["site"], "year", 30)[0]
+    return validation.recalibrated(obs, "year", 50.0, 1500.0, held=held, repetitions=30)
