@@ -80,8 +80,9 @@ class Fit:
         return self.deviance + math.log(self.n) * self.edf
 
     @property
-    def explained(self) -> float:
-        return 1 - self.deviance / self.null_deviance
+    def explained(self) -> float | None:
+        """The share of the null deviance; none where the response does not vary."""
+        return 1 - self.deviance / self.null_deviance if self.null_deviance else None
 
 
 def _design(terms: list[Term], f: pd.DataFrame) -> np.ndarray:
