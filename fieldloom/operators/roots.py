@@ -38,6 +38,7 @@ def kernel_inverse(
     far = sds * F.greatest(F.sqrt(F.try_divide(F.col("squares"), F.col("total") - 1)), F.col("width"))
     ends = ends.join(spread, keys).filter("most > least").select(*keys, "total", (F.col("least") - far).alias("lo"), (F.col("most") + far).alias("hi"))
 
+    targets = stored(targets)  # read twice below: sums computed twice may differ in their last bit, and their roots would not be found
     asked = F.when(F.col(u).isNotNull() & ~F.isnan(u), F.greatest(F.least(F.col(u).cast("double"), F.lit(1 - clip)), F.lit(clip)))
     places = targets.select(*keys, asked.alias("u")).filter("u is not null").distinct().join(ends, keys)
     state = stored(places.withColumns({"x": (F.col("lo") + F.col("hi")) / 2, "step": F.col("hi") - F.col("lo")}))
@@ -90,6 +91,7 @@ def map_index(
     A null mean gives null results, a null sd a null band.
     """
     lo, hi, n = curve
+    estimates = stored(estimates.select(*keys, time, mean, sd))  # read several times, and joined by places that follow from it
     places = F.array(*[F.lit(lo + (hi - lo) * i / (n - 1)) for i in range(n)])
     grid = estimates.select(*keys).distinct().select(*keys, F.explode(places).alias("y"))
     rows = estimates.select(*keys, time, F.col(mean).alias("yhat"), F.col(sd).alias("sd"))
