@@ -6,6 +6,9 @@ The column form folds over each key's ordered steps inside the JVM; one key's st
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -106,10 +109,16 @@ def np_filter_smooth(mu, M, r2, obs, alpha, beta, vdelta) -> dict[str, np.ndarra
     return {"m_pred": mp, "p_pred": pp, "m": mf, "p": pf, "m_smooth": ms, "p_smooth": ps}
 
 
+@cache
+def _hermite(nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and weights, which take longer to find than to use."""
+    x, w = np.polynomial.hermite_e.hermegauss(nodes)
+    return x, w / w.sum()
+
+
 def np_measurement(total: float, explained: float, g, nodes: int = 40) -> tuple[float, float, float]:
     """alpha, beta, vdelta of g(fitted) on g(latent) by Gauss-Hermite quadrature: latent = fitted + rest, variances explained and total - explained."""
-    x, w = np.polynomial.hermite_e.hermegauss(nodes)
-    w = w / w.sum()
+    x, w = _hermite(nodes)
     fitted = np.sqrt(max(explained, 0)) * x[:, None]
     latent = fitted + np.sqrt(max(total - explained, 0)) * x[None, :]
     a, b, ww = np.broadcast_to(g(fitted), latent.shape), g(latent), w[:, None] * w[None, :]
@@ -123,21 +132,18 @@ def np_measurement(total: float, explained: float, g, nodes: int = 40) -> tuple[
 def measurement_parameters(sites: DataFrame, maps: DataFrame, total: float) -> DataFrame:
     """site, t, alpha, beta, vdelta for sites (site, t, explained) under each site's mapping table maps (site, y, x)."""
 
-    def one(key: tuple, steps: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        if steps.empty or table.empty:
-            return pd.DataFrame({"site": [], "t": [], "alpha": [], "beta": [], "vdelta": []})
-        table = table.sort_values("y")
-        y, x = table["y"].to_numpy(), table["x"].to_numpy()
-        known: dict[float, tuple] = {}
-        rows = []
-        for t, v in zip(steps["t"], steps["explained"], strict=True):
-            if v not in known:
-                known[v] = np_measurement(total, v, lambda q: np.interp(q, y, x))
-            rows.append((key[0], t, *known[v]))
-        return pd.DataFrame(rows, columns=["site", "t", "alpha", "beta", "vdelta"])
-
-    kind = dict(sites.dtypes)["site"]
-    return dealt(sites, "site").groupBy("site").cogroup(dealt(maps, "site").groupBy("site")).applyInPandas(one, f"site {kind}, t int, alpha double, beta double, vdelta double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for site, ts, explained, y, x in zip(*(b[c] for c in ("site", "ts", "explained", "y", "x")), strict=True):
+                known = {v: np_measurement(total, v, lambda q: np.interp(q, y, x)) for v in set(explained)}  # noqa: B023
+                rows += [(site, t, *known[v]) for t, v in zip(ts, explained, strict=True)]
+            yield pd.DataFrame(rows, columns=["site", "t", "alpha", "beta", "vdelta"]).astype({"site": b["site"].dtype})
+
+    steps = sites.groupBy(F.col("site").alias("site")).agg(F.collect_list(F.struct(F.col("t").alias("t"), F.coalesce("explained", F.lit(float("nan"))).alias("explained"))).alias("s"))
+    table = maps.groupBy(F.col("site").alias("site")).agg(F.sort_array(F.collect_list(F.struct(F.col("y").alias("y"), F.col("x").alias("x")))).alias("m"))  # the points of one map
+    both = steps.join(table, "site").select("site", F.col("s.t").alias("ts"), F.col("s.explained").alias("explained"), F.col("m.y").alias("y"), F.col("m.x").alias("x"))
+    return dealt(both, "site").mapInPandas(run, f"site {dict(sites.dtypes)['site']}, t int, alpha double, beta double, vdelta double")
 
 
 def measurement_by_draws(sites: DataFrame, maps: DataFrame, total: float, draws: int = 1_000_000, chunks: int = 64) -> DataFrame:
