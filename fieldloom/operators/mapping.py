@@ -111,7 +111,7 @@ def quantile_maps(samples: DataFrame, estimates: DataFrame, total: float, points
                 yield pd.DataFrame({"site": np.repeat(np.asarray([f[0] for f in found], b["site"].dtype), points), "y": np.concatenate([f[1] for f in found]), "x": np.concatenate([f[2] for f in found])})
 
     kind, known = dict(samples.dtypes)["site"], lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
-    s = samples.groupBy(F.col("site").alias("site")).agg(F.sort_array(F.collect_list(known("value"))).alias("values")).filter(F.size("values") > 1)  # a site's sample is one task's work
-    e = estimates.groupBy(F.col("site").alias("site")).agg(F.sort_array(F.collect_list(F.struct(known("yhat").alias("yhat"), known("nu").alias("nu")))).alias("e"))
+    s = dealt(samples, "site").groupBy(F.col("site").alias("site")).agg(F.sort_array(F.collect_list(known("value"))).alias("values")).filter(F.size("values") > 1)  # a site's sample is one task's work
+    e = dealt(estimates, "site").groupBy(F.col("site").alias("site")).agg(F.sort_array(F.collect_list(F.struct(known("yhat").alias("yhat"), known("nu").alias("nu")))).alias("e"))
     rows = s.join(e, "site").select("site", "values", F.col("e.yhat").alias("yhat"), F.col("e.nu").alias("nu"))
-    return dealt(rows, "site").mapInPandas(run, f"site {kind}, y double, x double")
+    return rows.mapInPandas(run, f"site {kind}, y double, x double")

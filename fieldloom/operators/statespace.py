@@ -140,10 +140,10 @@ def measurement_parameters(sites: DataFrame, maps: DataFrame, total: float) -> D
                 rows += [(site, t, *known[v]) for t, v in zip(ts, explained, strict=True)]
             yield pd.DataFrame(rows, columns=["site", "t", "alpha", "beta", "vdelta"]).astype({"site": b["site"].dtype})
 
-    steps = sites.groupBy(F.col("site").alias("site")).agg(F.collect_list(F.struct(F.col("t").alias("t"), F.coalesce("explained", F.lit(float("nan"))).alias("explained"))).alias("s"))
-    table = maps.groupBy(F.col("site").alias("site")).agg(F.sort_array(F.collect_list(F.struct(F.col("y").alias("y"), F.col("x").alias("x")))).alias("m"))  # the points of one map
+    steps = dealt(sites, "site").groupBy(F.col("site").alias("site")).agg(F.collect_list(F.struct(F.col("t").alias("t"), F.coalesce("explained", F.lit(float("nan"))).alias("explained"))).alias("s"))
+    table = dealt(maps, "site").groupBy(F.col("site").alias("site")).agg(F.sort_array(F.collect_list(F.struct(F.col("y").alias("y"), F.col("x").alias("x")))).alias("m"))  # the points of one map
     both = steps.join(table, "site").select("site", F.col("s.t").alias("ts"), F.col("s.explained").alias("explained"), F.col("m.y").alias("y"), F.col("m.x").alias("x"))
-    return dealt(both, "site").mapInPandas(run, f"site {dict(sites.dtypes)['site']}, t int, alpha double, beta double, vdelta double")
+    return both.mapInPandas(run, f"site {dict(sites.dtypes)['site']}, t int, alpha double, beta double, vdelta double")
 
 
 def measurement_by_draws(sites: DataFrame, maps: DataFrame, total: float, draws: int = 1_000_000, chunks: int = 64) -> DataFrame:

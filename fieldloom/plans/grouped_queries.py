@@ -101,6 +101,7 @@ def prior_parameters(spark, d):
 
 
 def _maps(s: DataFrame) -> DataFrame:
+    s = stored(s)  # means computed twice may differ in their last bit, which may change a bandwidth
     samples = s.select("site", F.col("obs").alias("value"))
     estimates = s.select(F.col("site").alias("site"), (F.col("obs") - 1).alias("yhat"), F.lit(0.4).alias("nu"))
     return mapping.quantile_maps(samples, estimates, TOTAL, 201)
