@@ -112,7 +112,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rounds = F.when((F.col("size") > 0) & (F.col("start") < F.col("quota")), F.sequence(F.lit(0).cast("long"), last))
     parts = placed.withColumn("round", F.explode_outer(rounds)).withColumn("at", F.col("start") + F.col("round") * F.col("source_size"))
     parts = parts.withColumn("rank", F.explode_outer(F.sequence(F.floor(F.col("at") / F.col("block")).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")).cast("long"))))
-    drawn = parts.join(slots, ["src", "rank"], "left")
+    drawn = parts.join(slots.hint("merge"), ["src", "rank"], "left")  # 2^18 slots would be broadcast through the driver
     got = F.greatest(F.lit(0), F.least("high", F.col("at") + F.col("size")) - F.greatest("low", "at"))
     facts = ["doc_id", "source", "size", "source_size", "target", "start"]
     firsts = [F.min(F.when(F.col("round") == k, F.col("slot"))) for k in range(r.most_repeats)]
