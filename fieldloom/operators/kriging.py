@@ -22,6 +22,9 @@ from fieldloom.session import dealt
 #: What is added to the diagonal until the factorisation holds.
 JITTERS = (0.0, 1e-12, 1e-10, 1e-8, 1e-6)
 MOST_TARGETS = 200_000
+#: Sums under a calibration near the factorised one: settled when what is left of them is estimated at this share of them; otherwise
+#: that calibration has a factor of its own, as it has for more held-out observations of a period than FEW.
+SETTLED, MOST_PASSES, FEW = 1e-12, 8, 16
 
 
 BLOCK = 128
@@ -93,6 +96,13 @@ class Tiles:
             out[rows] = inverse @ (out[rows] - slab[:, : rows.start] @ out[: rows.start])
         return out
 
+    def backward(self, b: np.ndarray) -> np.ndarray:
+        out = np.array(b, float)
+        for rows, slab, inverse in reversed(list(zip(self.cuts, self.slabs, self.inverses, strict=True))):
+            out[rows] = inverse.T @ out[rows]
+            out[: rows.start] -= slab[:, : rows.start].T @ out[rows]
+        return out
+
 
 def by_place(lon, lat, level) -> tuple[np.ndarray, ...]:
     """lon, lat, mean level and number of the observations of each place, and each observation's place."""
@@ -114,6 +124,7 @@ class Predictor:
         self.mean, self.variance = np_moments(c.total)
         self.slope = np_slope(c.total)
         self.table = CovarianceTable(c.total, c.process)
+        self.rise = np.append(np.diff(self.table.value), 0.0)
 
     def covariance(self, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
         return self.covariance_at(np_ellipsoid_matrix(lon, lat, lon, lat))
@@ -126,15 +137,20 @@ class Predictor:
 
     def factor(self, lon: np.ndarray, lat: np.ndarray, n: np.ndarray) -> Tiles:
         """Of the covariance of the means of n observations at distinct places."""
-        ratio, shared = self.c.process / self.c.total, float(self.table(self.c.process / self.c.total))
-
-        def tile(rows: slice, columns: slice) -> np.ndarray:
-            s = self.table(ratio * np.exp(-np_ellipsoid_matrix(lon[rows], lat[rows], lon[columns], lat[columns]) / self.c.range_km))
-            if rows == columns:
-                np.fill_diagonal(s, self.variance / n[rows] + shared * (1 - 1 / n[rows]))
-            return s
-
-        return Tiles(len(lon), tile)
+        return Tiles(len(lon), lambda rows, columns: self.tile(np_ellipsoid_matrix(lon[rows], lat[rows], lon[columns], lat[columns]), n[rows] if rows == columns else None))
+
+    def tile(self, km: np.ndarray, n: np.ndarray | None) -> np.ndarray:
+        """The covariance of means at these distances; n where it lies on the diagonal. The table's steps are equal, so that a value is
+        found by its place and not by a search."""
+        s = np.exp(km * (-1 / self.c.range_km))
+        s *= len(self.rise) - 1
+        k = s.astype(np.int32)
+        s -= k
+        s *= self.rise.take(k, mode="clip")
+        s += self.table.value.take(k, mode="clip")
+        if n is not None:
+            np.fill_diagonal(s, self.variance / n + self.table.value[-1] * (1 - 1 / n))
+        return s
 
     def predict(self, lon, lat, level, tlon, tlat, n=None) -> tuple[np.ndarray, np.ndarray, float]:
         """Mean, error variance at the targets, and the jitter used. With n, a row is a place with the mean level of n observations."""
@@ -160,18 +176,76 @@ class Predictor:
         Without an observation the place's mean has a larger variance, or the place is gone: a change of one diagonal element, so that
         the solution of a system becomes u - v u_i / (v_i + 1 / change), where u solves the whole system and v solves it for the i-th unit vector.
         """
+        b = f.forward(self.right(lon, lat, level, places))
+        return self.without(b.T @ b, level, n, places, own)
+
+    def right(self, lon, lat, level, places: np.ndarray) -> np.ndarray:
+        """The levels, the covariances with the field at ``places`` and the unit vectors of these, as columns."""
         unit = np.zeros((len(lon), len(places)))
         unit[places, np.arange(len(places))] = 1.0
-        cross = f.forward(self.cross(np_ellipsoid_matrix(lon, lat, lon[places], lat[places])))
-        unit, rest = f.forward(unit), f.forward(level - self.mean)
-        u, v, m = (unit * cross).sum(axis=0), (unit * unit).sum(axis=0), n[places]
+        return np.column_stack((level - self.mean, self.cross(np_ellipsoid_matrix(lon, lat, lon[places], lat[places])), unit))
+
+    def without(self, sums: np.ndarray, level, n, places: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``left_out`` gives, from the products of ``right``'s columns by the inverse of the matrix."""
+        cross, unit = np.arange(1, len(places) + 1), np.arange(len(places) + 1, len(sums))
+        u, v, m = sums[unit, cross], sums[unit, unit], n[places]
         alone = self.variance - float(self.table(self.c.process / self.c.total))
         with np.errstate(divide="ignore"):
             part = u / (v + m * (m - 1) / max(alone, 1e-300))
         at = np.where(m > 1, u - part * v, 0.0)  # the place's weight
         moved = np.where(m > 1, (level[places] - own) / np.maximum(m - 1, 1), 0.0)
-        mean = cross.T @ rest - part * (unit.T @ rest) + at * moved
-        return mean, np.maximum(self.c.process - ((cross * cross).sum(axis=0) - part * u), 0)
+        mean = sums[cross, 0] - part * sums[unit, 0] + at * moved
+        return mean, np.maximum(self.c.process - (sums[cross, cross] - part * u), 0)
+
+
+def near_sums(several: list[Predictor], base: Predictor, lon, lat, n, right: list[np.ndarray]) -> list[np.ndarray | None]:
+    """Each predictor's b' K^-1 b, where b is its ``right`` and K its covariance, all from one factor, of ``base``.
+
+    Where x is near K^-1 b and leaves r = b - K x, the sums are x'b + r'x + r' K^-1 r, and the factor stands for K in the last term alone.
+    Each pass computes the distances and all products K x once, with two columns more for each held-out observation, and adds to x
+    what the factor makes of r, so that with a relative difference e of the matrices the error is e^3, e^5, e^7 and so on. None where
+    the passes do not contract well or ``base`` needs jitter.
+    """
+    f = base.factor(lon, lat, n)
+    found: list[np.ndarray | None] = [None] * len(several)
+    if f.jitter:
+        return found
+
+    def together(solve, columns: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        ends = np.cumsum([b.shape[1] for b in columns.values()])[:-1]
+        return dict(zip(columns, np.split(solve(np.column_stack(list(columns.values()))), ends, axis=1), strict=True))
+
+    x = together(f.backward, together(f.forward, dict(enumerate(right))))
+    cuts = [slice(lo, min(lo + 256, len(lon))) for lo in range(0, len(lon), 256)]  # tiles that stay in a core's cache
+    active, last = list(range(len(several))), np.ones(len(several))
+    for _ in range(MOST_PASSES):
+        left = {k: right[k].copy() for k in active}
+        for i, rows in enumerate(cuts):
+            for columns in cuts[: i + 1]:
+                km = np_ellipsoid_matrix(lon[rows], lat[rows], lon[columns], lat[columns])
+                for k in active:
+                    s = several[k].tile(km, n[rows] if rows == columns else None)
+                    left[k][rows] -= s @ x[k][columns]
+                    if rows != columns:
+                        left[k][columns] -= s.T @ x[k][rows]
+        going, halves = [], together(f.forward, left)
+        for k, half in halves.items():
+            rest = half.T @ half
+            sums = x[k].T @ right[k] + left[k].T @ x[k] + rest
+            share = float(np.sqrt(np.max(np.diag(rest) / np.diag(sums)))) if (np.diag(sums) > 0).all() else np.inf
+            rate = share / last[k]
+            if not rate < 0.5:
+                continue
+            if rate * share**2 <= SETTLED:
+                found[k] = (sums + sums.T) / 2
+                continue
+            last[k] = share
+            going.append(k)
+        if not (active := going):
+            break
+        for k, more in together(f.backward, {k: halves[k] for k in active}).items():
+            x[k] = x[k] + more
+    return found
 
 
 def krige(observations: DataFrame, targets: DataFrame, c: Calibration, period: str = "year") -> DataFrame:
@@ -216,7 +290,7 @@ def krige_held_out(training: DataFrame, held: DataFrame, c: Calibration | dict[i
     return dealt(fresh(training, [*keys, "lon", "lat", "level"]), *keys).groupBy(*keys).cogroup(dealt(fresh(held, held.columns), *keys).groupBy(*keys)).applyInPandas(one, shape)
 
 
-def krige_left_out(records: DataFrame, held: DataFrame, c: Calibration | dict[int, Calibration], period: str = "year", repetition: str = "repetition", chunk: int = 10) -> DataFrame:
+def krige_left_out(records: DataFrame, held: DataFrame, c: Calibration | dict[int, Calibration], period: str = "year", repetition: str = "repetition", chunk: int = 32) -> DataFrame:
     """repetition, period, site, level, yhat, mspe, jitter: predictions at held-out sites from all other records of their period.
 
     records: period, site, lon, lat, level, one row a site and period; held: repetition, period, site. A group is a period, whose places
@@ -242,10 +316,21 @@ def krige_left_out(records: DataFrame, held: DataFrame, c: Calibration | dict[in
             return pd.DataFrame({k: [] for k in names})
         lon, lat, level, n = (rows[k].to_numpy(float) for k in ("lon", "lat", "mean_level", "n"))
         number = {where: k for k, where in enumerate(zip(lon, lat, strict=True))}
-        found = []
+        place = lambda part: np.asarray([number[where] for where in zip(part["lon"], part["lat"], strict=True)])
+        found, sums = [], {}
+        if several:
+            few = {which: place(part) for which, part in out.groupby(repetition) if len(part) <= FEW}
+            if len(few) > 1:
+                own = [shared.value[which] for which in few]
+                base = Predictor(Calibration(*np.median([(p.c.total, p.c.process, p.c.nugget, p.c.range_km) for p in own], axis=0).tolist()))
+                sums = dict(zip(few, near_sums(own, base, lon, lat, n, [p.right(lon, lat, level, at) for p, at in zip(own, few.values(), strict=True)]), strict=True))
         for which, part in out.groupby(repetition) if several else [(None, out)]:
-            p = shared.value[which] if several else shared.value
-            f, at = p.factor(lon, lat, n), np.asarray([number[where] for where in zip(part["lon"], part["lat"], strict=True)])
+            p, at = shared.value[which] if several else shared.value, place(part)
+            if sums.get(which) is not None:
+                mean, variance = p.without(sums[which], level, n, at, part["level"].to_numpy(float))
+                found.append(part.assign(yhat=mean, mspe=variance, jitter=0.0))
+                continue
+            f = p.factor(lon, lat, n)
             for k in range(0, len(part), 256):
                 some = part.iloc[k : k + 256]
                 mean, variance = p.left_out(lon, lat, level, n, f, at[k : k + 256], some["level"].to_numpy(float))

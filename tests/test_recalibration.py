@@ -67,3 +67,20 @@ def test_factor_solves_by_substitution():
         m = root @ root.T + n * np.eye(n)
         f, b = kriging.factorise(m), rng.standard_normal((n, 3))
         assert np.allclose(m @ f.solve(b), b) and np.allclose(f.lower @ f.forward(b[:, 0]), b[:, 0])
+
+
+def test_near_calibrations_share_a_factor(monkeypatch):
+    """30 repetitions of a period with their own calibrations: one factor, and what 30 factors give; a calibration far from the others is left to its own."""
+    rng = np.random.default_rng(9)
+    lon, lat, n, level = rng.uniform(105, 118, 600), rng.uniform(24, 36, 600), rng.integers(1, 3, 600).astype(float), rng.integers(-2, 2, 600).astype(float)
+    several = [kriging.Predictor(calibration.Calibration(1.0 + k / 900, 0.6 + k / 700, 0.4 + k / 900 - k / 700, 400.0 + k)) for k in range(30)]
+    several.append(kriging.Predictor(calibration.Calibration(1.0, 0.1, 0.9, 30.0)))
+    places, own = [rng.integers(0, 600, 1 + k % 2) for k in range(31)], [np.zeros(1 + k % 2) for k in range(31)]
+    right = [p.right(lon, lat, level, at) for p, at in zip(several, places)]
+    factors, made = [], kriging.Tiles._factorise
+    monkeypatch.setattr(kriging.Tiles, "_factorise", lambda self, tile: (factors.append(1), made(self, tile))[1])
+    sums = kriging.near_sums(several, several[15], lon, lat, n, right)
+    assert len(factors) == 1 and [s is None for s in sums] == [False] * 30 + [True]
+    for k in range(30):
+        want = several[k].left_out(lon, lat, level, n, several[k].factor(lon, lat, n), places[k], own[k])
+        assert np.allclose(several[k].without(sums[k], level, n, places[k], own[k]), want, rtol=1e-10, atol=1e-11)
