@@ -104,6 +104,36 @@ def _memberships(x: np.ndarray, c: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(logs - total), total
 
 
+def _many_memberships(candidates: dict[int, dict]):
+    """A function of rows that gives ``_memberships`` under all candidates, which have covariances: shares (all components by n) and each
+    candidate's log likelihood. A component's rows are whitened by a product, a dimension at a time for all components."""
+    means, covs, weights = (np.concatenate([c[name] for c in candidates.values()]) for name in ("means", "covs", "weights"))
+    l = np.linalg.cholesky(covs)
+    white = np.linalg.solve(l, np.broadcast_to(np.eye(means.shape[1]), l.shape))
+    shift = np.einsum("kij,kj->ki", white, means)
+    scale = np.log(weights) - np.log(np.diagonal(l, axis1=1, axis2=2)).sum(axis=1) - means.shape[1] / 2 * np.log(2 * np.pi)
+    count = [len(c["means"]) for c in candidates.values()]
+    first = np.cumsum([0, *count[:-1]])
+
+    def shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        logs = np.zeros((len(means), len(x)))
+        for j in range(means.shape[1]):
+            z = white[:, j] @ x.T
+            z -= shift[:, j, None]
+            z *= z
+            logs += z
+        logs *= -0.5
+        logs += scale[:, None]
+        top = np.maximum.reduceat(logs, first, axis=0)
+        logs -= np.repeat(top, count, axis=0)
+        np.exp(logs, out=logs)
+        total = np.add.reduceat(logs, first, axis=0)
+        logs /= np.repeat(total, count, axis=0)
+        return logs, (top + np.log(total)).sum(axis=1)
+
+    return shares
+
+
 def _rows(batch: pd.DataFrame, centre: np.ndarray) -> np.ndarray:
     return np.stack(batch["scores"].to_numpy()).astype(float) - centre
 
@@ -118,15 +148,24 @@ def component_sums(scores: DataFrame, candidates: dict[int, dict], centre: np.nd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = {i: np.zeros((len(c["means"]), m)) for i, c in shared.value.items()}
+        full = {i: c for i, c in shared.value.items() if c["covs"] is not None}
+        together, ends = _many_memberships(full) if full else None, np.cumsum([len(c["means"]) for c in full.values()])[:-1]
         for b in batches:
             if b.empty:
                 continue
-            x = _rows(b, centre)
-            moments = np.column_stack([np.ones(len(x)), x, x[:, upper[0]] * x[:, upper[1]]])
-            for i, c in shared.value.items():
-                share, logs = _memberships(x, c)
-                held[i][:, 1:] += share @ moments
-                held[i][0, 0] += logs.sum()
+            every = _rows(b, centre)
+            for x in np.split(every, range(256, len(every), 256)):  # what a slice makes for all components stays in a core's cache
+                moments = np.column_stack([np.ones(len(x)), x, x[:, upper[0]] * x[:, upper[1]]])
+                if full:
+                    share, logs = together(x)
+                    for i, more, total in zip(full, np.split(share @ moments, ends), logs, strict=True):
+                        held[i][:, 1:] += more
+                        held[i][0, 0] += total
+                for i, c in shared.value.items():
+                    if i not in full:
+                        share, logs = _memberships(x, c)
+                        held[i][:, 1:] += share @ moments
+                        held[i][0, 0] += logs.sum()
         rows = np.concatenate(list(held.values()))
         out = pd.DataFrame(rows, columns=[f"s{j}" for j in range(m)])
         out.insert(0, "component", np.concatenate([np.arange(len(v)) for v in held.values()]))

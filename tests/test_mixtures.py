@@ -89,3 +89,21 @@ def test_odd_rows(spark):
     assert sorted(r["curve"] for r in labels.collect()) == list(range(6))
     with pytest.raises(ValueError):
         M.mixture_by_bic(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "curve int, scores array<double>"), "curve")
+
+
+def test_many_candidates_at_once_give_what_each_gives(spark):
+    """Shares and likelihoods of all candidates by one product; rows far from every component keep a share."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(size=(700, 3)), [[300.0, -200.0, 100.0]]))
+    candidates = {}
+    for i, k in enumerate((1, 4, 2, 8)):
+        a = rng.normal(size=(k, 3, 3))
+        candidates[3 * i] = {"weights": rng.dirichlet(np.ones(k)), "means": rng.normal(size=(k, 3)), "covs": a @ a.transpose(0, 2, 1) + 1e-3 * np.eye(3)}
+    alone = {i: M._memberships(x, c) for i, c in candidates.items()}
+    share, logs = M._many_memberships(candidates)(x)
+    assert np.allclose(share, np.concatenate([s for s, _ in alone.values()]), rtol=1e-9, atol=1e-12)
+    assert np.allclose(logs, [v.sum() for _, v in alone.values()], rtol=1e-11)
+    sums = M.component_sums(_table(spark, x), candidates | {1: {"weights": None, "means": x[:2], "covs": None}}, np.zeros(3))
+    for i, (s, v) in alone.items():
+        assert np.allclose(sums[i][0], s.sum(axis=1), rtol=1e-9) and np.allclose(sums[i][1], s @ x, rtol=1e-9, atol=1e-9) and sums[i][3] == pytest.approx(v.sum(), rel=1e-11)
+    assert sums[1][0].sum() == 701
