@@ -134,14 +134,14 @@ def measurement_draws(spark, d):
 
 @query
 def assimilation(spark, d):
-    """The whole chain per site: mapping, measurement equations, and from the fitted prior of the nearest location filter and smoother."""
+    """The whole chain per site: mapping, measurement equations, and from the fitted prior of the nearest location filter and smoother over all its steps."""
     s = X.series(spark, d)
     steps = s.select("site", F.col("day").cast("int").alias("t"), F.lit(0.5).alias("explained"))
     m = statespace.measurement_parameters(steps, _maps(s), PROCESS)
     fitted = stored(_fitted_prior(spark, d))
     cells = X.grid(spark, d).join(fitted.select("cell_id").distinct(), "cell_id", "left_semi")
     near = R.nearest_cell(X.records(spark, d).select("site", "lon", "lat").distinct(), cells).select("site", "cell_id")
-    dense = near.join(fitted.filter("t <= 30"), "cell_id").drop("cell_id").join(m, ["site", "t"], "left").join(s.select("site", F.col("day").alias("t"), "obs"), ["site", "t"], "left")
+    dense = near.join(fitted, "cell_id").drop("cell_id").join(m, ["site", "t"], "left").join(s.select("site", F.col("day").alias("t"), "obs"), ["site", "t"], "left")
     filled = {"alpha": 0.0, "beta": 1.0, "vdelta": 1.0}
     return statespace.filter_series(dense.select("site", "t", "mu", "slope", "r2", "obs", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in filled.items()]), ["site"])
 
